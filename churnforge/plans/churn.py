@@ -29,3 +29,45 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = impute_median(c, "total_charges", flag=None)
     c = encode_label(c, "churn", "label")
     return c.select("id", *CATEGORICAL, *NUMERIC_CLEAN, "label")
+
+
+# ---------------------------------------------------------------- modelling inputs
+from dataclasses import dataclass  # noqa: E402
+
+from churnforge.operators import features as FE  # noqa: E402
+from churnforge.operators.split import stratified_split  # noqa: E402
+
+
+def split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean table + stratified 80/20 ``split`` column (seed 42)."""
+    return stratified_split(clean(spark, sf_dir), "label")
+
+
+@dataclass
+class Encoded:
+    df: DataFrame               # id, label, split, feature columns
+    features: list[str]         # model input order
+    vocab: FE.Vocabulary
+    scaler: FE.ScalerParams
+
+
+def encode_standard(split_df: DataFrame) -> Encoded:
+    """Variant A: standard-scaled numerics, then one-hot (drop first,
+    unknown -> zeros); every parameter fitted on train rows only."""
+    train = split_df.where(F.col("split") == "train")
+    vocab = FE.fit_onehot(train, CATEGORICAL)
+    sc = FE.fit_standard(train, NUMERIC_CLEAN)
+    enc = FE.apply_onehot(FE.apply_scaler(split_df, sc), vocab, drop_first=True)
+    names = NUMERIC_CLEAN + [n for n, _, _ in vocab.feature_names(True)]
+    return Encoded(enc.select("id", "label", "split", *names), names, vocab, sc)
+
+
+def encode_minmax(split_df: DataFrame) -> Encoded:
+    """Variant B: one-hot (drop first), then min-max on every column."""
+    train = split_df.where(F.col("split") == "train")
+    vocab = FE.fit_onehot(train, CATEGORICAL)
+    oh = FE.apply_onehot(split_df, vocab, drop_first=True)
+    names = NUMERIC_CLEAN + [n for n, _, _ in vocab.feature_names(True)]
+    sc = FE.fit_minmax(oh.where(F.col("split") == "train"), names)
+    enc = FE.apply_scaler(oh, sc)
+    return Encoded(enc.select("id", "label", "split", *names), names, vocab, sc)

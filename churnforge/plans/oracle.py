@@ -275,4 +275,120 @@ def all_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(sql_sources())
     out.update(sql_profile())
+    out.update(sql_features())
     return out
+
+
+# --------------------------------------------------------------------- split / features
+SPLIT_CTES = {
+    "sp_cnt": "SELECT label, count(*) AS n_c FROM clean GROUP BY label",
+    "sp_tot": "SELECT sum(n_c) AS n, sum(n_c) - CAST(ceil(0.2 * sum(n_c)) AS BIGINT) AS n_train FROM sp_cnt",
+    "sp_fl": "SELECT label, n_c, n_train * n_c / n AS cont, floor(n_train * n_c / n) AS fl FROM sp_cnt, sp_tot",
+    "sp_q": """SELECT label, n_c - fl - CASE WHEN row_number() OVER (ORDER BY cont - fl DESC, label)
+                 <= (SELECT max(n_train) FROM sp_tot) - (SELECT sum(fl) FROM sp_fl) THEN 1 ELSE 0 END AS test_quota
+               FROM sp_fl""",
+    "sp_rank": """SELECT c.*, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || CAST(id AS VARCHAR)), id) - 1 AS rnk
+                  FROM clean c""",
+    "split": """SELECT r.*, CASE WHEN rnk < test_quota THEN 'test' ELSE 'train' END AS split
+                FROM sp_rank r JOIN sp_q USING (label)""",
+}
+DOMAINS = {
+    "segment": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"],
+    "region": ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"],
+    "urgent_user": ["No", "Yes"],
+}
+
+
+def _safe(v: str) -> str:
+    import re
+    return re.sub(r"[^0-9A-Za-z]+", "_", v).strip("_")
+
+
+def onehot_cols(drop_first: bool = True) -> list[tuple[str, str, str]]:
+    out = []
+    for c in CATEGORICAL:
+        vals = DOMAINS[c][1:] if drop_first else DOMAINS[c]
+        out += [(f"{c}_{_safe(v)}", c, v) for v in vals]
+    return out
+
+
+def _onehot_select(drop_first: bool = True) -> str:
+    return ", ".join(f"CASE WHEN {c} = {q(v)} THEN 1.0 ELSE 0.0 END AS {n}" for n, c, v in onehot_cols(drop_first))
+
+
+def sql_features() -> dict[str, str]:
+    num = NUMERIC_CLEAN
+    oh = onehot_cols(True)
+    out: dict[str, str] = {}
+    out["stratified_split"] = with_base("SELECT id, label, split FROM split", SPLIT_CTES)
+    out["random_split"] = with_base(
+        "SELECT id, CASE WHEN row_number() OVER (ORDER BY md5('42:' || CAST(id AS VARCHAR)), id) - 1 "
+        "< ceil(0.2 * (SELECT count(*) FROM clean)) THEN 'test' ELSE 'train' END AS split FROM clean")
+    out["kfold_assign"] = with_base(
+        "SELECT id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5('42:' || CAST(id AS VARCHAR)), id) - 1) % 5 AS INTEGER) AS fold "
+        "FROM split WHERE split = 'train'", SPLIT_CTES)
+    out["split_distribution"] = with_base(
+        """SELECT label, CAST(count(CASE WHEN split = 'train' THEN 1 END) AS BIGINT) AS n_train,
+                  CAST(count(CASE WHEN split = 'test' THEN 1 END) AS BIGINT) AS n_test, """
+        + r6("count(CASE WHEN split = 'train' THEN 1 END) / (SELECT count(*) FROM split WHERE split = 'train')") + " AS share_train, "
+        + r6("count(CASE WHEN split = 'test' THEN 1 END) / (SELECT count(*) FROM split WHERE split = 'test')") + " AS share_test "
+        "FROM split GROUP BY label", SPLIT_CTES)
+    stats = ", ".join(f"avg(CAST({c} AS DOUBLE)) AS m_{c}, stddev_pop(CAST({c} AS DOUBLE)) AS s_{c}" for c in num)
+    out["standard_scale"] = with_base(
+        "SELECT id, split, " + ", ".join(
+            r6(f"(CAST({c} AS DOUBLE) - m_{c}) / (CASE WHEN s_{c} = 0 OR s_{c} IS NULL THEN 1.0 ELSE s_{c} END)") + f" AS {c}"
+            for c in num) + " FROM split, st",
+        {**SPLIT_CTES, "st": f"SELECT {stats} FROM split WHERE split = 'train'"})
+    allf = num + [n for n, _, _ in oh]
+    mm = ", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in allf)
+    out["minmax_scale"] = with_base(
+        "SELECT id, split, " + ", ".join(
+            r6(f"({c} - lo_{c}) / (CASE WHEN hi_{c} = lo_{c} THEN 1.0 ELSE hi_{c} - lo_{c} END)") + f" AS {c}"
+            for c in allf) + " FROM enc, mm",
+        {**SPLIT_CTES,
+         "enc": "SELECT id, split, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in num) + ", " + _onehot_select(True) + " FROM split",
+         "mm": f"SELECT {mm} FROM enc WHERE split = 'train'"})
+    out["onehot"] = with_base("SELECT id, " + _onehot_select(True) + " FROM split", SPLIT_CTES)
+    n_num = len(num)
+    numeric_rows = union_all([
+        f"SELECT CAST({i} AS INTEGER) AS idx, {q(c)} AS feature, 'numeric' AS role, {q(c)} AS source, CAST(NULL AS VARCHAR) AS category"
+        for i, c in enumerate(num)])
+    cat_order = " ".join(f"WHEN {q(c)} THEN {i}" for i, c in enumerate(CATEGORICAL))
+    vocab = union_all([f"SELECT DISTINCT {q(c)} AS source, {c} AS category FROM split WHERE split = 'train' AND {c} IS NOT NULL"
+                       for c in CATEGORICAL])
+    out["feature_names"] = with_base(
+        numeric_rows + "\nUNION ALL\n"
+        f"SELECT CAST({n_num} + row_number() OVER (ORDER BY CASE source {cat_order} END, category) - 1 AS INTEGER) AS idx, "
+        "source || '_' || trim(regexp_replace(category, '[^0-9A-Za-z]+', '_', 'g'), '_') AS feature, 'onehot' AS role, source, category "
+        "FROM (SELECT source, category, row_number() OVER (PARTITION BY source ORDER BY category) AS k FROM voc) WHERE k > 1",
+        {**SPLIT_CTES, "voc": vocab})
+    out["unknown_categories"] = with_base(
+        'SELECT r.id, r."column", r.value FROM ' + _long_id("cc", CATEGORICAL) + " r "
+        'WHERE r.value IS NOT NULL AND NOT EXISTS (SELECT 1 FROM voc v WHERE v.source = r."column" AND v.category = r.value)',
+        {**SPLIT_CTES, "voc": vocab})
+    out["align_features"] = with_base(
+        "SELECT id, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in num) + ", " + _onehot_select(True)
+        + " FROM split WHERE split = 'test'", SPLIT_CTES)
+    std_exprs = [(c, f"(CAST({c} AS DOUBLE) - m_{c}) / (CASE WHEN s_{c} = 0 OR s_{c} IS NULL THEN 1.0 ELSE s_{c} END)")
+                 for c in num] + [(n, f"CASE WHEN {c} = {q(v)} THEN 1.0 ELSE 0.0 END") for n, c, v in oh]
+    out["feature_matrix"] = with_base(union_all(
+        [f"SELECT id, {q(n)} AS feature, {r6(e)} AS value FROM split, st" for n, e in std_exprs]),
+        {**SPLIT_CTES, "st": f"SELECT {stats} FROM split WHERE split = 'train'"})
+    st2 = ", ".join(f"avg(CAST({c} AS DOUBLE)) AS m_{c}, stddev_pop(CAST({c} AS DOUBLE)) AS s_{c}" for c in ["tenure", "acctbal"])
+    out["align_join"] = with_base(
+        "SELECT s.id, s.split, c.churn, c.segment, "
+        + ", ".join(r6(f"(CAST(s.{c} AS DOUBLE) - m_{c}) / (CASE WHEN s_{c} = 0 OR s_{c} IS NULL THEN 1.0 ELSE s_{c} END)") + f" AS {c}"
+                    for c in ["tenure", "acctbal"])
+        + " FROM split s JOIN cc c ON s.id = c.id, st",
+        {**SPLIT_CTES, "st": f"SELECT {st2} FROM split WHERE split = 'train'"})
+    clean_cols = ["id"] + CATEGORICAL + num + ["label"]
+    out["parse_kv_report"] = with_base(union_all(
+        ["SELECT 'total_records' AS key, CAST(count(*) AS VARCHAR) AS value FROM clean",
+         "SELECT 'churned' AS key, CAST(sum(label) AS VARCHAR) AS value FROM clean",
+         "SELECT 'retained' AS key, CAST(count(*) - sum(label) AS VARCHAR) AS value FROM clean"]
+        + [f"SELECT 'missing_{c}' AS key, CAST(count(*) - count({c}) AS VARCHAR) AS value FROM clean" for c in clean_cols]))
+    return out
+
+
+def _long_id(table: str, cols: list[str]) -> str:
+    return "(" + union_all([f'SELECT id, {q(c)} AS "column", CAST({c} AS VARCHAR) AS value FROM {table}' for c in cols]) + ")"

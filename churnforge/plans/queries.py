@@ -201,3 +201,118 @@ def q_numeric_association(spark, sf):
 @register("dataset_summary")
 def q_dataset_summary(spark, sf):
     return round_doubles(P.dataset_summary(clean(spark, sf), "label", NUMERIC_CLEAN, 10))
+
+
+# ------------------------------------------------------------------ split / features
+from pyspark.ml.feature import VectorAssembler  # noqa: E402
+from pyspark.ml.functions import vector_to_array  # noqa: E402
+
+from churnforge.operators import features as FE  # noqa: E402
+from churnforge.operators.split import kfold_assign, random_split  # noqa: E402
+from churnforge.plans.churn import encode_minmax, encode_standard, split_table  # noqa: E402
+from churnforge.session import scratch_path  # noqa: E402
+
+
+@register("stratified_split")
+def q_stratified_split(spark, sf):
+    return split_table(spark, sf).select("id", "label", "split")
+
+
+@register("random_split")
+def q_random_split(spark, sf):
+    return random_split(clean(spark, sf)).select("id", "split")
+
+
+@register("kfold_assign")
+def q_kfold_assign(spark, sf):
+    train = split_table(spark, sf).where(F.col("split") == "train")
+    return kfold_assign(train, "label", 5).select("id", "label", "fold")
+
+
+@register("split_distribution")
+def q_split_distribution(spark, sf):
+    return round_doubles(P.split_distribution(split_table(spark, sf), "label"))
+
+
+@register("standard_scale")
+def q_standard_scale(spark, sf):
+    s = split_table(spark, sf)
+    p = FE.fit_standard(s.where(F.col("split") == "train"), NUMERIC_CLEAN)
+    return round_doubles(FE.apply_scaler(s, p).select("id", "split", *NUMERIC_CLEAN))
+
+
+@register("minmax_scale")
+def q_minmax_scale(spark, sf):
+    e = encode_minmax(split_table(spark, sf))
+    return round_doubles(e.df.select("id", "split", *e.features))
+
+
+@register("onehot")
+def q_onehot(spark, sf):
+    s = split_table(spark, sf)
+    vocab = FE.fit_onehot(s.where(F.col("split") == "train"), CATEGORICAL)
+    names = [n for n, _, _ in vocab.feature_names(True)]
+    return FE.apply_onehot(s, vocab, drop_first=True).select("id", *names)
+
+
+@register("feature_names")
+def q_feature_names(spark, sf):
+    s = split_table(spark, sf)
+    vocab = FE.fit_onehot(s.where(F.col("split") == "train"), CATEGORICAL)
+    return FE.feature_table(spark, NUMERIC_CLEAN, vocab, drop_first=True)
+
+
+@register("unknown_categories")
+def q_unknown_categories(spark, sf):
+    s = split_table(spark, sf)
+    vocab = FE.vocabulary_df(s.where(F.col("split") == "train"), CATEGORICAL)
+    return C.unknown_categories(raw(spark, sf), vocab, CATEGORICAL)
+
+
+@register("align_features")
+def q_align_features(spark, sf):
+    s = split_table(spark, sf)
+    train_vocab = FE.fit_onehot(s.where(F.col("split") == "train"), CATEGORICAL)
+    train_names = NUMERIC_CLEAN + [n for n, _, _ in train_vocab.feature_names(True)]
+    test = s.where(F.col("split") == "test")
+    own = FE.fit_onehot(test, CATEGORICAL)            # records encoded on their own (keep all)
+    enc = FE.apply_onehot(test, own, drop_first=False)
+    return C.align_features(enc, train_names, keep=["id"])
+
+
+@register("feature_matrix")
+def q_feature_matrix(spark, sf):
+    """Assemble -> write Parquet (vector column) -> read back -> long form."""
+    e = encode_standard(split_table(spark, sf))
+    vec = VectorAssembler(inputCols=e.features, outputCol="features").transform(e.df)
+    path = scratch_path(spark, "feature_matrix")
+    vec.select("id", "label", "split", "features").write.mode("overwrite").parquet(path)
+    back = spark.read.parquet(path)
+    names = F.array(*[F.lit(n) for n in e.features])
+    long = back.select("id", F.posexplode(vector_to_array("features")).alias("idx", "value"))
+    return round_doubles(long.select("id", F.element_at(names, F.col("idx") + 1).alias("feature"), "value"))
+
+
+@register("align_join")
+def q_align_join(spark, sf):
+    """Equi-join on the row id of two separately derived tables."""
+    s = split_table(spark, sf)
+    p = FE.fit_standard(s.where(F.col("split") == "train"), ["tenure", "acctbal"])
+    feats = FE.apply_scaler(s.select("id", "split", "tenure", "acctbal"), p)
+    labels = raw(spark, sf).select("id", "churn", "segment")
+    return round_doubles(feats.join(labels, "id", "inner").select("id", "split", "churn", "segment", "tenure", "acctbal"))
+
+
+@register("parse_kv_report")
+def q_parse_kv_report(spark, sf):
+    """Write a `key: value` text report, read it back and split at the first ':'."""
+    from churnforge.sources.reports import parse_kv_text, write_kv_report
+    c = clean(spark, sf)
+    lines = [F.concat(F.lit("total_records: "), F.count(F.lit(1)).cast("string")),
+             F.concat(F.lit("churned: "), F.sum("label").cast("string")),
+             F.concat(F.lit("retained: "), (F.count(F.lit(1)) - F.sum("label")).cast("string"))]
+    lines += [F.concat(F.lit(f"missing_{col}: "), (F.count(F.lit(1)) - F.count(col)).cast("string"))
+              for col in c.columns]
+    report = c.agg(F.array(*lines).alias("l")).select(F.explode("l").alias("value"))
+    path = write_kv_report(report, scratch_path(spark, "kv_report"))
+    return parse_kv_text(spark, path)
