@@ -38,9 +38,18 @@ from churnforge.operators import features as FE  # noqa: E402
 from churnforge.operators.split import stratified_split  # noqa: E402
 
 
-def split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clean table + stratified 80/20 ``split`` column (seed 42)."""
-    return stratified_split(clean(spark, sf_dir), "label")
+def split_table(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
+    """Clean table + stratified 80/20 ``split`` column (seed 42).
+
+    The modelling table feeds several fits and scorers; it is written
+    once to the session's checkpoint folder (shared storage on a
+    cluster), which cuts the lineage back to the orders aggregation.
+    """
+    from churnforge.session import cut_lineage
+    c = clean(spark, sf_dir)
+    if not materialize:
+        return stratified_split(c, "label")
+    return cut_lineage(stratified_split(cut_lineage(c), "label"))
 
 
 @dataclass
@@ -71,3 +80,23 @@ def encode_minmax(split_df: DataFrame) -> Encoded:
     sc = FE.fit_minmax(oh.where(F.col("split") == "train"), names)
     enc = FE.apply_scaler(oh, sc)
     return Encoded(enc.select("id", "label", "split", *names), names, vocab, sc)
+
+
+# ---------------------------------------------------------------- rule scorers
+# Deterministic score formulas (rational, so Spark and SQL agree bit for bit):
+# the oracle-checkable stand-ins for a fitted model in the evaluation keys.
+RULES = {
+    "rule_tenure": "365.0 / (tenure + 365.0)",
+    "rule_orders": "5.0 / (n_orders + 5.0)",
+    "rule_blend": "0.5 * (365.0 / (tenure + 365.0)) + 0.3 * (5.0 / (n_orders + 5.0)) + 0.2 * in_debt",
+}
+RULE_ORDER = {name: i for i, name in enumerate(RULES)}
+
+
+def rule_scores(split_df: DataFrame) -> DataFrame:
+    """(id, label, split, model, model_order, score, prediction) for every rule."""
+    arr = F.array(*[F.struct(F.lit(k).alias("model"), F.lit(i).alias("model_order"),
+                             F.expr(v).cast("double").alias("score")) for i, (k, v) in enumerate(RULES.items())])
+    s = split_df.select("id", "label", "split", F.explode(arr).alias("_m")).select(
+        "id", "label", "split", "_m.*")
+    return s.withColumn("prediction", (F.col("score") >= 0.5).cast("int"))

@@ -276,6 +276,8 @@ def all_sql() -> dict[str, str]:
     out.update(sql_sources())
     out.update(sql_profile())
     out.update(sql_features())
+    out.update(sql_evaluate())
+    out.update(sql_resample())
     return out
 
 
@@ -392,3 +394,117 @@ def sql_features() -> dict[str, str]:
 
 def _long_id(table: str, cols: list[str]) -> str:
     return "(" + union_all([f'SELECT id, {q(c)} AS "column", CAST({c} AS VARCHAR) AS value FROM {table}' for c in cols]) + ")"
+
+
+# --------------------------------------------------------------------- evaluation
+RULES = {
+    "rule_tenure": "365.0 / (tenure + 365.0)",
+    "rule_orders": "5.0 / (n_orders + 5.0)",
+    "rule_blend": "0.5 * (365.0 / (tenure + 365.0)) + 0.3 * (5.0 / (n_orders + 5.0)) + 0.2 * in_debt",
+}
+
+
+def _scores_cte() -> dict[str, str]:
+    parts = union_all([
+        f"SELECT id, label, split, {q(k)} AS model, {i} AS model_order, CAST({v} AS DOUBLE) AS score FROM split"
+        for i, (k, v) in enumerate(RULES.items())])
+    return {**SPLIT_CTES,
+            "scores": f"SELECT *, CAST(score >= 0.5 AS INTEGER) AS prediction FROM ({parts})",
+            "cm": """SELECT model, split,
+                       CAST(count(CASE WHEN label = 0 AND prediction = 0 THEN 1 END) AS DOUBLE) AS tn,
+                       CAST(count(CASE WHEN label = 0 AND prediction = 1 THEN 1 END) AS DOUBLE) AS fp,
+                       CAST(count(CASE WHEN label = 1 AND prediction = 0 THEN 1 END) AS DOUBLE) AS fn,
+                       CAST(count(CASE WHEN label = 1 AND prediction = 1 THEN 1 END) AS DOUBLE) AS tp
+                     FROM scores GROUP BY model, split""",
+            "auc": """SELECT model, model_order, sum(pos * (neg_before + neg / 2.0)) / (sum(pos) * sum(neg)) AS auc FROM (
+                        SELECT *, coalesce(sum(neg) OVER (PARTITION BY model ORDER BY s
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_before
+                        FROM (SELECT model, model_order, score AS s, sum(label) AS pos, sum(1 - label) AS neg
+                              FROM scores WHERE split = 'test' GROUP BY model, model_order, score))
+                      GROUP BY model, model_order"""}
+
+
+def _sd(a: str, b: str) -> str:
+    return f"(CASE WHEN ({b}) > 0 THEN ({a}) / ({b}) ELSE 0.0 END)"
+
+
+def sql_evaluate() -> dict[str, str]:
+    out: dict[str, str] = {}
+    ctes = _scores_cte()
+    out["confusion_matrix"] = with_base(union_all([
+        f"SELECT model, {a} AS actual, {p} AS predicted, count(CASE WHEN label = {a} AND prediction = {p} THEN 1 END) AS n "
+        "FROM scores WHERE split = 'test' GROUP BY model" for a in (0, 1) for p in (0, 1)]), ctes)
+    p1, r1 = _sd("tp", "tp + fp"), _sd("tp", "tp + fn")
+    p0, r0 = _sd("tn", "tn + fn"), _sd("tn", "tn + fp")
+    f1, f0 = _sd(f"2 * {p1} * {r1}", f"{p1} + {r1}"), _sd(f"2 * {p0} * {r0}", f"{p0} + {r0}")
+    n = "(tn + fp + fn + tp)"
+    acc = _sd("tn + tp", n)
+    rows = [("'0'", p0, r0, f0, "tn + fp"), ("'1'", p1, r1, f1, "tp + fn"),
+            ("'macro avg'", f"({p0} + {p1}) / 2", f"({r0} + {r1}) / 2", f"({f0} + {f1}) / 2", n),
+            ("'weighted avg'", _sd(f"{p0} * (tn + fp) + {p1} * (tp + fn)", n), _sd(f"{r0} * (tn + fp) + {r1} * (tp + fn)", n),
+             _sd(f"{f0} * (tn + fp) + {f1} * (tp + fn)", n), n),
+            ("'accuracy'", acc, acc, acc, n), ("'specificity'", r0, r0, r0, "tn + fp")]
+    out["classification_report"] = with_base(union_all([
+        f"SELECT model, {c} AS class, {r6(p)} AS precision, {r6(r)} AS recall, {r6(f)} AS f1, CAST({s} AS BIGINT) AS support "
+        "FROM cm WHERE split = 'test'" for c, p, r, f, s in rows]), ctes)
+    out["roc_auc"] = with_base(f"SELECT model, {r6('auc')} AS auc FROM auc", ctes)
+    out["train_test_gap"] = with_base(
+        "SELECT model, " + r6("max(CASE WHEN split = 'train' THEN a END)") + " AS train_accuracy, "
+        + r6("max(CASE WHEN split = 'test' THEN a END)") + " AS test_accuracy, "
+        + r6("max(CASE WHEN split = 'train' THEN a END) - max(CASE WHEN split = 'test' THEN a END)") + " AS gap "
+        "FROM (SELECT model, split, avg(CAST(label = prediction AS DOUBLE)) AS a FROM scores GROUP BY model, split) GROUP BY model",
+        ctes)
+    out["best_model"] = with_base(
+        f"SELECT model, {r6('auc')} AS auc FROM auc ORDER BY auc DESC, model_order LIMIT 1", ctes)
+    out["topk_features"] = with_base(
+        f"SELECT id, label, {r6('score')} AS score FROM scores WHERE model = 'rule_blend' ORDER BY score DESC, id LIMIT 20", ctes)
+    return out
+
+
+# --------------------------------------------------------------------- kNN / SMOTE
+def _u(expr: str, seed: str) -> str:
+    return (f"(CAST(('0x' || substr(md5('{seed}:' || CAST({expr} AS VARCHAR)), 1, 8)) AS UBIGINT) / 4294967296.0)")
+
+
+def _minmax_ctes() -> tuple[dict[str, str], list[str]]:
+    oh = onehot_cols(True)
+    allf = NUMERIC_CLEAN + [n for n, _, _ in oh]
+    mm = ", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in allf)
+    ctes = {**SPLIT_CTES,
+            "enc": "SELECT id, label, split, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in NUMERIC_CLEAN)
+                   + ", " + _onehot_select(True) + " FROM split",
+            "mm": f"SELECT {mm} FROM enc WHERE split = 'train'",
+            "sc": "SELECT id, label, split, " + ", ".join(
+                f"({c} - lo_{c}) / (CASE WHEN hi_{c} = lo_{c} THEN 1.0 ELSE hi_{c} - lo_{c} END) AS {c}" for c in allf)
+                  + " FROM enc, mm",
+            "tr": "SELECT * FROM sc WHERE split = 'train'",
+            "cnt": "SELECT label, count(*) AS n FROM tr GROUP BY label",
+            "minl": "SELECT label AS min_label, n AS n_min FROM cnt ORDER BY n, label LIMIT 1",
+            "majl": "SELECT n AS n_maj FROM cnt ORDER BY n DESC, label LIMIT 1",
+            "mins": "SELECT tr.*, row_number() OVER (ORDER BY md5('42:' || CAST(id AS VARCHAR)), id) - 1 AS midx "
+                    "FROM tr WHERE label = (SELECT min_label FROM minl)"}
+    d2 = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in allf)
+    ctes["knn"] = ("SELECT * FROM (SELECT a.id, b.id AS nn_id, " + d2 + " AS dist2, "
+                   "row_number() OVER (PARTITION BY a.id ORDER BY " + d2 + ", b.id) AS nn_rank "
+                   "FROM mins a JOIN mins b ON a.id <> b.id) WHERE nn_rank <= 5")
+    return ctes, allf
+
+
+def sql_resample() -> dict[str, str]:
+    ctes, allf = _minmax_ctes()
+    out: dict[str, str] = {}
+    out["knn_minority"] = with_base(
+        f"SELECT id, CAST(nn_rank AS INTEGER) AS nn_rank, nn_id, {r6('dist2')} AS dist2 FROM knn", ctes)
+    syn_ctes = dict(ctes)
+    syn_ctes["syn"] = (
+        "SELECT j, CAST(floor(" + _u("j", "42b") + " * (SELECT n_min FROM minl)) AS BIGINT) AS midx, "
+        "CAST(floor(" + _u("j", "42n") + " * least(5, (SELECT n_min FROM minl) - 1)) + 1 AS BIGINT) AS nn_rank, "
+        + _u("j", "42g") + " AS gap FROM (SELECT unnest(range(0, (SELECT n_maj FROM majl) - (SELECT n_min FROM minl))) AS j)")
+    out["smote"] = with_base(
+        "SELECT 'o:' || CAST(id AS VARCHAR) AS row_id, CAST(label AS INTEGER) AS label, 0 AS synthetic, "
+        + ", ".join(f"{r6(c)} AS {c}" for c in allf) + " FROM tr\nUNION ALL\n"
+        "SELECT 's:' || CAST(s.j AS VARCHAR) AS row_id, CAST((SELECT min_label FROM minl) AS INTEGER) AS label, 1 AS synthetic, "
+        + ", ".join(r6(f"b.{c} + s.gap * (n.{c} - b.{c})") + f" AS {c}" for c in allf)
+        + " FROM syn s JOIN mins b ON s.midx = b.midx JOIN knn k ON k.id = b.id AND k.nn_rank = s.nn_rank "
+        "JOIN mins n ON n.id = k.nn_id", syn_ctes)
+    return out

@@ -316,3 +316,70 @@ def q_parse_kv_report(spark, sf):
     report = c.agg(F.array(*lines).alias("l")).select(F.explode("l").alias("value"))
     path = write_kv_report(report, scratch_path(spark, "kv_report"))
     return parse_kv_text(spark, path)
+
+
+# ------------------------------------------------------------------ evaluation
+from churnforge.operators import evaluate as EV  # noqa: E402
+from churnforge.plans.churn import rule_scores  # noqa: E402
+
+
+def _test_scores(spark, sf):
+    return rule_scores(split_table(spark, sf)).where(F.col("split") == "test")
+
+
+@register("confusion_matrix")
+def q_confusion_matrix(spark, sf):
+    return EV.confusion_matrix(_test_scores(spark, sf), ["model"])
+
+
+@register("classification_report")
+def q_classification_report(spark, sf):
+    return round_doubles(EV.classification_report(_test_scores(spark, sf), ["model"]))
+
+
+@register("roc_auc")
+def q_roc_auc(spark, sf):
+    return round_doubles(EV.roc_auc(_test_scores(spark, sf), ["model"]))
+
+
+@register("train_test_gap")
+def q_train_test_gap(spark, sf):
+    return round_doubles(EV.train_test_gap(rule_scores(split_table(spark, sf)), ["model"]))
+
+
+@register("best_model")
+def q_best_model(spark, sf):
+    s = _test_scores(spark, sf)
+    auc = EV.roc_auc(s, ["model", "model_order"])
+    return round_doubles(EV.best_by(auc, "model", "auc", "model_order"))
+
+
+@register("topk_features")
+def q_topk_features(spark, sf):
+    """Top-20 customers by the blended risk score (sort desc, id asc)."""
+    s = rule_scores(split_table(spark, sf)).where(F.col("model") == "rule_blend")
+    return round_doubles(EV.top_k(s.select("id", "label", "score"), "score", 20))
+
+
+# ------------------------------------------------------------------ kNN / SMOTE
+from churnforge.operators.knn import exact_knn  # noqa: E402
+from churnforge.operators.resample import class_counts, smote  # noqa: E402
+
+
+def _minmax_train(spark, sf):
+    e = encode_minmax(split_table(spark, sf))
+    return e.df.where(F.col("split") == "train"), e.features
+
+
+@register("knn_minority")
+def q_knn_minority(spark, sf):
+    train, feats = _minmax_train(spark, sf)
+    min_label = class_counts(train, "label")[0][0]
+    mins = train.where(F.col("label") == min_label)
+    return round_doubles(exact_knn(mins, "id", feats, 5))
+
+
+@register("smote")
+def q_smote(spark, sf):
+    train, feats = _minmax_train(spark, sf)
+    return round_doubles(smote(train, feats, "label", "id", k=5, seed=42))
