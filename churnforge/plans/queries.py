@@ -383,3 +383,153 @@ def q_knn_minority(spark, sf):
 def q_smote(spark, sf):
     train, feats = _minmax_train(spark, sf)
     return round_doubles(smote(train, feats, "label", "id", k=5, seed=42))
+
+
+# ------------------------------------------------------------------ models (rows-only checks)
+from pyspark.ml import Pipeline  # noqa: E402
+from pyspark.ml.classification import GBTClassifier  # noqa: E402
+from pyspark.ml.feature import StringIndexer, VectorIndexer  # noqa: E402
+
+from churnforge.operators import explain as XP  # noqa: E402
+from churnforge.operators import models as M  # noqa: E402
+from churnforge.session import cut_lineage  # noqa: E402
+
+
+def _model_data(spark, sf, resample: bool = True):
+    """Variant-A features; train optionally SMOTE-balanced (train rows only)."""
+    e = encode_standard(split_table(spark, sf))
+    train = e.df.where(F.col("split") == "train")
+    test = e.df.where(F.col("split") == "test")
+    if resample:
+        bal = smote(train, e.features, "label", "id", k=5, seed=42)
+        train = bal.select(F.col("row_id").alias("id"), "label", *e.features)
+        train = cut_lineage(train)
+    return M.assemble(train, e.features), M.assemble(test, e.features), e.features
+
+
+@register("rf_scores")
+def q_rf_scores(spark, sf):
+    train, test, _ = _model_data(spark, sf)
+    model = M.estimators()["random_forest"].fit(train)
+    return M.score(model, test)
+
+
+@register("gbt_scores")
+def q_gbt_scores(spark, sf):
+    train, test, _ = _model_data(spark, sf)
+    model = M.estimators()["gbt"].fit(train)
+    return M.score(model, test)
+
+
+@register("lr_coefficients")
+def q_lr_coefficients(spark, sf):
+    train, _, feats = _model_data(spark, sf)
+    model = M.estimators()["logistic_regression"].fit(train)
+    c = M.lr_coefficients(model, feats, spark)
+    return c.orderBy(F.col("abs_coefficient").desc(), "feature")
+
+
+@register("tree_importance")
+def q_tree_importance(spark, sf):
+    train, _, feats = _model_data(spark, sf)
+    model = M.estimators()["random_forest"].fit(train)
+    return M.tree_importance(model, feats, spark).orderBy(F.col("importance").desc(), "feature").limit(20)
+
+
+@register("model_comparison")
+def q_model_comparison(spark, sf):
+    train, test, _ = _model_data(spark, sf)
+    return M.model_comparison(train, test, M.estimators())
+
+
+@register("run_summary")
+def q_run_summary(spark, sf):
+    """Comparison table + best model written as JSON, read back."""
+    from churnforge.sources.reports import write_json
+    train, test, _ = _model_data(spark, sf)
+    comp = M.model_comparison(train, test, M.estimators())
+    comp = cut_lineage(comp)
+    best = EV.best_by(comp, "model", "auc", "model_order")
+    summary = comp.withColumn("is_best", F.col("model") == best.select("model").scalar())
+    path = write_json(summary, scratch_path(spark, "run_summary"))
+    return spark.read.schema(summary.schema).json(path)
+
+
+@register("cv_grid")
+def q_cv_grid(spark, sf):
+    e = encode_standard(split_table(spark, sf))
+    train = kfold_assign(e.df.where(F.col("split") == "train"), "label", 3)
+    _, table = M.cv_grid(M.assemble(train, e.features), "fold")
+    return table
+
+
+@register("gbt_categorical")
+def q_gbt_categorical(spark, sf):
+    """Native-categorical boosting: indexed categoricals + early stopping on a
+    validation fold of the training rows (never the test rows)."""
+    s = split_table(spark, sf)
+    train = kfold_assign(s.where(F.col("split") == "train"), "label", 5).withColumn(
+        "is_valid", F.col("fold") == 0)
+    test = s.where(F.col("split") == "test")
+    idx = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep") for c in CATEGORICAL]
+    cols = [f"{c}_idx" for c in CATEGORICAL] + NUMERIC_CLEAN
+    va = VectorAssembler(inputCols=cols, outputCol="raw_features")
+    vi = VectorIndexer(inputCol="raw_features", outputCol="features", maxCategories=8, handleInvalid="keep")
+    gbt = GBTClassifier(labelCol="label", featuresCol="features", maxIter=700, stepSize=0.05, maxDepth=6,
+                        seed=42, validationIndicatorCol="is_valid", validationTol=0.01)
+    model = Pipeline(stages=[*idx, va, vi, gbt]).fit(train)
+    return M.score(model, test)
+
+
+def _explain_model(spark, sf):
+    train, test, feats = _model_data(spark, sf, resample=False)
+    model = GBTClassifier(labelCol="label", featuresCol="features", maxIter=30, maxDepth=4, seed=42).fit(train)
+    return model, test.drop("features"), feats
+
+
+@register("permutation_importance")
+def q_permutation_importance(spark, sf):
+    model, test, feats = _explain_model(spark, sf)
+    return XP.permutation_importance(model, test, feats)
+
+
+@register("shapley_sampled")
+def q_shapley_sampled(spark, sf):
+    model, test, feats = _explain_model(spark, sf)
+    return XP.shapley_sampled(model, test, feats, n_perm=8)
+
+
+# ------------------------------------------------------------------ scoring
+from churnforge.plans.scoring import ChurnScorer, split_records  # noqa: E402
+from churnforge.streaming.score_stream import run_to_completion  # noqa: E402
+
+
+def _fitted_scorer(spark, sf):
+    s = split_table(spark, sf)
+    raw_train = raw(spark, sf).join(s.where(F.col("split") == "train").select("id"), "id", "left_semi")
+    scorer = ChurnScorer.fit(s, raw_train)
+    path = scratch_path(spark, "scorer")
+    scorer.save(spark, path)
+    return ChurnScorer.load(spark, path)          # score with the reloaded state
+
+
+def _records(spark, sf):
+    return raw(spark, sf).drop("churn")
+
+
+@register("score_batch")
+def q_score_batch(spark, sf):
+    scorer = _fitted_scorer(spark, sf)
+    ok, _ = split_records(_records(spark, sf))
+    return scorer.score(ok)
+
+
+@register("score_stream")
+def q_score_stream(spark, sf):
+    scorer = _fitted_scorer(spark, sf)
+    ok, _ = split_records(_records(spark, sf))
+    src = scratch_path(spark, "records")
+    ok.write.mode("overwrite").parquet(src)
+    schema = spark.read.parquet(src).schema
+    return run_to_completion(spark, scorer, src, schema, scratch_path(spark, "scored"),
+                             scratch_path(spark, "stream_ckpt"))
