@@ -27,6 +27,8 @@ def write_json(df: DataFrame, path: str) -> str:
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", header: bool = True) -> str:
     w = df.write.mode("overwrite")
     if fmt == "csv":
-        w = w.option("header", header)
+        # keep blank-but-present text (" ") intact, as the raw customer export has it
+        w = (w.option("header", header).option("ignoreLeadingWhiteSpace", False)
+             .option("ignoreTrailingWhiteSpace", False))
     w.format(fmt).save(path)
     return path
