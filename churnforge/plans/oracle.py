@@ -189,28 +189,7 @@ def sql_profile() -> dict[str, str]:
         'round(count(CASE WHEN label = 1 THEN 1 END) / (count(CASE WHEN label = 0 THEN 1 END) + 1e-6) * 100, 2) '
         'AS odds_pct FROM ' + _long("clean", cat, "label", where_not_null=True) + ' GROUP BY "column", value')
 
-    # box plots: overall and per label
-    longd = _long("clean", num, "label", as_type="DOUBLE", where_not_null=True)
-    out["boxplot_stats"] = with_base(
-        """SELECT b."column", b.grp AS "group", CAST(b.n AS BIGINT) AS n, """
-        + ", ".join(f"{r6('b.' + k)} AS {k}" for k in ["q1", "median", "q3", "iqr", "lower_fence", "upper_fence"])
-        + ", " + r6("min(CASE WHEN g.value BETWEEN b.lower_fence AND b.upper_fence THEN g.value END)")
-        + " AS whisker_low, " + r6("max(CASE WHEN g.value BETWEEN b.lower_fence AND b.upper_fence THEN g.value END)")
-        + " AS whisker_high, CAST(count(CASE WHEN g.value < b.lower_fence OR g.value > b.upper_fence THEN 1 END) AS BIGINT)"
-        + """ AS n_outliers
-        FROM (SELECT "column", grp, count(*) AS n, q1, median, q3, q3 - q1 AS iqr,
-                     q1 - 1.5 * (q3 - q1) AS lower_fence, q3 + 1.5 * (q3 - q1) AS upper_fence
-              FROM (SELECT "column", grp, count(*) OVER (PARTITION BY "column", grp) AS n0,
-                           quantile_cont(value, 0.25) OVER (PARTITION BY "column", grp) AS q1,
-                           quantile_cont(value, 0.5) OVER (PARTITION BY "column", grp) AS median,
-                           quantile_cont(value, 0.75) OVER (PARTITION BY "column", grp) AS q3
-                    FROM grouped) GROUP BY "column", grp, q1, median, q3) b
-        JOIN grouped g ON g."column" = b."column" AND g.grp = b.grp
-        GROUP BY b."column", b.grp, b.n, b.q1, b.median, b.q3, b.iqr, b.lower_fence, b.upper_fence""",
-        {"lng": f"SELECT * FROM {longd}",
-         "grouped": "SELECT \"column\", value, 'all' AS grp FROM lng UNION ALL "
-                    "SELECT \"column\", value, CAST(label AS VARCHAR) AS grp FROM lng WHERE label IS NOT NULL"})
-
+    out["boxplot_stats"] = boxplot_sql("clean", num, "label")
     out["histogram_by_label"] = with_base(
         """SELECT bin, """ + r6("lo + bin * w") + " AS bin_start, " + r6("lo + (bin + 1) * w") + """ AS bin_end,
                label, count(*) AS count FROM (
@@ -278,6 +257,7 @@ def all_sql() -> dict[str, str]:
     out.update(sql_features())
     out.update(sql_evaluate())
     out.update(sql_resample())
+    out.update(sql_lineitem())
     return out
 
 
@@ -508,3 +488,51 @@ def sql_resample() -> dict[str, str]:
         + " FROM syn s JOIN mins b ON s.midx = b.midx JOIN knn k ON k.id = b.id AND k.nn_rank = s.nn_rank "
         "JOIN mins n ON n.id = k.nn_id", syn_ctes)
     return out
+
+
+# --------------------------------------------------------------------- box plots / lineitem
+def boxplot_sql(table: str, cols: list[str], label: str) -> str:
+    longd = _long(table, cols, label, as_type="DOUBLE", where_not_null=True)
+    return with_base(
+        """SELECT b."column", b.grp AS "group", CAST(b.n AS BIGINT) AS n, """
+        + ", ".join(f"{r6('b.' + k)} AS {k}" for k in ["q1", "median", "q3", "iqr", "lower_fence", "upper_fence"])
+        + ", " + r6("min(CASE WHEN g.value BETWEEN b.lower_fence AND b.upper_fence THEN g.value END)")
+        + " AS whisker_low, " + r6("max(CASE WHEN g.value BETWEEN b.lower_fence AND b.upper_fence THEN g.value END)")
+        + " AS whisker_high, CAST(count(CASE WHEN g.value < b.lower_fence OR g.value > b.upper_fence THEN 1 END) AS BIGINT)"
+        + """ AS n_outliers
+        FROM (SELECT "column", grp, count(*) AS n, q1, median, q3, q3 - q1 AS iqr,
+                     q1 - 1.5 * (q3 - q1) AS lower_fence, q3 + 1.5 * (q3 - q1) AS upper_fence
+              FROM (SELECT "column", grp,
+                           quantile_cont(value, 0.25) OVER (PARTITION BY "column", grp) AS q1,
+                           quantile_cont(value, 0.5) OVER (PARTITION BY "column", grp) AS median,
+                           quantile_cont(value, 0.75) OVER (PARTITION BY "column", grp) AS q3
+                    FROM grouped) GROUP BY "column", grp, q1, median, q3) b
+        JOIN grouped g ON g."column" = b."column" AND g.grp = b.grp
+        GROUP BY b."column", b.grp, b.n, b.q1, b.median, b.q3, b.iqr, b.lower_fence, b.upper_fence""",
+        {"lng": f"SELECT * FROM {longd}",
+         "grouped": "SELECT \"column\", value, 'all' AS grp FROM lng UNION ALL "
+                    f"SELECT \"column\", value, CAST({label} AS VARCHAR) AS grp FROM lng WHERE {label} IS NOT NULL"})
+
+
+LINEITEM_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def sql_lineitem() -> dict[str, str]:
+    out: dict[str, str] = {}
+    parts = []
+    for c in LINEITEM_NUM:
+        x = f"CAST({c} AS DOUBLE)"
+        parts.append(
+            f'SELECT {q(c)} AS "column", CAST(count({x}) AS BIGINT) AS count, {r6(f"avg({x})")} AS mean, '
+            f'{r6(f"stddev_samp({x})")} AS std, {r6(f"min({x})")} AS min, '
+            f'{r6(f"quantile_cont({x}, 0.25)")} AS q25, {r6(f"quantile_cont({x}, 0.5)")} AS q50, '
+            f'{r6(f"quantile_cont({x}, 0.75)")} AS q75, {r6(f"max({x})")} AS max FROM lineitem')
+    out["describe_lineitem"] = union_all(parts)
+    pairs = [(a, b) for i, a in enumerate(LINEITEM_NUM) for b in LINEITEM_NUM[i + 1:]]
+    out["corr_lineitem"] = union_all([
+        f"SELECT {q(a)} AS col_a, {q(b)} AS col_b, {r6(f'corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))')} AS corr FROM lineitem"
+        for a, b in pairs])
+    out["boxplot_lineitem"] = boxplot_sql("lineitem", LINEITEM_NUM, "l_returnflag")
+    out["value_counts_orders"] = ("SELECT o_orderpriority AS value, count(*) AS count, "
+                                  + r6("count(*) / (SELECT count(*) FROM orders)") + " AS share FROM orders GROUP BY o_orderpriority")
+    return out

@@ -533,3 +533,30 @@ def q_score_stream(spark, sf):
     schema = spark.read.parquet(src).schema
     return run_to_completion(spark, scorer, src, schema, scratch_path(spark, "scored"),
                              scratch_path(spark, "stream_ckpt"))
+
+
+# ------------------------------------------------------------------ profiling at size (lineitem)
+from churnforge.sources.tables import read_table  # noqa: E402
+
+LINEITEM_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@register("describe_lineitem")
+def q_describe_lineitem(spark, sf):
+    return round_doubles(P.describe_numeric(read_table(spark, sf, "lineitem", LINEITEM_NUM), LINEITEM_NUM))
+
+
+@register("corr_lineitem")
+def q_corr_lineitem(spark, sf):
+    return round_doubles(P.corr_matrix(read_table(spark, sf, "lineitem", LINEITEM_NUM), LINEITEM_NUM))
+
+
+@register("boxplot_lineitem")
+def q_boxplot_lineitem(spark, sf):
+    li = read_table(spark, sf, "lineitem", LINEITEM_NUM + ["l_returnflag"])
+    return round_doubles(P.boxplot_stats(li, LINEITEM_NUM, "l_returnflag"))
+
+
+@register("value_counts_orders")
+def q_value_counts_orders(spark, sf):
+    return round_doubles(P.value_counts(read_table(spark, sf, "orders", ["o_orderpriority"]), "o_orderpriority"))
