@@ -1,13 +1,22 @@
-"""Exact k-nearest neighbours by grid blocking.
-
-No cross join and no all-pairs: points are hashed to cells of width w
-on a few grid dimensions; each point is compared only with points in
-the 3^g neighbouring cells (an equi-join on the cell key). A point's
-answer is final when its k-th distance is strictly below w: every
-point outside the covered block differs by >= w in some grid dimension,
-so it cannot be closer. Unfinished points retry with w doubled, so the
-result is exact for every point; the last round (w beyond the data
-range) covers everything.
+"""Exact k-nearest neighbours without all-pairs.
+
+1. Identical vectors collapse: inside each group of equal vectors,
+   members are ranked in md5 order (bucketed, see ranking.hash_rank),
+   and only the first k+1 act as candidates - no point needs more of a
+   group whose members are all equidistant from it. A point whose group
+   has more than k members takes the first k others (distance 0) and
+   is done, so a value shared by a third of the rows costs O(k) per row.
+2. Everything else is resolved on a grid over the g highest-variance
+   dimensions: a point meets only candidates in the 3^g cells around
+   its own (an equi-join on the cell key). The answer is final when the
+   k-th distance is strictly below the cell width w: any point outside
+   the block differs by >= w in a grid dimension. Unfinished points
+   retry with w doubled, starting from a fine grid so dense regions
+   resolve while their cells are still small; the last round (w beyond
+   the data range) covers everything, so the result is exact.
+
+Ties between equidistant neighbours are broken by md5('<seed>:' || id),
+then id.
 """
 
 from __future__ import annotations
@@ -20,6 +29,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from churnforge.functions.exprs import hash_hex
+from churnforge.operators.ranking import hash_rank
 from churnforge.session import cut_lineage
 
 
@@ -29,59 +40,84 @@ def sq_dist(a: str, b: str, cols: Sequence[str]):
     return reduce(lambda x, y: x + y, terms)
 
 
+def _top_k(pairs: DataFrame, k: int) -> DataFrame:
+    # one partition per query point: bounded by its (capped) candidate set
+    w = Window.partitionBy("pid").orderBy("dist2", "nh", "nid")
+    return pairs.withColumn("nn_rank", F.row_number().over(w)).where(F.col("nn_rank") <= k)
+
+
 def exact_knn(points: DataFrame, id_col: str, cols: Sequence[str], k: int = 5,
-              grid_dims: int = 3, target_per_cell: float | None = None,
-              max_rounds: int = 40) -> DataFrame:
-    """(id, nn_rank 1..k, nn_id, dist2) for every point; ties by neighbour id."""
+              grid_dims: int = 3, per_cell: float = 1.0, seed: int = 42,
+              max_rounds: int = 64) -> DataFrame:
+    """(id, nn_rank 1..k, nn_id, dist2) for every point."""
     cols = list(cols)
+    spark = points.sparkSession
     pts = points.select(F.col(id_col).alias("pid"), *[F.col(c).cast("double").alias(c) for c in cols])
     stats = pts.agg(F.count(F.lit(1)).alias("n"),
                     *[F.variance(c).alias(f"v_{i}") for i, c in enumerate(cols)],
                     *[F.min(c).alias(f"lo_{i}") for i, c in enumerate(cols)],
                     *[F.max(c).alias(f"hi_{i}") for i, c in enumerate(cols)]).first()
     n = stats["n"]
+    empty = spark.createDataFrame([], "id long, nn_rank int, nn_id long, dist2 double")
     if n <= 1:
-        return points.sparkSession.createDataFrame([], "id long, nn_rank int, nn_id long, dist2 double")
+        return empty
+    k_eff = min(k, n - 1)
+
+    # -- 1. duplicate groups -------------------------------------------------
+    ranked = hash_rank(pts, cols, "pid", seed, rank_col="_dr")
+    sizes = pts.groupBy(*cols).agg(F.count(F.lit(1)).alias("_m"))
+    ranked = ranked.join(sizes, cols).withColumn("_h", hash_hex("pid", seed))
+    ranked = cut_lineage(ranked)
+    cand = ranked.where(F.col("_dr") <= k_eff).select(
+        F.col("pid").alias("nid"), F.col("_h").alias("nh"), *[F.col(c).alias(f"n_{c}") for c in cols])
+    n_distinct = sizes.count()
+
+    big = ranked.where(F.col("_m") > k_eff)
+    found = []
+    if not big.isEmpty():
+        own = big.select("pid", *cols).join(
+            cand.select("nid", "nh", *[F.col(f"n_{c}").alias(c) for c in cols]), cols)
+        own = own.where(F.col("pid") != F.col("nid")).select("pid", "nid", "nh", F.lit(0.0).alias("dist2"))
+        found.append(_top_k(own, k_eff))
+
+    # -- 2. grid rounds for the rest -----------------------------------------
     order = sorted(range(len(cols)), key=lambda i: (-(stats[f"v_{i}"] or 0.0), i))
     gdims = [cols[i] for i in order[:grid_dims] if (stats[f"hi_{i}"] or 0) > (stats[f"lo_{i}"] or 0)]
     if not gdims:
         gdims = [cols[order[0]]]
-    spans = {c: max((stats[f"hi_{cols.index(c)}"] or 0) - (stats[f"lo_{cols.index(c)}"] or 0), 1e-12) for c in gdims}
+    spans = {c: max((stats[f"hi_{cols.index(c)}"] or 0) - (stats[f"lo_{cols.index(c)}"] or 0), 1e-12)
+             for c in gdims}
     g = len(gdims)
-    per_cell = target_per_cell or 2.0 * (k + 1)
-    vol = math.prod(spans.values())
-    w = (vol * per_cell / n) ** (1.0 / g)
+    w = (math.prod(spans.values()) * per_cell / max(n_distinct, 1)) ** (1.0 / g)
     full = 2.0 * max(spans.values())
     offsets = list(itertools.product((-1, 0, 1), repeat=g))
 
-    active = pts.select("pid")
-    found = []
+    active = ranked.where(F.col("_m") <= k_eff).select("pid", *cols)
+    active = cut_lineage(active)
     for _ in range(max_rounds):
+        if active.isEmpty():
+            break
         last = w > full
-        cell = [F.floor(F.col(c) / F.lit(w)).cast("long") for c in gdims]
-        q = pts.join(active, "pid", "left_semi").select(
-            "pid", *cols, *[cell[i].alias(f"_c{i}") for i in range(g)])
-        # candidates replicate into the 3^g cells around them (bounded fan-out)
-        cand_cells = F.array(*[F.struct(*[(cell[i] + F.lit(o[i])).alias(f"_c{i}") for i in range(g)])
-                               for o in offsets])
-        cand = pts.select(F.col("pid").alias("nid"), *[F.col(c).alias(f"n_{c}") for c in cols],
-                          F.explode(cand_cells).alias("_cell")).select(
-            "nid", *[f"n_{c}" for c in cols], *[F.col(f"_cell._c{i}").alias(f"_c{i}") for i in range(g)])
-        pairs = (q.select("pid", *[F.col(c).alias(f"p_{c}") for c in cols], *[f"_c{i}" for i in range(g)])
-                 .join(cand, [f"_c{i}" for i in range(g)], "inner")
+        cell = lambda pre: [F.floor(F.col(f"{pre}{c}") / F.lit(w)).cast("long") for c in gdims]
+        q = active.select("pid", *[F.col(c).alias(f"p_{c}") for c in cols],
+                          *[e.alias(f"_c{i}") for i, e in enumerate(cell(""))])
+        cc = cell("n_")
+        around = F.array(*[F.struct(*[(cc[i] + F.lit(o[i])).alias(f"_c{i}") for i in range(g)]) for o in offsets])
+        c2 = cand.select("nid", "nh", *[f"n_{c}" for c in cols], F.explode(around).alias("_cell")).select(
+            "nid", "nh", *[f"n_{c}" for c in cols], *[F.col(f"_cell._c{i}").alias(f"_c{i}") for i in range(g)])
+        pairs = (q.join(c2, [f"_c{i}" for i in range(g)], "inner")
                  .where(F.col("pid") != F.col("nid"))
-                 .select("pid", "nid", sq_dist("p_", "n_", cols).alias("dist2")))
-        w_rank = Window.partitionBy("pid").orderBy("dist2", "nid")
-        topk = pairs.withColumn("nn_rank", F.row_number().over(w_rank)).where(F.col("nn_rank") <= k)
-        topk = cut_lineage(topk)
-        kth = topk.groupBy("pid").agg(F.count(F.lit(1)).alias("_m"), F.max("dist2").alias("_dk"))
-        ok_cond = F.lit(True) if last else (F.col("_m") >= min(k, n - 1)) & (F.col("_dk") < F.lit(w * w))
-        done = kth.where(ok_cond).select("pid")
+                 .select("pid", "nid", "nh", sq_dist("p_", "n_", cols).alias("dist2")))
+        topk = cut_lineage(_top_k(pairs, k_eff))
+        kth = topk.groupBy("pid").agg(F.count(F.lit(1)).alias("_got"), F.max("dist2").alias("_dk"))
+        cond = F.lit(True) if last else (F.col("_got") >= k_eff) & (F.col("_dk") < F.lit(w * w))
+        done = kth.where(cond).select("pid")
         found.append(topk.join(done, "pid", "left_semi"))
-        active = active.join(done, "pid", "left_anti")
-        active = cut_lineage(active)
-        if last or active.isEmpty():
+        active = cut_lineage(active.join(done, "pid", "left_anti"))
+        if last:
             break
         w *= 2.0
+    if not found:
+        return empty
     res = reduce(lambda a, b: a.unionByName(b), found)
     return res.select(F.col("pid").alias("id"), F.col("nn_rank").cast("int"), F.col("nid").alias("nn_id"), "dist2")

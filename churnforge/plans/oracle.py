@@ -465,7 +465,7 @@ def _minmax_ctes() -> tuple[dict[str, str], list[str]]:
                     "FROM tr WHERE label = (SELECT min_label FROM minl)"}
     d2 = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in allf)
     ctes["knn"] = ("SELECT * FROM (SELECT a.id, b.id AS nn_id, " + d2 + " AS dist2, "
-                   "row_number() OVER (PARTITION BY a.id ORDER BY " + d2 + ", b.id) AS nn_rank "
+                   "row_number() OVER (PARTITION BY a.id ORDER BY " + d2 + ", md5('42:' || CAST(b.id AS VARCHAR)), b.id) AS nn_rank "
                    "FROM mins a JOIN mins b ON a.id <> b.id) WHERE nn_rank <= 5")
     return ctes, allf
 

@@ -1,5 +1,6 @@
 """Split, folds, encoders, scalers, kNN and SMOTE properties."""
 
+import hashlib
 import math
 import random
 
@@ -58,8 +59,9 @@ def test_scalers_sklearn_semantics(spark):
 def _brute_knn(pts, k):
     out = {}
     for i, p in pts.items():
-        d = sorted((sum((a - b) ** 2 for a, b in zip(p, q)), j) for j, q in pts.items() if j != i)
-        out[i] = [j for _, j in d[:k]]
+        d = sorted((sum((a - b) ** 2 for a, b in zip(p, q)), hashlib.md5(f"42:{j}".encode()).hexdigest(), j)
+                   for j, q in pts.items() if j != i)
+        out[i] = [j for _, _, j in d[:k]]
     return out
 
 
@@ -80,6 +82,23 @@ def test_exact_knn_matches_brute_force(spark):
         assert [j for _, j in sorted(lst)] == expect[i]
 
 
+def test_exact_knn_hot_duplicates_and_dense_cluster(spark):
+    rnd = random.Random(9)
+    pts = {i: (1.0, 2.0) for i in range(60)}                           # a third: one value
+    pts.update({60 + i: (5 + rnd.random() * 1e-3, 5 + rnd.random() * 1e-3) for i in range(60)})  # dense
+    pts.update({120 + i: (rnd.uniform(-50, 50), rnd.uniform(-50, 50)) for i in range(60)})       # sparse
+    pts[180] = (1.0, 2.0 + 1e-9)
+    df = spark.createDataFrame([(i, *p) for i, p in pts.items()], "id long, a double, b double")
+    got = exact_knn(df, "id", ["a", "b"], k=3, grid_dims=2)
+    res = {}
+    for r in got.collect():
+        res.setdefault(r["id"], []).append((r["nn_rank"], r["nn_id"]))
+    expect = _brute_knn(pts, 3)
+    assert set(res) == set(expect)
+    for i, lst in res.items():
+        assert [j for _, j in sorted(lst)] == expect[i]
+
+
 def test_smote_balances_and_interpolates(spark):
     rows = [(i, 0, float(i % 7), float(i % 5)) for i in range(60)] + \
            [(100 + i, 1, 10.0 + i, 20.0 - i) for i in range(12)]
