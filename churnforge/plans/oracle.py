@@ -258,6 +258,7 @@ def all_sql() -> dict[str, str]:
     out.update(sql_evaluate())
     out.update(sql_resample())
     out.update(sql_lineitem())
+    out.update(sql_other())
     return out
 
 
@@ -536,3 +537,39 @@ def sql_lineitem() -> dict[str, str]:
     out["value_counts_orders"] = ("SELECT o_orderpriority AS value, count(*) AS count, "
                                   + r6("count(*) / (SELECT count(*) FROM orders)") + " AS share FROM orders GROUP BY o_orderpriority")
     return out
+
+
+def sql_other() -> dict[str, str]:
+    out: dict[str, str] = {}
+    docs = {"ld": "SELECT l.doc_id, l.quality AS label, d.lang, d.source FROM labels l JOIN documents d ON l.doc_id = d.doc_id"}
+    out["docs_quality_rate"] = with_base(
+        'SELECT "column", value, count(*) AS n, ' + r6("avg(CAST(label AS DOUBLE)) * 100")
+        + ' AS churn_rate FROM ' + _long("ld", ["lang", "source"], "label", where_not_null=True)
+        + ' WHERE label IS NOT NULL GROUP BY "column", value', docs)
+    out["docs_association"] = with_base(
+        """SELECT "column", """ + r6("C1 / N") + " AS share, " + r6("chi2") + " AS chi2, "
+        + r6("CASE WHEN least(r, 2) - 1 > 0 THEN sqrt(chi2 / (N * (least(r, 2) - 1))) ELSE 0.0 END")
+        + """ AS cramers_v FROM (
+          SELECT "column", sum(
+              CASE WHEN e0 > 0 THEN (n_0 - e0) * (n_0 - e0) / e0 ELSE 0.0 END +
+              CASE WHEN e1 > 0 THEN (n_1 - e1) * (n_1 - e1) / e1 ELSE 0.0 END) AS chi2,
+              first(N) AS N, first(C1) AS C1, first(r) AS r
+          FROM (SELECT ct.*, N, C1, r, (n_0 + n_1) * C0 / N AS e0, (n_0 + n_1) * C1 / N AS e1
+                FROM ct JOIN (SELECT "column", sum(n_0 + n_1) AS N, sum(n_0) AS C0, sum(n_1) AS C1, count(*) AS r
+                              FROM ct GROUP BY "column") t USING ("column"))
+          GROUP BY "column")
+        ORDER BY cramers_v DESC, "column" LIMIT 3""",
+        {**docs, "ct": 'SELECT "column", value, count(CASE WHEN label = 0 THEN 1 END) AS n_0, '
+                       'count(CASE WHEN label = 1 THEN 1 END) AS n_1 FROM '
+                       + _long("ld", ["lang", "source"], "label", where_not_null=True) + ' GROUP BY "column", value'})
+    out["histogram_events"] = (
+        "SELECT bin, " + r6("lo + bin * w") + " AS bin_start, " + r6("lo + (bin + 1) * w") + """ AS bin_end,
+               event_type, count(*) AS count FROM (
+          SELECT CAST(CASE WHEN w = 0 THEN 0 ELSE least(floor((value - lo) / w), 9) END AS INTEGER) AS bin, event_type, lo, w
+          FROM events, (SELECT min(value) AS lo, (max(value) - min(value)) / 10 AS w FROM events) r
+          WHERE value IS NOT NULL) GROUP BY bin, event_type, lo, w""")
+    out["parse_event_records"] = (
+        "SELECT event_id, k, CASE WHEN k IS NULL THEN 'k' ELSE '' END AS missing_fields, "
+        "CAST(k IS NOT NULL AS INTEGER) AS is_valid FROM "
+        "(SELECT event_id, TRY_CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events)")
+    return out

@@ -560,3 +560,36 @@ def q_boxplot_lineitem(spark, sf):
 @register("value_counts_orders")
 def q_value_counts_orders(spark, sf):
     return round_doubles(P.value_counts(read_table(spark, sf, "orders", ["o_orderpriority"]), "o_orderpriority"))
+
+
+# ------------------------------------------------------------------ other driver tables
+def _labelled_docs(spark, sf):
+    """labels (doc_id, quality) joined to document attributes; the label
+    table covers a subset of documents, so the join is label-driven."""
+    docs = read_table(spark, sf, "documents", ["doc_id", "lang", "source"])
+    labels = read_table(spark, sf, "labels", ["doc_id", "quality"])
+    return labels.join(docs, "doc_id", "inner").withColumnRenamed("quality", "label")
+
+
+@register("docs_quality_rate")
+def q_docs_quality_rate(spark, sf):
+    return round_doubles(P.churn_rate_by(_labelled_docs(spark, sf), ["lang", "source"], "label"))
+
+
+@register("docs_association")
+def q_docs_association(spark, sf):
+    return round_doubles(P.category_association(_labelled_docs(spark, sf), ["lang", "source"], "label", 3))
+
+
+@register("histogram_events")
+def q_histogram_events(spark, sf):
+    ev = read_table(spark, sf, "events", ["value", "event_type"])
+    return round_doubles(P.histogram_by_label(ev, "value", "event_type", 10))
+
+
+@register("parse_event_records")
+def q_parse_event_records(spark, sf):
+    """JSON request-style records: explicit schema via from_json, required-field check."""
+    ev = read_table(spark, sf, "events", ["event_id", "props"])
+    parsed = ev.select("event_id", F.from_json("props", "k INT").alias("r")).select("event_id", "r.k")
+    return C.validate_records(parsed, ["k"]).select("event_id", "k", "missing_fields", "is_valid")
