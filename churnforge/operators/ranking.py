@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnforge.functions.exprs import hash_hex
+from churnforge.session import cut_lineage
 
 _UNB = Window.unboundedPreceding
 
@@ -93,38 +94,53 @@ def prefix_sums(df: DataFrame, part_cols: Sequence[str], order_col: str,
 
 
 def exact_quantiles(long_df: DataFrame, part_cols: Sequence[str], value_col: str,
-                    probs: dict[str, float], n_buckets: int | None = None) -> DataFrame:
+                    probs: dict[str, float], n_buckets: int | None = None,
+                    accuracy: int = 10000) -> DataFrame:
     """Exact linear-interpolation quantiles (numpy/pandas default) per part.
 
-    ``long_df`` holds one value per row; nulls are ignored. Output: one
-    row per part with one column per entry of ``probs``.
+    ``long_df`` holds one value per row; nulls are ignored. Values collapse
+    to (value, count) first (a hot value is one row), a sketch picks bucket
+    bounds, per-bucket counts give each bucket's rank range, and only the
+    buckets holding a target rank are ordered. Output: one row per part
+    with one column per entry of ``probs``.
     """
     part_cols = list(part_cols)
     glob = not part_cols
     if glob:
         long_df, part_cols = long_df.withColumn("_all", F.lit(0)), ["_all"]
+    n_buckets = n_buckets or _default_buckets(long_df)
     vals = long_df.where(F.col(value_col).isNotNull()).select(
         *part_cols, F.col(value_col).cast("double").alias("_v"))
     vc = vals.groupBy(*part_cols, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    cum = prefix_sums(vc, part_cols, "_v", ["_c"], n_buckets)
-    # one row per part (a bounded set of (group, column) pairs)
-    tot = vc.groupBy(*part_cols).agg(F.sum("_c").alias("_n"))
-    cum = cum.join(F.broadcast(tot), on=part_cols, how="inner")
-    names = list(probs)
-    pa = F.array(*[F.struct(F.lit(k).alias("_q"), F.lit(float(p)).alias("_p"))
-                   for k, p in probs.items()])
-    x = cum.withColumn("_qp", F.explode(pa)).select("*", "_qp._q", "_qp._p")
-    pos = F.col("_p") * (F.col("_n") - 1)
-    x = x.withColumn("_pos", pos).withColumn("_lo", F.floor("_pos")).withColumn("_hi", F.ceil("_pos"))
-    start, end = F.col("_c_before"), F.col("_c_before") + F.col("_c")
+    # (value, count, bucket) feeds four consumers: write it once (lineage cut)
+    b = cut_lineage(_bucket_by_sketch(vc, part_cols, "_v", n_buckets, accuracy))
+    counts = b.groupBy(*part_cols, "_bkt").agg(F.sum("_c").alias("_t"))
+    # small table: one row per (part, bucket)
+    w_off = Window.partitionBy(*part_cols).orderBy("_bkt").rowsBetween(_UNB, -1)
+    offs = counts.select(*part_cols, "_bkt", "_t",
+                         F.coalesce(F.sum("_t").over(w_off), F.lit(0)).alias("_o"),
+                         F.sum("_t").over(Window.partitionBy(*part_cols)).alias("_n"))
+    pa = F.array(*[F.struct(F.lit(k).alias("_q"), F.lit(float(p)).alias("_p")) for k, p in probs.items()])
+    tq = offs.select("*", F.explode(pa).alias("_qp")).select("*", "_qp._q", "_qp._p").drop("_qp")
+    tq = (tq.withColumn("_pos", F.col("_p") * (F.col("_n") - 1))
+          .withColumn("_lo", F.floor("_pos")).withColumn("_hi", F.ceil("_pos")))
+    inb = lambda r: (F.col("_o") <= F.col(r)) & (F.col(r) < F.col("_o") + F.col("_t"))
+    need = tq.where(inb("_lo") | inb("_hi")).select(*part_cols, "_bkt").distinct()
+    targets = tq.select(*part_cols, "_q", "_pos", "_lo", "_hi").distinct()
+    # only boundary buckets are ordered; both side tables are bounded by parts x buckets
+    sel = b.join(F.broadcast(need), [*part_cols, "_bkt"], "left_semi")
+    sel = sel.join(F.broadcast(offs.select(*part_cols, "_bkt", "_o")), [*part_cols, "_bkt"])
+    w_in = Window.partitionBy(*part_cols, "_bkt").orderBy("_v").rowsBetween(_UNB, -1)
+    sel = sel.withColumn("_cb", F.col("_o") + F.coalesce(F.sum("_c").over(w_in), F.lit(0)))
+    x = sel.join(F.broadcast(targets), part_cols)
+    start, end = F.col("_cb"), F.col("_cb") + F.col("_c")
     has_lo = (start <= F.col("_lo")) & (F.col("_lo") < end)
     has_hi = (start <= F.col("_hi")) & (F.col("_hi") < end)
-    x = x.where(has_lo | has_hi)
-    g = x.groupBy(*part_cols, "_q").agg(
+    g = x.where(has_lo | has_hi).groupBy(*part_cols, "_q").agg(
         F.max(F.when(has_lo, F.col("_v"))).alias("_vlo"),
         F.max(F.when(has_hi, F.col("_v"))).alias("_vhi"),
         F.first("_pos").alias("_pos"), F.first("_lo").alias("_lo"))
     g = g.withColumn("_qv", F.col("_vlo") + (F.col("_pos") - F.col("_lo")) * (F.col("_vhi") - F.col("_vlo")))
     wide = g.groupBy(*part_cols).agg(
-        *[F.max(F.when(F.col("_q") == k, F.col("_qv"))).alias(k) for k in names])
+        *[F.max(F.when(F.col("_q") == k, F.col("_qv"))).alias(k) for k in probs])
     return wide.drop("_all") if glob else wide

@@ -22,13 +22,20 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform(churn_customers(spark, sf_dir), CHURN_SCHEMA)
 
 
-def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coerce TotalCharges-like text, median-fill it, encode the label."""
+def clean(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
+    """Coerce TotalCharges-like text, median-fill it, encode the label.
+
+    Every profile and the split read this table several times (scans,
+    sketches, side tables); it is written once to the checkpoint folder
+    so none of them re-runs the orders aggregation and median.
+    """
+    from churnforge.session import cut_lineage
     r = raw(spark, sf_dir)
     c = coerce_columns(r, {"total_charges": "total_text"})
     c = impute_median(c, "total_charges", flag=None)
     c = encode_label(c, "churn", "label")
-    return c.select("id", *CATEGORICAL, *NUMERIC_CLEAN, "label")
+    c = c.select("id", *CATEGORICAL, *NUMERIC_CLEAN, "label")
+    return cut_lineage(c) if materialize else c
 
 
 # ---------------------------------------------------------------- modelling inputs
@@ -46,10 +53,10 @@ def split_table(spark: SparkSession, sf_dir: str, materialize: bool = True) -> D
     cluster), which cuts the lineage back to the orders aggregation.
     """
     from churnforge.session import cut_lineage
-    c = clean(spark, sf_dir)
+    c = clean(spark, sf_dir, materialize)
     if not materialize:
         return stratified_split(c, "label")
-    return cut_lineage(stratified_split(cut_lineage(c), "label"))
+    return cut_lineage(stratified_split(c, "label"))
 
 
 @dataclass

@@ -403,8 +403,8 @@ def _model_data(spark, sf, resample: bool = True):
     if resample:
         bal = smote(train, e.features, "label", "id", k=5, seed=42)
         train = bal.select(F.col("row_id").alias("id"), "label", *e.features)
-        train = cut_lineage(train)
-    return M.assemble(train, e.features), M.assemble(test, e.features), e.features
+    train = cut_lineage(M.assemble(train, e.features))
+    return train, M.assemble(test, e.features), e.features
 
 
 @register("rf_scores")
@@ -476,14 +476,15 @@ def q_gbt_categorical(spark, sf):
     va = VectorAssembler(inputCols=cols, outputCol="raw_features")
     vi = VectorIndexer(inputCol="raw_features", outputCol="features", maxCategories=8, handleInvalid="keep")
     gbt = GBTClassifier(labelCol="label", featuresCol="features", maxIter=700, stepSize=0.05, maxDepth=6,
-                        seed=42, validationIndicatorCol="is_valid", validationTol=0.01)
+                        seed=42, validationIndicatorCol="is_valid", validationTol=0.01, **M.TREE_EXEC)
     model = Pipeline(stages=[*idx, va, vi, gbt]).fit(train)
     return M.score(model, test)
 
 
 def _explain_model(spark, sf):
     train, test, feats = _model_data(spark, sf, resample=False)
-    model = GBTClassifier(labelCol="label", featuresCol="features", maxIter=30, maxDepth=4, seed=42).fit(train)
+    model = GBTClassifier(labelCol="label", featuresCol="features", maxIter=30, maxDepth=4, seed=42,
+                          **M.TREE_EXEC).fit(train)
     return model, test.drop("features"), feats
 
 

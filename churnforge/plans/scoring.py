@@ -48,8 +48,10 @@ class ChurnScorer:
         feats = NUMERIC_CLEAN + [n for n, _, _ in vocab.feature_names(True)]
         enc = FE.apply_onehot(FE.apply_scaler(train, sc), vocab, drop_first=True)
         vec = VectorAssembler(inputCols=feats, outputCol="features").transform(enc)
+        from churnforge.operators.models import TREE_EXEC
+        from churnforge.session import cut_lineage
         model = GBTClassifier(labelCol="label", featuresCol="features", maxIter=max_iter,
-                              maxDepth=depth, stepSize=0.3, seed=42).fit(vec)
+                              maxDepth=depth, stepSize=0.3, seed=42, **TREE_EXEC).fit(cut_lineage(vec))
         return ChurnScorer(float(med) if med is not None else 0.0, sc, vocab, feats, model)
 
     # ------------------------------------------------------------ apply
