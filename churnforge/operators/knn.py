@@ -47,7 +47,7 @@ def _top_k(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def exact_knn(points: DataFrame, id_col: str, cols: Sequence[str], k: int = 5,
-              grid_dims: int = 3, per_cell: float = 1.0, seed: int = 42,
+              grid_dims: int = 3, per_cell: float | None = None, seed: int = 42,
               max_rounds: int = 64) -> DataFrame:
     """(id, nn_rank 1..k, nn_id, dist2) for every point."""
     cols = list(cols)
@@ -88,6 +88,9 @@ def exact_knn(points: DataFrame, id_col: str, cols: Sequence[str], k: int = 5,
     spans = {c: max((stats[f"hi_{cols.index(c)}"] or 0) - (stats[f"lo_{cols.index(c)}"] or 0), 1e-12)
              for c in gdims}
     g = len(gdims)
+    # start near 2(k+1) distinct points per cell: dense regions resolve in the
+    # first rounds, the average fan-out stays ~ 3^g * per_cell pairs per point
+    per_cell = per_cell or 2.0 * (k_eff + 1)
     w = (math.prod(spans.values()) * per_cell / max(n_distinct, 1)) ** (1.0 / g)
     full = 2.0 * max(spans.values())
     offsets = list(itertools.product((-1, 0, 1), repeat=g))
