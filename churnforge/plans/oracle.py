@@ -296,7 +296,8 @@ def onehot_cols(drop_first: bool = True) -> list[tuple[str, str, str]]:
 
 
 def _onehot_select(drop_first: bool = True) -> str:
-    return ", ".join(f"CASE WHEN {c} = {q(v)} THEN 1.0 ELSE 0.0 END AS {n}" for n, c, v in onehot_cols(drop_first))
+    return ", ".join(f"CAST(CASE WHEN {c} = {q(v)} THEN 1.0 ELSE 0.0 END AS DOUBLE) AS {n}"
+                     for n, c, v in onehot_cols(drop_first))
 
 
 def sql_features() -> dict[str, str]:
