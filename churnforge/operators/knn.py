@@ -33,6 +33,8 @@ from churnforge.functions.exprs import hash_hex
 from churnforge.operators.ranking import hash_rank
 from churnforge.session import cut_lineage
 
+_DEBUG = False
+
 
 def sq_dist(a: str, b: str, cols: Sequence[str]):
     """Squared Euclidean distance written out term by term (fixed order)."""
@@ -46,6 +48,38 @@ def _top_k(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("nn_rank", F.row_number().over(w)).where(F.col("nn_rank") <= k)
 
 
+def _round(active: DataFrame, cand: DataFrame, cols, dims, keys, w: float, radius: float,
+           k: int, last: bool):
+    """One blocking round: candidates in the 3^g cells around each active point
+    (and with equal ``keys`` values); returns (final answers, still active)."""
+    g = len(dims)
+    offsets = list(itertools.product((-1, 0, 1), repeat=g))
+    q = active.select("pid", *[F.col(c).alias(f"p_{c}") for c in cols],
+                      *[F.floor(F.col(c) / F.lit(w)).cast("long").alias(f"_c{i}") for i, c in enumerate(dims)],
+                      *[F.col(c).alias(f"_k{j}") for j, c in enumerate(keys)])
+    cc = [F.floor(F.col(f"n_{c}") / F.lit(w)).cast("long") for c in dims]
+    around = F.array(*[F.struct(*[(cc[i] + F.lit(o[i])).alias(f"_c{i}") for i in range(g)]) for o in offsets])
+    c2 = cand.select("nid", "nh", *[f"n_{c}" for c in cols], *[F.col(f"n_{c}").alias(f"_k{j}") for j, c in enumerate(keys)],
+                     F.explode(around).alias("_cell")).select(
+        "nid", "nh", *[f"n_{c}" for c in cols], *[f"_k{j}" for j in range(len(keys))],
+        *[F.col(f"_cell._c{i}").alias(f"_c{i}") for i in range(g)])
+    on = [f"_c{i}" for i in range(g)] + [f"_k{j}" for j in range(len(keys))]
+    pairs = (q.join(c2, on, "inner").where(F.col("pid") != F.col("nid"))
+             .select("pid", "nid", "nh", sq_dist("p_", "n_", cols).alias("dist2")))
+    topk = cut_lineage(_top_k(pairs, k))
+    if _DEBUG:
+        print("knn round w", w, "keys", len(keys), "active", active.count(), "pairs", pairs.count(), flush=True)
+    kth = topk.groupBy("pid").agg(F.count(F.lit(1)).alias("_got"), F.max("dist2").alias("_dk"))
+    cond = F.lit(True) if last else (F.col("_got") >= k) & (F.col("_dk") < F.lit(radius * radius))
+    done = kth.where(cond).select("pid")
+    rest = cut_lineage(active.join(done, "pid", "left_anti"))
+    # a still-active point with k candidates resolves once w exceeds its current
+    # k-th distance; the 75th percentile of those distances sizes the next round
+    nxt = (kth.join(rest, "pid", "left_semi").where(F.col("_got") >= k)
+           .agg(F.percentile_approx(F.sqrt("_dk"), 0.75, 1000).alias("p")).first()["p"])
+    return topk.join(done, "pid", "left_semi"), rest, nxt
+
+
 def exact_knn(points: DataFrame, id_col: str, cols: Sequence[str], k: int = 5,
               grid_dims: int = 3, per_cell: float | None = None, seed: int = 42,
               max_rounds: int = 64) -> DataFrame:
@@ -81,45 +115,60 @@ def exact_knn(points: DataFrame, id_col: str, cols: Sequence[str], k: int = 5,
         found.append(_top_k(own, k_eff))
 
     # -- 2. grid rounds for the rest -----------------------------------------
-    order = sorted(range(len(cols)), key=lambda i: (-(stats[f"v_{i}"] or 0.0), i))
-    gdims = [cols[i] for i in order[:grid_dims] if (stats[f"hi_{i}"] or 0) > (stats[f"lo_{i}"] or 0)]
-    if not gdims:
-        gdims = [cols[order[0]]]
-    spans = {c: max((stats[f"hi_{cols.index(c)}"] or 0) - (stats[f"lo_{cols.index(c)}"] or 0), 1e-12)
-             for c in gdims}
-    g = len(gdims)
-    # start near 2(k+1) distinct points per cell: dense regions resolve in the
-    # first rounds, the average fan-out stays ~ 3^g * per_cell pairs per point
-    per_cell = per_cell or 2.0 * (k_eff + 1)
-    w = (math.prod(spans.values()) * per_cell / max(n_distinct, 1)) ** (1.0 / g)
-    full = 2.0 * max(spans.values())
-    offsets = list(itertools.product((-1, 0, 1), repeat=g))
-
+    # cells are sized from the inter-quartile spread (where the points are),
+    # not the full range, so heavy tails do not leave the bulk in a few cells
+    qs = pts.agg(*[F.percentile_approx(c, [0.25, 0.75], 1000).alias(f"q_{i}") for i, c in enumerate(cols)],
+                 *[F.count(F.when((F.col(c) != stats[f"lo_{i}"]) & (F.col(c) != stats[f"hi_{i}"]), 1))
+                   .alias(f"o_{i}") for i, c in enumerate(cols)]).first()
+    iqr = {c: (qs[f"q_{i}"][1] - qs[f"q_{i}"][0]) if qs[f"q_{i}"] else 0.0 for i, c in enumerate(cols)}
+    rng = {c: (stats[f"hi_{i}"] or 0) - (stats[f"lo_{i}"] or 0) for i, c in enumerate(cols)}
+    # two-valued columns (one-hot): points differing in one are >= its gap apart
+    binary = [c for i, c in enumerate(cols) if rng[c] > 0 and qs[f"o_{i}"] == 0]
+    numeric = [c for c in cols if c not in binary and rng[c] > 0]
+    if _DEBUG:
+        print("knn binary", binary, "numeric", numeric, flush=True)
     active = ranked.where(F.col("_m") <= k_eff).select("pid", *cols)
     active = cut_lineage(active)
+    per_cell = per_cell or 2.0 * (k_eff + 1)
+    nxt = None
+
+    def grid_plan(dims, n_blocks, extra_dims=False):
+        n_dims = grid_dims + 2 if extra_dims else grid_dims
+        dims = sorted(dims, key=lambda c: (-iqr[c], -rng[c], cols.index(c)))[:n_dims] or [cols[0]]
+        spread = {c: (iqr[c] if iqr[c] > 0 else rng[c]) or 1e-12 for c in dims}
+        w0 = (math.prod(spread.values()) * per_cell * n_blocks / max(n_distinct / 2.0 ** len(dims), 1)) \
+            ** (1.0 / len(dims))
+        return dims, w0
+
+    if binary and numeric:
+        # phase 1: exact binary pattern + grid on numeric columns, resolved
+        # while d_k < min(w, smallest binary gap)
+        gap = min(rng[c] for c in binary)
+        n_pat = ranked.select(*binary).distinct().count()
+        dims, w = grid_plan(numeric, n_pat)
+        w = min(w, gap)
+        while not active.isEmpty():
+            res, active, nxt = _round(active, cand, cols, dims, binary, w, min(w, gap), k_eff, False)
+            found.append(res)
+            if w >= gap:
+                break
+            w = min(2.0 * w, gap)
+    # phase 2 (cross-pattern): grid on the numeric columns only when binary
+    # ones exist (they cannot prune once w >= their gap); leftovers of phase 1
+    # all have d_k >= gap, so narrower rounds would be wasted
+    dims, w = grid_plan(numeric or [c for c in cols if rng[c] > 0], 1)
+    if binary and numeric:
+        w = max(w, gap * 1.0001, 1.0001 * (nxt or 0.0))
+    full = 2.0 * max(rng[c] for c in dims) if dims else 0.0
     for _ in range(max_rounds):
         if active.isEmpty():
             break
         last = w > full
-        cell = lambda pre: [F.floor(F.col(f"{pre}{c}") / F.lit(w)).cast("long") for c in gdims]
-        q = active.select("pid", *[F.col(c).alias(f"p_{c}") for c in cols],
-                          *[e.alias(f"_c{i}") for i, e in enumerate(cell(""))])
-        cc = cell("n_")
-        around = F.array(*[F.struct(*[(cc[i] + F.lit(o[i])).alias(f"_c{i}") for i in range(g)]) for o in offsets])
-        c2 = cand.select("nid", "nh", *[f"n_{c}" for c in cols], F.explode(around).alias("_cell")).select(
-            "nid", "nh", *[f"n_{c}" for c in cols], *[F.col(f"_cell._c{i}").alias(f"_c{i}") for i in range(g)])
-        pairs = (q.join(c2, [f"_c{i}" for i in range(g)], "inner")
-                 .where(F.col("pid") != F.col("nid"))
-                 .select("pid", "nid", "nh", sq_dist("p_", "n_", cols).alias("dist2")))
-        topk = cut_lineage(_top_k(pairs, k_eff))
-        kth = topk.groupBy("pid").agg(F.count(F.lit(1)).alias("_got"), F.max("dist2").alias("_dk"))
-        cond = F.lit(True) if last else (F.col("_got") >= k_eff) & (F.col("_dk") < F.lit(w * w))
-        done = kth.where(cond).select("pid")
-        found.append(topk.join(done, "pid", "left_semi"))
-        active = cut_lineage(active.join(done, "pid", "left_anti"))
+        res, active, nxt = _round(active, cand, cols, dims, [], w, w, k_eff, last)
+        found.append(res)
         if last:
             break
-        w *= 2.0
+        w = max(2.0 * w, 1.0001 * (nxt or 0.0))
     if not found:
         return empty
     res = reduce(lambda a, b: a.unionByName(b), found)

@@ -403,7 +403,8 @@ def _model_data(spark, sf, resample: bool = True):
     if resample:
         bal = smote(train, e.features, "label", "id", k=5, seed=42)
         train = bal.select(F.col("row_id").alias("id"), "label", *e.features)
-    train = cut_lineage(M.assemble(train, e.features))
+    from churnforge.session import ensure_parallelism
+    train = ensure_parallelism(cut_lineage(M.assemble(train, e.features)))
     return train, M.assemble(test, e.features), e.features
 
 

@@ -64,3 +64,13 @@ def cut_lineage(df):
     """Reliable checkpoint into the shared folder (never a local checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ensure_parallelism(df, rows_per_partition: int = 1_000_000):
+    """Repartition only when a (materialized) table has fewer partitions than
+    max(cluster parallelism, rows / rows_per_partition); a no-op at scale,
+    where inputs already carry enough partitions."""
+    sc = df.sparkSession.sparkContext
+    have = df.rdd.getNumPartitions()
+    want = max(sc.defaultParallelism, -(-df.count() // rows_per_partition))
+    return df.repartition(want) if have < want else df
