@@ -80,9 +80,11 @@ def roc_auc(df: DataFrame, group: Sequence[str], label: str = "label", score: st
         F.sum(F.col(label).cast("long")).alias("_pos"),
         F.sum((1 - F.col(label)).cast("long")).alias("_neg"))
     cum = prefix_sums(by_score, group, "_s", ["_neg"])
+    pairs = F.sum("_pos") * F.sum("_neg")
+    # a single-class group has no (positive, negative) pair: AUC undefined -> null
     return cum.groupBy(*group).agg(
-        (F.sum(F.col("_pos") * (F.col("_neg_before") + F.col("_neg") / 2.0)) /
-         (F.sum("_pos") * F.sum("_neg"))).alias("auc"))
+        F.when(pairs > 0, F.sum(F.col("_pos") * (F.col("_neg_before") + F.col("_neg") / 2.0)) / pairs)
+        .alias("auc"))
 
 
 def train_test_gap(df: DataFrame, group: Sequence[str], split_col: str = "split",

@@ -50,6 +50,39 @@ def hash_rank(df: DataFrame, part_cols: Sequence[str], id_col: str = "id",
             .drop("_h", "_bkt", "_in", "_off"))
 
 
+def hash_rank_below(df: DataFrame, quotas: DataFrame, part_cols: Sequence[str], id_col: str = "id",
+                    seed: int = 42, bits: int = 16, out_col: str = "_below") -> DataFrame:
+    """Flag rows whose hash rank within their part is below the part's quota.
+
+    Same order as :func:`hash_rank`, but only the single md5-prefix bucket
+    per part that straddles the quota is ordered; every other bucket is
+    wholly below or above it, decided map-side from a broadcast of bucket
+    counts (at most parts x 2**bits rows). ``quotas``: part_cols + quota.
+    """
+    part_cols = list(part_cols)
+    glob = not part_cols
+    if glob:
+        df, part_cols = df.withColumn("_all", F.lit(0)), ["_all"]
+        quotas = quotas.withColumn("_all", F.lit(0))
+    hex_digits = max(1, bits // 4)
+    b = (df.withColumn("_h", hash_hex(id_col, seed))
+         .withColumn("_bkt", F.conv(F.substring("_h", 1, hex_digits), 16, 10).cast("long")))
+    counts = b.groupBy(*part_cols, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
+    w_off = Window.partitionBy(*part_cols).orderBy("_bkt").rowsBetween(_UNB, -1)
+    offs = (counts.withColumn("_off", F.coalesce(F.sum("_n").over(w_off), F.lit(0)))
+            .join(F.broadcast(quotas.select(*part_cols, "quota")), part_cols))
+    state = (F.when(F.col("_off") + F.col("_n") <= F.col("quota"), F.lit(1))
+             .when(F.col("_off") >= F.col("quota"), F.lit(0)).otherwise(F.lit(-1)))
+    offs = offs.select(*part_cols, "_bkt", "_off", "quota", state.alias("_state"))
+    j = b.join(F.broadcast(offs), [*part_cols, "_bkt"])
+    decided = j.where(F.col("_state") >= 0).withColumn(out_col, F.col("_state") == 1)
+    w_in = Window.partitionBy(*part_cols, "_bkt").orderBy("_h", id_col)
+    edge = (j.where(F.col("_state") < 0)
+            .withColumn(out_col, (F.col("_off") + F.row_number().over(w_in) - 1) < F.col("quota")))
+    out = decided.unionByName(edge).drop("_h", "_bkt", "_off", "quota", "_state")
+    return out.drop("_all") if glob else out
+
+
 def _bucket_by_sketch(df: DataFrame, part_cols: list[str], order_col: str,
                       n_buckets: int, accuracy: int) -> DataFrame:
     """Add ``_bkt``: a monotone bucket of ``order_col`` from approximate splits."""

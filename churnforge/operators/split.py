@@ -15,7 +15,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnforge.operators.ranking import hash_rank
+from churnforge.operators.ranking import hash_rank, hash_rank_below
 
 
 def class_quotas(df: DataFrame, label: str, test_size: float = 0.2) -> DataFrame:
@@ -34,21 +34,22 @@ def class_quotas(df: DataFrame, label: str, test_size: float = 0.2) -> DataFrame
 
 def stratified_split(df: DataFrame, label: str, id_col: str = "id", test_size: float = 0.2,
                      seed: int = 42, bits: int = 16, split_col: str = "split") -> DataFrame:
-    """Add ``split`` in {'train','test'} with exact per-class test quotas."""
-    ranked = hash_rank(df, [label], id_col, seed, bits, rank_col="_rank")
-    quotas = class_quotas(df, label, test_size).select(label, "test_quota")
-    out = ranked.join(F.broadcast(quotas), on=label, how="inner")
-    return (out.withColumn(split_col, F.when(F.col("_rank") < F.col("test_quota"), "test").otherwise("train"))
-            .drop("_rank", "test_quota"))
+    """Add ``split`` in {'train','test'} with exact per-class test quotas.
+
+    Only the boundary md5 bucket of each class is ordered (hash_rank_below).
+    """
+    quotas = class_quotas(df, label, test_size).select(label, F.col("test_quota").alias("quota"))
+    out = hash_rank_below(df, quotas, [label], id_col, seed, bits, "_test")
+    return out.withColumn(split_col, F.when(F.col("_test"), "test").otherwise("train")).drop("_test")
 
 
 def random_split(df: DataFrame, id_col: str = "id", test_size: float = 0.2, seed: int = 42,
                  bits: int = 16, split_col: str = "split") -> DataFrame:
     """Unstratified: the ceil(test_size * n) rows first in hash order are test."""
     n = df.select(F.count(F.lit(1))).scalar()
-    n_test = F.ceil(F.lit(test_size) * n)
-    ranked = hash_rank(df, [], id_col, seed, bits, rank_col="_rank")
-    return ranked.withColumn(split_col, F.when(F.col("_rank") < n_test, "test").otherwise("train")).drop("_rank")
+    quotas = df.sparkSession.range(1).select(F.ceil(F.lit(test_size) * n).alias("quota"))
+    out = hash_rank_below(df, quotas, [], id_col, seed, bits, "_test")
+    return out.withColumn(split_col, F.when(F.col("_test"), "test").otherwise("train")).drop("_test")
 
 
 def kfold_assign(df: DataFrame, label: str | None, k: int = 5, id_col: str = "id",

@@ -55,3 +55,8 @@ def test_auc_global_group(spark):
     pairs = [(0.1, 0), (0.4, 1), (0.5, 0), (0.8, 1)]
     df = spark.createDataFrame([(i, s, y) for i, (s, y) in enumerate(pairs)], "id long, score double, label int")
     assert EV.roc_auc(df, []).first()["auc"] == pytest.approx(0.75)
+
+
+def test_auc_single_class_is_null(spark):
+    df = spark.createDataFrame([(1, 0.2, 1), (2, 0.9, 1)], "id long, score double, label int")
+    assert EV.roc_auc(df, []).first()["auc"] is None

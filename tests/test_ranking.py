@@ -38,3 +38,14 @@ def test_prefix_sums(spark):
     for r in out:
         expect = sum(x % 4 for x in range(int(r["v"])))
         assert r["w_before"] == expect
+
+
+def test_rank_below_equals_full_rank(spark):
+    from churnforge.operators.ranking import hash_rank_below
+    df = spark.range(3000).withColumn("c", (F.col("id") % 3).cast("int"))
+    quotas = spark.createDataFrame([(0, 17), (1, 640), (2, 1000)], "c int, quota long")
+    fast = {r["id"]: r["_below"] for r in hash_rank_below(df, quotas, ["c"], "id", 42, bits=4).collect()}
+    full = hash_rank(df, ["c"], "id", 42, bits=4).join(quotas, "c")
+    slow = {r["id"]: r["rank"] < r["quota"] for r in full.collect()}
+    assert fast == slow
+    assert sum(fast.values()) == 17 + 640 + 1000
