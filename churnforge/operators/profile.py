@@ -135,22 +135,30 @@ def category_odds(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
                      F.round(F.col("n_1") / (F.col("n_0") + 1e-6) * 100, 2).alias("odds_pct"))
 
 
-def _with_groups(long: DataFrame, label: str | None) -> DataFrame:
-    allg = long.withColumn("grp", F.lit("all"))
-    if label is None:
-        return allg.drop(*[c for c in [label] if c])
-    by = long.where(F.col(label).isNotNull()).withColumn("grp", F.col(label).cast("string"))
-    return allg.unionByName(by).drop(label)
-
-
 def boxplot_stats(df: DataFrame, cols: Sequence[str], label: str | None = None,
                   whisker: float = 1.5) -> DataFrame:
     """Quartiles, IQR fences, whisker ends (farthest points inside the
-    fences) and outlier counts per column, overall and per label."""
+    fences) and outlier counts per column, overall and per label.
+
+    Values collapse to (column, group, value, count) before anything else;
+    the overall group is the sum of the label groups, never a second copy
+    of the rows.
+    """
     ids = [label] if label else []
     long = to_long(df, ids, cols, "double").where(F.col("value").isNotNull())
-    g = _with_groups(long, label)
-    q = exact_quantiles(g, ["column", "grp"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    if label:
+        by = (long.where(F.col(label).isNotNull())
+              .groupBy("column", F.col(label).cast("string").alias("grp"), "value")
+              .agg(F.count(F.lit(1)).alias("cnt")))
+        nolab = (long.where(F.col(label).isNull()).groupBy("column", "value")
+                 .agg(F.count(F.lit(1)).alias("cnt")).withColumn("grp", F.lit(None).cast("string")))
+        allg = (by.unionByName(nolab).groupBy("column", "value").agg(F.sum("cnt").alias("cnt"))
+                .withColumn("grp", F.lit("all")))
+        g = by.unionByName(allg)
+    else:
+        g = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt")).withColumn("grp", F.lit("all"))
+    q = exact_quantiles(g, ["column", "grp"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75},
+                        weight_col="cnt")
     q = (q.withColumn("iqr", F.col("q3") - F.col("q1"))
          .withColumn("lower_fence", F.col("q1") - whisker * F.col("iqr"))
          .withColumn("upper_fence", F.col("q3") + whisker * F.col("iqr")))
@@ -158,13 +166,13 @@ def boxplot_stats(df: DataFrame, cols: Sequence[str], label: str | None = None,
     j = g.join(F.broadcast(q.select("column", "grp", "lower_fence", "upper_fence")), ["column", "grp"])
     inside = (F.col("value") >= F.col("lower_fence")) & (F.col("value") <= F.col("upper_fence"))
     w = j.groupBy("column", "grp").agg(
-        F.count(F.lit(1)).alias("n"),
+        F.sum("cnt").alias("n"),
         F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
-        F.count(F.when(~inside, 1)).alias("n_outliers"))
+        F.coalesce(F.sum(F.when(~inside, F.col("cnt"))), F.lit(0)).alias("n_outliers"))
     return q.join(w, ["column", "grp"]).select(
-        "column", F.col("grp").alias("group"), "n", "q1", "median", "q3", "iqr",
-        "lower_fence", "upper_fence", "whisker_low", "whisker_high", "n_outliers")
+        "column", F.col("grp").alias("group"), F.col("n").cast("long").alias("n"), "q1", "median", "q3", "iqr",
+        "lower_fence", "upper_fence", "whisker_low", "whisker_high", F.col("n_outliers").cast("long").alias("n_outliers"))
 
 
 def histogram_by_label(df: DataFrame, col: str, label: str, bins: int = 10) -> DataFrame:

@@ -128,7 +128,7 @@ def prefix_sums(df: DataFrame, part_cols: Sequence[str], order_col: str,
 
 def exact_quantiles(long_df: DataFrame, part_cols: Sequence[str], value_col: str,
                     probs: dict[str, float], n_buckets: int | None = None,
-                    accuracy: int = 10000) -> DataFrame:
+                    accuracy: int = 10000, weight_col: str | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles (numpy/pandas default) per part.
 
     ``long_df`` holds one value per row; nulls are ignored. Values collapse
@@ -142,9 +142,11 @@ def exact_quantiles(long_df: DataFrame, part_cols: Sequence[str], value_col: str
     if glob:
         long_df, part_cols = long_df.withColumn("_all", F.lit(0)), ["_all"]
     n_buckets = n_buckets or _default_buckets(long_df)
+    w = F.col(weight_col).cast("long") if weight_col else F.lit(1).cast("long")
     vals = long_df.where(F.col(value_col).isNotNull()).select(
-        *part_cols, F.col(value_col).cast("double").alias("_v"))
-    vc = vals.groupBy(*part_cols, "_v").agg(F.count(F.lit(1)).alias("_c"))
+        *part_cols, F.col(value_col).cast("double").alias("_v"), w.alias("_w"))
+    # rows may arrive pre-aggregated as (value, weight): the same code path
+    vc = vals.groupBy(*part_cols, "_v").agg(F.sum("_w").alias("_c"))
     # (value, count, bucket) feeds four consumers: write it once (lineage cut)
     b = cut_lineage(_bucket_by_sketch(vc, part_cols, "_v", n_buckets, accuracy))
     counts = b.groupBy(*part_cols, "_bkt").agg(F.sum("_c").alias("_t"))

@@ -28,6 +28,8 @@ def get_session(master: str | None = None, app: str = "churnforge",
         "spark.ui.enabled": "false",
         "spark.driver.memory": "16g",
         "spark.ui.showConsoleProgress": "false",
+        # delete checkpoint files once no live DataFrame references them
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
