@@ -22,6 +22,7 @@ then id.
 from __future__ import annotations
 
 import itertools
+import logging
 import math
 from collections.abc import Sequence
 from functools import reduce
@@ -33,7 +34,7 @@ from churnforge.functions.exprs import hash_hex
 from churnforge.operators.ranking import hash_rank
 from churnforge.session import cut_lineage
 
-_DEBUG = False
+log = logging.getLogger(__name__)
 
 
 def sq_dist(a: str, b: str, cols: Sequence[str]):
@@ -67,8 +68,8 @@ def _round(active: DataFrame, cand: DataFrame, cols, dims, keys, w: float, radiu
     pairs = (q.join(c2, on, "inner").where(F.col("pid") != F.col("nid"))
              .select("pid", "nid", "nh", sq_dist("p_", "n_", cols).alias("dist2")))
     topk = cut_lineage(_top_k(pairs, k))
-    if _DEBUG:
-        print("knn round w", w, "keys", len(keys), "active", active.count(), "pairs", pairs.count(), flush=True)
+    if log.isEnabledFor(logging.DEBUG):   # diagnostic counts run only when asked for
+        log.debug("knn round w=%s keys=%d active=%d pairs=%d", w, len(keys), active.count(), pairs.count())
     kth = topk.groupBy("pid").agg(F.count(F.lit(1)).alias("_got"), F.max("dist2").alias("_dk"))
     cond = F.lit(True) if last else (F.col("_got") >= k) & (F.col("_dk") < F.lit(radius * radius))
     done = kth.where(cond).select("pid")
@@ -125,8 +126,7 @@ def exact_knn(points: DataFrame, id_col: str, cols: Sequence[str], k: int = 5,
     # two-valued columns (one-hot): points differing in one are >= its gap apart
     binary = [c for i, c in enumerate(cols) if rng[c] > 0 and qs[f"o_{i}"] == 0]
     numeric = [c for c in cols if c not in binary and rng[c] > 0]
-    if _DEBUG:
-        print("knn binary", binary, "numeric", numeric, flush=True)
+    log.debug("knn binary=%s numeric=%s", binary, numeric)
     active = ranked.where(F.col("_m") <= k_eff).select("pid", *cols)
     active = cut_lineage(active)
     per_cell = per_cell or 2.0 * (k_eff + 1)
