@@ -125,3 +125,29 @@ def gbt_categorical(train: DataFrame, valid_col: str, label: str = "label", max_
     return GBTClassifier(labelCol=label, featuresCol="features", maxIter=max_iter, stepSize=step,
                          maxDepth=depth, seed=SEED, validationIndicatorCol=valid_col,
                          validationTol=0.01, **TREE_EXEC).fit(train)
+
+
+def cv_grid_resampled(train: DataFrame, features: Sequence[str], fold_col: str, n_folds: int,
+                      grid: Sequence[dict], resample, label: str = "label") -> DataFrame:
+    """Grid search with k-fold CV where the training part of every fold is
+    resampled (``resample(df) -> df``) and the held-out fold never is, so no
+    synthetic row is built from a validation row. Returns one row per
+    (point, fold) with the held-out AUC, plus the mean per point."""
+    spark = train.sparkSession
+    parts = []
+    for f in range(n_folds):
+        fit_part = resample(train.where(F.col(fold_col) != f))
+        fit_vec = assemble(fit_part, features).select(label, "features")
+        held = assemble(train.where(F.col(fold_col) == f), features)
+        for i, params in enumerate(grid):
+            model = GBTClassifier(labelCol=label, featuresCol="features", seed=SEED, **params, **TREE_EXEC).fit(fit_vec)
+            s = score(model, held, (label,)).withColumnRenamed("probability", "score")
+            auc = EV.roc_auc(s, [], label, "score").select(
+                F.lit(i).alias("point"), F.lit(",".join(f"{k}={v}" for k, v in sorted(params.items()))).alias("params"),
+                F.lit(f).alias("fold"), "auc")
+            parts.append(auc)
+    per_fold = parts[0]
+    for p in parts[1:]:
+        per_fold = per_fold.unionByName(p)
+    mean = per_fold.groupBy("point", "params").agg(F.avg("auc").alias("mean_auc"))
+    return per_fold.join(mean, ["point", "params"])

@@ -81,6 +81,7 @@ def sql_sources() -> dict[str, str]:
     nums = ["id", "in_debt", "tenure", "n_orders", "max_order", "acctbal"]
     return {
         "scan_schema": with_base(f"SELECT {cols} FROM cc"),
+        "csv_round_trip": with_base(f"SELECT {cols} FROM cc"),
         "head_sample": with_base(f"SELECT {cols} FROM cc ORDER BY id LIMIT 10"),
         "drop_ids": with_base(f"SELECT {no_id} FROM cc"),
         "select_numeric": with_base(f"SELECT {', '.join(nums)} FROM cc"),

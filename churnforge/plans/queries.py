@@ -595,3 +595,27 @@ def q_parse_event_records(spark, sf):
     ev = read_table(spark, sf, "events", ["event_id", "props"])
     parsed = ev.select("event_id", F.from_json("props", "k INT").alias("r")).select("event_id", "r.k")
     return C.validate_records(parsed, ["k"]).select("event_id", "k", "missing_fields", "is_valid")
+
+
+@register("csv_round_trip")
+def q_csv_round_trip(spark, sf):
+    """S1 + S2: the customer table through a headered CSV file (blank-but-present
+    text kept) and back through an explicit-schema scan (no inference pass)."""
+    from churnforge.sources.reports import write_table
+    from churnforge.sources.tables import CHURN_SCHEMA, read_records
+    path = write_table(raw(spark, sf), scratch_path(spark, "customers_csv"), "csv")
+    return read_records(spark, path, CHURN_SCHEMA, "csv")
+
+
+@register("cv_grid_smote")
+def q_cv_grid_smote(spark, sf):
+    """Two grid points x 3 stratified folds; SMOTE applied inside each training fold."""
+    e = encode_standard(split_table(spark, sf))
+    train = cut_lineage(kfold_assign(e.df.where(F.col("split") == "train"), "label", 3))
+
+    def resample(df):
+        bal = smote(df, e.features, "label", "id", k=5, seed=42)
+        return cut_lineage(bal.select("label", *e.features))
+
+    grid = [{"maxDepth": 3, "maxIter": 20}, {"maxDepth": 5, "maxIter": 20}]
+    return M.cv_grid_resampled(train, e.features, "fold", 3, grid, resample)

@@ -50,7 +50,7 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType,
     reader = spark.read.schema(schema)
     if fmt == "csv":
         return (reader.option("header", header).option("ignoreLeadingWhiteSpace", False)
-                .option("ignoreTrailingWhiteSpace", False).option("nullValue", None)
+                .option("ignoreTrailingWhiteSpace", False)
                 .option("mode", "PERMISSIVE").csv(path))
     return reader.format(fmt).load(path)
 

@@ -36,7 +36,7 @@ def test_every_oracle_key_is_registered():
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
-FAST_KEYS = ["scan_schema", "coerce_numeric", "impute_median", "validate_records", "describe_numeric",
+FAST_KEYS = ["scan_schema", "csv_round_trip", "coerce_numeric", "impute_median", "validate_records", "describe_numeric",
              "moments", "unique_profile", "describe_categorical", "boxplot_stats", "corr_matrix",
              "category_association", "stratified_split", "kfold_assign", "minmax_scale", "feature_names",
              "classification_report", "roc_auc", "smote"]
