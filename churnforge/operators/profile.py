@@ -54,15 +54,25 @@ def moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return m.select("column", g1.alias("skewness"), g2.alias("kurtosis"))
 
 
-def column_overview(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """dtype, n_unique (non-null), n_missing, missing_pct per column."""
+def column_overview(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False,
+                    rsd: float = 0.02) -> DataFrame:
+    """dtype, n_unique (non-null), n_missing, missing_pct per column.
+
+    ``approx=True`` replaces the exact distinct count (a shuffle of every
+    distinct (column, value) pair) by HyperLogLog++ sketches merged in the
+    same single wide aggregation as the missing counts (relative error ``rsd``).
+    """
     cols = list(cols or df.columns)
     types = dict(df.dtypes)
     n_total = df.select(F.count(F.lit(1))).scalar()
-    long = to_long(df, [], cols)
-    per_value = (long.where(F.col("value").isNotNull())
-                 .groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n")))
-    uniq = per_value.groupBy("column").agg(F.count(F.lit(1)).cast("long").alias("n_unique"))
+    if approx:
+        row = df.agg(*[F.approx_count_distinct(c, rsd).alias(f"n_unique__{c}") for c in cols])
+        uniq = _stack(row, cols, ["n_unique"]).withColumn("n_unique", F.col("n_unique").cast("long"))
+    else:
+        long = to_long(df, [], cols)
+        per_value = (long.where(F.col("value").isNotNull())
+                     .groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n")))
+        uniq = per_value.groupBy("column").agg(F.count(F.lit(1)).cast("long").alias("n_unique"))
     miss = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(f"n_missing__{c}") for c in cols])
     miss = _stack(miss, cols, ["n_missing"])
     dtypes = df.sparkSession.createDataFrame([(c, types[c]) for c in cols], "column string, dtype string")

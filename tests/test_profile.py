@@ -92,3 +92,11 @@ def test_csv_scan_with_schema(spark, tmp_path, df):
     back = read_records(spark, path, CHURN_SCHEMA, "csv")
     assert back.count() == 10
     assert {r["total_text"] for r in back.where("id = 2").collect()} == {" "}
+
+
+def test_column_overview_approx_close_to_exact(spark):
+    df = spark.range(20000).select((F.col("id") % 5000).alias("a"), (F.col("id") % 7).cast("string").alias("b"))
+    ex = {r["column"]: r["n_unique"] for r in P.column_overview(df).collect()}
+    ap = {r["column"]: r["n_unique"] for r in P.column_overview(df, approx=True).collect()}
+    assert ex == {"a": 5000, "b": 7}
+    assert abs(ap["a"] - 5000) / 5000 < 0.06 and ap["b"] == 7
