@@ -49,3 +49,18 @@ def test_rank_below_equals_full_rank(spark):
     slow = {r["id"]: r["rank"] < r["quota"] for r in full.collect()}
     assert fast == slow
     assert sum(fast.values()) == 17 + 640 + 1000
+
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.integers(min_value=-5, max_value=5) | st.floats(min_value=-1e3, max_value=1e3,
+                                                                  allow_nan=False), min_size=1, max_size=60),
+       st.integers(min_value=2, max_value=9))
+def test_quantiles_property(spark, xs, buckets):
+    df = spark.createDataFrame([(float(x),) for x in xs], "v double")
+    got = exact_quantiles(df, [], "v", {"a": 0.0, "b": 0.37, "c": 1.0}, n_buckets=buckets).first()
+    for k, p in {"a": 0.0, "b": 0.37, "c": 1.0}.items():
+        assert got[k] == pytest.approx(float(np.percentile(np.array(xs, dtype=float), p * 100)), rel=1e-9, abs=1e-9)
