@@ -116,3 +116,17 @@ def test_smote_balances_and_interpolates(spark):
 def test_smote_single_class_passthrough(spark):
     df = spark.createDataFrame([(1, 0, 1.0), (2, 0, 2.0)], "id long, label int, a double")
     assert smote(df, ["a"]).count() == 2
+
+
+def test_knn_edge_cases(spark):
+    same = spark.createDataFrame([(i, 1.0, 2.0) for i in range(10)], "id long, a double, b double")
+    got = exact_knn(same, "id", ["a", "b"], k=3).collect()
+    assert len(got) == 30 and all(r["dist2"] == 0.0 for r in got)
+    expect = _brute_knn({i: (1.0, 2.0) for i in range(10)}, 3)
+    res = {}
+    for r in got:
+        res.setdefault(r["id"], []).append((r["nn_rank"], r["nn_id"]))
+    assert {i: [j for _, j in sorted(v)] for i, v in res.items()} == expect
+    two = spark.createDataFrame([(1, 0.0), (2, 3.0)], "id long, a double")
+    pairs = {(r["id"], r["nn_id"], r["dist2"]) for r in exact_knn(two, "id", ["a"], k=5).collect()}
+    assert pairs == {(1, 2, 9.0), (2, 1, 9.0)}
