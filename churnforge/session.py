@@ -26,7 +26,6 @@ def get_session(master: str | None = None, app: str = "churnforge",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
-        "spark.driver.memory": "16g",
         "spark.ui.showConsoleProgress": "false",
         # delete checkpoint files once no live DataFrame references them
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
@@ -42,24 +41,34 @@ def get_session(master: str | None = None, app: str = "churnforge",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, setting a local one only if unset."""
+    """The session's shared checkpoint folder.
+
+    Only a local session may fall back to a machine-local folder; on a
+    cluster a missing spark.checkpoint.dir is an error, because executors
+    could not read each other's files.
+    """
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if current:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(current)
-        return sc.getCheckpointDir() or current
-    os.makedirs(_LOCAL_CHECKPOINT_ROOT, exist_ok=True)
-    sc.setCheckpointDir(_LOCAL_CHECKPOINT_ROOT)
-    spark.conf.set("spark.checkpoint.dir", _LOCAL_CHECKPOINT_ROOT)
-    return sc.getCheckpointDir()
+    if not current:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        os.makedirs(_LOCAL_CHECKPOINT_ROOT, exist_ok=True)
+        current = _LOCAL_CHECKPOINT_ROOT
+        spark.conf.set("spark.checkpoint.dir", current)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(current)
+    return current
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared checkpoint folder for written tables."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
-    root = root.rstrip("/")
-    return f"{root}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path under the shared checkpoint folder for written tables,
+    deleted when the driver ends."""
+    root = ensure_checkpoint_dir(spark)
+    path = f"{root.rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    jvm = spark._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hpath)
+    return path
 
 
 def cut_lineage(df):
