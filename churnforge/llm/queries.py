@@ -12,7 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnforge.llm.common import load
+from churnforge.llm.exact_dedup import exact_duplicates
+from churnforge.llm.html_extract import extract_main_text
+from churnforge.llm.language_id import held_out, identify_languages
+from churnforge.llm.license_scan import scan_licences
+from churnforge.llm.packing import pack_best_fit, token_pieces
+from churnforge.llm.quality_rules import quality_verdicts
 from churnforge.llm.sentencepiece_codec import sentencepiece_round_trip
+from churnforge.llm.simhash_dedup import near_duplicates
+from churnforge.llm.token_counts import token_counts
+from churnforge.llm.url_filter import filter_urls
+
+# Fixed values of the contracts.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+             ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+SEQUENCE_TOKENS, END_ID, TOKEN_LIMIT = 1024, 2, 1024
 
 
 def vocabulary(name: str) -> str:
@@ -29,8 +43,134 @@ def q_op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def q_op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(load(spark, sf_dir, "documents"), shingle=4, max_bits=4)
+    return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
+
+
+def q_op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(load(spark, sf_dir, "pages"), URL_RULES)
+
+
+def q_op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(load(spark, sf_dir, "documents")).drop("row")
+
+
+def q_op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identify_languages(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def q_op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(load(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def packed_documents(docs: DataFrame) -> DataFrame:
+    """Packed pieces with the digest of their ids; the ids themselves do not
+    travel with the packing, whose items are lengths."""
+    pieces = token_pieces(docs, vocabulary("byte_bpe_50k.json"), SEQUENCE_TOKENS, END_ID).select(
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    packed = pack_best_fit(pieces, "length", SEQUENCE_TOKENS, ["doc_id", "piece", "ids_crc32"])
+    return packed.select("item.*", "sequence_id", "offset")
+
+
+def q_op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(load(spark, sf_dir, "documents"))
+
+
+def q_op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences found in each document, by name, and the best coefficient."""
+    found = scan_licences(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("matches").cast("long").alias("n_matches"),
+                        F.array_join(F.array_sort(F.array_distinct(F.col("matches.licence"))), ",").alias("licences"),
+                        F.coalesce(F.array_max(F.col("matches.dice")), F.lit(0.0)).alias("best_dice"))
+
+
+def q_op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts(load(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+def q_op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(load(spark, sf_dir, "documents")).drop("row")
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": q_op1,
+    "op2_simhash": q_op2,
+    "op3_url_filter": q_op3,
+    "op4_exact_dedup": q_op4,
+    "op5_language_id": q_op5,
+    "op6_html_extract": q_op6,
+    "op7_packing": q_op7,
+    "op8_license_scan": q_op8,
+    "op9_token_counts": q_op9,
+    "op10_quality_rules": q_op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+# Operators whose results SQL can express; the others are tested against the
+# libraries, brute force or held-out accuracy in tests/llm.
+ORACLE_SQL: dict[str, str] = {
+    "op3_url_filter": r"""
+        with u as (
+          select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end rest
+          from pages),
+        p as (
+          select page_id,
+                 translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                           'abcdefghijklmnopqrstuvwxyz') host,
+                 regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path from u),
+        r(verdict, rhost, rpath) as (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'),
+          ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+        fit as (
+          select page_id, arg_max(rhost || rpath, length(rhost || rpath)) rule,
+                 arg_max(verdict, length(rhost || rpath)) verdict
+          from p join r on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath)
+          group by page_id)
+        select p.page_id, host, path, rule, coalesce(verdict, 'allow') verdict
+        from p left join fit on p.page_id = fit.page_id""",
+    "op4_exact_dedup": r"""
+        with n as (
+          select doc_id, length(coalesce(text, '')) size,
+                 regexp_replace(coalesce(text, ''), '[ 	-]+', '', 'g') norm from documents),
+        w as (
+          select doc_id, norm, first_value(doc_id) over (partition by norm order by size desc, doc_id) keep_id,
+                 count(*) over (partition by norm) group_size from n)
+        select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) text_sha256 from w""",
+    "op10_quality_rules": r"""
+        with d as (
+          select doc_id, coalesce(source, '') host, coalesce(text, '') t,
+                 list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), x -> x <> '') w,
+                 list_filter(string_split(coalesce(text, ''), chr(10)),
+                             x -> regexp_matches(x, '[^ 	-]')) l from documents),
+        win as (
+          select doc_id, i, array_to_string(list_slice(w, i, i + 7), ' ') g
+          from (select doc_id, w, unnest(range(1, len(w) - 6)) i from d where len(w) >= 8)),
+        rep as (
+          select doc_id, count(distinct i + o) n from (
+            select doc_id, i, count(*) over (partition by doc_id, g) c from win), range(0, 8) s(o)
+          where c > 1 group by doc_id),
+        lines as (
+          select doc_id, host, t, lower(trim(regexp_replace(x, '[ 	-]+', ' ', 'g'))) line
+          from (select doc_id, host, t, unnest(l) x from d)),
+        hosts as (select host, count(distinct t) docs from d group by host),
+        common as (
+          select line_host, line from (
+            select host line_host, line, count(distinct t) n from lines group by host, line) c
+          join hosts on host = line_host where n > 20 and n > 0.1 * docs),
+        gone as (
+          select doc_id, sum(len(string_split(lines.line, ' '))) removed
+          from lines join common on host = line_host and lines.line = common.line group by doc_id),
+        f as (
+          select d.doc_id, len(w)::bigint n_words, length(array_to_string(w, ''))::bigint word_chars,
+                 (length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')))::bigint n_symbols,
+                 (len(l) - len(list_distinct(l)))::bigint n_dup_lines, coalesce(rep.n, 0)::bigint n_repeat_words,
+                 coalesce(removed, 0)::bigint removed_words
+          from d left join rep on d.doc_id = rep.doc_id left join gone on d.doc_id = gone.doc_id),
+        b as (
+          select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+                 n_words - removed_words as left_words from f)
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, removed_words, base_failed,
+               not base_failed and not (removed_words > 0 and (left_words < 20 or left_words < 0.3 * n_words)) as kept
+        from b""",
+}
