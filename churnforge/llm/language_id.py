@@ -73,7 +73,7 @@ class ContextTrees:
     def __init__(self, langs: list[str], lang_at: np.ndarray, n: np.ndarray, gram: np.ndarray, count: np.ndarray,
                  min_count: int):
         self.langs = langs
-        seen = np.unique(gram[n == 1])
+        seen = np.union1d(gram[n == 1], list(_LEAD))
         self.symbol = np.zeros(256, np.int32)          # 0: a byte never seen
         self.symbol[seen] = np.arange(1, len(seen) + 1)
         size = len(seen) + 1

@@ -82,8 +82,12 @@ _WORD = re.compile(r"[a-z0-9]+")
 _SENTENCE = re.compile(r"(?<=[.!?;])\s+")
 
 
+def words_of(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
+
+
 def bigrams(text: str) -> list[tuple[str, str]]:
-    words = _WORD.findall(text.lower())
+    words = words_of(text)
     return list(zip(words, words[1:]))
 
 
@@ -103,9 +107,8 @@ class LicenceScanner:
         self.least = min((n for _, n, _ in self.templates), default=0) * ratio
         self.most = max((n for _, n, _ in self.templates), default=0) / ratio
 
-    def score(self, unit: str) -> tuple[str, float] | None:
-        """Best template at or over the threshold."""
-        grams = bigrams(unit)
+    def score(self, grams: list[tuple[str, str]]) -> tuple[str, float] | None:
+        """Best template at or over the threshold for a unit's bigrams."""
         if not self.least <= len(grams) <= self.most or self.known.isdisjoint(grams):
             return None
         mine, size, best = Counter(grams), len(grams), None
@@ -117,32 +120,28 @@ class LicenceScanner:
                 best = name, value
         return best
 
-    def units(self, text: str) -> Iterator[tuple[int, str]]:
-        yield 0, text
-        at = 0
+    def scan(self, text: str) -> list[tuple[int, int, str, float]]:
+        """(start, end, licence, dice) of the matching units, by place."""
+        out, at, whole = {}, 0, []
         lines = text.split("\n")
         for line in lines:
-            if len(lines) > 1:
-                yield at, line
-            parts = _SENTENCE.split(line) if self.likely(line) else []
-            if len(parts) > 1:
+            words = words_of(line)
+            grams = list(zip(words, words[1:]))
+            if len(whole) <= self.most + 1:      # longer texts match no template as a whole
+                whole += words
+            if not self.known.isdisjoint(grams):
+                if found := self.score(grams):
+                    out[at, at + len(line)] = found
+                parts = _SENTENCE.split(line)
                 place = at
-                for p in parts:
+                for p in parts if len(parts) > 1 else ():
                     place = text.index(p, place)
-                    yield place, p
+                    if found := self.score(bigrams(p)):
+                        out[place, place + len(p)] = found
             at += len(line) + 1
-
-    def likely(self, line: str) -> bool:
-        """Whether any sentence of the line can share a bigram with a template."""
-        return not self.known.isdisjoint(bigrams(line))
-
-    def scan(self, text: str) -> list[tuple[int, int, str, float]]:
-        """(start, end, licence, dice) of the matching units, by place."""
-        out = {}
-        for at, unit in self.units(text):
-            if found := self.score(unit):
-                out[at, at + len(unit)] = *found,
-        return [(a, b, name, value) for (a, b), (name, value) in sorted(out.items())]
+        if len(lines) > 1 and (found := self.score(list(zip(whole, whole[1:])))):
+            out[0, len(text)] = found
+        return [(a, b, *found) for (a, b), found in sorted(out.items())]
 
 
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

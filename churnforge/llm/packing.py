@@ -127,11 +127,18 @@ def _pack_bins(capacity: int, nearly_full: int, keep: int):
 
 
 def pack_best_fit(items: DataFrame, length_col: str, capacity: int, tie_cols: list[str], fan_in: int = 8,
-                  nearly_full: int = 8) -> DataFrame:
+                  nearly_full: int | None = None, leaf_items: int = 20_000) -> DataFrame:
     """items with sequence_id and offset: which sequence an item lies in, and
-    where. Returns (item struct of all columns of items, sequence_id, offset)."""
+    where. Returns (item struct of all columns of items, sequence_id, offset).
+
+    Round 0 has one partition for every ``leaf_items`` items, up to the
+    session's shuffle partitions: best fit needs company to pack well.
+    ``nearly_full`` is a 128th of the capacity by default.
+    """
     spark = items.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    nearly_full = capacity // 128 if nearly_full is None else nearly_full
+    items = materialise(items, "packing-given")
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-items.count() // leaf_items)))
     rounds, nodes = 0, parts
     while nodes > 1:
         rounds, nodes = rounds + 1, -(-nodes // fan_in)
@@ -187,9 +194,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_bpe(data.value)
         for batch, texts in text_slices(batches, 1, 2_000_000):
-            flat, offsets = bpe.encode(texts)
-            flat = np.insert(flat, offsets[1:], end_id).astype("<u4")
-            total = np.diff(offsets) + 1
+            coded = [bpe.ids(t) for t in texts]
+            flat = np.concatenate([x for ids in coded for x in (ids, [end_id])]).astype("<u4")
+            total = np.array([len(ids) + 1 for ids in coded], np.int64)
             first = (total - 1) % capacity + 1
             pieces = -(-total // capacity)
             doc = np.repeat(np.arange(len(texts)), pieces)

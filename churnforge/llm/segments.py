@@ -59,9 +59,3 @@ class SegmentStore:
         flat = self.flat[spans(self.starts[codes], lens)]
         edges = np.concatenate(([0], np.cumsum([len(d) for d in docs], dtype=np.int64)))
         return flat, np.concatenate(([0], np.cumsum(list_sums(lens, edges))))
-
-    def count(self, docs: list[list[str]]) -> np.ndarray:
-        codes = self.lookup([s for d in docs for s in d])
-        lens = self.lens[codes]
-        edges = np.concatenate(([0], np.cumsum([len(d) for d in docs], dtype=np.int64)))
-        return list_sums(lens, edges)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from churnforge.llm.byte_bpe import ByteBpe, worker_bpe
+from churnforge.llm.byte_bpe import ByteBpe, stable_cuts, worker_bpe
 from churnforge.llm.common import text_or_empty, text_slices
 
 CHUNK_CHARS, OVERLAP_CHARS = 32_768, 512
@@ -34,31 +34,46 @@ CHUNK_CHARS, OVERLAP_CHARS = 32_768, 512
 
 def count_by_chunks(bpe: ByteBpe, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> int:
     """Tokens of one huge text."""
-    total, counted_to, start, end = 0, 0, 0, min(chunk, len(text))
-    starts = bpe.token_starts(text[:end])
+    total, begun, start, end = 0, 0, 0, min(chunk, len(text))
+    ids = bpe.ids(text[:end])
+    starts = bpe.token_starts(ids)               # bytes from the chunk's begin; tokens before ``begun`` are counted
     while end < len(text):
         width = overlap
         while True:
-            right = max(end - width, 0)
-            if right <= counted_to:                   # the overlap took in the whole chunk: widen both
+            right = end - width
+            if right <= start:                   # the overlap took in the whole chunk: widen that as well
                 end = min(len(text), start + 2 * (end - start))
-                starts = bpe.token_starts(text[start:end]) + start
+                ids = bpe.ids(text[start:end])
+                starts = bpe.token_starts(ids)
                 if end == len(text):
-                    break
+                    return total + len(ids) - begun
                 continue
             right_end = min(right + max(chunk, 2 * width), len(text))
-            next_starts = bpe.token_starts(text[right:right_end]) + right
-            common = np.intersect1d(np.intersect1d(starts, next_starts),
-                                    np.array(bpe.boundaries(text, right, end), np.int64))
-            if len(common):
+            right_ids = bpe.ids(text[right:right_end])
+            right_starts = bpe.token_starts(right_ids)
+            found = _common_cut(text, start, right, end, starts, right_starts, begun)
+            if found:
                 break
             width *= 2
-        if end == len(text):
-            break
-        splice = int(common[len(common) // 2])
-        total += int(((starts >= counted_to) & (starts < splice)).sum())
-        counted_to, start, end, starts = splice, right, right_end, next_starts
-    return total + int((starts >= counted_to).sum())
+        left_cut, right_cut = found
+        total += left_cut - begun
+        begun, start, end, ids, starts = right_cut, right, right_end, right_ids, right_starts
+    return total + len(ids) - begun
+
+
+def _common_cut(text: str, start: int, right: int, end: int, starts: np.ndarray, right_starts: np.ndarray, begun: int
+                ) -> tuple[int, int] | None:
+    """Token numbers, in the left and the right chunk, at the middlemost proven
+    cut of their overlap at which both have a token start."""
+    cuts = stable_cuts(text, right, end)
+    lead = len(text[start:right].encode())
+    for cut in sorted(cuts, key=lambda c: abs(2 * c - right - end)):
+        at = len(text[right:cut].encode())
+        i, j = int(np.searchsorted(starts, lead + at)), int(np.searchsorted(right_starts, at))
+        if (begun <= i < len(starts) and starts[i] == lead + at
+                and j < len(right_starts) and right_starts[j] == at):
+            return i, j
+    return None
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -73,11 +88,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_bpe(data.value)
         for batch, texts in text_slices(batches, 1):
-            huge = [i for i, t in enumerate(texts) if len(t) > chunk_chars]
-            counts = bpe.count(["" if len(t) > chunk_chars else t for t in texts])
-            for i in huge:
-                counts[i] = count_by_chunks(bpe, texts[i], chunk_chars, overlap_chars)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts)], names=schema.names)
+            counts = [count_by_chunks(bpe, t, chunk_chars, overlap_chars) if len(t) > chunk_chars else len(bpe.ids(t))
+                      for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64())], names=schema.names)
 
     return docs.select(F.col(id_col), F.col(text_col).alias("text"),
                        F.octet_length(text_or_empty(text_col)).cast("long").alias("n_bytes")).mapInArrow(run, schema)
