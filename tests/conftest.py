@@ -3,6 +3,8 @@ import sys
 
 import pytest
 
+# the library leaves memory to the submitter; local tests need more than the default
+os.environ.setdefault("PYSPARK_SUBMIT_ARGS", "--driver-memory 8g pyspark-shell")
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 SF_SMALL = "/root/testdata/sf0.001"
