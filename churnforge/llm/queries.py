@@ -132,7 +132,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": r"""
         with n as (
           select doc_id, length(coalesce(text, '')) size,
-                 regexp_replace(coalesce(text, ''), '[ 	-]+', '', 'g') norm from documents),
+                 regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') norm from documents),
         w as (
           select doc_id, norm, first_value(doc_id) over (partition by norm order by size desc, doc_id) keep_id,
                  count(*) over (partition by norm) group_size from n)
@@ -140,9 +140,8 @@ ORACLE_SQL: dict[str, str] = {
     "op10_quality_rules": r"""
         with d as (
           select doc_id, coalesce(source, '') host, coalesce(text, '') t,
-                 list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), x -> x <> '') w,
-                 list_filter(string_split(coalesce(text, ''), chr(10)),
-                             x -> regexp_matches(x, '[^ 	-]')) l from documents),
+                 [x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] w,
+                 [x for x in string_split(coalesce(text, ''), chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] l from documents),
         win as (
           select doc_id, i, array_to_string(list_slice(w, i, i + 7), ' ') g
           from (select doc_id, w, unnest(range(1, len(w) - 6)) i from d where len(w) >= 8)),
@@ -151,7 +150,7 @@ ORACLE_SQL: dict[str, str] = {
             select doc_id, i, count(*) over (partition by doc_id, g) c from win), range(0, 8) s(o)
           where c > 1 group by doc_id),
         lines as (
-          select doc_id, host, t, lower(trim(regexp_replace(x, '[ 	-]+', ' ', 'g'))) line
+          select doc_id, host, t, lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))) line
           from (select doc_id, host, t, unnest(l) x from d)),
         hosts as (select host, count(distinct t) docs from d group by host),
         common as (
