@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from churnforge.functions.exprs import coerce_numeric, label_map
+from churnforge.functions.exprs import coerce_numeric, label_map, number
 from churnforge.operators.ranking import exact_quantiles
 from churnforge.operators.reshape import to_long
 
@@ -61,31 +61,32 @@ def impute_product(df: DataFrame, target: str, a: str, b: str) -> DataFrame:
 
 def median_of(df: DataFrame, col: str):
     """Exact median of a column as a lazy scalar (distributed quantile)."""
-    long = df.select(F.col(col).cast("double").alias("value"))
-    return exact_quantiles(long, [], "value", {"q50": 0.5}).select("q50").scalar()
+    return exact_quantiles(df, [], col, {"q50": 0.5}).select("q50").scalar()
 
 
 def impute_median(df: DataFrame, col: str, out: str | None = None,
                   flag: str | None = "was_missing", median_source: DataFrame | None = None) -> DataFrame:
-    """Fill nulls with the exact median of ``median_source`` (default: ``df``)."""
+    """Fill nulls and NaN with the exact median of ``median_source`` (default: ``df``)."""
     med = median_of(median_source if median_source is not None else df, col)
     res = df
     if flag:
-        res = res.withColumn(flag, F.col(col).isNull().cast("int"))
-    return res.withColumn(out or col, F.coalesce(F.col(col).cast("double"), med))
+        res = res.withColumn(flag, number(col).isNull().cast("int"))
+    return res.withColumn(out or col, F.coalesce(number(col), med))
 
 
 def validate_records(df: DataFrame, required: Sequence[str],
                      strict_numeric: Sequence[str] = ()) -> DataFrame:
     """Per-record validation columns.
 
-    missing_fields: comma list of required fields that are null.
+    missing_fields: comma list of required fields that are null or that the
+    records do not have at all.
     bad_numeric: comma list of fields whose non-null text is not a number.
     is_valid: 1 when both are empty.
     """
-    missing = F.concat_ws(",", *[F.when(F.col(c).isNull(), F.lit(c)) for c in required])
+    have = set(df.columns)
+    missing = F.concat_ws(",", *[F.when(F.col(c).isNull(), F.lit(c)) if c in have else F.lit(c) for c in required])
     bad = F.concat_ws(",", *[F.when(F.col(c).isNotNull() & coerce_numeric(c).isNull(), F.lit(c))
-                             for c in strict_numeric])
+                             for c in strict_numeric if c in have])
     return (df.withColumn("missing_fields", missing)
             .withColumn("bad_numeric", bad)
             .withColumn("is_valid", ((F.col("missing_fields") == "") &
@@ -103,19 +104,21 @@ def unknown_categories(records: DataFrame, vocab: DataFrame, cols: Sequence[str]
     return long.join(vocab.select("column", "value"), on=["column", "value"], how="left_anti")
 
 
-def distinct_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column, n_distinct) for non-null values, one pass for all columns."""
-    long = to_long(df, [], cols).where(F.col("value").isNotNull())
-    per_value = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n"))
-    return per_value.groupBy("column").agg(F.count(F.lit(1)).cast("long").alias("n_distinct"))
+def constant_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, is_constant) — constant = at most one distinct non-null value.
+
+    Smallest equals largest: one scan and one small aggregation, no shuffle
+    of the values.
+    """
+    row = df.agg(*[F.coalesce(F.min(c).eqNullSafe(F.max(c)), F.lit(True)).alias(f"_k{i}") for i, c in enumerate(cols)])
+    out = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_k{i}").cast("int").alias("is_constant"))
+                    for i, c in enumerate(cols)])
+    return row.select(F.explode(out).alias("_r")).select("_r.*")
 
 
-def constant_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column, n_distinct, is_constant) — constant = at most one distinct value."""
-    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
-    dc = names.join(distinct_counts(df, cols), on="column", how="left")
-    dc = dc.withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0)).cast("long"))
-    return dc.withColumn("is_constant", (F.col("n_distinct") <= 1).cast("int"))
+def drop_constant_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Drop those of ``cols`` that hold at most one distinct value."""
+    return df.drop(*[r["column"] for r in constant_columns(df, cols).where("is_constant = 1").collect()])
 
 
 def align_features(df: DataFrame, feature_cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:

@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnforge.functions.exprs import safe_name
+from churnforge.functions.exprs import safe_name, unique_names
 
 
 @dataclass
@@ -69,17 +69,20 @@ def apply_scaler(df: DataFrame, p: ScalerParams, suffix: str = "") -> DataFrame:
 class Vocabulary:
     cols: list[str]
     values: dict[str, list[str]] = field(default_factory=dict)   # sorted per column
+    taken: list[str] = field(default_factory=list)               # names of other feature columns
 
     def to_df(self, spark: SparkSession) -> DataFrame:
         rows = [(c, v, i) for c in self.cols for i, v in enumerate(self.values[c])]
         return spark.createDataFrame(rows, "column string, value string, idx int")
 
     def feature_names(self, drop_first: bool = True) -> list[tuple[str, str, str]]:
-        out = []
-        for c in self.cols:
-            vals = self.values[c][1:] if drop_first else self.values[c]
-            out += [(f"{c}_{safe_name(v)}", c, v) for v in vals]
-        return out
+        """(feature, column, value); names are unique even where two values, or
+        two columns and values, read alike once made into names. A value has
+        the same name whether or not the first one is dropped."""
+        every = [(c, v) for c in self.cols for v in self.values[c]]
+        names = unique_names((f"{c}_{safe_name(v)}" for c, v in every), self.taken)
+        first = {(c, self.values[c][0]) for c in self.cols if self.values[c]}
+        return [(n, c, v) for n, (c, v) in zip(names, every) if not (drop_first and (c, v) in first)]
 
 
 def vocabulary_df(train: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -92,15 +95,14 @@ def vocabulary_df(train: DataFrame, cols: Sequence[str]) -> DataFrame:
 def fit_onehot(train: DataFrame, cols: Sequence[str], max_categories: int = 1000) -> Vocabulary:
     """Sorted vocabulary per column; refuses columns above the cardinality cap
     (one-hot of an unbounded column is not a feature encoding)."""
-    v = vocabulary_df(train, cols)
-    sizes = {r["column"]: r["k"] for r in v.groupBy("column").agg(F.count(F.lit(1)).alias("k")).collect()}
-    too_big = {c: k for c, k in sizes.items() if k > max_categories}
-    if too_big:
-        raise ValueError(f"one-hot cardinality above {max_categories}: {too_big}")
     vals: dict[str, list[str]] = {c: [] for c in cols}
-    for r in v.select("column", "value").collect():
+    # one scan; a column over the cap shows itself before much is collected
+    for r in vocabulary_df(train, cols).select("column", "value").limit(len(cols) * max_categories + 1).collect():
         vals[r["column"]].append(r["value"])
-    return Vocabulary(list(cols), {c: sorted(vs) for c, vs in vals.items()})
+    too_big = [c for c, vs in vals.items() if len(vs) > max_categories]
+    if too_big:
+        raise ValueError(f"one-hot cardinality above {max_categories}: {too_big}")
+    return Vocabulary(list(cols), {c: sorted(vs) for c, vs in vals.items()}, [c for c in train.columns if c not in cols])
 
 
 def apply_onehot(df: DataFrame, vocab: Vocabulary, drop_first: bool = True,

@@ -1,175 +1,244 @@
-"""Exact k-nearest neighbours without all-pairs.
-
-1. Identical vectors collapse: inside each group of equal vectors,
-   members are ranked in md5 order (bucketed, see ranking.hash_rank),
-   and only the first k+1 act as candidates - no point needs more of a
-   group whose members are all equidistant from it. A point whose group
-   has more than k members takes the first k others (distance 0) and
-   is done, so a value shared by a third of the rows costs O(k) per row.
-2. Everything else is resolved on a grid over the g highest-variance
-   dimensions: a point meets only candidates in the 3^g cells around
-   its own (an equi-join on the cell key). The answer is final when the
-   k-th distance is strictly below the cell width w: any point outside
-   the block differs by >= w in a grid dimension. Unfinished points
-   retry with w doubled, starting from a fine grid so dense regions
-   resolve while their cells are still small; the last round (w beyond
-   the data range) covers everything, so the result is exact.
-
-Ties between equidistant neighbours are broken by md5('<seed>:' || id),
-then id.
+"""Exact k-nearest neighbours by bounded leaves.
+
+1. Equal vectors collapse to one: of each group the first k + 1 members in
+   md5 order can be anybody's neighbours (no point needs more of a group
+   whose members are all equally far from it), so a vector held by a third
+   of the rows is one vector with k + 1 members.
+2. A k-d tree over a bounded sample of the vectors cuts space into leaves;
+   every vector falls into one leaf, and a leaf's members fit one row.
+3. Every vector is compared with its own leaf. Its (k + 1)-th distance there
+   bounds how far a neighbour can be, so it visits only the other leaves
+   whose bounding box is no farther. Visits meet leaves in a plain join on
+   the leaf number (which the planner splits where many visits hit a leaf).
+4. The best k + 1 candidates of all visits are kept; each point drops itself.
+
+The answer is exact: a box that is not visited holds nothing nearer. There are
+no rounds and no cap on candidates. Ties between equidistant neighbours are
+broken by md5('<seed>:' || id), then id. A point with a null or NaN feature
+has no distance to anything: it is nobody's neighbour and comes out with one
+row whose nn_rank, nn_id and dist2 are null.
+
+With many dimensions and few points the (k + 1)-th distance is comparable to
+the spread of the data, and any exact search has to look at much of it.
 """
 
 from __future__ import annotations
 
-import itertools
-import logging
-import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnforge.functions.exprs import hash_hex
+from churnforge.functions.exprs import hash_hex, null_safe_join, number
 from churnforge.operators.ranking import hash_rank
 from churnforge.session import cut_lineage
 
-log = logging.getLogger(__name__)
-
-
-def sq_dist(a: str, b: str, cols: Sequence[str]):
-    """Squared Euclidean distance written out term by term (fixed order)."""
-    terms = [(F.col(f"{a}{c}") - F.col(f"{b}{c}")) * (F.col(f"{a}{c}") - F.col(f"{b}{c}")) for c in cols]
-    return reduce(lambda x, y: x + y, terms)
-
-
-def _top_k(pairs: DataFrame, k: int) -> DataFrame:
-    # one partition per query point: bounded by its (capped) candidate set
-    w = Window.partitionBy("pid").orderBy("dist2", "nh", "nid")
-    return pairs.withColumn("nn_rank", F.row_number().over(w)).where(F.col("nn_rank") <= k)
-
-
-def _round(active: DataFrame, cand: DataFrame, cols, dims, keys, w: float, radius: float,
-           k: int, last: bool):
-    """One blocking round: candidates in the 3^g cells around each active point
-    (and with equal ``keys`` values); returns (final answers, still active)."""
-    g = len(dims)
-    offsets = list(itertools.product((-1, 0, 1), repeat=g))
-    q = active.select("pid", *[F.col(c).alias(f"p_{c}") for c in cols],
-                      *[F.floor(F.col(c) / F.lit(w)).cast("long").alias(f"_c{i}") for i, c in enumerate(dims)],
-                      *[F.col(c).alias(f"_k{j}") for j, c in enumerate(keys)])
-    cc = [F.floor(F.col(f"n_{c}") / F.lit(w)).cast("long") for c in dims]
-    around = F.array(*[F.struct(*[(cc[i] + F.lit(o[i])).alias(f"_c{i}") for i in range(g)]) for o in offsets])
-    c2 = cand.select("nid", "nh", *[f"n_{c}" for c in cols], *[F.col(f"n_{c}").alias(f"_k{j}") for j, c in enumerate(keys)],
-                     F.explode(around).alias("_cell")).select(
-        "nid", "nh", *[f"n_{c}" for c in cols], *[f"_k{j}" for j in range(len(keys))],
-        *[F.col(f"_cell._c{i}").alias(f"_c{i}") for i in range(g)])
-    on = [f"_c{i}" for i in range(g)] + [f"_k{j}" for j in range(len(keys))]
-    pairs = (q.join(c2, on, "inner").where(F.col("pid") != F.col("nid"))
-             .select("pid", "nid", "nh", sq_dist("p_", "n_", cols).alias("dist2")))
-    topk = cut_lineage(_top_k(pairs, k))
-    if log.isEnabledFor(logging.DEBUG):   # diagnostic counts run only when asked for
-        log.debug("knn round w=%s keys=%d active=%d pairs=%d", w, len(keys), active.count(), pairs.count())
-    kth = topk.groupBy("pid").agg(F.count(F.lit(1)).alias("_got"), F.max("dist2").alias("_dk"))
-    cond = F.lit(True) if last else (F.col("_got") >= k) & (F.col("_dk") < F.lit(radius * radius))
-    done = kth.where(cond).select("pid")
-    rest = cut_lineage(active.join(done, "pid", "left_anti"))
-    # a still-active point with k candidates resolves once w exceeds its current
-    # k-th distance; the 75th percentile of those distances sizes the next round
-    nxt = (kth.join(rest, "pid", "left_semi").where(F.col("_got") >= k)
-           .agg(F.percentile_approx(F.sqrt("_dk"), 0.75, 1000).alias("p")).first()["p"])
-    return topk.join(done, "pid", "left_semi"), rest, nxt
-
-
-def exact_knn(points: DataFrame, id_col: str, cols: Sequence[str], k: int = 5,
-              grid_dims: int = 3, per_cell: float | None = None, seed: int = 42,
-              max_rounds: int = 64) -> DataFrame:
-    """(id, nn_rank 1..k, nn_id, dist2) for every point."""
+LEAF_VECTORS = 32
+TREE_SAMPLE = 200_000
+_TOP = "array<struct<dist2:double,nh:string,nid:bigint>>"
+_TOP_ARROW = pa.list_(pa.struct([("dist2", pa.float64()), ("nh", pa.string()), ("nid", pa.int64())]))
+
+
+@dataclass
+class Tree:
+    """Inner nodes split at (dimension, value); a leaf has dimension -1."""
+
+    dim: np.ndarray
+    cut: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    leaf: np.ndarray
+
+    @staticmethod
+    def build(sample: np.ndarray, leaf_size: int) -> Tree:
+        rows: list[list] = []
+        leaves = 0
+        todo = [(np.arange(len(sample)), -1, 0)]
+        while todo:
+            members, parent, side = todo.pop()
+            me = len(rows)
+            if parent >= 0:
+                rows[parent][2 + side] = me
+            points = sample[members]
+            spread = points.max(axis=0) - points.min(axis=0) if len(members) else np.zeros(sample.shape[1])
+            d = int(spread.argmax())
+            if len(members) <= leaf_size or spread[d] <= 0:
+                rows.append([-1, 0.0, -1, -1, leaves])
+                leaves += 1
+                continue
+            values = np.sort(points[:, d])
+            cut = values[len(values) // 2]
+            if cut == values[0]:               # at least one value goes to each side
+                cut = values[values > values[0]][0]
+            rows.append([d, float(cut), -1, -1, -1])
+            low = points[:, d] < cut
+            todo += [(members[low], me, 0), (members[~low], me, 1)]
+        cols = list(zip(*rows))
+        return Tree(*(np.array(cols[i], float if i == 1 else np.int64) for i in range(5)))
+
+    def leaves_of(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x), np.int64)
+        todo = [(0, np.arange(len(x)))]
+        while todo:
+            node, at = todo.pop()
+            if not len(at):
+                continue
+            if self.dim[node] < 0:
+                out[at] = self.leaf[node]
+                continue
+            low = x[at, self.dim[node]] < self.cut[node]
+            todo += [(self.left[node], at[low]), (self.right[node], at[~low])]
+        return out
+
+
+def _sq(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances, summed column by column in order (as the SQL does)."""
+    total = np.zeros(np.broadcast_shapes(x.shape[:-1], y.shape[:-1]))
+    for j in range(x.shape[-1]):
+        d = x[..., j] - y[..., j]
+        total = total + d * d
+    return total
+
+
+class _Boxes:
+    """Bounding boxes of the leaves' real members, and of every inner node."""
+
+    def __init__(self, tree: Tree, low: np.ndarray, high: np.ndarray):
+        self.tree, n, d = tree, len(tree.dim), low.shape[1]
+        self.low, self.high = np.full((n, d), np.inf), np.full((n, d), -np.inf)
+        for node in range(n - 1, -1, -1):       # children come after their parents
+            if tree.dim[node] < 0:
+                self.low[node], self.high[node] = low[tree.leaf[node]], high[tree.leaf[node]]
+            else:
+                kids = [tree.left[node], tree.right[node]]
+                self.low[node], self.high[node] = self.low[kids].min(axis=0), self.high[kids].max(axis=0)
+
+    def visits(self, x: np.ndarray, bound2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) of every leaf whose box is within a row's bound."""
+        rows, leaves, todo = [], [], [(0, np.arange(len(x)))]
+        while todo:
+            node, at = todo.pop()
+            gap = np.maximum(np.maximum(self.low[node] - x[at], x[at] - self.high[node]), 0)
+            # the sum here may round differently from the distances: leave a little room
+            at = at[(gap * gap).sum(axis=1) <= bound2[at] * (1 + 1e-9)]
+            if not len(at):
+                continue
+            if self.tree.dim[node] < 0:
+                rows.append(at)
+                leaves.append(np.full(len(at), self.tree.leaf[node]))
+            else:
+                todo += [(self.tree.left[node], at), (self.tree.right[node], at)]
+        if not rows:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate(rows), np.concatenate(leaves)
+
+
+def _compare(dims: int, k: int):
+    """Visits (vid, x, flat, sizes, nh, nid) -> (vid, top): the k nearest members
+    of the visited leaf, by (distance, hash, id). ``flat`` holds the leaf's
+    vectors end to end, ``sizes`` how many members each of them has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tops = []
+            for x, flat, sizes, nh, nid in zip(*(batch.column(i).to_pylist() for i in range(1, 6))):
+                d2 = _sq(np.array(flat, float).reshape(-1, dims), np.array(x, float))
+                ends = np.cumsum(sizes)
+                near = np.flatnonzero(d2 <= _kth(d2, k))
+                found = sorted((float(d2[v]), nh[m], nid[m]) for v in near for m in range(ends[v] - sizes[v], ends[v]))
+                tops.append([{"dist2": d, "nh": h, "nid": i} for d, h, i in found[:k]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tops, _TOP_ARROW)], names=["vid", "top"])
+
+    return run
+
+
+def _kth(d2: np.ndarray, k: int) -> float:
+    return np.inf if len(d2) <= k else np.partition(d2, k - 1)[k - 1]
+
+
+def exact_knn(points: DataFrame, id_col: str, cols: Sequence[str], k: int = 5, seed: int = 42,
+              leaf_vectors: int = LEAF_VECTORS, tree_sample: int = TREE_SAMPLE) -> DataFrame:
+    """(id, nn_rank 1..k, nn_id, dist2) for every point.
+
+    tree_sample bounds the vectors the driver sees to place the tree's cuts;
+    the cuts decide only how the work is dealt, never the result.
+    """
     cols = list(cols)
     spark = points.sparkSession
-    pts = points.select(F.col(id_col).alias("pid"), *[F.col(c).cast("double").alias(c) for c in cols])
-    stats = pts.agg(F.count(F.lit(1)).alias("n"),
-                    *[F.variance(c).alias(f"v_{i}") for i, c in enumerate(cols)],
-                    *[F.min(c).alias(f"lo_{i}") for i, c in enumerate(cols)],
-                    *[F.max(c).alias(f"hi_{i}") for i, c in enumerate(cols)]).first()
-    n = stats["n"]
-    empty = spark.createDataFrame([], "id long, nn_rank int, nn_id long, dist2 double")
-    if n <= 1:
-        return empty
-    k_eff = min(k, n - 1)
-
-    # -- 1. duplicate groups -------------------------------------------------
-    ranked = hash_rank(pts, cols, "pid", seed, rank_col="_dr")
-    sizes = pts.groupBy(*cols).agg(F.count(F.lit(1)).alias("_m"))
-    ranked = ranked.join(sizes, cols).withColumn("_h", hash_hex("pid", seed))
-    ranked = cut_lineage(ranked)
-    cand = ranked.where(F.col("_dr") <= k_eff).select(
-        F.col("pid").alias("nid"), F.col("_h").alias("nh"), *[F.col(c).alias(f"n_{c}") for c in cols])
-    n_distinct = sizes.count()
-
-    big = ranked.where(F.col("_m") > k_eff)
-    found = []
-    if not big.isEmpty():
-        own = big.select("pid", *cols).join(
-            cand.select("nid", "nh", *[F.col(f"n_{c}").alias(c) for c in cols]), cols)
-        own = own.where(F.col("pid") != F.col("nid")).select("pid", "nid", "nh", F.lit(0.0).alias("dist2"))
-        found.append(_top_k(own, k_eff))
-
-    # -- 2. grid rounds for the rest -----------------------------------------
-    # cells are sized from the inter-quartile spread (where the points are),
-    # not the full range, so heavy tails do not leave the bulk in a few cells
-    qs = pts.agg(*[F.percentile_approx(c, [0.25, 0.75], 1000).alias(f"q_{i}") for i, c in enumerate(cols)],
-                 *[F.count(F.when((F.col(c) != stats[f"lo_{i}"]) & (F.col(c) != stats[f"hi_{i}"]), 1))
-                   .alias(f"o_{i}") for i, c in enumerate(cols)]).first()
-    iqr = {c: (qs[f"q_{i}"][1] - qs[f"q_{i}"][0]) if qs[f"q_{i}"] else 0.0 for i, c in enumerate(cols)}
-    rng = {c: (stats[f"hi_{i}"] or 0) - (stats[f"lo_{i}"] or 0) for i, c in enumerate(cols)}
-    # two-valued columns (one-hot): points differing in one are >= its gap apart
-    binary = [c for i, c in enumerate(cols) if rng[c] > 0 and qs[f"o_{i}"] == 0]
-    numeric = [c for c in cols if c not in binary and rng[c] > 0]
-    log.debug("knn binary=%s numeric=%s", binary, numeric)
-    active = ranked.where(F.col("_m") <= k_eff).select("pid", *cols)
-    active = cut_lineage(active)
-    per_cell = per_cell or 2.0 * (k_eff + 1)
-    nxt = None
-
-    def grid_plan(dims, n_blocks, extra_dims=False):
-        n_dims = grid_dims + 2 if extra_dims else grid_dims
-        dims = sorted(dims, key=lambda c: (-iqr[c], -rng[c], cols.index(c)))[:n_dims] or [cols[0]]
-        spread = {c: (iqr[c] if iqr[c] > 0 else rng[c]) or 1e-12 for c in dims}
-        w0 = (math.prod(spread.values()) * per_cell * n_blocks / max(n_distinct / 2.0 ** len(dims), 1)) \
-            ** (1.0 / len(dims))
-        return dims, w0
-
-    if binary and numeric:
-        # phase 1: exact binary pattern + grid on numeric columns, resolved
-        # while d_k < min(w, smallest binary gap)
-        gap = min(rng[c] for c in binary)
-        n_pat = ranked.select(*binary).distinct().count()
-        dims, w = grid_plan(numeric, n_pat)
-        w = min(w, gap)
-        while not active.isEmpty():
-            res, active, nxt = _round(active, cand, cols, dims, binary, w, min(w, gap), k_eff, False)
-            found.append(res)
-            if w >= gap:
-                break
-            w = min(2.0 * w, gap)
-    # phase 2 (cross-pattern): grid on the numeric columns only when binary
-    # ones exist (they cannot prune once w >= their gap); leftovers of phase 1
-    # all have d_k >= gap, so narrower rounds would be wasted
-    dims, w = grid_plan(numeric or [c for c in cols if rng[c] > 0], 1)
-    if binary and numeric:
-        w = max(w, gap * 1.0001, 1.0001 * (nxt or 0.0))
-    full = 2.0 * max(rng[c] for c in dims) if dims else 0.0
-    for _ in range(max_rounds):
-        if active.isEmpty():
-            break
-        last = w > full
-        res, active, nxt = _round(active, cand, cols, dims, [], w, w, k_eff, last)
-        found.append(res)
-        if last:
-            break
-        w = max(2.0 * w, 1.0001 * (nxt or 0.0))
-    if not found:
-        return empty
-    res = reduce(lambda a, b: a.unionByName(b), found)
-    return res.select(F.col("pid").alias("id"), F.col("nn_rank").cast("int"), F.col("nid").alias("nn_id"), "dist2")
+    given = points.select(F.col(id_col).cast("long").alias("pid"), *[number(c).alias(c) for c in cols])
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
+    pts = cut_lineage(given.where(whole))
+    broken = given.where(~whole).select(
+        F.col("pid").alias("id"), F.lit(None).cast("int").alias("nn_rank"), F.lit(None).cast("long").alias("nn_id"),
+        F.lit(None).cast("double").alias("dist2"))
+
+    # -- 1. one row per distinct vector, with its first k + 1 members -------------
+    firsts = hash_rank(pts, cols, "pid", seed, rank_col="_r").where(F.col("_r") <= k)
+    vectors = (firsts.withColumn("nh", hash_hex("pid", seed)).groupBy(*cols)
+               .agg(F.sort_array(F.collect_list(F.struct("nh", F.col("pid").alias("nid")))).alias("members")))
+    vectors = cut_lineage(vectors.select(F.col("members")[0]["nid"].alias("vid"), "members", F.array(*cols).alias("x"), *cols))
+    n = vectors.count()
+    if n == 0:
+        return broken
+
+    # -- 2. the tree and the leaves ---------------------------------------------
+    share = min(1.0, tree_sample / n)
+    picked = vectors.where(F.pmod(F.xxhash64("vid"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    sample = np.array([r["x"] for r in picked.select("x").orderBy("vid").limit(tree_sample).collect()], float)
+    tree = spark.sparkContext.broadcast(Tree.build(sample.reshape(-1, len(cols)), max(1, int(leaf_vectors * share))))
+
+    @F.pandas_udf("bigint")
+    def leaf_of(x: pd.Series) -> pd.Series:
+        return pd.Series(tree.value.leaves_of(np.array(x.tolist(), float).reshape(-1, len(cols))))
+
+    placed = cut_lineage(vectors.select("vid", "x", "members", *cols, leaf_of("x").alias("leaf")))
+    leaves = placed.groupBy("leaf").agg(F.collect_list(F.struct("x", "members")).alias("_v"))
+    leaf_parts = ["flat", "sizes", "nh", "nid"]
+    leaves = cut_lineage(leaves.select(
+        "leaf", F.flatten("_v.x").alias("flat"), F.transform("_v", lambda v: F.size(v["members"])).alias("sizes"),
+        F.flatten(F.transform("_v", lambda v: v["members"]["nh"])).alias("nh"),
+        F.flatten(F.transform("_v", lambda v: v["members"]["nid"])).alias("nid")))
+    edges = placed.groupBy("leaf").agg(*[F.min(c).alias(f"l{i}") for i, c in enumerate(cols)],
+                                       *[F.max(c).alias(f"h{i}") for i, c in enumerate(cols)]).collect()
+    low, high = (np.full((int(tree.value.leaf.max()) + 1, len(cols)), s) for s in (np.inf, -np.inf))
+    for r in edges:                            # at most one row a leaf of the bounded tree
+        low[r["leaf"]] = [r[f"l{i}"] for i in range(len(cols))]
+        high[r["leaf"]] = [r[f"h{i}"] for i in range(len(cols))]
+    boxes = spark.sparkContext.broadcast(_Boxes(tree.value, low, high))
+
+    # -- 3. own leaf, then every leaf within the bound ----------------------------
+    want = k + 1                               # a member may find itself among them
+    schema, compare = f"vid bigint, top {_TOP}", _compare(len(cols), want)
+    own = cut_lineage(placed.select("vid", "x", "leaf").join(leaves, "leaf")
+                      .select("vid", "x", *leaf_parts).mapInArrow(compare, schema))
+
+    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            x = np.array(f["x"].tolist(), float).reshape(-1, len(cols))
+            bound = np.array([np.inf if b is None or np.isnan(b) else b for b in f["bound"]], float)
+            row, leaf = boxes.value.visits(x, bound)
+            other = leaf != f["leaf"].to_numpy()[row]
+            row, leaf = row[other], leaf[other]
+            yield pd.DataFrame({"vid": f["vid"].to_numpy()[row], "x": f["x"].to_numpy()[row], "leaf": leaf})
+
+    bound = F.when(F.size("top") >= want, F.element_at("top", -1)["dist2"]).alias("bound")
+    visits = (placed.select("vid", "x", "leaf").join(own.select(F.col("vid").alias("v"), bound), F.col("vid") == F.col("v"))
+              .select("vid", "x", "leaf", "bound").mapInPandas(spread, "vid bigint, x array<double>, leaf bigint"))
+    away = visits.join(leaves, "leaf").select("vid", "x", *leaf_parts).mapInArrow(compare, schema)
+
+    # -- 4. best of all visits; each point drops itself ---------------------------
+    # a vector's lists are as many as its visits, each of at most k + 1 entries
+    best = own.unionByName(away).groupBy("vid").agg(
+        F.slice(F.sort_array(F.flatten(F.collect_list("top"))), 1, want).alias("top"))
+    answers = cut_lineage(best.join(vectors.select(F.col("vid").alias("v"), *cols), F.col("vid") == F.col("v"))
+                          .select("top", *cols))
+    mine = null_safe_join(pts, answers, cols)
+    others = F.slice(F.filter("top", lambda t: t["nid"] != F.col("pid")), 1, k)
+    found = mine.select("pid", F.posexplode(others).alias("_r", "t"))
+    return found.select(F.col("pid").alias("id"), (F.col("_r") + 1).alias("nn_rank"), F.col("t.nid").alias("nn_id"),
+                        F.col("t.dist2").alias("dist2")).unionByName(broken)

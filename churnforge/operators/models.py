@@ -7,34 +7,56 @@ class-1 precision/recall/F1 and exact AUC are defined once.
 
 from __future__ import annotations
 
+import itertools
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+from pyspark.ml import Estimator
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnforge.operators import evaluate as EV
+from churnforge.session import cut_lineage
 
 SEED = 42
 # Execution-only settings for tree learners (the fitted model is unchanged):
 # a larger node-statistics budget means fewer passes over the data per level;
 # deep forests also cache node ids between levels instead of re-walking trees.
-# Measured at sf0.1: RF 126 s -> 32 s, GBT 102 s -> 39 s.
 TREE_EXEC = {"maxMemoryInMB": 1024}
 FOREST_EXEC = {"cacheNodeIds": True, "maxMemoryInMB": 1024, "checkpointInterval": 10}
 
+# The parameter grids that are searched. The small ones (3 folds,
+# AUC) tune the chosen learner; the full ones (5 folds, F1) search a learner on
+# its own. Depth 30 stands for unlimited. Minimum split sizes, column sampling per
+# tree and leaf regularisation have no counterpart in Spark ML; where a grid of
+# these had several points, the points that would coincide here are left out.
+SMALL_GRIDS: dict[str, list[dict]] = {
+    "random_forest": [{"numTrees": 100, "maxDepth": 30}, {"numTrees": 100, "maxDepth": 10}],
+    "gbt": [{"maxIter": 100, "maxDepth": 3}, {"maxIter": 100, "maxDepth": 5}],
+    "logistic_regression": [{"regParam": 0.0}, {"regParam": 0.01}],
+}
+
+
+def _points(**values: list) -> list[dict]:
+    return [dict(zip(values, point)) for point in itertools.product(*values.values())]
+
+
+FULL_GRIDS: dict[str, list[dict]] = {
+    "random_forest": _points(numTrees=[100, 200], maxDepth=[5, 10, 30], minInstancesPerNode=[1, 2]),
+    "gbt": _points(maxIter=[100, 200], maxDepth=[3, 5, 7], stepSize=[0.1, 0.2], subsamplingRate=[0.8, 1.0]),
+    "gbt_categorical": _points(maxIter=[100, 200], maxDepth=[3, 5, 7], stepSize=[0.1, 0.2]),
+}
+
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep").transform(df)
 
 
-def estimators(label: str = "label") -> dict:
+def estimators(label: str = "label") -> dict[str, Estimator]:
     """The compared learners (reference: forest, boosted trees; plus LR)."""
     return {
         "random_forest": RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=100,
@@ -52,42 +74,91 @@ def score(model, df: DataFrame, keep: Sequence[str] = ("id", "label")) -> DataFr
                       vector_to_array("probability")[1].alias("probability"))
 
 
-def model_comparison(train: DataFrame, test: DataFrame, ests: dict, label: str = "label") -> DataFrame:
-    """Fit each estimator on train, score test; metrics rounded to 4 places
-    plus wall-clock fit and inference time around an action."""
-    spark = train.sparkSession
+def _metrics(scored: DataFrame, group: Sequence[str], label: str) -> DataFrame:
+    """accuracy, class-1 precision, recall, F1 and AUC per group."""
+    rep = EV.classification_report(scored, group, label, "prediction")
+    one = rep.where(F.col("class") == "1").select(*group, "precision", "recall", "f1")
+    acc = rep.where(F.col("class") == "accuracy").select(*group, F.col("precision").alias("accuracy"))
+    auc = EV.roc_auc(scored.withColumnRenamed("probability", "score"), group, label, "score")
+    return one.join(acc, list(group)).join(auc, list(group))
+
 
-    def run(item):
-        order, (name, est) = item
+def compare(parts: dict[str, DataFrame], ests: dict[str, Estimator], label: str = "label",
+            id_col: str = "id") -> tuple[DataFrame, dict]:
+    """Fit each estimator on parts['train'], score every part once, measure all.
+
+    parts: 'train', 'valid' and 'test' with features, label and id. Returns the
+    table (model, model_order, train_accuracy, valid_auc, valid_f1, test
+    accuracy/precision/recall/f1/auc rounded to 4, train_time, inference_time)
+    and the fitted models. inference_time is the wall time of scoring the test
+    part into a sink that keeps nothing.
+    """
+    spark = parts["train"].sparkSession
+    times, scored, models = [], None, {}
+    # one after the other: each fit already fills the executors with its own tasks
+    for order, (name, est) in enumerate(ests.items()):
         t0 = time.time()
-        model = est.fit(train)
+        model = models[name] = est.fit(parts["train"])
         t_fit = time.time() - t0
         t0 = time.time()
-        s = score(model, test, ("id", label)).withColumn("model", F.lit(name)) \
-            .withColumn("model_order", F.lit(order))
-        s.select(F.count(F.lit(1))).first()
-        return (name, order, t_fit, time.time() - t0), s
-
-    # sequential: each fit already fills the executors with its own tasks
-    results = [run(item) for item in enumerate(ests.items())]
-    rows = [r for r, _ in results]
-    scored = [s for _, s in results]
-    allsc = scored[0]
-    for s in scored[1:]:
-        allsc = allsc.unionByName(s)
-    rep = EV.classification_report(allsc, ["model"], label, "prediction").where(F.col("class") == "1")
-    acc = EV.accuracy(allsc, ["model"], label, "prediction")
-    auc = EV.roc_auc(allsc.withColumnRenamed("probability", "score"), ["model"], label, "score")
-    times = spark.createDataFrame(rows, "model string, model_order int, train_time double, inference_time double")
-    res = (times.join(acc, "model").join(rep.select("model", "precision", "recall", "f1"), "model")
-           .join(auc, "model"))
-    return res.select("model", "model_order", *[F.round(c, 4).alias(c) for c in
-                                                  ["accuracy", "precision", "recall", "f1", "auc"]],
-                      "train_time", "inference_time")
+        score(model, parts["test"], (id_col, label)).write.format("noop").mode("overwrite").save()
+        times.append((name, order, t_fit, time.time() - t0))
+        for part, df in parts.items():
+            s = score(model, df, (label,)).select(F.lit(name).alias("model"), F.lit(part).alias("part"),
+                                                  label, "prediction", "probability")
+            scored = s if scored is None else scored.unionByName(s)
+    m = cut_lineage(_metrics(cut_lineage(scored), ["model", "part"], label))
+    t = spark.createDataFrame(times, "model string, model_order int, train_time double, inference_time double")
+    test = m.where("part = 'test'").select("model", "accuracy", "precision", "recall", "f1", "auc")
+    train = m.where("part = 'train'").select("model", F.col("accuracy").alias("train_accuracy"))
+    valid = m.where("part = 'valid'").select("model", F.col("auc").alias("valid_auc"), F.col("f1").alias("valid_f1"))
+    res = t.join(test, "model").join(train, "model").join(valid, "model")
+    cols = ["train_accuracy", "valid_auc", "valid_f1", "accuracy", "precision", "recall", "f1", "auc"]
+    return res.select("model", "model_order", *[F.round(c, 4).alias(c) for c in cols],
+                      "train_time", "inference_time"), models
+
+
+def search(train: DataFrame, fold_col: str, est: Estimator, grid: Sequence[dict], metric: str = "auc",
+           features: Sequence[str] | None = None, resample: Callable[[DataFrame], DataFrame] | None = None,
+           label: str = "label") -> DataFrame:
+    """Grid search with k-fold CV on a precomputed (stratified) fold column.
+
+    (point, params, fold, n, metric value, mean, is_best): metric is 'auc',
+    'f1' or 'accuracy' of the held-out fold; the best mean wins, of equal ones
+    the first point. With ``resample`` the training part of every fold is
+    resampled and the held-out part never is, so no synthetic row is built from
+    a validation row (``features`` are then assembled anew). All folds' scores
+    go into one table and are measured together.
+    """
+    folds = sorted(r[0] for r in train.select(fold_col).distinct().collect())
+    scored = None
+    for f in folds:
+        fit_part, held = train.where(F.col(fold_col) != f), train.where(F.col(fold_col) == f)
+        if resample is not None:
+            fit_part, held = assemble(resample(fit_part), features), assemble(held, features)
+        for i, params in enumerate(grid):
+            model = est.copy({est.getParam(k): v for k, v in params.items()}).fit(fit_part)
+            s = score(model, held, (label,)).select(F.lit(i).alias("point"), F.lit(f).alias("fold"), label,
+                                                    "prediction", "probability")
+            scored = s if scored is None else scored.unionByName(s)
+    scored = cut_lineage(scored)
+    m = _metrics(scored, ["point", "fold"], label).select("point", "fold", F.col(metric).alias(metric))
+    sizes = scored.groupBy("point", "fold").agg(F.count(F.lit(1)).alias("n"))
+    per_fold = cut_lineage(m.join(sizes, ["point", "fold"]))
+    mean = per_fold.groupBy("point").agg(F.avg(metric).alias(f"mean_{metric}"))
+    best = mean.agg(F.max_by("point", F.struct(f"mean_{metric}", -F.col("point")))).first()[0]
+    names = F.array(*[F.lit(",".join(f"{k}={v}" for k, v in sorted(p.items()))) for p in grid])
+    return per_fold.join(mean, "point").select(
+        "point", F.element_at(names, F.col("point") + 1).alias("params"), "fold", "n", metric, f"mean_{metric}",
+        (F.col("point") == best).alias("is_best"))
+
+
+def best_params(table: DataFrame, grid: Sequence[dict]) -> dict:
+    return grid[table.where("is_best").first()["point"]]
 
 
 def tree_importance(model, names: Sequence[str], spark: SparkSession) -> DataFrame:
-    """(feature, importance) from the normalised impurity gain vector."""
+    """(feature, importance) from the normalised impurity gain vector, all features."""
     imp = model.featureImportances.toArray().tolist()
     return spark.createDataFrame([(n, float(v)) for n, v in zip(names, imp)], "feature string, importance double")
 
@@ -98,56 +169,10 @@ def lr_coefficients(model, names: Sequence[str], spark: SparkSession) -> DataFra
     return df.withColumn("abs_coefficient", F.abs("coefficient"))
 
 
-def cv_grid(train: DataFrame, fold_col: str, label: str = "label", parallelism: int = 2) -> tuple:
-    """Grid search with k-fold CV on a precomputed (stratified) fold column.
-
-    Returns (fitted CrossValidatorModel, table of param point -> mean AUC).
-    """
-    gbt = GBTClassifier(labelCol=label, featuresCol="features", seed=SEED, stepSize=0.3, **TREE_EXEC)
-    # two grid points, as in the reference's backend tuning step
-    grid = ParamGridBuilder().addGrid(gbt.maxDepth, [3, 5]).addGrid(gbt.maxIter, [20]).build()
-    ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction",
-                                       metricName="areaUnderROC", numBins=0)
-    cv = CrossValidator(estimator=gbt, estimatorParamMaps=grid, evaluator=ev, foldCol=fold_col,
-                        parallelism=parallelism, seed=SEED)
-    m = cv.fit(train)
-    rows = []
-    for i, (pm, metric) in enumerate(zip(grid, m.avgMetrics)):
-        desc = ",".join(f"{p.name}={v}" for p, v in sorted(pm.items(), key=lambda kv: kv[0].name))
-        rows.append((i, desc, float(metric)))
-    table = train.sparkSession.createDataFrame(rows, "point int, params string, mean_auc double")
-    return m, table
-
-
-def gbt_categorical(train: DataFrame, valid_col: str, label: str = "label", max_iter: int = 700,
-                    step: float = 0.05, depth: int = 6):
-    """Boosting with early stopping on a validation subset (not the test set)."""
-    return GBTClassifier(labelCol=label, featuresCol="features", maxIter=max_iter, stepSize=step,
-                         maxDepth=depth, seed=SEED, validationIndicatorCol=valid_col,
-                         validationTol=0.01, **TREE_EXEC).fit(train)
-
-
-def cv_grid_resampled(train: DataFrame, features: Sequence[str], fold_col: str, n_folds: int,
-                      grid: Sequence[dict], resample, label: str = "label") -> DataFrame:
-    """Grid search with k-fold CV where the training part of every fold is
-    resampled (``resample(df) -> df``) and the held-out fold never is, so no
-    synthetic row is built from a validation row. Returns one row per
-    (point, fold) with the held-out AUC, plus the mean per point."""
-    spark = train.sparkSession
-    parts = []
-    for f in range(n_folds):
-        fit_part = resample(train.where(F.col(fold_col) != f))
-        fit_vec = assemble(fit_part, features).select(label, "features")
-        held = assemble(train.where(F.col(fold_col) == f), features)
-        for i, params in enumerate(grid):
-            model = GBTClassifier(labelCol=label, featuresCol="features", seed=SEED, **params, **TREE_EXEC).fit(fit_vec)
-            s = score(model, held, (label,)).withColumnRenamed("probability", "score")
-            auc = EV.roc_auc(s, [], label, "score").select(
-                F.lit(i).alias("point"), F.lit(",".join(f"{k}={v}" for k, v in sorted(params.items()))).alias("params"),
-                F.lit(f).alias("fold"), "auc")
-            parts.append(auc)
-    per_fold = parts[0]
-    for p in parts[1:]:
-        per_fold = per_fold.unionByName(p)
-    mean = per_fold.groupBy("point", "params").agg(F.avg("auc").alias("mean_auc"))
-    return per_fold.join(mean, ["point", "params"])
+def model_importance(model, names: Sequence[str], spark: SparkSession) -> DataFrame:
+    """(feature, importance, signed) of any compared learner: impurity gain for
+    tree learners, absolute coefficients (with sign) for the linear one."""
+    if hasattr(model, "featureImportances"):
+        return tree_importance(model, names, spark).withColumn("signed", F.lit(None).cast("double"))
+    return lr_coefficients(model, names, spark).select(
+        "feature", F.col("abs_coefficient").alias("importance"), F.col("coefficient").alias("signed"))

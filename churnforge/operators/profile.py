@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnforge.operators.ranking import exact_quantiles
+from churnforge.functions.exprs import null_safe_join, number
+from churnforge.operators.ranking import exact_quantiles, small_table
 from churnforge.operators.reshape import to_long
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
@@ -27,10 +28,10 @@ def _stack(row_df: DataFrame, cols: Sequence[str], stats: Sequence[str]) -> Data
 
 
 def describe_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """count, mean, std (n-1), min, exact quartiles, max per column."""
+    """count, mean, std (n-1), min, exact quartiles, max per column; NaN is missing."""
     aggs = []
     for c in cols:
-        x = F.col(c).cast("double")
+        x = number(c)
         aggs += [F.count(x).alias(f"count__{c}"), F.avg(x).alias(f"mean__{c}"),
                  F.stddev_samp(x).alias(f"std__{c}"), F.min(x).alias(f"min__{c}"),
                  F.max(x).alias(f"max__{c}")]
@@ -41,17 +42,19 @@ def describe_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Bias-adjusted sample skewness G1 and excess kurtosis G2 (pandas)."""
+    """Bias-adjusted sample skewness G1 and excess kurtosis G2 (pandas: 0 for a
+    constant column with enough values)."""
     aggs = []
     for c in cols:
-        x = F.col(c).cast("double")
+        x = number(c)
         aggs += [F.count(x).alias(f"n__{c}"), F.skewness(x).alias(f"g1__{c}"),
-                 F.kurtosis(x).alias(f"g2__{c}")]
-    m = _stack(df.agg(*aggs), cols, ["n", "g1", "g2"])
+                 F.kurtosis(x).alias(f"g2__{c}"), (F.min(x) == F.max(x)).alias(f"flat__{c}")]
+    m = _stack(df.agg(*aggs), cols, ["n", "g1", "g2", "flat"])
     n = F.col("n").cast("double")
     g1 = F.when(n > 2, F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2))
     g2 = F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6))
-    return m.select("column", g1.alias("skewness"), g2.alias("kurtosis"))
+    return m.select("column", F.when((n > 2) & F.col("flat"), 0.0).otherwise(g1).alias("skewness"),
+                    F.when((n > 3) & F.col("flat"), 0.0).otherwise(g2).alias("kurtosis"))
 
 
 def column_overview(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False,
@@ -73,7 +76,8 @@ def column_overview(df: DataFrame, cols: Sequence[str] | None = None, approx: bo
         per_value = (long.where(F.col("value").isNotNull())
                      .groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n")))
         uniq = per_value.groupBy("column").agg(F.count(F.lit(1)).cast("long").alias("n_unique"))
-    miss = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(f"n_missing__{c}") for c in cols])
+    gone = {c: F.col(c).isNull() | F.isnan(c) if types[c] in ("double", "float") else F.col(c).isNull() for c in cols}
+    miss = df.agg(*[F.count(F.when(gone[c], 1)).alias(f"n_missing__{c}") for c in cols])
     miss = _stack(miss, cols, ["n_missing"])
     dtypes = df.sparkSession.createDataFrame([(c, types[c]) for c in cols], "column string, dtype string")
     out = dtypes.join(miss, "column").join(uniq, "column", "left")
@@ -92,7 +96,7 @@ def unique_profile(df: DataFrame, cols: Sequence[str], max_list: int = 12,
     counts = dv.groupBy("column").agg(F.count(F.lit(1)).cast("long").alias("n_unique"))
     small = counts.where(F.col("n_unique") <= max_list)
     # only columns with <= max_list values are collected: bounded lists
-    listed = (dv.join(F.broadcast(small.select("column")), "column")
+    listed = (dv.join(small.select("column"), "column")
               .groupBy("column")
               .agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias("values")))
     return counts.join(listed, "column", "left").select("column", "n_unique", "values")
@@ -148,46 +152,40 @@ def category_odds(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
 def boxplot_stats(df: DataFrame, cols: Sequence[str], label: str | None = None,
                   whisker: float = 1.5) -> DataFrame:
     """Quartiles, IQR fences, whisker ends (farthest points inside the
-    fences) and outlier counts per column, overall and per label.
+    fences) and outlier counts per column, overall (``overall`` = 1, ``group``
+    null) and per non-null label value.
 
-    Values collapse to (column, group, value, count) before anything else;
-    the overall group is the sum of the label groups, never a second copy
-    of the rows.
+    The overall group is a flag, not a reserved label, so no label value can
+    be taken for it. Rows stay where they are: quartiles come from sketches
+    and narrow intervals, fences from a table of one row a (column, group).
     """
-    ids = [label] if label else []
-    long = to_long(df, ids, cols, "double").where(F.col("value").isNotNull())
-    if label:
-        by = (long.where(F.col(label).isNotNull())
-              .groupBy("column", F.col(label).cast("string").alias("grp"), "value")
-              .agg(F.count(F.lit(1)).alias("cnt")))
-        nolab = (long.where(F.col(label).isNull()).groupBy("column", "value")
-                 .agg(F.count(F.lit(1)).alias("cnt")).withColumn("grp", F.lit(None).cast("string")))
-        allg = (by.unionByName(nolab).groupBy("column", "value").agg(F.sum("cnt").alias("cnt"))
-                .withColumn("grp", F.lit("all")))
-        g = by.unionByName(allg)
-    else:
-        g = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt")).withColumn("grp", F.lit("all"))
-    q = exact_quantiles(g, ["column", "grp"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75},
-                        weight_col="cnt")
-    q = (q.withColumn("iqr", F.col("q3") - F.col("q1"))
-         .withColumn("lower_fence", F.col("q1") - whisker * F.col("iqr"))
-         .withColumn("upper_fence", F.col("q3") + whisker * F.col("iqr")))
-    # quantile table has one row per (column, group): bounded, broadcast
-    j = g.join(F.broadcast(q.select("column", "grp", "lower_fence", "upper_fence")), ["column", "grp"])
+    long = to_long(df, [label] if label else [], cols, "double")
+    long = long.withColumn("value", number("value")).where(F.col("value").isNotNull())
+    own = F.struct(F.lit(0).alias("overall"), F.col(label).cast("string").alias("grp")) if label else None
+    both = F.array(F.struct(F.lit(1).alias("overall"), F.lit(None).cast("string").alias("grp")),
+                   *([own] if label else []))
+    g = long.select("column", "value", F.explode(both).alias("_g")).select("column", "value", "_g.*")
+    g = g.where((F.col("overall") == 1) | F.col("grp").isNotNull())
+    keys = ["column", "overall", "grp"]
+    q = exact_quantiles(g, keys, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    q = small_table(q.withColumn("iqr", F.col("q3") - F.col("q1"))
+                    .withColumn("lower_fence", F.col("q1") - whisker * F.col("iqr"))
+                    .withColumn("upper_fence", F.col("q3") + whisker * F.col("iqr")))
+    j = null_safe_join(g, q.select(*keys, "lower_fence", "upper_fence"), keys)
     inside = (F.col("value") >= F.col("lower_fence")) & (F.col("value") <= F.col("upper_fence"))
-    w = j.groupBy("column", "grp").agg(
-        F.sum("cnt").alias("n"),
+    w = j.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
         F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
-        F.coalesce(F.sum(F.when(~inside, F.col("cnt"))), F.lit(0)).alias("n_outliers"))
-    return q.join(w, ["column", "grp"]).select(
-        "column", F.col("grp").alias("group"), F.col("n").cast("long").alias("n"), "q1", "median", "q3", "iqr",
+        F.count(F.when(~inside, 1)).alias("n_outliers"))
+    return null_safe_join(q, w, keys).select(
+        "column", "overall", F.col("grp").alias("group"), F.col("n").cast("long").alias("n"), "q1", "median", "q3", "iqr",
         "lower_fence", "upper_fence", "whisker_low", "whisker_high", F.col("n_outliers").cast("long").alias("n_outliers"))
 
 
 def histogram_by_label(df: DataFrame, col: str, label: str, bins: int = 10) -> DataFrame:
     """Equal-width bins over [min, max] (last bin closed) stacked by label."""
-    x = F.col(col).cast("double")
+    x = number(col)
     rng = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
     lo = rng.select("lo").scalar()
     hi = rng.select("hi").scalar()
@@ -215,12 +213,13 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], upper: bool = False) -> Data
     return row.select(F.explode(F.array(*structs)).alias("_r")).select("_r.*")
 
 
-def label_correlation(df: DataFrame, cols: Sequence[str], label: str, k: int = 10) -> DataFrame:
-    """Features ranked by signed Pearson r with the label (desc), top k."""
+def label_correlation(df: DataFrame, cols: Sequence[str], label: str, k: int | None = 10) -> DataFrame:
+    """Features ranked by signed Pearson r with the label (desc), all or the top k."""
     row = df.agg(*[F.corr(F.col(c).cast("double"), F.col(label).cast("double")).alias(c) for c in cols])
     structs = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("corr")) for c in cols]
     long = row.select(F.explode(F.array(*structs)).alias("_r")).select("_r.*")
-    return long.orderBy(F.col("corr").desc_nulls_last(), "feature").limit(k)
+    ranked = long.orderBy(F.col("corr").desc_nulls_last(), "feature")
+    return ranked if k is None else ranked.limit(k)
 
 
 def high_corr_columns(df: DataFrame, cols: Sequence[str], threshold: float = 0.95) -> DataFrame:
@@ -262,9 +261,9 @@ def numeric_association(df: DataFrame, cols: Sequence[str], label: str, k: int =
     return long.orderBy(F.col("abs_corr").desc(), "feature").limit(k)
 
 
-def dataset_summary(df: DataFrame, label: str, numeric: Sequence[str], k: int = 10) -> DataFrame:
+def dataset_summary(df: DataFrame, label: str, numeric: Sequence[str], k: int | None = None) -> DataFrame:
     """Long (section, key, value): row count, label shares, missing counts,
-    top correlations with the label."""
+    correlations with the label (all, or the top k)."""
     total = df.select(F.count(F.lit(1)).cast("double").alias("value")).select(
         F.lit("records").alias("section"), F.lit("total").alias("key"), "value")
     shares = value_counts(df, label).select(
@@ -284,7 +283,7 @@ def split_distribution(df: DataFrame, label: str, split_col: str = "split",
     """Label counts and shares per split side by side (pivot with fixed values)."""
     tot = df.groupBy(split_col).agg(F.count(F.lit(1)).alias("_t"))
     c = df.groupBy(label, split_col).agg(F.count(F.lit(1)).alias("_n"))
-    c = c.join(F.broadcast(tot), split_col).withColumn("_s", F.col("_n") / F.col("_t"))
+    c = null_safe_join(c, tot, [split_col]).withColumn("_s", F.col("_n") / F.col("_t"))
     return c.groupBy(label).agg(
         *[F.coalesce(F.sum(F.when(F.col(split_col) == s, F.col("_n"))), F.lit(0)).cast("long").alias(f"n_{s}")
           for s in splits],

@@ -6,19 +6,31 @@ Work is split into buckets whose boundaries are cheap to find
 (md5 prefixes for hash ranks, a bounded quantile sketch for values);
 per-bucket counts form a small table whose running sums give each
 bucket's offset, and rows are then ranked inside their own bucket.
+
+Joins on part columns are null-safe: a null part is a part like any
+other, and no row is ever lost to it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnforge.functions.exprs import hash_hex
-from churnforge.session import cut_lineage
+from churnforge.functions.exprs import hash_hex, null_safe_join, number
 
 _UNB = Window.unboundedPreceding
+#: Parameter tables of up to so many rows go through the driver, so that the
+#: planner knows their true size when it chooses a join; larger ones stay frames.
+PARAM_ROWS = 10_000
+
+
+def small_table(df: DataFrame) -> DataFrame:
+    """``df`` with an exactly known size if it has at most PARAM_ROWS rows,
+    else ``df`` itself: the planner then broadcasts it or not by size."""
+    rows = df.limit(PARAM_ROWS + 1).collect()
+    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= PARAM_ROWS else df
 
 
 def _default_buckets(df: DataFrame) -> int:
@@ -26,6 +38,12 @@ def _default_buckets(df: DataFrame) -> int:
     return max(16, 4 * parts)
 
 
+def _with_parts(df: DataFrame, part_cols: Sequence[str]) -> tuple[DataFrame, list[str], bool]:
+    """A constant part where none is asked for, so that one code path serves."""
+    part_cols = list(part_cols)
+    return (df, part_cols, False) if part_cols else (df.withColumn("_all", F.lit(0)), ["_all"], True)
+
+
 def hash_rank(df: DataFrame, part_cols: Sequence[str], id_col: str = "id",
               seed: int = 42, bits: int = 16, rank_col: str = "rank") -> DataFrame:
     """0-based rank of each row within ``part_cols`` ordered by (md5(seed:id), id).
@@ -34,10 +52,9 @@ def hash_rank(df: DataFrame, part_cols: Sequence[str], id_col: str = "id",
     (at most 2**bits rows per part) give offsets, and row_number runs
     only inside a bucket, so no task sees more than ~n / 2**bits rows.
     """
-    part_cols = list(part_cols)
+    df, part_cols, glob = _with_parts(df, part_cols)
     hex_digits = max(1, bits // 4)
-    h = hash_hex(id_col, seed)
-    b = (df.withColumn("_h", h)
+    b = (df.withColumn("_h", hash_hex(id_col, seed))
          .withColumn("_bkt", F.conv(F.substring("_h", 1, hex_digits), 16, 10).cast("long")))
     counts = b.groupBy(*part_cols, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
     w_off = Window.partitionBy(*part_cols).orderBy("_bkt").rowsBetween(_UNB, -1)
@@ -45,70 +62,63 @@ def hash_rank(df: DataFrame, part_cols: Sequence[str], id_col: str = "id",
                             F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
     w_in = Window.partitionBy(*part_cols, "_bkt").orderBy("_h", id_col)
     ranked = b.withColumn("_in", F.row_number().over(w_in) - 1)
-    out = ranked.join(offsets, on=[*part_cols, "_bkt"], how="inner")
-    return (out.withColumn(rank_col, (F.col("_off") + F.col("_in")).cast("long"))
-            .drop("_h", "_bkt", "_in", "_off"))
+    out = null_safe_join(ranked, offsets, [*part_cols, "_bkt"])
+    out = (out.withColumn(rank_col, (F.col("_off") + F.col("_in")).cast("long"))
+           .drop("_h", "_bkt", "_in", "_off"))
+    return out.drop("_all") if glob else out
 
 
 def hash_rank_below(df: DataFrame, quotas: DataFrame, part_cols: Sequence[str], id_col: str = "id",
                     seed: int = 42, bits: int = 16, out_col: str = "_below") -> DataFrame:
     """Flag rows whose hash rank within their part is below the part's quota.
 
-    Same order as :func:`hash_rank`, but only the single md5-prefix bucket
-    per part that straddles the quota is ordered; every other bucket is
-    wholly below or above it, decided map-side from a broadcast of bucket
-    counts (at most parts x 2**bits rows). ``quotas``: part_cols + quota.
+    Same order as :func:`hash_rank`, but only the md5-prefix bucket of each
+    part that straddles the quota is ordered. That bucket - one row a part -
+    is all the rows need to know: buckets before it are below, those after
+    it are not. ``quotas``: part_cols + quota.
     """
-    part_cols = list(part_cols)
-    glob = not part_cols
+    df, part_cols, glob = _with_parts(df, part_cols)
     if glob:
-        df, part_cols = df.withColumn("_all", F.lit(0)), ["_all"]
         quotas = quotas.withColumn("_all", F.lit(0))
     hex_digits = max(1, bits // 4)
     b = (df.withColumn("_h", hash_hex(id_col, seed))
          .withColumn("_bkt", F.conv(F.substring("_h", 1, hex_digits), 16, 10).cast("long")))
     counts = b.groupBy(*part_cols, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
     w_off = Window.partitionBy(*part_cols).orderBy("_bkt").rowsBetween(_UNB, -1)
-    offs = (counts.withColumn("_off", F.coalesce(F.sum("_n").over(w_off), F.lit(0)))
-            .join(F.broadcast(quotas.select(*part_cols, "quota")), part_cols))
-    state = (F.when(F.col("_off") + F.col("_n") <= F.col("quota"), F.lit(1))
-             .when(F.col("_off") >= F.col("quota"), F.lit(0)).otherwise(F.lit(-1)))
-    offs = offs.select(*part_cols, "_bkt", "_off", "quota", state.alias("_state"))
-    j = b.join(F.broadcast(offs), [*part_cols, "_bkt"])
-    decided = j.where(F.col("_state") >= 0).withColumn(out_col, F.col("_state") == 1)
+    offs = null_safe_join(
+        counts.withColumn("_off", F.coalesce(F.sum("_n").over(w_off), F.lit(0))),
+        small_table(quotas.select(*part_cols, "quota")), part_cols)
+    straddles = (F.col("_off") <= F.col("quota")) & (F.col("quota") < F.col("_off") + F.col("_n"))
+    # a quota of all rows straddles no bucket: everything is below it
+    edge = small_table(offs.groupBy(*part_cols).agg(
+        F.max(F.when(straddles, F.col("_bkt"))).alias("_edge"),
+        F.max(F.when(straddles, F.col("quota") - F.col("_off"))).alias("_left")))
+    j = null_safe_join(b, edge, part_cols)
     w_in = Window.partitionBy(*part_cols, "_bkt").orderBy("_h", id_col)
-    edge = (j.where(F.col("_state") < 0)
-            .withColumn(out_col, (F.col("_off") + F.row_number().over(w_in) - 1) < F.col("quota")))
-    out = decided.unionByName(edge).drop("_h", "_bkt", "_off", "quota", "_state")
+    at_edge = F.col("_bkt").eqNullSafe(F.col("_edge"))
+    decided = j.where(~at_edge).withColumn(out_col, F.coalesce(F.col("_bkt") < F.col("_edge"), F.lit(True)))
+    ranked = j.where(at_edge).withColumn(out_col, F.row_number().over(w_in) <= F.col("_left"))
+    out = decided.unionByName(ranked).drop("_h", "_bkt", "_edge", "_left")
     return out.drop("_all") if glob else out
 
 
-def _bucket_by_sketch(df: DataFrame, part_cols: list[str], order_col: str,
-                      n_buckets: int, accuracy: int) -> DataFrame:
-    """Add ``_bkt``: a monotone bucket of ``order_col`` from approximate splits."""
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    sketch = F.percentile_approx(F.col(order_col).cast("double"), probs, accuracy)
-    splits = df.groupBy(*part_cols).agg(sketch.alias("_splits"))
-    # one row per part; parts are (label, column) pairs, a bounded set
-    b = df.join(F.broadcast(splits), on=part_cols, how="inner")
-    v = F.col(order_col).cast("double")
-    return b.withColumn("_bkt", F.size(F.filter("_splits", lambda s: s < v))).drop("_splits")
-
-
 def prefix_sums(df: DataFrame, part_cols: Sequence[str], order_col: str,
                 weight_cols: Sequence[str], n_buckets: int | None = None,
                 accuracy: int = 10000, suffix: str = "_before") -> DataFrame:
     """Add ``<w>_before`` = sum of ``w`` over rows ordered strictly before.
 
     Rows must be unique on (part_cols, order_col) — callers aggregate to
-    distinct values first, which also absorbs any hot value.
+    distinct values first, which also absorbs any hot value. The order is cut
+    into buckets by a quantile sketch; a value finds its bucket by halving
+    steps over the sorted bucket bounds.
     """
-    part_cols = list(part_cols)
-    glob = not part_cols
-    if glob:  # a constant part keeps one code path; its splits row is broadcast
-        df, part_cols = df.withColumn("_all", F.lit(0)), ["_all"]
+    df, part_cols, glob = _with_parts(df, part_cols)
     n_buckets = n_buckets or _default_buckets(df)
-    b = _bucket_by_sketch(df, part_cols, order_col, n_buckets, accuracy)
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    splits = small_table(df.groupBy(*part_cols).agg(
+        F.percentile_approx(F.col(order_col).cast("double"), probs, accuracy).alias("_splits")))
+    b = null_safe_join(df, splits, part_cols).withColumn(
+        "_bkt", _bucket(F.col(order_col).cast("double"), F.col("_splits"), n_buckets)).drop("_splits")
     counts = b.groupBy(*part_cols, "_bkt").agg(
         *[F.sum(w).alias(f"_t_{w}") for w in weight_cols])
     w_off = Window.partitionBy(*part_cols).orderBy("_bkt").rowsBetween(_UNB, -1)
@@ -119,63 +129,68 @@ def prefix_sums(df: DataFrame, part_cols: Sequence[str], order_col: str,
     w_in = Window.partitionBy(*part_cols, "_bkt").orderBy(order_col).rowsBetween(_UNB, -1)
     for w in weight_cols:
         b = b.withColumn(f"_i_{w}", F.coalesce(F.sum(w).over(w_in), F.lit(0)))
-    out = b.join(offsets, on=[*part_cols, "_bkt"], how="inner")
+    out = null_safe_join(b, offsets, [*part_cols, "_bkt"])
     for w in weight_cols:
         out = out.withColumn(f"{w}{suffix}", F.col(f"_o_{w}") + F.col(f"_i_{w}"))
     out = out.drop("_bkt", *[f"_o_{w}" for w in weight_cols], *[f"_i_{w}" for w in weight_cols])
     return out.drop("_all") if glob else out
 
 
+def _bucket(v, splits, n_buckets: int):
+    """Number of splits below ``v``, by halving steps over the sorted array."""
+    at = F.lit(0)
+    step = 1 << max(0, (n_buckets - 1).bit_length() - 1)
+    while step:
+        at = at + F.when(F.get(splits, at + (step - 1)) < v, F.lit(step)).otherwise(F.lit(0))
+        step //= 2
+    return at
+
+
 def exact_quantiles(long_df: DataFrame, part_cols: Sequence[str], value_col: str,
-                    probs: dict[str, float], n_buckets: int | None = None,
-                    accuracy: int = 10000, weight_col: str | None = None) -> DataFrame:
+                    probs: dict[str, float], accuracy: int = 10000) -> DataFrame:
     """Exact linear-interpolation quantiles (numpy/pandas default) per part.
 
-    ``long_df`` holds one value per row; nulls are ignored. Values collapse
-    to (value, count) first (a hot value is one row), a sketch picks bucket
-    bounds, per-bucket counts give each bucket's rank range, and only the
-    buckets holding a target rank are ordered. Output: one row per part
-    with one column per entry of ``probs``.
+    ``long_df`` holds one value per row; nulls and NaN are ignored. A sketch
+    gives a narrow interval that must hold each target rank; one scan then
+    counts the rows below every interval and the distinct values inside it,
+    and only those (about 8 / accuracy of the rows) are ordered. Nothing is
+    written. Output: one row per part with one column per entry of ``probs``.
     """
-    part_cols = list(part_cols)
-    glob = not part_cols
-    if glob:
-        long_df, part_cols = long_df.withColumn("_all", F.lit(0)), ["_all"]
-    n_buckets = n_buckets or _default_buckets(long_df)
-    w = F.col(weight_col).cast("long") if weight_col else F.lit(1).cast("long")
-    vals = long_df.where(F.col(value_col).isNotNull()).select(
-        *part_cols, F.col(value_col).cast("double").alias("_v"), w.alias("_w"))
-    # rows may arrive pre-aggregated as (value, weight): the same code path
-    vc = vals.groupBy(*part_cols, "_v").agg(F.sum("_w").alias("_c"))
-    # (value, count, bucket) feeds four consumers: write it once (lineage cut)
-    b = cut_lineage(_bucket_by_sketch(vc, part_cols, "_v", n_buckets, accuracy))
-    counts = b.groupBy(*part_cols, "_bkt").agg(F.sum("_c").alias("_t"))
-    # small table: one row per (part, bucket)
-    w_off = Window.partitionBy(*part_cols).orderBy("_bkt").rowsBetween(_UNB, -1)
-    offs = counts.select(*part_cols, "_bkt", "_t",
-                         F.coalesce(F.sum("_t").over(w_off), F.lit(0)).alias("_o"),
-                         F.sum("_t").over(Window.partitionBy(*part_cols)).alias("_n"))
-    pa = F.array(*[F.struct(F.lit(k).alias("_q"), F.lit(float(p)).alias("_p")) for k, p in probs.items()])
-    tq = offs.select("*", F.explode(pa).alias("_qp")).select("*", "_qp._q", "_qp._p").drop("_qp")
-    tq = (tq.withColumn("_pos", F.col("_p") * (F.col("_n") - 1))
-          .withColumn("_lo", F.floor("_pos")).withColumn("_hi", F.ceil("_pos")))
-    inb = lambda r: (F.col("_o") <= F.col(r)) & (F.col(r) < F.col("_o") + F.col("_t"))
-    need = tq.where(inb("_lo") | inb("_hi")).select(*part_cols, "_bkt").distinct()
-    targets = tq.select(*part_cols, "_q", "_pos", "_lo", "_hi").distinct()
-    # only boundary buckets are ordered; both side tables are bounded by parts x buckets
-    sel = b.join(F.broadcast(need), [*part_cols, "_bkt"], "left_semi")
-    sel = sel.join(F.broadcast(offs.select(*part_cols, "_bkt", "_o")), [*part_cols, "_bkt"])
-    w_in = Window.partitionBy(*part_cols, "_bkt").orderBy("_v").rowsBetween(_UNB, -1)
-    sel = sel.withColumn("_cb", F.col("_o") + F.coalesce(F.sum("_c").over(w_in), F.lit(0)))
-    x = sel.join(F.broadcast(targets), part_cols)
-    start, end = F.col("_cb"), F.col("_cb") + F.col("_c")
-    has_lo = (start <= F.col("_lo")) & (F.col("_lo") < end)
-    has_hi = (start <= F.col("_hi")) & (F.col("_hi") < end)
-    g = x.where(has_lo | has_hi).groupBy(*part_cols, "_q").agg(
-        F.max(F.when(has_lo, F.col("_v"))).alias("_vlo"),
-        F.max(F.when(has_hi, F.col("_v"))).alias("_vhi"),
-        F.first("_pos").alias("_pos"), F.first("_lo").alias("_lo"))
-    g = g.withColumn("_qv", F.col("_vlo") + (F.col("_pos") - F.col("_lo")) * (F.col("_vhi") - F.col("_vlo")))
-    wide = g.groupBy(*part_cols).agg(
+    long_df, part_cols, glob = _with_parts(long_df, part_cols)
+    vals = long_df.select(*part_cols, number(value_col).alias("_v")).where(F.col("_v").isNotNull())
+    eps = 4.0 / accuracy
+    around = [(k, p, max(0.0, p - eps), min(1.0, p + eps)) for k, p in probs.items()]
+    sketch = vals.groupBy(*part_cols).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+        F.percentile_approx("_v", [x for _, _, lo, hi in around for x in (lo, hi)], accuracy).alias("_s"))
+    # the ends of the order are known exactly: no interval stops short of a rank near them
+    picks = F.array(*[F.struct(
+        F.lit(k).alias("_q"), (F.lit(float(p)) * (F.col("_n") - 1)).alias("_pos"),
+        (F.col("_min") if lo <= 0 else F.get("_s", F.lit(2 * i))).alias("_lo_v"),
+        (F.col("_max") if hi >= 1 else F.get("_s", F.lit(2 * i + 1))).alias("_hi_v"))
+        for i, (k, p, lo, hi) in enumerate(around)])
+    targets = sketch.select(*part_cols, F.explode(picks).alias("_t")).select(*part_cols, "_t.*")
+    # a part of few rows has both ranks' neighbours anywhere: widen by the whole range
+    targets = null_safe_join(targets, sketch.select(*part_cols, "_n", "_min", "_max"), part_cols)
+    few = F.col("_n") <= accuracy
+    targets = small_table(targets.select(
+        *part_cols, "_q", "_pos", F.when(few, F.col("_min")).otherwise(F.col("_lo_v")).alias("_lo_v"),
+        F.when(few, F.col("_max")).otherwise(F.col("_hi_v")).alias("_hi_v")))
+    x = null_safe_join(vals, targets, part_cols).where(F.col("_v") <= F.col("_hi_v"))
+    inside = F.col("_v") >= F.col("_lo_v")
+    counted = x.groupBy(*part_cols, "_q", "_pos", F.when(inside, F.col("_v")).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_c"))
+    w_in = Window.partitionBy(*part_cols, "_q").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(_UNB, -1)
+    cum = counted.withColumn("_before", F.coalesce(F.sum("_c").over(w_in), F.lit(0))).where(F.col("_v").isNotNull())
+    lo, hi = F.floor("_pos"), F.ceil("_pos")
+    end = F.col("_before") + F.col("_c")
+    has_lo, has_hi = (F.col("_before") <= lo) & (lo < end), (F.col("_before") <= hi) & (hi < end)
+    g = cum.groupBy(*part_cols, "_q").agg(
+        F.max(F.when(has_lo, F.col("_v"))).alias("_vlo"), F.max(F.when(has_hi, F.col("_v"))).alias("_vhi"),
+        F.first("_pos").alias("_pos"))
+    missed = F.col("_vlo").isNull() | F.col("_vhi").isNull()
+    quantile = F.when(missed, F.raise_error(F.lit("the sketch missed a rank; raise accuracy")).cast("double")).otherwise(
+        F.col("_vlo") + (F.col("_pos") - F.floor("_pos")) * (F.col("_vhi") - F.col("_vlo")))
+    wide = g.withColumn("_qv", quantile).groupBy(*part_cols).agg(
         *[F.max(F.when(F.col("_q") == k, F.col("_qv"))).alias(k) for k in probs])
     return wide.drop("_all") if glob else wide

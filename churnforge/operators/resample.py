@@ -22,7 +22,7 @@ from churnforge.operators.ranking import hash_rank
 
 def class_counts(df: DataFrame, label: str) -> list[tuple[int, int]]:
     """(label, n) sorted by (n, label): a handful of rows."""
-    rows = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()
+    rows = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()
     return sorted(((r[label], r["n"]) for r in rows), key=lambda t: (t[1], t[0]))
 
 
@@ -31,7 +31,10 @@ def smote(train: DataFrame, features: Sequence[str], label: str = "label", id_co
     """Original rows plus synthetic minority rows.
 
     Output: row_id ('o:<id>' or 's:<j>'), label, synthetic (0/1), features.
-    If there is a single class or nothing to add, the input comes back unchanged.
+    The input comes back unchanged if there is a single class, nothing to add, or
+    a minority of k rows or fewer. Rows with a null label are no class here and
+    stay as they are; minority rows with a null feature are never used as a base
+    or a neighbour.
     """
     features = list(features)
     base_out = train.select(F.concat(F.lit("o:"), F.col(id_col).cast("string")).alias("row_id"),
@@ -42,18 +45,21 @@ def smote(train: DataFrame, features: Sequence[str], label: str = "label", id_co
         return base_out
     (min_label, n_min), (_, n_maj) = counts[0], counts[-1]
     n_syn = n_maj - n_min
-    k_eff = min(k, n_min - 1)
-    if n_syn <= 0 or k_eff < 1:
+    # fewer than k + 1 minority rows have no k neighbours each: the rows stay as they are
+    if n_syn <= 0 or n_min <= k:
+        return base_out
+    mins = train.where(F.col(label) == min_label).select(id_col, *features).dropna(subset=features)
+    n_min = mins.count()
+    if n_min <= k:
         return base_out
-    mins = train.where(F.col(label) == min_label).select(id_col, *features)
     ranked = hash_rank(mins, [], id_col, seed, rank_col="midx")
-    knn = exact_knn(mins, id_col, features, k_eff)
+    knn = exact_knn(mins, id_col, features, k)
     spark = train.sparkSession
     j = F.col("id")
     syn = spark.range(n_syn).select(
         j.alias("j"),
         F.floor(hash_uniform(j, f"{seed}b") * n_min).cast("long").alias("midx"),
-        (F.floor(hash_uniform(j, f"{seed}n") * k_eff) + 1).cast("int").alias("nn_rank"),
+        (F.floor(hash_uniform(j, f"{seed}n") * k) + 1).cast("int").alias("nn_rank"),
         hash_uniform(j, f"{seed}g").alias("gap"))
     base = syn.join(ranked.select("midx", F.col(id_col).alias("base_id"),
                                   *[F.col(c).alias(f"b_{c}") for c in features]), "midx")

@@ -4,14 +4,13 @@ Order inside a stratum is md5('<seed>:' || id), tie-broken by id, so
 the same split is produced by Spark on any partitioning and by plain
 SQL. Per-class quotas follow stratified shuffle-split arithmetic:
 n_test = ceil(test_size * n); train quotas are floor(n_train * n_c / n)
-plus one for the largest remainders (ties: smallest class value);
-test quota = n_c - train quota.
+plus one for the largest remainders (ties: smallest class value, null
+last); test quota = n_c - train quota. Rows with a null label are a class
+of their own and stay in the result.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +26,7 @@ def class_quotas(df: DataFrame, label: str, test_size: float = 0.2) -> DataFrame
     q = counts.withColumn("_cont", cont).withColumn("_fl", F.floor("_cont"))
     # the class table has one row per label value: a global window over it is bounded
     need = n_train - q.select(F.sum("_fl")).scalar()
-    w = Window.orderBy((F.col("_cont") - F.col("_fl")).desc(), F.col(label))
+    w = Window.orderBy((F.col("_cont") - F.col("_fl")).desc(), F.col(label).asc_nulls_last())
     q = q.withColumn("_extra", F.when(F.row_number().over(w) <= need, 1).otherwise(0))
     return q.select(label, "n_c", (F.col("n_c") - F.col("_fl") - F.col("_extra")).cast("long").alias("test_quota"))
 
@@ -59,7 +58,3 @@ def kfold_assign(df: DataFrame, label: str | None, k: int = 5, id_col: str = "id
     parts = [label] if label else []
     ranked = hash_rank(df, parts, id_col, seed, bits, rank_col="_rank")
     return ranked.withColumn(fold_col, (F.col("_rank") % k).cast("int")).drop("_rank")
-
-
-def test_size_for(n: int, test_size: float = 0.2) -> int:
-    return int(math.ceil(test_size * n))

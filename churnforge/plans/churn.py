@@ -22,41 +22,48 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform(churn_customers(spark, sf_dir), CHURN_SCHEMA)
 
 
-def clean(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
-    """Coerce TotalCharges-like text, median-fill it, encode the label.
-
-    Every profile and the split read this table several times (scans,
-    sketches, side tables); it is written once to the checkpoint folder
-    so none of them re-runs the orders aggregation and median.
-    """
-    from churnforge.session import cut_lineage
-    r = raw(spark, sf_dir)
-    c = coerce_columns(r, {"total_charges": "total_text"})
-    c = impute_median(c, "total_charges", flag=None)
+def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers parsed, label encoded; total_charges may be missing. Lazy, so a
+    profile that needs three columns reads three columns."""
+    c = coerce_columns(raw(spark, sf_dir), {"total_charges": "total_text"})
     c = encode_label(c, "churn", "label")
-    c = c.select("id", *CATEGORICAL, *NUMERIC_CLEAN, "label")
-    return cut_lineage(c) if materialize else c
+    return c.select("id", *CATEGORICAL, *NUMERIC_CLEAN, "label")
+
+
+def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profiling table: ``typed`` with missing total_charges filled by the
+    median of the whole table. Models never read it (see split_table)."""
+    return impute_median(typed(spark, sf_dir), "total_charges", flag=None)
 
 
 # ---------------------------------------------------------------- modelling inputs
 from dataclasses import dataclass  # noqa: E402
 
 from churnforge.operators import features as FE  # noqa: E402
-from churnforge.operators.split import stratified_split  # noqa: E402
+from churnforge.operators.split import kfold_assign, stratified_split  # noqa: E402
+from churnforge.session import cut_lineage  # noqa: E402
 
+VALID_FOLDS = 5
 
-def split_table(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
-    """Clean table + stratified 80/20 ``split`` column (seed 42).
 
-    The modelling table feeds several fits and scorers; it is written
-    once to the session's checkpoint folder (shared storage on a
-    cluster), which cuts the lineage back to the orders aggregation.
+def split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stratified 80/20 ``split`` column (seed 42), then missing total_charges
+    filled with the median of the training rows: nothing about the test rows
+    reaches the table before the split.
+
+    The table feeds several fits and scorers; it is written to the session's
+    checkpoint folder (shared storage on a cluster), which cuts the lineage
+    back to the orders aggregation.
     """
-    from churnforge.session import cut_lineage
-    c = clean(spark, sf_dir, materialize)
-    if not materialize:
-        return stratified_split(c, "label")
-    return cut_lineage(stratified_split(c, "label"))
+    s = cut_lineage(stratified_split(typed(spark, sf_dir), "label"))
+    train = s.where(F.col("split") == "train")
+    return cut_lineage(impute_median(s, "total_charges", flag=None, median_source=train))
+
+
+def with_validation(train: DataFrame, label: str = "label") -> DataFrame:
+    """Add ``is_valid``: one stratified fifth of the training rows, on which
+    models are chosen; the test rows only ever measure the chosen one."""
+    return kfold_assign(train, label, VALID_FOLDS).withColumn("is_valid", F.col("fold") == 0).drop("fold")
 
 
 @dataclass

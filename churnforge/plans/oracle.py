@@ -37,11 +37,21 @@ BASE_CTES = {
       JOIN region ON n_regionkey = r_regionkey
       LEFT JOIN cc_a ON c_custkey = o_custkey CROSS JOIN cc_m""",
     "cl_med": "SELECT quantile_cont(TRY_CAST(trim(total_text) AS DOUBLE), 0.5) AS med FROM cc",
-    "clean": """SELECT id, segment, region, urgent_user, in_debt, tenure, n_orders, max_order, acctbal,
-        coalesce(TRY_CAST(trim(total_text) AS DOUBLE), (SELECT med FROM cl_med)) AS total_charges,
+    "typed": """SELECT id, segment, region, urgent_user, in_debt, tenure, n_orders, max_order, acctbal,
+        TRY_CAST(trim(total_text) AS DOUBLE) AS total_charges,
         CAST(CASE churn WHEN 'Yes' THEN 1 WHEN 'No' THEN 0 END AS INTEGER) AS label
       FROM cc""",
+    "clean": "SELECT * REPLACE (coalesce(total_charges, (SELECT med FROM cl_med)) AS total_charges) FROM typed",
+    "records": """SELECT * EXCLUDE (churn) REPLACE (CASE WHEN id % 89 <> 0 THEN segment END AS segment,
+        CASE WHEN id % 83 = 0 THEN 'ATLANTIS' ELSE region END AS region,
+        CASE WHEN id % 79 = 0 THEN '5d' WHEN id % 73 = 0 THEN 'nan' ELSE total_text END AS total_text) FROM cc""",
 }
+#: What counts as a number in text.
+NUMBER = "regexp_full_match(trim(total_text), '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?')"
+RECORD_CHECK = ("SELECT *, concat_ws(',', " + ", ".join(
+    f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in RAW_COLS if c not in ("id", "churn"))
+    + ") AS missing_fields, CASE WHEN total_text IS NOT NULL AND NOT " + NUMBER
+    + " THEN 'total_text' ELSE '' END AS bad_numeric FROM records")
 
 
 def with_base(body: str, extra: dict[str, str] | None = None) -> str:
@@ -99,20 +109,8 @@ def sql_sources() -> dict[str, str]:
             + r6("coalesce(TRY_CAST(trim(total_text) AS DOUBLE), (SELECT med FROM cl_med))")
             + " AS total_charges FROM cc"),
         "validate_records": with_base(
-            "SELECT id, missing_fields, bad_numeric, "
-            "CAST(missing_fields = '' AND bad_numeric = '' AS INTEGER) AS is_valid FROM ("
-            "SELECT id, concat_ws(',', " + ", ".join(
-                f"CASE WHEN {c} IS NULL THEN {q(c)} END" for c in RAW_COLS if c not in ("id", "churn"))
-            + ") AS missing_fields, concat_ws(',', CASE WHEN total_text IS NOT NULL AND "
-            "TRY_CAST(trim(total_text) AS DOUBLE) IS NULL THEN 'total_text' END) AS bad_numeric FROM cc)"),
-        "reject_records": with_base(
-            "SELECT id, CASE WHEN missing_fields <> '' THEN 'missing:' || missing_fields "
-            "ELSE 'not_numeric:' || bad_numeric END AS reason FROM ("
-            "SELECT id, concat_ws(',', " + ", ".join(
-                f"CASE WHEN {c} IS NULL THEN {q(c)} END" for c in RAW_COLS if c not in ("id", "churn"))
-            + ") AS missing_fields, concat_ws(',', CASE WHEN total_text IS NOT NULL AND "
-            "TRY_CAST(trim(total_text) AS DOUBLE) IS NULL THEN 'total_text' END) AS bad_numeric FROM cc) "
-            "WHERE missing_fields <> '' OR bad_numeric <> ''"),
+            "SELECT id, missing_fields, bad_numeric, CAST(missing_fields = '' AND bad_numeric = '' AS INTEGER) AS is_valid "
+            f"FROM ({RECORD_CHECK})"),
     }
 
 
@@ -125,9 +123,8 @@ def sql_profile() -> dict[str, str]:
 
     clean_cols = cat + num + ["label"]
     out["constant_columns"] = with_base(
-        'SELECT "column", CAST(count(DISTINCT value) AS BIGINT) AS n_distinct, '
-        'CAST(count(DISTINCT value) <= 1 AS INTEGER) AS is_constant FROM '
-        + _long("clean", clean_cols) + ' GROUP BY "column"')
+        'SELECT "column", CAST(count(DISTINCT value) <= 1 AS INTEGER) AS is_constant FROM '
+        + _long("typed", clean_cols) + ' GROUP BY "column"')
 
     parts = []
     for c in RAW_COLS:
@@ -209,11 +206,13 @@ def sql_profile() -> dict[str, str]:
             f"SELECT {q(c)} AS feature, {r6(f'corr(CAST({c} AS DOUBLE), CAST(label AS DOUBLE))')} AS corr FROM clean"
             for c in num]) + ") ORDER BY corr DESC NULLS LAST, feature LIMIT 10")
 
+    copied = pairs + [(c, "order_copy") for c in num]
     out["high_corr_columns"] = with_base(
         "SELECT col_b AS \"column\", round(max(abs(r)), 6) AS max_abs_corr, "
         "string_agg(DISTINCT col_a, ',' ORDER BY col_a) AS correlated_with FROM (" + union_all([
-            f"SELECT {q(a)} AS col_a, {q(b)} AS col_b, corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS r FROM clean"
-            for a, b in pairs]) + ") WHERE abs(r) > 0.95 GROUP BY col_b")
+            f"SELECT {q(a)} AS col_a, {q(b)} AS col_b, corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS r FROM with_copy"
+            for a, b in copied]) + ") WHERE abs(r) > 0.95 GROUP BY col_b",
+        {"with_copy": "SELECT *, max_order * 2 + 1 AS order_copy FROM clean"})
 
     assoc_cols = cat + ["in_debt"]
     out["category_association"] = with_base(
@@ -245,9 +244,9 @@ def sql_profile() -> dict[str, str]:
          + r6("count(*) / (SELECT count(*) FROM clean)") + " AS value FROM clean GROUP BY label"]
         + [f"SELECT 'missing' AS section, {q(c)} AS key, CAST(count(*) - count({c}) AS DOUBLE) AS value FROM clean"
            for c in clean_all]
-        + ["SELECT 'label_corr' AS section, feature AS key, corr AS value FROM (SELECT feature, corr FROM ("
+        + ["SELECT 'label_corr' AS section, feature AS key, corr AS value FROM ("
            + union_all([f"SELECT {q(c)} AS feature, {r6(f'corr(CAST({c} AS DOUBLE), CAST(label AS DOUBLE))')} AS corr FROM clean"
-                        for c in num]) + ") ORDER BY corr DESC NULLS LAST, feature LIMIT 10)"]))
+                        for c in num]) + ")"]))
     return out
 
 
@@ -260,22 +259,35 @@ def all_sql() -> dict[str, str]:
     out.update(sql_resample())
     out.update(sql_lineitem())
     out.update(sql_other())
+    out.update(sql_checks())
     return out
 
 
 # --------------------------------------------------------------------- split / features
 SPLIT_CTES = {
-    "sp_cnt": "SELECT label, count(*) AS n_c FROM clean GROUP BY label",
+    "sp_cnt": "SELECT label, count(*) AS n_c FROM typed GROUP BY label",
     "sp_tot": "SELECT sum(n_c) AS n, sum(n_c) - CAST(ceil(0.2 * sum(n_c)) AS BIGINT) AS n_train FROM sp_cnt",
     "sp_fl": "SELECT label, n_c, n_train * n_c / n AS cont, floor(n_train * n_c / n) AS fl FROM sp_cnt, sp_tot",
     "sp_q": """SELECT label, n_c - fl - CASE WHEN row_number() OVER (ORDER BY cont - fl DESC, label)
                  <= (SELECT max(n_train) FROM sp_tot) - (SELECT sum(fl) FROM sp_fl) THEN 1 ELSE 0 END AS test_quota
                FROM sp_fl""",
     "sp_rank": """SELECT c.*, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || CAST(id AS VARCHAR)), id) - 1 AS rnk
-                  FROM clean c""",
-    "split": """SELECT r.*, CASE WHEN rnk < test_quota THEN 'test' ELSE 'train' END AS split
+                  FROM typed c""",
+    "sp_typed": """SELECT r.*, CASE WHEN rnk < test_quota THEN 'test' ELSE 'train' END AS split
                 FROM sp_rank r JOIN sp_q USING (label)""",
+    "tr_med": "SELECT quantile_cont(total_charges, 0.5) AS med FROM sp_typed WHERE split = 'train'",
+    "split": "SELECT * REPLACE (coalesce(total_charges, (SELECT med FROM tr_med)) AS total_charges) FROM sp_typed",
 }
+#: The training vocabulary, as (source, category).
+VOCABULARY = "\nUNION ALL\n".join(
+    f"SELECT DISTINCT '{c}' AS source, {c} AS category FROM split WHERE split = 'train' AND {c} IS NOT NULL" for c in CATEGORICAL)
+UNKNOWN = "concat_ws(',', " + ", ".join(
+    f"CASE WHEN {c} IS NOT NULL AND {c} NOT IN (SELECT category FROM voc WHERE source = '{c}') THEN '{c}=' || {c} END"
+    for c in CATEGORICAL) + ")"
+CHECKED = f"SELECT *, {UNKNOWN} AS unknown FROM ({RECORD_CHECK})"
+REJECTS = ("SELECT id, CASE WHEN missing_fields <> '' THEN 'missing:' || missing_fields WHEN bad_numeric <> '' "
+           "THEN 'not_numeric:' || bad_numeric ELSE 'unknown_category:' || unknown END AS reason FROM checked "
+           "WHERE missing_fields <> '' OR bad_numeric <> '' OR unknown <> ''")
 DOMAINS = {
     "segment": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"],
     "region": ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"],
@@ -308,7 +320,13 @@ def sql_features() -> dict[str, str]:
     out["stratified_split"] = with_base("SELECT id, label, split FROM split", SPLIT_CTES)
     out["random_split"] = with_base(
         "SELECT id, CASE WHEN row_number() OVER (ORDER BY md5('42:' || CAST(id AS VARCHAR)), id) - 1 "
-        "< ceil(0.2 * (SELECT count(*) FROM clean)) THEN 'test' ELSE 'train' END AS split FROM clean")
+        "< ceil(0.2 * (SELECT count(*) FROM typed)) THEN 'test' ELSE 'train' END AS split FROM typed")
+    rejects = {**SPLIT_CTES, "voc": VOCABULARY, "checked": CHECKED}
+    out["reject_records"] = with_base(REJECTS, rejects)
+    out["reject_stream"] = with_base(REJECTS, rejects)
+    out["check_scoring"] = with_base(
+        "SELECT id, 1 AS sums_to_one, 1 AS stream_agrees FROM checked "
+        "WHERE missing_fields = '' AND bad_numeric = '' AND unknown = ''", rejects)
     out["kfold_assign"] = with_base(
         "SELECT id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5('42:' || CAST(id AS VARCHAR)), id) - 1) % 5 AS INTEGER) AS fold "
         "FROM split WHERE split = 'train'", SPLIT_CTES)
@@ -339,8 +357,9 @@ def sql_features() -> dict[str, str]:
         f"SELECT CAST({i} AS INTEGER) AS idx, {q(c)} AS feature, 'numeric' AS role, {q(c)} AS source, CAST(NULL AS VARCHAR) AS category"
         for i, c in enumerate(num)])
     cat_order = " ".join(f"WHEN {q(c)} THEN {i}" for i, c in enumerate(CATEGORICAL))
-    vocab = union_all([f"SELECT DISTINCT {q(c)} AS source, {c} AS category FROM split WHERE split = 'train' AND {c} IS NOT NULL"
-                       for c in CATEGORICAL])
+    vocab = VOCABULARY
+    one_left_out = union_all([f"SELECT DISTINCT {q(c)} AS source, {c} AS category FROM split WHERE split = 'train' "
+                              f"AND region <> 'EUROPE' AND {c} IS NOT NULL" for c in CATEGORICAL])
     out["feature_names"] = with_base(
         numeric_rows + "\nUNION ALL\n"
         f"SELECT CAST({n_num} + row_number() OVER (ORDER BY CASE source {cat_order} END, category) - 1 AS INTEGER) AS idx, "
@@ -350,7 +369,7 @@ def sql_features() -> dict[str, str]:
     out["unknown_categories"] = with_base(
         'SELECT r.id, r."column", r.value FROM ' + _long_id("cc", CATEGORICAL) + " r "
         'WHERE r.value IS NOT NULL AND NOT EXISTS (SELECT 1 FROM voc v WHERE v.source = r."column" AND v.category = r.value)',
-        {**SPLIT_CTES, "voc": vocab})
+        {**SPLIT_CTES, "voc": one_left_out})
     out["align_features"] = with_base(
         "SELECT id, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in num) + ", " + _onehot_select(True)
         + " FROM split WHERE split = 'test'", SPLIT_CTES)
@@ -446,7 +465,7 @@ def sql_evaluate() -> dict[str, str]:
 
 # --------------------------------------------------------------------- kNN / SMOTE
 def _u(expr: str, seed: str) -> str:
-    return (f"(CAST(('0x' || substr(md5('{seed}:' || CAST({expr} AS VARCHAR)), 1, 8)) AS UBIGINT) / 4294967296.0)")
+    return (f"(CAST(('0x' || substr(md5('{seed}:' || CAST({expr} AS VARCHAR)), 1, 13)) AS UBIGINT) / 4503599627370496.0)")
 
 
 def _minmax_ctes() -> tuple[dict[str, str], list[str]]:
@@ -481,7 +500,7 @@ def sql_resample() -> dict[str, str]:
     syn_ctes = dict(ctes)
     syn_ctes["syn"] = (
         "SELECT j, CAST(floor(" + _u("j", "42b") + " * (SELECT n_min FROM minl)) AS BIGINT) AS midx, "
-        "CAST(floor(" + _u("j", "42n") + " * least(5, (SELECT n_min FROM minl) - 1)) + 1 AS BIGINT) AS nn_rank, "
+        "CAST(floor(" + _u("j", "42n") + " * 5) + 1 AS BIGINT) AS nn_rank, "
         + _u("j", "42g") + " AS gap FROM (SELECT unnest(range(0, (SELECT n_maj FROM majl) - (SELECT n_min FROM minl))) AS j)")
     out["smote"] = with_base(
         "SELECT 'o:' || CAST(id AS VARCHAR) AS row_id, CAST(label AS INTEGER) AS label, 0 AS synthetic, "
@@ -497,24 +516,22 @@ def sql_resample() -> dict[str, str]:
 def boxplot_sql(table: str, cols: list[str], label: str) -> str:
     longd = _long(table, cols, label, as_type="DOUBLE", where_not_null=True)
     return with_base(
-        """SELECT b."column", b.grp AS "group", CAST(b.n AS BIGINT) AS n, """
+        """SELECT b."column", b.overall, b.grp AS "group", CAST(b.n AS BIGINT) AS n, """
         + ", ".join(f"{r6('b.' + k)} AS {k}" for k in ["q1", "median", "q3", "iqr", "lower_fence", "upper_fence"])
         + ", " + r6("min(CASE WHEN g.value BETWEEN b.lower_fence AND b.upper_fence THEN g.value END)")
         + " AS whisker_low, " + r6("max(CASE WHEN g.value BETWEEN b.lower_fence AND b.upper_fence THEN g.value END)")
         + " AS whisker_high, CAST(count(CASE WHEN g.value < b.lower_fence OR g.value > b.upper_fence THEN 1 END) AS BIGINT)"
         + """ AS n_outliers
-        FROM (SELECT "column", grp, count(*) AS n, q1, median, q3, q3 - q1 AS iqr,
+        FROM (SELECT "column", overall, grp, n, q1, median, q3, q3 - q1 AS iqr,
                      q1 - 1.5 * (q3 - q1) AS lower_fence, q3 + 1.5 * (q3 - q1) AS upper_fence
-              FROM (SELECT "column", grp,
-                           quantile_cont(value, 0.25) OVER (PARTITION BY "column", grp) AS q1,
-                           quantile_cont(value, 0.5) OVER (PARTITION BY "column", grp) AS median,
-                           quantile_cont(value, 0.75) OVER (PARTITION BY "column", grp) AS q3
-                    FROM grouped) GROUP BY "column", grp, q1, median, q3) b
-        JOIN grouped g ON g."column" = b."column" AND g.grp = b.grp
-        GROUP BY b."column", b.grp, b.n, b.q1, b.median, b.q3, b.iqr, b.lower_fence, b.upper_fence""",
+              FROM (SELECT "column", overall, grp, count(*) AS n, quantile_cont(value, 0.25) AS q1,
+                           quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3
+                    FROM grouped GROUP BY "column", overall, grp)) b
+        JOIN grouped g ON g."column" = b."column" AND g.overall = b.overall AND g.grp IS NOT DISTINCT FROM b.grp
+        GROUP BY b."column", b.overall, b.grp, b.n, b.q1, b.median, b.q3, b.iqr, b.lower_fence, b.upper_fence""",
         {"lng": f"SELECT * FROM {longd}",
-         "grouped": "SELECT \"column\", value, 'all' AS grp FROM lng UNION ALL "
-                    f"SELECT \"column\", value, CAST({label} AS VARCHAR) AS grp FROM lng WHERE {label} IS NOT NULL"})
+         "grouped": "SELECT \"column\", value, 1 AS overall, CAST(NULL AS VARCHAR) AS grp FROM lng UNION ALL "
+                    f"SELECT \"column\", value, 0 AS overall, CAST({label} AS VARCHAR) AS grp FROM lng WHERE {label} IS NOT NULL"})
 
 
 LINEITEM_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -575,3 +592,47 @@ def sql_other() -> dict[str, str]:
         "CAST(k IS NOT NULL AS INTEGER) AS is_valid FROM "
         "(SELECT event_id, TRY_CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events)")
     return out
+
+
+# --------------------------------------------------------------------- what must hold for model output
+def sql_checks() -> dict[str, str]:
+    out: dict[str, str] = {}
+    names = union_all([f"SELECT {q(m)} AS model" for m in ("random_forest", "gbt", "logistic_regression", "gbt_categorical")])
+    out["check_scores"] = with_base(
+        f"SELECT model, id, label, 1 AS probability_ok, 1 AS prediction_ok FROM split, ({names}) WHERE split = 'test'", SPLIT_CTES)
+    out["check_linear"] = with_base("SELECT id, 1 AS same FROM split WHERE split = 'test'", SPLIT_CTES)
+    features = union_all([f"SELECT {q(c)} AS feature" for c in NUMERIC_CLEAN] + [
+        "SELECT source || '_' || trim(regexp_replace(category, '[^0-9A-Za-z]+', '_', 'g'), '_') AS feature "
+        "FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY category) AS k FROM voc) WHERE k > 1"])
+    voc = {**SPLIT_CTES, "voc": VOCABULARY, "features": features}
+    out["check_importance"] = with_base("SELECT feature, 1 AS not_negative, CAST(1.0 AS DOUBLE) AS total FROM features", voc)
+    out["check_permutation"] = with_base("SELECT feature, 1 AS is_the_fall FROM features", voc)
+    out["check_shapley"] = with_base(
+        "SELECT id, (SELECT count(*) FROM features) AS n_features, 1 AS adds_up FROM split WHERE split = 'test'", voc)
+    out["check_search"] = with_base(
+        "SELECT CAST(p.point AS INTEGER) AS point, p.params, fold, count(*) AS n, 1 AS best_is_top, CAST(1 AS BIGINT) AS n_best FROM ("
+        "SELECT CAST((row_number() OVER (PARTITION BY label ORDER BY md5('42:' || CAST(id AS VARCHAR)), id) - 1) % 3 AS INTEGER) AS fold "
+        "FROM split WHERE split = 'train') f, (VALUES (0, 'regParam=0.0'), (1, 'regParam=0.01')) p(point, params) "
+        "GROUP BY p.point, p.params, fold", SPLIT_CTES)
+    out["check_run_summary"] = (
+        "SELECT 'compared' AS stage, CAST(2 AS BIGINT) AS n, CAST(1 AS BIGINT) AS n_best, 1 AS chosen_right, 1 AS sound "
+        "UNION ALL SELECT 'tuned', CAST(1 AS BIGINT), CAST(1 AS BIGINT), 1, 1")
+    out["class_balance"] = with_base(
+        "SELECT label, CAST(n AS BIGINT) AS n_before, CAST(CASE WHEN n_min > 5 AND n = n_min THEN n_max ELSE n END AS BIGINT) AS n_after, "
+        + r6("n / total") + " AS share_before, "
+        + r6("CASE WHEN n_min > 5 AND n = n_min THEN n_max ELSE n END / CASE WHEN n_min > 5 THEN total + n_max - n_min ELSE total END")
+        + " AS share_after FROM (SELECT label, count(*) AS n, min(count(*)) OVER () AS n_min, max(count(*)) OVER () AS n_max, "
+        "sum(count(*)) OVER () AS total FROM split WHERE split = 'train' GROUP BY label)", SPLIT_CTES)
+    docs = """WITH d AS (SELECT documents.doc_id, quality FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id),
+        cnt AS (SELECT quality, count(*) AS n_c FROM d GROUP BY quality),
+        tot AS (SELECT sum(n_c) AS n, sum(n_c) - CAST(ceil(0.2 * sum(n_c)) AS BIGINT) AS n_train FROM cnt),
+        fl AS (SELECT quality, n_c, n_train * n_c / n AS cont, floor(n_train * n_c / n) AS fl FROM cnt, tot),
+        quota AS (SELECT quality, n_c - fl - CASE WHEN row_number() OVER (ORDER BY cont - fl DESC, quality NULLS LAST)
+                 <= (SELECT max(n_train) FROM tot) - (SELECT sum(fl) FROM fl) THEN 1 ELSE 0 END AS test_quota FROM fl),
+        ranked AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality
+                   ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS rnk FROM d)
+    """
+    out["docs_split"] = docs + ("SELECT doc_id, r.quality, CASE WHEN rnk < test_quota THEN 'test' ELSE 'train' END AS split "
+                                "FROM ranked r JOIN quota t ON r.quality IS NOT DISTINCT FROM t.quality")
+    out["docs_folds"] = docs + "SELECT doc_id, quality, CAST(rnk % 5 AS INTEGER) AS fold FROM ranked"
+    return out

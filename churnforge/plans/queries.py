@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from churnforge.operators import clean as C
 from churnforge.operators import profile as P
-from churnforge.plans.churn import NUMERIC_CLEAN, clean, raw
+from churnforge.plans.churn import NUMERIC_CLEAN, clean, raw, typed
 from churnforge.sources.tables import CATEGORICAL, NUMERIC
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,29 +88,35 @@ def q_impute_median(spark, sf):
     return round_doubles(C.impute_median(df, "total_charges").select("id", "was_missing", "total_charges"))
 
 
-def _validated(spark, sf):
-    r = raw(spark, sf).drop("churn")
-    required = [c for c in r.columns if c != "id"]
-    return C.validate_records(r, required, ["total_text"])
+def _records(spark, sf):
+    """Request records: the customer table without its label, with the faults
+    that requests have - missing fields, numbers that are none, categories
+    the models never saw."""
+    i = F.col("id")
+    return raw(spark, sf).drop("churn").withColumns({
+        "segment": F.when(i % 89 != 0, F.col("segment")),
+        "region": F.when(i % 83 == 0, F.lit("ATLANTIS")).otherwise(F.col("region")),
+        "total_text": F.when(i % 79 == 0, F.lit("5d")).when(i % 73 == 0, F.lit("nan")).otherwise(F.col("total_text"))})
 
 
 @register("validate_records")
 def q_validate_records(spark, sf):
-    return _validated(spark, sf).select("id", "missing_fields", "bad_numeric", "is_valid")
+    r = _records(spark, sf)
+    v = C.validate_records(r, [c for c in r.columns if c != "id"], ["total_text"])
+    return v.select("id", "missing_fields", "bad_numeric", "is_valid")
 
 
 @register("reject_records")
 def q_reject_records(spark, sf):
-    v = _validated(spark, sf).where(F.col("is_valid") == 0)
-    reason = F.when(F.col("missing_fields") != "", F.concat(F.lit("missing:"), "missing_fields")) \
-        .otherwise(F.concat(F.lit("not_numeric:"), "bad_numeric"))
-    return v.select("id", reason.alias("reason"))
+    s = split_table(spark, sf)
+    vocab = FE.fit_onehot(s.where(F.col("split") == "train"), CATEGORICAL)
+    return split_records(_records(spark, sf), vocab)[1]
 
 
 # ------------------------------------------------------------------ profiling
 @register("constant_columns")
 def q_constant_columns(spark, sf):
-    return C.constant_columns(clean(spark, sf), CATEGORICAL + NUMERIC_CLEAN + ["label"])
+    return C.constant_columns(typed(spark, sf), CATEGORICAL + NUMERIC_CLEAN + ["label"])
 
 
 @register("column_overview")
@@ -145,22 +151,22 @@ def q_label_distribution(spark, sf):
 
 @register("category_counts")
 def q_category_counts(spark, sf):
-    return P.category_counts(clean(spark, sf), CATEGORICAL, "label")
+    return P.category_counts(typed(spark, sf), CATEGORICAL, "label")
 
 
 @register("crosstab_label")
 def q_crosstab_label(spark, sf):
-    return P.crosstab_label(clean(spark, sf), CATEGORICAL, "label")
+    return P.crosstab_label(typed(spark, sf), CATEGORICAL, "label")
 
 
 @register("churn_rate_by")
 def q_churn_rate_by(spark, sf):
-    return round_doubles(P.churn_rate_by(clean(spark, sf), CATEGORICAL, "label"))
+    return round_doubles(P.churn_rate_by(typed(spark, sf), CATEGORICAL, "label"))
 
 
 @register("category_odds")
 def q_category_odds(spark, sf):
-    return round_doubles(P.category_odds(clean(spark, sf), CATEGORICAL, "label"))
+    return round_doubles(P.category_odds(typed(spark, sf), CATEGORICAL, "label"))
 
 
 @register("boxplot_stats")
@@ -170,7 +176,7 @@ def q_boxplot_stats(spark, sf):
 
 @register("histogram_by_label")
 def q_histogram_by_label(spark, sf):
-    return round_doubles(P.histogram_by_label(clean(spark, sf), "tenure", "label", 10))
+    return round_doubles(P.histogram_by_label(typed(spark, sf), "tenure", "label", 10))
 
 
 @register("corr_matrix")
@@ -185,12 +191,14 @@ def q_label_correlation(spark, sf):
 
 @register("high_corr_columns")
 def q_high_corr_columns(spark, sf):
-    return round_doubles(P.high_corr_columns(clean(spark, sf), NUMERIC_CLEAN, 0.95))
+    """With a rescaled copy of a column, so that there is something to find."""
+    c = clean(spark, sf).withColumn("order_copy", F.col("max_order") * 2 + 1)
+    return round_doubles(P.high_corr_columns(c, [*NUMERIC_CLEAN, "order_copy"], 0.95))
 
 
 @register("category_association")
 def q_category_association(spark, sf):
-    return round_doubles(P.category_association(clean(spark, sf), CATEGORICAL + ["in_debt"], "label", 3))
+    return round_doubles(P.category_association(typed(spark, sf), CATEGORICAL + ["in_debt"], "label", 3))
 
 
 @register("numeric_association")
@@ -200,7 +208,7 @@ def q_numeric_association(spark, sf):
 
 @register("dataset_summary")
 def q_dataset_summary(spark, sf):
-    return round_doubles(P.dataset_summary(clean(spark, sf), "label", NUMERIC_CLEAN, 10))
+    return round_doubles(P.dataset_summary(clean(spark, sf), "label", NUMERIC_CLEAN))
 
 
 # ------------------------------------------------------------------ split / features
@@ -208,8 +216,9 @@ from pyspark.ml.feature import VectorAssembler  # noqa: E402
 from pyspark.ml.functions import vector_to_array  # noqa: E402
 
 from churnforge.operators import features as FE  # noqa: E402
-from churnforge.operators.split import kfold_assign, random_split  # noqa: E402
-from churnforge.plans.churn import encode_minmax, encode_standard, split_table  # noqa: E402
+from churnforge.operators.split import kfold_assign, random_split, stratified_split  # noqa: E402
+from churnforge.plans.churn import encode_minmax, encode_standard, split_table, with_validation  # noqa: E402
+from churnforge.plans.scoring import ChurnScorer, split_records  # noqa: E402
 from churnforge.session import scratch_path  # noqa: E402
 
 
@@ -220,7 +229,7 @@ def q_stratified_split(spark, sf):
 
 @register("random_split")
 def q_random_split(spark, sf):
-    return random_split(clean(spark, sf)).select("id", "split")
+    return random_split(typed(spark, sf)).select("id", "split")
 
 
 @register("kfold_assign")
@@ -264,8 +273,9 @@ def q_feature_names(spark, sf):
 
 @register("unknown_categories")
 def q_unknown_categories(spark, sf):
+    """Vocabulary of the training rows of all regions but one: that region's rows show up."""
     s = split_table(spark, sf)
-    vocab = FE.vocabulary_df(s.where(F.col("split") == "train"), CATEGORICAL)
+    vocab = FE.vocabulary_df(s.where((F.col("split") == "train") & (F.col("region") != "EUROPE")), CATEGORICAL)
     return C.unknown_categories(raw(spark, sf), vocab, CATEGORICAL)
 
 
@@ -385,108 +395,163 @@ def q_smote(spark, sf):
     return round_doubles(smote(train, feats, "label", "id", k=5, seed=42))
 
 
-# ------------------------------------------------------------------ models (rows-only checks)
+# ------------------------------------------------------------------ models
 from pyspark.ml import Pipeline  # noqa: E402
-from pyspark.ml.classification import GBTClassifier  # noqa: E402
-from pyspark.ml.feature import StringIndexer, VectorIndexer  # noqa: E402
+from pyspark.ml.classification import GBTClassifier, LogisticRegression  # noqa: E402
+from pyspark.ml.feature import StringIndexer  # noqa: E402
 
 from churnforge.operators import explain as XP  # noqa: E402
 from churnforge.operators import models as M  # noqa: E402
-from churnforge.session import cut_lineage  # noqa: E402
+from churnforge.session import cut_lineage, training_partitions  # noqa: E402
 
 
 def _model_data(spark, sf, resample: bool = True):
-    """Variant-A features; train optionally SMOTE-balanced (train rows only)."""
+    """Variant-A features as parts train / valid / test. Models are fitted on
+    train (SMOTE-balanced if asked for), chosen on valid, measured on test."""
     e = encode_standard(split_table(spark, sf))
-    train = e.df.where(F.col("split") == "train")
-    test = e.df.where(F.col("split") == "test")
+    fit = with_validation(e.df.where(F.col("split") == "train"))
+    train, valid = fit.where(~F.col("is_valid")), fit.where("is_valid")
     if resample:
         bal = smote(train, e.features, "label", "id", k=5, seed=42)
         train = bal.select(F.col("row_id").alias("id"), "label", *e.features)
-    from churnforge.session import ensure_parallelism
-    train = ensure_parallelism(cut_lineage(M.assemble(train, e.features)))
-    return train, M.assemble(test, e.features), e.features
+    train = cut_lineage(M.assemble(train, e.features))
+    parts = {"train": cut_lineage(training_partitions(train, "id")), "valid": cut_lineage(M.assemble(valid, e.features)),
+             "test": cut_lineage(M.assemble(e.df.where(F.col("split") == "test"), e.features))}
+    return parts, e.features
 
 
 @register("rf_scores")
 def q_rf_scores(spark, sf):
-    train, test, _ = _model_data(spark, sf)
-    model = M.estimators()["random_forest"].fit(train)
-    return M.score(model, test)
+    parts, _ = _model_data(spark, sf)
+    return M.score(M.estimators()["random_forest"].fit(parts["train"]), parts["test"])
 
 
 @register("gbt_scores")
 def q_gbt_scores(spark, sf):
-    train, test, _ = _model_data(spark, sf)
-    model = M.estimators()["gbt"].fit(train)
-    return M.score(model, test)
+    parts, _ = _model_data(spark, sf)
+    return M.score(M.estimators()["gbt"].fit(parts["train"]), parts["test"])
 
 
 @register("lr_coefficients")
 def q_lr_coefficients(spark, sf):
-    train, _, feats = _model_data(spark, sf)
-    model = M.estimators()["logistic_regression"].fit(train)
-    c = M.lr_coefficients(model, feats, spark)
+    parts, feats = _model_data(spark, sf)
+    c = M.lr_coefficients(M.estimators()["logistic_regression"].fit(parts["train"]), feats, spark)
     return c.orderBy(F.col("abs_coefficient").desc(), "feature")
 
 
 @register("tree_importance")
 def q_tree_importance(spark, sf):
-    train, _, feats = _model_data(spark, sf)
-    model = M.estimators()["random_forest"].fit(train)
-    return M.tree_importance(model, feats, spark).orderBy(F.col("importance").desc(), "feature").limit(20)
+    """The whole ranking; a chart may cut it."""
+    parts, feats = _model_data(spark, sf)
+    model = M.estimators()["random_forest"].fit(parts["train"])
+    return M.tree_importance(model, feats, spark).orderBy(F.col("importance").desc(), "feature")
 
 
 @register("model_comparison")
 def q_model_comparison(spark, sf):
-    train, test, _ = _model_data(spark, sf)
-    return M.model_comparison(train, test, M.estimators())
+    parts, _ = _model_data(spark, sf)
+    return M.compare(parts, M.estimators())[0]
+
+
+def _train_flow(spark, sf, ests, grids):
+    """Compare -> choose on the validation part -> tune the chosen learner by
+    3-fold AUC on the training part -> refit -> measure on the test part.
+    Returns (table, tuned model, feature names)."""
+    parts, feats = _model_data(spark, sf)
+    comp, _ = M.compare(parts, ests)
+    comp = cut_lineage(comp)
+    best = EV.best_by(comp, "model", "valid_auc", "model_order").first()["model"]
+    folds = cut_lineage(kfold_assign(parts["train"], "label", 3))
+    found = M.search(folds, "fold", ests[best], grids[best], "auc")
+    params = M.best_params(found, grids[best])
+    tuned = ests[best].copy({ests[best].getParam(k): v for k, v in params.items()})
+    measured, models = M.compare(parts, {best: tuned})
+    text = ",".join(f"{k}={v}" for k, v in sorted(params.items()))
+    cv = found.where("is_best").first()["mean_auc"]
+    table = comp.withColumns({"stage": F.lit("compared"), "is_best": F.col("model") == best,
+                              "params": F.lit(None).cast("string"), "cv_auc": F.lit(None).cast("double")})
+    return table.unionByName(measured.withColumns({
+        "stage": F.lit("tuned"), "is_best": F.lit(True), "params": F.lit(text), "cv_auc": F.round(F.lit(cv), 4)})), \
+        models[best], feats
 
 
 @register("run_summary")
 def q_run_summary(spark, sf):
-    """Comparison table + best model written as JSON, read back."""
+    """The whole training flow's summary written as JSON, read back."""
     from churnforge.sources.reports import write_json
-    train, test, _ = _model_data(spark, sf)
-    comp = M.model_comparison(train, test, M.estimators())
-    comp = cut_lineage(comp)
-    best = EV.best_by(comp, "model", "auc", "model_order")
-    summary = comp.withColumn("is_best", F.col("model") == best.select("model").scalar())
+    summary, _, _ = _train_flow(spark, sf, M.estimators(), M.SMALL_GRIDS)
     path = write_json(summary, scratch_path(spark, "run_summary"))
     return spark.read.schema(summary.schema).json(path)
 
 
+@register("best_importance")
+def q_best_importance(spark, sf):
+    """Importance of every feature in the tuned best model."""
+    quick = {k: v for k, v in M.estimators().items() if k != "random_forest"}
+    _, model, feats = _train_flow(spark, sf, quick, M.SMALL_GRIDS)
+    return M.model_importance(model, feats, spark).orderBy(F.col("importance").desc(), "feature")
+
+
+@register("class_balance")
+def q_class_balance(spark, sf):
+    """Class counts and shares of the training part before and after resampling."""
+    e = encode_standard(split_table(spark, sf))
+    train = e.df.where(F.col("split") == "train")
+    after = smote(train, e.features, "label", "id", k=5, seed=42)
+    both = train.select("label", F.lit("before").alias("stage")).unionByName(
+        after.select("label", F.lit("after").alias("stage")))
+    return round_doubles(P.split_distribution(both, "label", "stage", ("before", "after")))
+
+
 @register("cv_grid")
 def q_cv_grid(spark, sf):
+    """The small boosted-trees grid by 3-fold AUC."""
     e = encode_standard(split_table(spark, sf))
-    train = kfold_assign(e.df.where(F.col("split") == "train"), "label", 3)
-    _, table = M.cv_grid(M.assemble(train, e.features), "fold")
-    return table
+    train = cut_lineage(kfold_assign(e.df.where(F.col("split") == "train"), "label", 3))
+    gbt = GBTClassifier(labelCol="label", featuresCol="features", maxIter=20, stepSize=0.3, seed=M.SEED, **M.TREE_EXEC)
+    grid = [{"maxDepth": 3}, {"maxDepth": 5}]
+    return M.search(M.assemble(train, e.features), "fold", gbt, grid, "auc")
 
 
-@register("gbt_categorical")
-def q_gbt_categorical(spark, sf):
-    """Native-categorical boosting: indexed categoricals + early stopping on a
-    validation fold of the training rows (never the test rows)."""
+@register("cv_grid_smote")
+def q_cv_grid_smote(spark, sf):
+    """Two grid points x 5 folds by F1; SMOTE applied inside each training fold."""
+    e = encode_standard(split_table(spark, sf))
+    train = cut_lineage(kfold_assign(e.df.where(F.col("split") == "train"), "label", 5))
+    lr = LogisticRegression(labelCol="label", featuresCol="features", maxIter=50)
+
+    def resample(df):
+        return cut_lineage(smote(df, e.features, "label", "id", k=5, seed=42).select("label", *e.features))
+
+    return M.search(train, "fold", lr, M.SMALL_GRIDS["logistic_regression"], "f1", e.features, resample)
+
+
+def _categorical_model(spark, sf):
+    """Native-categorical boosting: indexed categoricals keep their nominal
+    mark through the assembler; early stopping on a validation part of the
+    training rows (never the test rows)."""
     s = split_table(spark, sf)
-    train = kfold_assign(s.where(F.col("split") == "train"), "label", 5).withColumn(
-        "is_valid", F.col("fold") == 0)
-    test = s.where(F.col("split") == "test")
+    train = training_partitions(cut_lineage(with_validation(s.where(F.col("split") == "train"))), "id")
     idx = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep") for c in CATEGORICAL]
     cols = [f"{c}_idx" for c in CATEGORICAL] + NUMERIC_CLEAN
-    va = VectorAssembler(inputCols=cols, outputCol="raw_features")
-    vi = VectorIndexer(inputCol="raw_features", outputCol="features", maxCategories=8, handleInvalid="keep")
-    gbt = GBTClassifier(labelCol="label", featuresCol="features", maxIter=700, stepSize=0.05, maxDepth=6,
-                        seed=42, validationIndicatorCol="is_valid", validationTol=0.01, **M.TREE_EXEC)
-    model = Pipeline(stages=[*idx, va, vi, gbt]).fit(train)
+    va = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
+    widest = max(r["n"] for r in FE.vocabulary_df(train, CATEGORICAL).groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect())
+    gbt = GBTClassifier(labelCol="label", featuresCol="features", maxIter=700, stepSize=0.05, maxDepth=6, seed=42,
+                        maxBins=max(32, widest + 1), validationIndicatorCol="is_valid", validationTol=0.01, **M.TREE_EXEC)
+    return Pipeline(stages=[*idx, va, gbt]).fit(train), s.where(F.col("split") == "test")
+
+
+@register("gbt_categorical")
+def q_gbt_categorical(spark, sf):
+    model, test = _categorical_model(spark, sf)
     return M.score(model, test)
 
 
 def _explain_model(spark, sf):
-    train, test, feats = _model_data(spark, sf, resample=False)
+    parts, feats = _model_data(spark, sf, resample=False)
     model = GBTClassifier(labelCol="label", featuresCol="features", maxIter=30, maxDepth=4, seed=42,
-                          **M.TREE_EXEC).fit(train)
-    return model, test.drop("features"), feats
+                          **M.TREE_EXEC).fit(parts["train"])
+    return model, parts["test"].drop("features"), feats
 
 
 @register("permutation_importance")
@@ -501,40 +566,157 @@ def q_shapley_sampled(spark, sf):
     return XP.shapley_sampled(model, test, feats, n_perm=8)
 
 
+@register("shapley_global")
+def q_shapley_global(spark, sf):
+    """Mean absolute attribution over 100 explained rows, top 10."""
+    model, test, feats = _explain_model(spark, sf)
+    return XP.global_attribution(XP.shapley_sampled(model, test, feats, n_perm=8, sample_rows=100), 10)
+
+
 # ------------------------------------------------------------------ scoring
-from churnforge.plans.scoring import ChurnScorer, split_records  # noqa: E402
 from churnforge.streaming.score_stream import run_to_completion  # noqa: E402
 
 
 def _fitted_scorer(spark, sf):
     s = split_table(spark, sf)
     raw_train = raw(spark, sf).join(s.where(F.col("split") == "train").select("id"), "id", "left_semi")
-    scorer = ChurnScorer.fit(s, raw_train)
-    path = scratch_path(spark, "scorer")
-    scorer.save(spark, path)
+    path = ChurnScorer.fit(s, cut_lineage(raw_train)).save(spark, scratch_path(spark, "scorer"))
     return ChurnScorer.load(spark, path)          # score with the reloaded state
 
 
-def _records(spark, sf):
-    return raw(spark, sf).drop("churn")
+def _streamed(spark, sf):
+    scorer = _fitted_scorer(spark, sf)
+    src = scratch_path(spark, "records")
+    _records(spark, sf).write.mode("overwrite").parquet(src)
+    return run_to_completion(spark, scorer, src, spark.read.parquet(src).schema, scratch_path(spark, "scored"),
+                             scratch_path(spark, "rejected"), scratch_path(spark, "stream_ckpt"))
 
 
 @register("score_batch")
 def q_score_batch(spark, sf):
     scorer = _fitted_scorer(spark, sf)
-    ok, _ = split_records(_records(spark, sf))
-    return scorer.score(ok)
+    return scorer.score(scorer.split(_records(spark, sf))[0])
 
 
 @register("score_stream")
 def q_score_stream(spark, sf):
+    return _streamed(spark, sf)[0]
+
+
+@register("reject_stream")
+def q_reject_stream(spark, sf):
+    """The reject sink of the streaming scorer."""
+    return _streamed(spark, sf)[1]
+
+
+# ------------------------------------------------------------------ checks of the model keys
+# Model output has no SQL form, but what must hold for it on every row has: each
+# key returns the rows the model keys are made of with flags that SQL states as 1.
+def _sound(scored, *keep):
+    p = F.col("probability")
+    return scored.select(*keep, ((p >= 0) & (p <= 1)).cast("int").alias("probability_ok"),
+                         (F.col("prediction") == (p > 0.5).cast("int")).cast("int").alias("prediction_ok"))
+
+
+@register("check_scores")
+def q_check_scores(spark, sf):
+    """Every learner scores every test row once, and soundly."""
+    parts, _ = _model_data(spark, sf)
+    _, models = M.compare(parts, M.estimators())
+    own = [M.score(m, parts["test"]).withColumn("model", F.lit(name)) for name, m in models.items()]
+    model, test = _categorical_model(spark, sf)
+    own.append(M.score(model, test).withColumn("model", F.lit("gbt_categorical")))
+    out = own[0]
+    for o in own[1:]:
+        out = out.unionByName(o)
+    return _sound(out, "model", "id", "label")
+
+
+@register("check_linear")
+def q_check_linear(spark, sf):
+    """Probabilities recomputed from the coefficient table equal the model's."""
+    parts, feats = _model_data(spark, sf)
+    model = M.estimators()["logistic_regression"].fit(parts["train"])
+    w = {r["feature"]: r["coefficient"] for r in M.lr_coefficients(model, feats, spark).collect()}
+    z = F.lit(float(model.intercept))
+    for f in feats:
+        z = z + F.lit(w[f]) * F.col(f)
+    test = model.transform(parts["test"]).withColumn("_p", vector_to_array("probability")[1])
+    return test.select("id", (F.abs(1 / (1 + F.exp(-z)) - F.col("_p")) < 1e-9).cast("int").alias("same"))
+
+
+@register("check_importance")
+def q_check_importance(spark, sf):
+    """Impurity importances name every feature once and add up to one."""
+    parts, feats = _model_data(spark, sf, resample=False)
+    model = GBTClassifier(labelCol="label", featuresCol="features", maxIter=10, maxDepth=4, seed=42,
+                          **M.TREE_EXEC).fit(parts["train"])
+    imp = M.tree_importance(model, feats, spark)
+    total = imp.select(F.sum("importance")).scalar()
+    return imp.select("feature", (F.col("importance") >= 0).cast("int").alias("not_negative"),
+                      F.round(total, 6).alias("total"))
+
+
+@register("check_shapley")
+def q_check_shapley(spark, sf):
+    """A row's Shapley values add up to p(x) - p(z), for every test row."""
+    model, test, feats = _explain_model(spark, sf)
+    test = cut_lineage(test)
+    sums = XP.shapley_sampled(model, test, feats, n_perm=4).groupBy("id").agg(
+        F.sum("shap").alias("s"), F.count(F.lit(1)).alias("n_features"))
+    totals = XP.shapley_totals(model, test, feats).withColumnRenamed("id", "_id")
+    return sums.join(totals, F.col("id") == F.col("_id")).select(
+        "id", "n_features", (F.abs(F.col("s") - F.col("total")) < 1e-6).cast("int").alias("adds_up"))
+
+
+@register("check_permutation")
+def q_check_permutation(spark, sf):
+    """Every feature is permuted once; importance is the fall of the AUC."""
+    model, test, feats = _explain_model(spark, sf)
+    imp = XP.permutation_importance(model, test, feats)
+    base = EV.roc_auc(M.score(model, M.assemble(test, feats)).withColumnRenamed("probability", "score"), []).select("auc").scalar()
+    return imp.select("feature", (F.abs(base - F.col("permuted_auc") - F.col("importance")) < 1e-9).cast("int").alias("is_the_fall"))
+
+
+@register("check_search")
+def q_check_search(spark, sf):
+    """Folds of the search cover the training rows; one point is best."""
+    e = encode_standard(split_table(spark, sf))
+    train = cut_lineage(M.assemble(kfold_assign(e.df.where(F.col("split") == "train"), "label", 3), e.features))
+    lr = M.estimators()["logistic_regression"]
+    t = cut_lineage(M.search(train, "fold", lr, M.SMALL_GRIDS["logistic_regression"], "accuracy"))
+    top = t.select(F.max("mean_accuracy")).scalar()
+    n_best = t.where("is_best").select(F.count_distinct("point")).scalar()
+    return t.select("point", "params", F.col("fold").cast("int").alias("fold"), "n",
+                    (~F.col("is_best") | (F.col("mean_accuracy") == top)).cast("int").alias("best_is_top"),
+                    n_best.alias("n_best"))
+
+
+@register("check_run_summary")
+def q_check_run_summary(spark, sf):
+    """The flow chooses on validation AUC and ends with one tuned row."""
+    quick = {k: v for k, v in M.estimators().items() if k == "logistic_regression"} | {
+        "gbt": GBTClassifier(labelCol="label", featuresCol="features", maxIter=5, maxDepth=3, seed=42, **M.TREE_EXEC)}
+    grids = {"gbt": [{"maxDepth": 2}, {"maxDepth": 3}], "logistic_regression": M.SMALL_GRIDS["logistic_regression"]}
+    t = cut_lineage(_train_flow(spark, sf, quick, grids)[0])
+    top = t.where("stage = 'compared'").select(F.max("valid_auc")).scalar()
+    right = F.when(F.col("stage") == "tuned", F.col("params").isNotNull() & F.col("cv_auc").between(0, 1)).otherwise(
+        ~F.col("is_best") | (F.col("valid_auc") == top))
+    sound = F.col("auc").between(0, 1) & F.col("train_accuracy").between(0, 1) & (F.col("inference_time") > 0)
+    return t.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_best").cast("int")).alias("n_best"),
+                                  F.min(right.cast("int")).alias("chosen_right"), F.min(sound.cast("int")).alias("sound"))
+
+
+@register("check_scoring")
+def q_check_scoring(spark, sf):
+    """Batch and stream score the same valid records, with the same result."""
     scorer = _fitted_scorer(spark, sf)
-    ok, _ = split_records(_records(spark, sf))
-    src = scratch_path(spark, "records")
-    ok.write.mode("overwrite").parquet(src)
-    schema = spark.read.parquet(src).schema
-    return run_to_completion(spark, scorer, src, schema, scratch_path(spark, "scored"),
-                             scratch_path(spark, "stream_ckpt"))
+    batch = scorer.score(scorer.split(_records(spark, sf))[0])
+    stream = _streamed(spark, sf)[0].select(F.col("id").alias("_id"), F.col("churn_probability").alias("_p"))
+    both = batch.join(stream, F.col("id") == F.col("_id"), "full")
+    p, q = F.col("churn_probability"), F.col("no_churn_probability")
+    return both.select(F.coalesce("id", "_id").alias("id"), (F.abs(p + q - 1) < 1e-9).cast("int").alias("sums_to_one"),
+                       (F.abs(p - F.col("_p")) < 1e-9).cast("int").alias("stream_agrees"))
 
 
 # ------------------------------------------------------------------ profiling at size (lineitem)
@@ -607,15 +789,19 @@ def q_csv_round_trip(spark, sf):
     return read_records(spark, path, CHURN_SCHEMA, "csv")
 
 
-@register("cv_grid_smote")
-def q_cv_grid_smote(spark, sf):
-    """Two grid points x 3 stratified folds; SMOTE applied inside each training fold."""
-    e = encode_standard(split_table(spark, sf))
-    train = cut_lineage(kfold_assign(e.df.where(F.col("split") == "train"), "label", 3))
+# ------------------------------------------------------------------ splits of a table with null labels
+def _documents_with_quality(spark, sf):
+    """All documents; quality is null where nobody has labelled them."""
+    docs = read_table(spark, sf, "documents", ["doc_id", "lang"])
+    labels = read_table(spark, sf, "labels", ["doc_id", "quality"]).withColumnRenamed("doc_id", "labelled")
+    return docs.join(labels, F.col("doc_id") == F.col("labelled"), "left").drop("labelled")
+
+
+@register("docs_split")
+def q_docs_split(spark, sf):
+    return stratified_split(_documents_with_quality(spark, sf), "quality", "doc_id").select("doc_id", "quality", "split")
 
-    def resample(df):
-        bal = smote(df, e.features, "label", "id", k=5, seed=42)
-        return cut_lineage(bal.select("label", *e.features))
 
-    grid = [{"maxDepth": 3, "maxIter": 20}, {"maxDepth": 5, "maxIter": 20}]
-    return M.cv_grid_resampled(train, e.features, "fold", 3, grid, resample)
+@register("docs_folds")
+def q_docs_folds(spark, sf):
+    return kfold_assign(_documents_with_quality(spark, sf), "quality", 5, "doc_id").select("doc_id", "quality", "fold")

@@ -77,11 +77,9 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
-def ensure_parallelism(df, rows_per_partition: int = 1_000_000):
-    """Repartition only when a (materialized) table has fewer partitions than
-    max(cluster parallelism, rows / rows_per_partition); a no-op at scale,
-    where inputs already carry enough partitions."""
-    sc = df.sparkSession.sparkContext
-    have = df.rdd.getNumPartitions()
-    want = max(sc.defaultParallelism, -(-df.count() // rows_per_partition))
-    return df.repartition(want) if have < want else df
+def training_partitions(df, id_col: str, rows_per_partition: int = 1_000_000, least: int = 16):
+    """Deal a training table by its id into a number of partitions that follows
+    from its row count alone. Tree learners sample per partition, so a fit must
+    not depend on how the input happened to be split or on the cluster's size."""
+    parts = max(least, -(-df.count() // rows_per_partition))
+    return df.repartition(parts, id_col).sortWithinPartitions(id_col)

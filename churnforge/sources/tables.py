@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DEFAULT_SF_DIR = "/root/testdata/sf0.01"
-
 # Schema of the derived customer table (FIXTURES.md §5).
 CHURN_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()),
@@ -55,22 +53,12 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType,
     return reader.format(fmt).load(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint only after proving the side has at most ``max_rows``.
-
-    Above the bound the frame is returned unhinted and the planner
-    (with AQE runtime statistics) falls back to a shuffle join.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def churn_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customer table with churn label derived from orders (FIXTURES.md §5).
 
     Plan: orders aggregate on o_custkey (partial aggregation absorbs a
-    hot customer) -> customer enriched with nation/region via a
-    size-checked broadcast -> left join on the customer key. The global
+    hot customer) -> customer enriched with nation/region, which the planner
+    broadcasts by their size -> left join on the customer key. The global
     last order date is a scalar subquery, not a join.
     """
     orders = read_table(spark, sf_dir, "orders",
@@ -85,7 +73,6 @@ def churn_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     geo = (read_table(spark, sf_dir, "nation", ["n_nationkey", "n_regionkey"])
            .join(read_table(spark, sf_dir, "region", ["r_regionkey", "r_name"]),
                  F.col("n_regionkey") == F.col("r_regionkey")))
-    geo = broadcast_if_small(geo, 100_000)
     cust = read_table(spark, sf_dir, "customer",
                       ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"])
     base = cust.join(geo, F.col("c_nationkey") == F.col("n_nationkey"), "inner")

@@ -72,7 +72,7 @@ def test_exact_knn_matches_brute_force(spark):
         pts[i] = (0.5, 0.5, 1.0)
     pts[170] = (40.0, -40.0, 0.0)        # a far outlier
     df = spark.createDataFrame([(i, *p) for i, p in pts.items()], "id long, a double, b double, c double")
-    got = exact_knn(df, "id", ["a", "b", "c"], k=4, grid_dims=2)
+    got = exact_knn(df, "id", ["a", "b", "c"], k=4, leaf_vectors=4)
     res = {}
     for r in got.collect():
         res.setdefault(r["id"], []).append((r["nn_rank"], r["nn_id"]))
@@ -89,7 +89,7 @@ def test_exact_knn_hot_duplicates_and_dense_cluster(spark):
     pts.update({120 + i: (rnd.uniform(-50, 50), rnd.uniform(-50, 50)) for i in range(60)})       # sparse
     pts[180] = (1.0, 2.0 + 1e-9)
     df = spark.createDataFrame([(i, *p) for i, p in pts.items()], "id long, a double, b double")
-    got = exact_knn(df, "id", ["a", "b"], k=3, grid_dims=2)
+    got = exact_knn(df, "id", ["a", "b"], k=3, leaf_vectors=4)
     res = {}
     for r in got.collect():
         res.setdefault(r["id"], []).append((r["nn_rank"], r["nn_id"]))
