@@ -36,10 +36,11 @@ def test_every_oracle_key_is_registered():
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
-FAST_KEYS = ["scan_schema", "csv_round_trip", "coerce_numeric", "impute_median", "validate_records", "describe_numeric",
-             "moments", "unique_profile", "describe_categorical", "boxplot_stats", "corr_matrix",
-             "category_association", "stratified_split", "kfold_assign", "minmax_scale", "feature_names",
-             "classification_report", "roc_auc", "smote"]
+FAST_KEYS = ["scan_schema", "csv_round_trip", "coerce_numeric", "impute_median", "validate_records", "reject_records", "describe_numeric",
+             "moments", "unique_profile", "describe_categorical", "boxplot_stats", "high_corr_columns", "unknown_categories",
+             "category_association", "stratified_split", "kfold_assign", "docs_split", "minmax_scale", "feature_names",
+             "classification_report", "roc_auc", "smote", "class_balance", "check_linear", "check_importance",
+             "check_shapley", "check_permutation", "check_search", "check_run_summary", "check_scoring"]
 
 
 @pytest.mark.parametrize("key", FAST_KEYS)
@@ -54,8 +55,16 @@ def test_oracle_parity(spark, con, key):
     assert got == exp
 
 
-def test_stream_equals_batch(spark):
-    b = E.queries()["score_batch"](spark, SF_SMALL)
-    s = E.queries()["score_stream"](spark, SF_SMALL)
-    cols = ["id", "churn_prediction", "churn_probability"]
-    assert sorted(tuple(r) for r in b.select(*cols).collect()) == sorted(tuple(r) for r in s.select(*cols).collect())
+def test_reject_keys_find_something(con):
+    for key in ("reject_records", "unknown_categories", "high_corr_columns"):
+        assert con.execute(E.oracle_sql()[key]).fetchall(), key
+
+
+def test_tree_scores_and_the_global_attribution(spark):
+    """Keys without SQL of their own: sound probabilities, whole tables, sorted."""
+    n_test = spark.sql("select 1") and E.queries()["stratified_split"](spark, SF_SMALL).where("split = 'test'").count()
+    for key in ("gbt_scores", "gbt_categorical"):
+        out = E.queries()[key](spark, SF_SMALL).collect()
+        assert len(out) == n_test and all(0 <= r["probability"] <= 1 for r in out)
+    top = [r["mean_abs_shap"] for r in E.queries()["shapley_global"](spark, SF_SMALL).collect()]
+    assert len(top) == 10 and top == sorted(top, reverse=True) and top[0] > 0

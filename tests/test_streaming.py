@@ -3,6 +3,7 @@
 import os
 import tempfile
 
+from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
 from churnforge.plans.scoring import ChurnScorer
@@ -11,21 +12,30 @@ from churnforge.streaming.score_stream import score_stream
 from tests.conftest import SF_SMALL
 
 
-def test_stream_restart_scores_each_record_once(spark):
+def test_stream_restart_scores_or_rejects_each_record_once(spark):
     s = split_table(spark, SF_SMALL)
     raw_train = raw(spark, SF_SMALL).join(s.where(F.col("split") == "train").select("id"), "id", "left_semi")
-    scorer = ChurnScorer.fit(s, raw_train, max_iter=5, depth=3)
-    records = raw(spark, SF_SMALL).drop("churn")
+    scorer = ChurnScorer.fit(s, raw_train, LogisticRegression(labelCol="label", featuresCol="features"))
+    records = raw(spark, SF_SMALL).drop("churn").withColumn(
+        "region", F.when(F.col("id") % 7 == 0, "ATLANTIS").otherwise(F.col("region")))
     root = tempfile.mkdtemp(prefix="stream-", dir="/tmp")
-    src, sink, ckpt = (os.path.join(root, x) for x in ("src", "sink", "ckpt"))
+    src, sink, rejects, ckpt = (os.path.join(root, x) for x in ("src", "sink", "rejects", "ckpt"))
     first, second = records.where(F.col("id") % 2 == 0), records.where(F.col("id") % 2 == 1)
+
+    def run():
+        for q in score_stream(spark, scorer, src, schema, sink, rejects, ckpt):
+            q.awaitTermination()
+        return spark.read.parquet(sink), spark.read.parquet(rejects)
+
     first.write.mode("append").parquet(src)
     schema = spark.read.parquet(src).schema
-    score_stream(spark, scorer, src, schema, sink, ckpt).awaitTermination()
-    n1 = spark.read.parquet(sink).count()
+    ok, bad = run()
+    assert ok.count() + bad.count() == first.count()
     second.write.mode("append").parquet(src)           # new files arrive
-    score_stream(spark, scorer, src, schema, sink, ckpt).awaitTermination()   # restart
-    out = spark.read.parquet(sink)
-    assert n1 == first.count()
-    assert out.count() == records.count()
-    assert out.select("id").distinct().count() == records.count()
+    ok, bad = run()                                    # restart
+    assert ok.count() + bad.count() == records.count() and bad.count() > 0
+    assert ok.select("id").union(bad.select("id")).distinct().count() == records.count()
+    assert all(r["reason"] == "unknown_category:region=ATLANTIS" or r["reason"].startswith("not_numeric") for r in bad.collect())
+    batch_ok, batch_bad = scorer.split(records)
+    assert sorted(r["id"] for r in ok.collect()) == sorted(r["id"] for r in batch_ok.collect())
+    assert sorted(map(tuple, bad.collect())) == sorted(map(tuple, batch_bad.collect()))
