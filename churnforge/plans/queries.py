@@ -395,6 +395,17 @@ def q_smote(spark, sf):
     return round_doubles(smote(train, feats, "label", "id", k=5, seed=42))
 
 
+@register("knn_embeddings")
+def q_knn_embeddings(spark, sf):
+    """Five nearest neighbours of every embedding: the same exact search with a
+    column per dimension."""
+    emb = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
+    dims = emb.select(F.max(F.size("embedding"))).first()[0] or 1
+    cols = [f"e{i}" for i in range(dims)]
+    wide = emb.select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(cols)])
+    return round_doubles(exact_knn(wide, "vec_id", cols, 5))
+
+
 # ------------------------------------------------------------------ models
 from pyspark.ml import Pipeline  # noqa: E402
 from pyspark.ml.classification import GBTClassifier, LogisticRegression  # noqa: E402
