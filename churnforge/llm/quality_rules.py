@@ -30,19 +30,26 @@ BLANKS = " \t\n\x0b\f\r"
 WINDOW = 8
 
 
-def _covered(windows: Column) -> Column:
-    """Words inside windows whose hash occurs twice or more in the array."""
-    order = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    n = F.size(order)
-
-    def same(k: Column, step: int) -> Column:
-        return F.get(order, k + step)["h"] == F.get(order, k)["h"]
-
-    # positions of repeated windows, in order of place
-    hits = F.transform(F.filter(order, lambda x, k: F.coalesce(same(k, -1), F.lit(False))
-                                | F.coalesce(same(k, 1), F.lit(False))), lambda x: x["i"])
+def _with_repeats(df: DataFrame, windows: str, out: str) -> DataFrame:
+    """Add ``out``: words inside windows whose hash occurs twice or more.
+
+    Step by step in columns, each used more than once, so that no step is
+    evaluated again for every element of the next.
+    """
+    rest = [c for c in df.columns if c != windows]
+    # most texts repeat no window: for them nothing is sorted
+    some = F.size(F.array_distinct(windows)) < F.size(windows)
+    ordered = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    df = df.select(*rest, F.when(some, ordered).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")).alias("_o"))
+    df = df.select(*rest, "_o", F.size("_o").alias("_n"))
+    # neighbours in hash order side by side: a window repeats if it equals either
+    before = F.concat(F.array(F.lit(None).cast("bigint")), F.slice("_o.h", F.lit(1), F.greatest(F.col("_n") - 1, F.lit(0))))
+    after = F.concat(F.when(F.col("_n") > 1, F.slice("_o.h", F.lit(2), F.greatest(F.col("_n") - 1, F.lit(1)))).otherwise(
+        F.array().cast("array<bigint>")), F.array(F.lit(None).cast("bigint")))
+    three = F.when(F.col("_n") > 0, F.arrays_zip(F.col("_o").alias("w"), before.alias("b"), after.alias("a")))
+    hits = F.transform(F.filter(three, lambda x: (x["w"]["h"] == x["b"]) | (x["w"]["h"] == x["a"])), lambda x: x["w"]["i"])
     places = F.flatten(F.transform(hits, lambda i: F.sequence(i, i + (WINDOW - 1))))
-    return F.when(n > 0, F.size(F.array_distinct(places))).otherwise(0)
+    return df.select(*rest, F.coalesce(F.size(F.array_distinct(places)), F.lit(0)).cast("long").alias(out))
 
 
 def base_figures(docs: DataFrame, text: Column, keep: list[Column]) -> DataFrame:
@@ -64,9 +71,7 @@ def base_figures(docs: DataFrame, text: Column, keep: list[Column]) -> DataFrame
             F.sequence(F.lit(1), F.size("_words") - (WINDOW - 1)),
             lambda i: F.xxhash64(F.slice("_words", i, F.lit(WINDOW))))).otherwise(
             F.array().cast("array<bigint>")).alias("_windows"))
-    repeats = F.when(F.size(F.array_distinct("_windows")) == F.size("_windows"), F.lit(0)).otherwise(
-        _covered(F.col("_windows")))
-    return step.select(*[c for c in step.columns if c != "_windows"], repeats.cast("long").alias("n_repeat_words"))
+    return _with_repeats(step, "_windows", "n_repeat_words")
 
 
 def _line_key(line: Column) -> Column:
