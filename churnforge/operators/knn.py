@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from churnforge.functions.exprs import hash_hex, null_safe_join, number
 from churnforge.operators.ranking import hash_rank
-from churnforge.session import cut_lineage
+from churnforge.session import cut_lineage, map_in_arrow, ship_package
 
 LEAF_VECTORS = 32
 TREE_SAMPLE = 200_000
@@ -170,6 +170,7 @@ def exact_knn(points: DataFrame, id_col: str, cols: Sequence[str], k: int = 5, s
     """
     cols = list(cols)
     spark = points.sparkSession
+    ship_package(spark)
     given = points.select(F.col(id_col).cast("long").alias("pid"), *[number(c).alias(c) for c in cols])
     whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
     pts = cut_lineage(given.where(whole))
@@ -214,8 +215,8 @@ def exact_knn(points: DataFrame, id_col: str, cols: Sequence[str], k: int = 5, s
     # -- 3. own leaf, then every leaf within the bound ----------------------------
     want = k + 1                               # a member may find itself among them
     schema, compare = f"vid bigint, top {_TOP}", _compare(len(cols), want)
-    own = cut_lineage(placed.select("vid", "x", "leaf").join(leaves, "leaf")
-                      .select("vid", "x", *leaf_parts).mapInArrow(compare, schema))
+    own = cut_lineage(map_in_arrow(placed.select("vid", "x", "leaf").join(leaves, "leaf")
+                                   .select("vid", "x", *leaf_parts), compare, schema))
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -229,7 +230,7 @@ def exact_knn(points: DataFrame, id_col: str, cols: Sequence[str], k: int = 5, s
     bound = F.when(F.size("top") >= want, F.element_at("top", -1)["dist2"]).alias("bound")
     visits = (placed.select("vid", "x", "leaf").join(own.select(F.col("vid").alias("v"), bound), F.col("vid") == F.col("v"))
               .select("vid", "x", "leaf", "bound").mapInPandas(spread, "vid bigint, x array<double>, leaf bigint"))
-    away = visits.join(leaves, "leaf").select("vid", "x", *leaf_parts).mapInArrow(compare, schema)
+    away = map_in_arrow(visits.join(leaves, "leaf").select("vid", "x", *leaf_parts), compare, schema)
 
     # -- 4. best of all visits; each point drops itself ---------------------------
     # a vector's lists are as many as its visits, each of at most k + 1 entries

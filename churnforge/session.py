@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import os
 import uuid
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Local default used only when the session names no checkpoint folder
 # (tests, laptops). On a cluster spark.checkpoint.dir points at shared
@@ -71,6 +74,39 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def write_shared(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write one file through Spark's file system layer (any shared storage)."""
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = hpath.getFileSystem(spark._jsc.hadoopConfiguration()).create(hpath)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once a context: however
+    the driver found it, executors get it as a py-file. A package that itself
+    came as a py-file is with them already."""
+    sc, here = spark.sparkContext, Path(__file__).resolve().parent
+    if getattr(sc, "_churnforge_shipped", False) or not here.is_dir():
+        return
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f.relative_to(here.parent))
+    path = f"{scratch_path(spark, 'package')}/churnforge.zip"
+    write_shared(spark, path, data.getvalue())
+    sc.addPyFile(path)
+    sc._churnforge_shipped = True
+
+
+def map_in_arrow(df: DataFrame, fn, schema) -> DataFrame:
+    """``mapInArrow`` of a function of this package."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
+
 def cut_lineage(df):
     """Reliable checkpoint into the shared folder (never a local checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
