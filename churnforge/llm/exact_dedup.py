@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnforge.llm.common import WS, materialise
+from churnforge.session import map_in_arrow
 
 KEY_CHARS = 24
 
@@ -126,7 +127,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                            T.StructField("group_size", T.LongType()), T.StructField("first", T.BooleanType()),
                            T.StructField("part", T.LongType()), T.StructField("edge", T.LongType()),
                            T.StructField("edge_text", T.StringType())])
-    runs = materialise(dealt.select("item", "id", "digest", compared.alias("text")).mapInArrow(_runs, schema),
+    runs = materialise(map_in_arrow(dealt.select("item", "id", "digest", compared.alias("text")), _runs, schema),
                        "exact-runs")
     # at most two runs of each partition: few rows whatever the size of the data
     edges = runs.filter("edge is not null and first").select("part", "edge", "edge_text", "keep_id", "group_size")

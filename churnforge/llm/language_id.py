@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnforge.llm.common import text_slices
+from churnforge.session import map_in_arrow
 
 ORDER = 3
 UNKNOWN = "und"
@@ -157,8 +158,8 @@ def fit_context_trees(labelled: DataFrame, id_col: str = "doc_id", text_col: str
     share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items())
                            for x in (lang, min(buckets, -(-buckets * sample_docs // n)))])
     sample = labelled.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(buckets)) < share[F.col(lang_col)])
-    counts = (sample.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-              .mapInArrow(_gram_counts, "lang string, n int, gram bigint, count bigint")
+    counts = (map_in_arrow(sample.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")),
+                           _gram_counts, "lang string, n int, gram bigint, count bigint")
               .groupBy("lang", "n", "gram").agg(F.sum("count").alias("count")).toArrow())
     langs = sorted(sizes)
     place = {x: i for i, x in enumerate(langs)}
@@ -196,7 +197,7 @@ def predict_language(docs: DataFrame, trees: ContextTrees | None, id_col: str =
                 [batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(rate), batch.column(2)],
                 names=schema.names)
 
-    return given.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return map_in_arrow(given, run, schema).withColumnRenamed("id", id_col)
 
 
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",

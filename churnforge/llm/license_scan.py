@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from churnforge.llm.common import text_slices
+from churnforge.session import map_in_arrow
 
 # Public licence notices and short licence texts, as their stewards word them.
 TEMPLATES: dict[str, list[str]] = {
@@ -161,4 +162,4 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             found = [[dict(zip(("start", "end", "licence", "dice"), m)) for m in scanner.scan(t)] for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, arrow)], names=schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return map_in_arrow(docs.select(id_col, text_col), run, schema)

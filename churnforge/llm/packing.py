@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 
 from churnforge.llm.byte_bpe import worker_bpe
 from churnforge.llm.common import materialise, text_slices
+from churnforge.session import map_in_arrow
 
 
 class _BestFit:
@@ -149,7 +150,7 @@ def pack_best_fit(items: DataFrame, length_col: str, capacity: int, tie_cols: li
         F.desc("length"), *[F.col(f"item.`{c}`") for c in tie_cols])
     schema = T.StructType([T.StructField("item", given.schema["item"].dataType), T.StructField("bin", T.LongType()),
                            T.StructField("offset", T.LongType()), T.StructField("fill", T.LongType())])
-    placed = materialise(dealt.mapInArrow(_pack_items(capacity, nearly_full, keep), schema), "packing-items")
+    placed = materialise(map_in_arrow(dealt, _pack_items(capacity, nearly_full, keep), schema), "packing-items")
     up = placed.filter("fill is not null").select("bin", "fill", F.shiftright("bin", 40).alias("node"))
     moves: dict[int, tuple[int, int]] = {}
     for _ in range(rounds):
@@ -157,9 +158,8 @@ def pack_best_fit(items: DataFrame, length_col: str, capacity: int, tie_cols: li
         nodes = -(-parts // fan_in)
         met = up.repartition(nodes, "node").sortWithinPartitions(F.desc("fill"), "bin") if nodes > 1 else (
             up.coalesce(1).sortWithinPartitions(F.desc("fill"), "bin"))
-        tree = materialise(met.select("bin", "fill").mapInArrow(
-            _pack_bins(capacity, nearly_full, keep), "bin bigint, into bigint, offset bigint, fill bigint"),
-            "packing-bins")
+        tree = materialise(map_in_arrow(met.select("bin", "fill"), _pack_bins(capacity, nearly_full, keep),
+                                        "bin bigint, into bigint, offset bigint, fill bigint"), "packing-bins")
         # at most fan_in moves a node, so fewer than two a partition in the whole tree
         moves |= {r["bin"]: (r["into"], r["offset"]) for r in tree.filter("into is not null").collect()}
         at_node = up.select(F.col("bin").alias("b"), "node")
@@ -209,4 +209,4 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
                 [batch.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start),
                  pa.array(length), ids], names=schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return map_in_arrow(docs.select(id_col, text_col), run, schema)

@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from churnforge.llm.common import text_slices
 from churnforge.llm.segments import SegmentStore, list_sums, spans
+from churnforge.session import map_in_arrow
 
 SPACE = "▁"
 LONG_WORD = 256
@@ -328,4 +329,4 @@ def sentencepiece_round_trip(docs: DataFrame, model_path: str, id_col: str = "do
                 [batch.column(0), ids, pa.array(codec.decode(flat, offsets), pa.string())],
                 names=[id_col, "ids", "decoded"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return map_in_arrow(docs.select(id_col, text_col), run, schema)

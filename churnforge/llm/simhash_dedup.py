@@ -35,6 +35,7 @@ from pyspark.sql import types as T
 
 from churnforge.llm.common import materialise, text_slices
 from churnforge.llm.components import component_roots
+from churnforge.session import map_in_arrow
 
 SEED = 42
 
@@ -66,7 +67,7 @@ def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
             found = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return map_in_arrow(docs.select(id_col, text_col), run, schema)
 
 
 def _block_keys(fp: Column, blocks: int, max_bits: int) -> Column:
@@ -181,8 +182,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col
         blocks = next(m for m in range(max_bits + 2, 64) if 64 * (m - max_bits) // m >= need)
     keyed = distinct.select("fingerprint", F.explode(_block_keys(F.col("fingerprint"), blocks, max_bits)).alias("k"))
     keyed = keyed.select("k.choice", "k.bits", "fingerprint").repartition("choice", "bits")
-    links = keyed.sortWithinPartitions("choice", "bits").mapInArrow(
-        _link_buckets(max_bits, max_bucket), "a bigint, b bigint, crowded boolean")
+    links = map_in_arrow(keyed.sortWithinPartitions("choice", "bits"), _link_buckets(max_bits, max_bucket),
+                         "a bigint, b bigint, crowded boolean")
     links = materialise(links, "simhash-links")
     edges = links.filter("not crowded").select("a", "b")
     if links.filter("crowded").limit(1).count():

@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from churnforge.llm.byte_bpe import ByteBpe, stable_cuts, worker_bpe
 from churnforge.llm.common import text_or_empty, text_slices
+from churnforge.session import map_in_arrow
 
 CHUNK_CHARS, OVERLAP_CHARS = 32_768, 512
 
@@ -92,5 +93,5 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                       for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64())], names=schema.names)
 
-    return docs.select(F.col(id_col), F.col(text_col).alias("text"),
-                       F.octet_length(text_or_empty(text_col)).cast("long").alias("n_bytes")).mapInArrow(run, schema)
+    return map_in_arrow(docs.select(F.col(id_col), F.col(text_col).alias("text"),
+                                    F.octet_length(text_or_empty(text_col)).cast("long").alias("n_bytes")), run, schema)

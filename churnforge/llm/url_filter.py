@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from churnforge.session import scratch_path
+from churnforge.session import map_in_arrow, scratch_path, write_shared
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -49,15 +49,6 @@ def _after_scheme(url: Column) -> Column:
     return F.when(at > 0, F.substring(url, at + F.lit(3), F.length(url))).otherwise("")
 
 
-def _write_shared(spark: SparkSession, path: str, data: bytes) -> None:
-    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = hpath.getFileSystem(spark._jsc.hadoopConfiguration()).create(hpath)
-    try:
-        out.write(bytearray(data))
-    finally:
-        out.close()
-
-
 def build_digest_array(spark: SparkSession, rules: Sequence[tuple[str, str, str]],
                        max_rules: int = 20_000_000) -> str:
     """Write the digest array of (verdict, host, path) rules and hand its files
@@ -83,7 +74,7 @@ def build_digest_array(spark: SparkSession, rules: Sequence[tuple[str, str, str]
     for part, array in files.items():
         data = io.BytesIO()
         np.save(data, array)
-        _write_shared(spark, f"{folder}/{name}.{part}.npy", data.getvalue())
+        write_shared(spark, f"{folder}/{name}.{part}.npy", data.getvalue())
         spark.sparkContext.addFile(f"{folder}/{name}.{part}.npy")
     return name
 
@@ -157,4 +148,4 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], id_col:
                 names=schema.names)
 
     url = F.coalesce(F.col(url_col), F.lit(""))
-    return pages.select(id_col, url_host(url).alias("host"), url_path(url).alias("path")).mapInArrow(run, schema)
+    return map_in_arrow(pages.select(id_col, url_host(url).alias("host"), url_path(url).alias("path")), run, schema)
