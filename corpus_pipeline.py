@@ -40,8 +40,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id in each group of near copies. Documents
     without an id stay unless their group has one with an id."""
     kept = near_duplicates(docs, shingle=4, max_bits=4).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = materialise(kept.select(F.col("doc_id").alias("kept_id")), "near-kept")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    kept = materialise(kept.select(F.col("doc_id").alias("_near_kept_id")), "near-kept")
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_near_kept_id")), "left_semi")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
