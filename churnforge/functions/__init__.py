@@ -1,3 +1 @@
-from churnforge.functions.exprs import (  # noqa: F401
-    coerce_numeric, hash_hex, hash_uniform, label_map, round6, safe_name,
-)
+"""Column-expression helpers."""

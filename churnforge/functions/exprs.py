@@ -55,10 +55,6 @@ def hash_uniform(id_col, seed: int = 42) -> Column:
     return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / F.lit(TWO_POW_52)
 
 
-def round6(c) -> Column:
-    return F.round(col_(c).cast("double"), 6)
-
-
 def safe_name(s: str) -> str:
     """Feature-column name: non-alphanumerics collapse to '_'."""
     return re.sub(r"[^0-9A-Za-z]+", "_", str(s)).strip("_")

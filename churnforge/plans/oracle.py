@@ -126,6 +126,9 @@ def sql_profile() -> dict[str, str]:
         'SELECT "column", CAST(count(DISTINCT value) <= 1 AS INTEGER) AS is_constant FROM '
         + _long("typed", clean_cols) + ' GROUP BY "column"')
 
+    out["drop_constants"] = with_base("SELECT id, " + ", ".join(
+        f"{r6(c)} AS {c}" if c in ("max_order", "acctbal", "total_charges") else c for c in clean_cols) + " FROM typed")
+
     parts = []
     for c in RAW_COLS:
         parts.append(

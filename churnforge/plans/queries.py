@@ -119,6 +119,13 @@ def q_constant_columns(spark, sf):
     return C.constant_columns(typed(spark, sf), CATEGORICAL + NUMERIC_CLEAN + ["label"])
 
 
+@register("drop_constants")
+def q_drop_constants(spark, sf):
+    """The typed table with a column that says the same in every row, without it."""
+    c = typed(spark, sf).withColumn("origin", F.lit("export"))
+    return round_doubles(C.drop_constant_columns(c, [x for x in c.columns if x != "id"]))
+
+
 @register("column_overview")
 def q_column_overview(spark, sf):
     return round_doubles(P.column_overview(raw(spark, sf)))
