@@ -4,9 +4,10 @@ Base figures come from the document alone. The method's verdict: every line is
 normalised (lower case, white space runs as one space) and hashed; per host
 (the source column) the distinct documents that hold a line are counted; a
 line held by more than ``min_docs`` documents and more than ``share`` of the
-host's documents is boilerplate and its words are removed; a document with
-removed lines is depleted, and rejected, when fewer than ``min_words`` words
-or less than ``min_left`` of its words remain.
+host's documents is boilerplate and its words are removed; a document is
+depleted, and rejected, when less than ``min_left`` of its words remain. (A
+short text beside one shared line is still its own text: no absolute count of
+words is asked for again here.)
 
 Copies of one text on a host are one document here, so a group of copies
 neither makes its own lines boilerplate nor multiplies the work: lines are
@@ -15,8 +16,8 @@ found inside its row; a text without equal windows costs one hash set.
 
 Edge cases: null and empty texts have no words and fail the base rules; a null
 source is a host of its own; repeated rows are judged alike, and null ids like
-any other; an empty table gives an empty one. Carried columns travel inside
-one struct, so their names cannot clash.
+any other; an empty table gives an empty one. The rows' own columns travel inside one
+struct, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -52,21 +53,33 @@ def _with_repeats(df: DataFrame, windows: str, out: str) -> DataFrame:
     return df.select(*rest, F.coalesce(F.size(F.array_distinct(places)), F.lit(0)).cast("long").alias(out))
 
 
-def base_figures(docs: DataFrame, text: Column, keep: list[Column]) -> DataFrame:
-    """keep plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and
-    lines, an array of (hash, words) of the lines that hold a word."""
+KEY = ["_host", "_digest", "_chars"]
+
+
+def _text_key(text: Column, host: str) -> list[Column]:
+    """What stands for a distinct text of a host."""
+    return [F.coalesce(F.col(host), F.lit("")).alias("_host"), F.xxhash64(text).alias("_digest"),
+            F.length(text).alias("_chars")]
+
+
+def _raw_lines(text: Column) -> Column:
+    """Lines that hold a word."""
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+
+
+def word_figures(docs: DataFrame, text: Column, keep: list[Column]) -> DataFrame:
+    """keep plus n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words,
+    and _raw_lines."""
     trimmed = F.btrim(text, F.lit(BLANKS))
     step = docs.select(
-        *keep, F.xxhash64(text).alias("_digest"), F.length(text).alias("_chars"),
-        F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WS)).alias("_words"),
+        *keep, F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WS)).alias("_words"),
         F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_raw_lines"))
-    names = [c for c in step.columns if c not in ("_words", "_raw_lines")]
+        _raw_lines(text).alias("_raw_lines"))
+    names = [c for c in step.columns if c != "_words"]
     step = step.select(
         *names, F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         (F.size("_raw_lines") - F.size(F.array_distinct("_raw_lines"))).cast("long").alias("n_dup_lines"),
-        F.transform("_raw_lines", _line_key).alias("_lines"),
         F.when(F.size("_words") >= WINDOW, F.transform(
             F.sequence(F.lit(1), F.size("_words") - (WINDOW - 1)),
             lambda i: F.xxhash64(F.slice("_words", i, F.lit(WINDOW))))).otherwise(
@@ -74,40 +87,73 @@ def base_figures(docs: DataFrame, text: Column, keep: list[Column]) -> DataFrame
     return _with_repeats(step, "_windows", "n_repeat_words")
 
 
+def _base_failed(min_words: int, max_repeat_percent: int) -> Column:
+    return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+
+
 def _line_key(line: Column) -> Column:
     plain = F.lower(F.regexp_replace(F.btrim(line, F.lit(BLANKS)), WS, " "))
     words = F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1
     return F.struct(F.xxhash64(plain).alias("h"), words.alias("w"))
 
 
-def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-                     carry: list[str] | None = None, min_words: int = 20, max_repeat_percent: int = 30,
-                     min_docs: int = 20, share: float = 0.1, min_left: float = 0.3) -> DataFrame:
-    """One row per row of docs: id, the base figures, base_failed, removed_words
-    (in boilerplate lines), kept, and row, a struct of the carried columns."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    item = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(0).cast("byte")
-    marked = materialise(base_figures(docs, text, [
-        F.col(id_col).alias("_id"), item.alias("_row"), F.coalesce(F.col(host_col), F.lit("")).alias("_host")]),
-        "quality-documents")
-    key = ["_host", "_digest", "_chars"]
-    texts = materialise(marked.select(*key, "_lines").dropDuplicates(key), "quality-texts")
+def _removed_words(texts: DataFrame, min_docs: int, share: float) -> DataFrame:
+    """(key columns with a trailing underscore, gone): words of boilerplate
+    lines in every distinct text that has any. ``texts``: key and _lines."""
     hosts = texts.groupBy(F.col("_host").alias("at")).agg(F.count(F.lit(1)).alias("docs"))
     held = (texts.select("_host", F.explode(F.array_distinct(F.col("_lines.h"))).alias("h"))
             .groupBy("_host", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > min_docs))
     common = materialise(
         held.join(hosts, F.col("_host") == F.col("at")).filter(F.col("n") > share * F.col("docs"))
         .select(F.col("_host").alias("line_host"), F.col("h").alias("line")), "quality-lines")
-    lines = texts.select(*key, F.explode("_lines").alias("l")).select(*key, "l.h", "l.w")
-    gone = materialise(
+    lines = texts.select(*KEY, F.explode("_lines").alias("l")).select(*KEY, "l.h", "l.w")
+    return materialise(
         lines.join(common, (F.col("_host") == F.col("line_host")) & (F.col("h") == F.col("line")))
-        .groupBy(*[F.col(c).alias(f"{c}_") for c in key]).agg(F.sum("w").alias("gone")), "quality-removed")
-    out = marked.join(gone, [F.col(c) == F.col(f"{c}_") for c in key], "left")
+        .groupBy(*[F.col(c).alias(f"{c}_") for c in KEY]).agg(F.sum("w").cast("long").alias("gone")), "quality-removed")
+
+
+def _same_key() -> list[Column]:
+    return [F.col(c) == F.col(f"{c}_") for c in KEY]
+
+
+def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
+                     min_words: int = 20, max_repeat_percent: int = 30, min_docs: int = 20, share: float = 0.1,
+                     min_left: float = 0.3) -> DataFrame:
+    """One row per row of docs: id, the base figures, base_failed, removed_words
+    (in boilerplate lines) and kept."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    figures = word_figures(docs, text, [F.col(id_col).alias("_id"), *_text_key(text, host_col)])
+    marked = materialise(figures.withColumn("_lines", F.transform("_raw_lines", _line_key)).drop("_raw_lines"),
+                         "quality-documents")
+    texts = materialise(marked.select(*KEY, "_lines").dropDuplicates(KEY), "quality-texts")
+    out = marked.join(_removed_words(texts, min_docs, share), _same_key(), "left")
     removed = F.coalesce("gone", F.lit(0)).cast("long")
-    left = F.col("n_words") - removed
-    failed = (F.col("n_words") < min_words) | (
-        100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    depleted = (removed > 0) & ((left < min_words) | (left < min_left * F.col("n_words")))
+    failed = _base_failed(min_words, max_repeat_percent)
+    depleted = F.col("n_words") - removed < min_left * F.col("n_words")
     return out.select(F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines",
                       "n_repeat_words", failed.alias("base_failed"), removed.alias("removed_words"),
-                      (~failed & ~depleted).alias("kept"), F.col("_row").alias("row"))
+                      (~failed & ~depleted).alias("kept"))
+
+
+def quality_filter(docs: DataFrame, text_col: str = "text", host_col: str = "source", min_words: int = 20,
+                   max_repeat_percent: int = 30, min_docs: int = 20, share: float = 0.1, min_left: float = 0.3
+                   ) -> DataFrame:
+    """The rows of docs that quality_verdicts keeps, with all their columns.
+
+    The texts themselves are neither written nor shuffled: lines travel as
+    hashes, and what comes back to the rows is the table of depleted texts'
+    keys - a text's lines hold all its words, so it follows from the lines.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    lines = docs.select(*_text_key(text, host_col), F.transform(_raw_lines(text), _line_key).alias("_lines"))
+    texts = materialise(lines.dropDuplicates(KEY), "quality-texts")
+    gone = _removed_words(texts, min_docs, share)
+    words = F.aggregate(F.col("_lines.w"), F.lit(0).cast("long"), lambda a, w: a + w)
+    depleted = materialise(
+        texts.select(*KEY, words.alias("words")).join(gone, _same_key())
+        .filter(F.col("words") - F.col("gone") < min_left * F.col("words")).select(*[f"{c}_" for c in KEY]),
+        "quality-depleted")
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
+    judged = word_figures(docs, text, [row, *_text_key(text, host_col)]).filter(
+        ~_base_failed(min_words, max_repeat_percent))
+    return judged.join(depleted, _same_key(), "left_anti").select("_row.*")

@@ -92,7 +92,7 @@ def q_op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_verdicts(load(spark, sf_dir, "documents")).drop("row")
+    return quality_verdicts(load(spark, sf_dir, "documents"))
 
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -170,6 +170,6 @@ ORACLE_SQL: dict[str, str] = {
           select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
                  n_words - removed_words as left_words from f)
         select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, removed_words, base_failed,
-               not base_failed and not (removed_words > 0 and (left_words < 20 or left_words < 0.3 * n_words)) as kept
+               not base_failed and left_words >= 0.3 * n_words as kept
         from b""",
 }

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from churnforge.llm.quality_rules import quality_verdicts
+from churnforge.llm.quality_rules import quality_filter, quality_verdicts
 
 WS = r"[\x20\x09-\x0D]+"
 
@@ -39,7 +39,7 @@ def brute(rows, min_docs, share):
         h = h or ""
         gone = sum(len(x.split(" ")) for x in lines[t or ""]
                    if len(held[h, x]) > min_docs and len(held[h, x]) > share * len(hosts[h]))
-        depleted = gone > 0 and (f[0] - gone < 20 or f[0] - gone < 0.3 * f[0])
+        depleted = f[0] - gone < 0.3 * f[0]
         out.append((d, *f, failed, gone, not failed and not depleted))
     return sorted(map(str, out))
 
@@ -65,11 +65,15 @@ def rows():
 @pytest.mark.parametrize("min_docs,share", [(20, 0.1), (3, 0.02)])
 def test_equals_brute_force(docs_of, rows, min_docs, share):
     docs = docs_of(rows)
-    out = quality_verdicts(docs, carry=docs.columns, min_docs=min_docs, share=share).collect()
+    out = quality_verdicts(docs, min_docs=min_docs, share=share).collect()
     got = sorted(str((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"],
                       r["n_repeat_words"], r["base_failed"], r["removed_words"], r["kept"])) for r in out)
     assert got == brute(rows, min_docs, share)
-    assert sorted(str(r["row"]["text"]) for r in out) == sorted(str(t) for _, t, _, _ in rows)
+    kept = quality_filter(docs, min_docs=min_docs, share=share)
+    assert kept.columns == docs.columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r["doc_id"]) for r in out if r["kept"])
+    texts = {d: t for d, t, _, _ in rows}
+    assert all(r["text"] == texts[r["doc_id"]] for r in kept.collect())
 
 
 def test_a_group_of_copies_stays(docs_of, rows):
@@ -78,6 +82,7 @@ def test_a_group_of_copies_stays(docs_of, rows):
 
 
 def test_empty_table_and_native_plan(docs_of, spark):
-    assert quality_verdicts(docs_of([])).count() == 0
-    plan = quality_verdicts(docs_of([(1, "a b")]))._jdf.queryExecution().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+    for operator in (quality_verdicts, quality_filter):
+        assert operator(docs_of([])).count() == 0
+        plan = operator(docs_of([(1, "a b")]))._jdf.queryExecution().toString()
+        assert not re.search("Python|Pandas|Arrow", plan)
