@@ -35,12 +35,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], text_index: int, max_chars: int = 4_000_000
-                ) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def text_slices(batches: Iterator[pa.RecordBatch], text_index: int, max_chars: int = 4_000_000,
+                field: str | None = None) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Cut Arrow batches so that one slice holds about ``max_chars`` of text
-    (always at least one row); nulls come out as empty strings."""
+    (always at least one row); nulls come out as empty strings. ``field`` names
+    the text inside a struct column."""
     for batch in batches:
-        texts = [t or "" for t in batch.column(text_index).to_pylist()]
+        column = batch.column(text_index)
+        texts = [t or "" for t in (column if field is None else column.field(field)).to_pylist()]
         start = size = 0
         for i, t in enumerate(texts):
             size += len(t)

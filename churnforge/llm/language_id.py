@@ -170,18 +170,20 @@ def fit_context_trees(labelled: DataFrame, id_col: str = "doc_id", text_col: str
 def predict_language(docs: DataFrame, trees: ContextTrees | None, id_col: str = "doc_id", text_col: str = "text",
                      carry: list[str] | None = None) -> DataFrame:
     """(id, lang_pred, score, bits_per_byte, row): score is the posterior of
-    the winner under equal priors; row is a struct of the carried columns."""
+    the winner under equal priors; row is a struct of the carried columns (a
+    carried text is sent to the workers once, inside it)."""
     carry = carry or []
+    inside = text_col in carry
     model = docs.sparkSession.sparkContext.broadcast(trees)
     item = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(0).cast("byte")
-    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), item.alias("row"))
+    given = docs.select(F.col(id_col).alias("id"), item.alias("row"), *([] if inside else [F.col(text_col).alias("text")]))
     schema = T.StructType([T.StructField("id", given.schema["id"].dataType), T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType()),
                            T.StructField("row", given.schema["row"].dataType)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = model.value
-        for batch, texts in text_slices(batches, 1, 1_000_000):
+        for batch, texts in text_slices(batches, 1 if inside else 2, 1_000_000, text_col if inside else None):
             known = [i for i, t in enumerate(texts) if trees is not None and _LETTER.search(t)]
             lang = [UNKNOWN] * len(texts)
             score, rate = np.zeros(len(texts)), np.zeros(len(texts))
@@ -194,7 +196,7 @@ def predict_language(docs: DataFrame, trees: ContextTrees | None, id_col: str =
                 for i, b in zip(known, best):
                     lang[i] = trees.langs[b]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(rate), batch.column(2)],
+                [batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(rate), batch.column(1)],
                 names=schema.names)
 
     return map_in_arrow(given, run, schema).withColumnRenamed("id", id_col)
