@@ -154,6 +154,11 @@ def quality_filter(docs: DataFrame, text_col: str = "text", host_col: str = "sou
         .filter(F.col("words") - F.col("gone") < min_left * F.col("words")).select(*[f"{c}_" for c in KEY]),
         "quality-depleted")
     row = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
-    judged = word_figures(docs, text, [row, *_text_key(text, host_col)]).filter(
-        ~_base_failed(min_words, max_repeat_percent))
-    return judged.join(depleted, _same_key(), "left_anti").select("_row.*")
+    judged = word_figures(docs, text, [row, *_text_key(text, host_col)])
+    # A filter on the figures would be pushed below them and evaluate them anew inside
+    # each other. So a row that passes travels in an array of one, and the filter
+    # stands on what unpacking the array gives.
+    passes = F.when(~_base_failed(min_words, max_repeat_percent), F.array(F.struct(F.lit(True).alias("_passes"), "_row")))
+    judged = judged.select(*KEY, passes.alias("_rows"))
+    return (judged.join(depleted, _same_key(), "left_anti").select(F.inline_outer("_rows"))
+            .filter("_passes").select("_row.*"))
