@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from churnforge.llm.common import load, materialise
 from churnforge.llm.exact_dedup import exact_duplicates
 from churnforge.llm.language_id import UNKNOWN, identify_languages
-from churnforge.llm.quality_rules import quality_verdicts
+from churnforge.llm.quality_rules import quality_filter
 from churnforge.llm.queries import packed_documents
 from churnforge.llm.simhash_dedup import near_duplicates
 
@@ -28,7 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are not depleted by the removal
     of lines that many documents of their host share."""
-    return quality_verdicts(docs, carry=docs.columns).filter("kept").select("row.*")
+    return quality_filter(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +38,16 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id in each group of near copies. Documents
-    without an id stay unless their group has one with an id."""
-    kept = near_duplicates(docs, shingle=4, max_bits=4).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = materialise(kept.select(F.col("doc_id").alias("_near_kept_id")), "near-kept")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_near_kept_id")), "left_semi")
+    without an id stay unless their group has one with an id.
+
+    What comes back to the texts is the table of ids that go, so the texts are
+    shuffled only where the planner finds that table too large to send around.
+    """
+    found = near_duplicates(docs, shingle=4, max_bits=4)
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = materialise(found.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.max(stays).alias("stays"))
+                       .filter(~F.col("stays")).select("_gone_id"), "near-gone")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")), "left_anti")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
