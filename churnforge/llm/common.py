@@ -13,6 +13,7 @@ from churnforge.sources.tables import table_path
 
 #: Regex classes as the contracts write them (ASCII white space only).
 WS = r"[\x20\x09-\x0D]+"
+SLICE_ROWS = 1024
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,14 +41,16 @@ def text_slices(batches: Iterator[pa.RecordBatch], text_index: int, max_chars: i
     """Cut Arrow batches so that one slice holds about ``max_chars`` of text
     (always at least one row); nulls come out as empty strings. ``field`` names
     the text inside a struct column."""
-    for batch in batches:
-        column = batch.column(text_index)
-        texts = [t or "" for t in (column if field is None else column.field(field)).to_pylist()]
-        start = size = 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size >= max_chars:
-                yield batch.slice(start, i + 1 - start), texts[start:i + 1]
-                start, size = i + 1, 0
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+    for whole in batches:
+        for at in range(0, whole.num_rows, SLICE_ROWS):
+            batch = whole.slice(at, SLICE_ROWS)      # only these rows become Python strings at a time
+            column = batch.column(text_index)
+            texts = [t or "" for t in (column if field is None else column.field(field)).to_pylist()]
+            start = size = 0
+            for i, t in enumerate(texts):
+                size += len(t)
+                if size >= max_chars:
+                    yield batch.slice(start, i + 1 - start), texts[start:i + 1]
+                    start, size = i + 1, 0
+            if start < len(texts):
+                yield batch.slice(start), texts[start:]
