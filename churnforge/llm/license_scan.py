@@ -3,21 +3,33 @@
 Texts and templates are normalised alike (lower case, words of letters and
 digits). A unit of a document - the whole text, each line, each sentence of a
 longer line - is compared with a template by 2 * shared / (a + b) over their
-multisets of word bigrams. Sizes bound the coefficient: with a threshold t only
-templates of t / (2 - t) to (2 - t) / t times the unit's bigrams can reach it;
-and a unit that shares no bigram with any template is passed over at once.
+multisets of word bigrams. Besides, every window of the whole word sequence is
+compared, wherever it begins and however its lines are wrapped: per template and
+place the window of highest coefficient stands, of windows of several templates
+that overlap by more than half the one with most shared bigrams, weighted by the
+coefficient. A window inside a matched unit of its own licence adds nothing.
+
+A unit or window that reaches the threshold t holds at least t / (2 - t) of the
+template's bigrams, so a document without that many is passed over at once; the
+best window starts and ends on bigrams of the template and is no longer than
+(2 - t) / t times the template.
 
 Edge cases: null and empty texts, and units of a single word, match nothing;
 equal scores go to the template that comes first by name; repeated rows repeat
 their result; an empty table gives an empty one; only id and text are read.
+Windows that lie within one line are reported on request (``inline``; the query
+asks for them): without it a line is judged as a line and by its sentences.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -92,46 +104,116 @@ def bigrams(text: str) -> list[tuple[str, str]]:
     return list(zip(words, words[1:]))
 
 
-def dice(a: Counter, b: Counter) -> float:
-    both = sum(min(n, b[g]) for g, n in a.items() if g in b)
-    return 2 * both / (a.total() + b.total())
+def word_spans(text: str) -> list[tuple[int, int]]:
+    """(start, end) of each word in the text as given."""
+    low = text.lower()
+    spans = [m.span() for m in _WORD.finditer(low)]
+    if len(low) == len(text):
+        return spans
+    origin = [i for i, c in enumerate(text) for _ in c.lower()]       # some capitals lower to two characters
+    return [(origin[a], origin[b - 1] + 1) for a, b in spans]
 
 
 class LicenceScanner:
-    def __init__(self, templates: dict[str, list[str]], threshold: float):
-        self.threshold = threshold
-        self.templates = [(name, g.total(), g) for name in sorted(templates)
-                          for t in templates[name] if (g := Counter(bigrams(t)))]
-        self.known = {g for _, _, grams in self.templates for g in grams}
-        self.words = {w for g in self.known for w in g}
-        ratio = threshold / (2 - threshold)
-        self.least = min((n for _, n, _ in self.templates), default=0) * ratio
-        self.most = max((n for _, n, _ in self.templates), default=0) / ratio
+    def __init__(self, templates: dict[str, list[str]], threshold: float, inline: bool = False):
+        self.threshold, self.inline = threshold, inline
+        self.ratio = threshold / (2 - threshold)
+        self.names: list[str] = []
+        self.sizes: list[int] = []
+        # bigram -> (template, its count there)
+        self.index: dict[tuple[str, str], list[tuple[int, int]]] = defaultdict(list)
+        for name in sorted(templates):
+            for t in templates[name]:
+                grams = Counter(bigrams(t))
+                for g, n in grams.items():
+                    self.index[g].append((len(self.names), n))
+                self.names.append(name)
+                self.sizes.append(grams.total())
+        self.index = dict(self.index)
+
+    def shared(self, grams: list[tuple[str, str]]) -> dict[int, int]:
+        """Bigrams in common with each template (as multisets)."""
+        out: dict[int, int] = defaultdict(int)
+        index = self.index
+        for g, n in Counter([g for g in grams if g in index]).items():
+            for t, k in index[g]:
+                out[t] += n if n < k else k
+        return out
 
     def score(self, grams: list[tuple[str, str]]) -> tuple[str, float] | None:
         """Best template at or over the threshold for a unit's bigrams."""
-        if not self.least <= len(grams) <= self.most or self.known.isdisjoint(grams):
-            return None
-        mine, size, best = Counter(grams), len(grams), None
-        for name, n, theirs in self.templates:
-            if 2 * min(n, size) < self.threshold * (n + size):
-                continue
-            value = dice(mine, theirs)
+        best = None
+        for t, both in sorted(self.shared(grams).items()):
+            value = 2 * both / (len(grams) + self.sizes[t])
             if value >= self.threshold and (best is None or value > best[1]):
-                best = name, value
+                best = self.names[t], value
         return best
 
+    def windows_of(self, template: int, grams: list[tuple[str, str]]) -> list[tuple[int, int, int, float]]:
+        """(first bigram, last bigram, shared, dice) of the template's best
+        windows: highest coefficient first, none overlapping another."""
+        size, index = self.sizes[template], self.index
+        pos, before, seen = [], [], defaultdict(list)
+        for i, g in enumerate(grams):
+            count = next((n for t, n in index.get(g, ()) if t == template), 0)
+            if count:
+                # a hit counts from a start after the count-th hit of the same bigram before it
+                places = seen[g]
+                before.append(places[-count] if len(places) >= count else -1)
+                places.append(len(pos))
+                pos.append(i)
+        at, back = np.array(pos), np.array(before)
+        reach = np.searchsorted(at, at + int(size / self.ratio + 1e-9), "left")
+
+        def best(i: int, limit: int) -> tuple[float, int, int, int] | None:
+            end = min(int(reach[i]), limit)
+            both = np.cumsum(back[i:end] < i)
+            value = 2 * both / (size + at[i:end] - at[i] + 1)
+            j = int(value.argmax())
+            return (-float(value[j]), i, i + j, int(both[j])) if value[j] >= self.threshold else None
+
+        least = size * self.ratio - 1e-9
+        heap = [w for i in np.flatnonzero(reach - np.arange(len(at)) >= least) if (w := best(int(i), len(at)))]
+        heapq.heapify(heap)
+        starts: list[int] = []
+        ends: list[int] = []
+        out = []
+        while heap:
+            value, i, j, both = heapq.heappop(heap)
+            k = bisect_right(starts, i)
+            if k and ends[k - 1] >= i:
+                continue
+            if k < len(starts) and starts[k] <= j:             # runs into a better window: as far as that
+                if again := best(i, starts[k]):
+                    heapq.heappush(heap, again)
+                continue
+            starts.insert(k, i)
+            ends.insert(k, j)
+            out.append((int(at[i]), int(at[j]), both, -value))
+        return out
+
+    def windows(self, grams: list[tuple[str, str]], candidates: list[int]) -> list[tuple[int, int, str, float]]:
+        """(first bigram, last bigram, licence, dice) of the windows that stand."""
+        found = [(-both * value, t, a, b, value) for t in candidates for a, b, both, value in self.windows_of(t, grams)]
+        kept: list[tuple[int, int, str, float]] = []
+        for _, t, a, b, value in sorted(found):
+            if all(2 * (min(b, d) - max(a, c) + 1) <= b - a + 1 for c, d, _, _ in kept):
+                kept.append((a, b, self.names[t], value))
+        return kept
+
     def scan(self, text: str) -> list[tuple[int, int, str, float]]:
-        """(start, end, licence, dice) of the matching units, by place."""
-        out, at, whole = {}, 0, []
+        """(start, end, licence, dice) of the matching units and windows, by place."""
+        words = words_of(text)
+        grams = list(zip(words, words[1:]))
+        candidates = sorted(t for t, n in self.shared(grams).items() if n >= self.sizes[t] * self.ratio - 1e-9)
+        if not candidates:
+            return []
+        out, at = {}, 0
         lines = text.split("\n")
         for line in lines:
-            words = words_of(line)
-            grams = list(zip(words, words[1:]))
-            if len(whole) <= self.most + 1:      # longer texts match no template as a whole
-                whole += words
-            if not self.known.isdisjoint(grams):
-                if found := self.score(grams):
+            line_grams = bigrams(line)
+            if not self.index.keys().isdisjoint(line_grams):
+                if found := self.score(line_grams):
                     out[at, at + len(line)] = found
                 parts = _SENTENCE.split(line)
                 place = at
@@ -140,13 +222,20 @@ class LicenceScanner:
                     if found := self.score(bigrams(p)):
                         out[place, place + len(p)] = found
             at += len(line) + 1
-        if len(lines) > 1 and (found := self.score(list(zip(whole, whole[1:])))):
+        if len(lines) > 1 and (found := self.score(grams)):
             out[0, len(text)] = found
+        units = [(a, b, name) for (a, b), (name, _) in out.items()]
+        spans = word_spans(text)
+        for first, last, name, value in self.windows(grams, candidates):
+            a, b = spans[first][0], spans[last + 1][1]
+            if (self.inline or "\n" in text[a:b]) and not any(c <= a and b <= d and name == n for c, d, n in units):
+                out.setdefault((a, b), (name, value))
         return [(a, b, *found) for (a, b), found in sorted(out.items())]
 
 
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  templates: dict[str, list[str]] | None = None, threshold: float = 0.8) -> DataFrame:
+                  templates: dict[str, list[str]] | None = None, threshold: float = 0.8,
+                  inline: bool = False) -> DataFrame:
     """(id, matches array<struct<start, end, licence, dice>>) per row of docs.
     Map-only; the templates are the caller's and small."""
     templates = TEMPLATES if templates is None else templates
@@ -157,7 +246,7 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                                 ("dice", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = LicenceScanner(templates, threshold)
+        scanner = LicenceScanner(templates, threshold, inline)
         for batch, texts in text_slices(batches, 1):
             found = [[dict(zip(("start", "end", "licence", "dice"), m)) for m in scanner.scan(t)] for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, arrow)], names=schema.names)

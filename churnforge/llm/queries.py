@@ -80,7 +80,7 @@ def q_op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences found in each document, by name, and the best coefficient."""
-    found = scan_licences(load(spark, sf_dir, "documents"))
+    found = scan_licences(load(spark, sf_dir, "documents"), inline=True)
     return found.select("doc_id", F.size("matches").cast("long").alias("n_matches"),
                         F.array_join(F.array_sort(F.array_distinct(F.col("matches.licence"))), ",").alias("licences"),
                         F.coalesce(F.array_max(F.col("matches.dice")), F.lit(0.0)).alias("best_dice"))

@@ -1,4 +1,5 @@
 import re
+import textwrap
 from collections import Counter
 
 from churnforge.llm.license_scan import TEMPLATES, LicenceScanner, bigrams, scan_licences
@@ -58,3 +59,42 @@ def test_finds_the_planted_lines(spark):
     for d, t in texts.items():
         for line, name in planted.items():
             assert (line in t) == (name in out[d]), (d, name)
+
+
+def brute_windows(text, name, template):
+    """Highest coefficient of any word window with a template."""
+    grams, b, best = bigrams(text), Counter(bigrams(template)), 0
+    for i in range(len(grams)):
+        a = Counter()
+        for j in range(i, min(len(grams), i + 2 * b.total())):
+            a[grams[j]] += 1
+            best = max(best, 2 * (a & b).total() / (a.total() + b.total()))
+    return best
+
+
+PROSE = "The survey of the valley was begun in the spring and carried on by two parties until the rain came. " * 40
+
+
+def test_a_wrapped_notice_inside_a_long_document(docs_of, spark, tmp_path):
+    for name, notice in (("MIT", MIT), ("Apache-2.0", TEMPLATES["Apache-2.0"][1]), ("BSD-2-Clause", TEMPLATES["BSD-2-Clause"][0])):
+        wrapped = textwrap.fill(notice, 80)
+        for given in (wrapped, "".join(f"# {line}\n" for line in wrapped.split("\n")), wrapped.replace("copies", "clones")):
+            text = textwrap.fill(PROSE, 80) + "\n\n" + given + "\n\n" + textwrap.fill(PROSE, 80)
+            hits = [m for m in LicenceScanner(TEMPLATES, 0.8).scan(text) if m[2] == name and "\n" in text[m[0]:m[1]]]
+            assert len(hits) == 1, name
+            place = text.index(given)
+            assert place <= hits[0][0] < hits[0][1] <= place + len(given)
+            assert hits[0][3] == brute_windows(text, name, notice)
+    path = str(tmp_path / "documents.parquet")
+    docs_of([(1, PROSE + "\n" + textwrap.fill(MIT, 80) + "\n" + PROSE), (2, PROSE + MIT + " " + PROSE), (3, PROSE)]).write.parquet(path)
+    out = {r["doc_id"]: r["licences"] for r in q_op8(spark, str(tmp_path)).collect()}
+    assert out == {1: "MIT", 2: "MIT", 3: ""}
+
+
+def test_windows_by_place_and_letters_that_grow():
+    wrapped = textwrap.fill(MIT, 80)
+    text = "İİ\n" + wrapped + "\n" + wrapped.replace("copies", "clones") + "\n" + PROSE
+    hits = LicenceScanner(TEMPLATES, 0.8).scan(text)
+    assert [m[2] for m in hits] == ["MIT", "MIT"] and hits[0][3] == 1 > hits[1][3]
+    assert text[hits[0][0]:].startswith("Permission") and text[:hits[0][1]].endswith("Software")
+    assert len(LicenceScanner(TEMPLATES, 0.8, inline=True).scan(MIT * 2)) == 2
