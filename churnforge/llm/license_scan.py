@@ -28,6 +28,7 @@ import re
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from importlib.resources import files
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,8 @@ from pyspark.sql import types as T
 from churnforge.llm.common import text_slices
 from churnforge.session import map_in_arrow
 
-# Public licence notices and short licence texts, as their stewards word them.
+# Short forms and openings of public licences. The folder ``licences`` adds whole notices
+# and whole licence texts (NAME.KIND.txt), with their disclaimers.
 TEMPLATES: dict[str, list[str]] = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
@@ -91,6 +93,9 @@ TEMPLATES: dict[str, list[str]] = {
     "all-rights-reserved": ["All rights reserved."],
 }
 
+for _file in sorted(files("churnforge.llm").joinpath("licences").iterdir(), key=lambda f: f.name):
+    TEMPLATES.setdefault(_file.name.rsplit(".", 2)[0], []).append(_file.read_text(encoding="utf-8"))
+
 _WORD = re.compile(r"[a-z0-9]+")
 _SENTENCE = re.compile(r"(?<=[.!?;])\s+")
 

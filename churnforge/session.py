@@ -93,7 +93,7 @@ def ship_package(spark: SparkSession) -> None:
         return
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w") as z:
-        for f in sorted(here.rglob("*.py")):
+        for f in sorted([*here.rglob("*.py"), *here.rglob("*.txt")]):
             z.write(f, f.relative_to(here.parent))
     path = f"{scratch_path(spark, 'package')}/churnforge.zip"
     write_shared(spark, path, data.getvalue())

@@ -98,3 +98,21 @@ def test_windows_by_place_and_letters_that_grow():
     assert [m[2] for m in hits] == ["MIT", "MIT"] and hits[0][3] == 1 > hits[1][3]
     assert text[hits[0][0]:].startswith("Permission") and text[:hits[0][1]].endswith("Software")
     assert len(LicenceScanner(TEMPLATES, 0.8, inline=True).scan(MIT * 2)) == 2
+
+
+def test_whole_licence_texts_are_found():
+    """As files of their own with a title and a copyright line, and inside a longer document."""
+    scanner = LicenceScanner(TEMPLATES, 0.8)
+    disclaimer = ('THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
+                  "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
+                  "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+                  "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.")
+    given = [("MIT", MIT + "\n\n" + disclaimer)]
+    given += [(name, max(TEMPLATES[name], key=len)) for name in (
+        "BSD-2-Clause", "BSD-3-Clause", "ISC", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0",
+        "CC0-1.0", "CC-BY-SA-4.0", "Unlicense")]
+    for name, text in given:
+        own = "License\n\nCopyright (c) 2015 Some One\n\n" + textwrap.fill(text, 72)
+        assert (0, len(own), name) in [m[:3] for m in scanner.scan(own)], name
+        hits = [m for m in scanner.scan(textwrap.fill(PROSE, 72) + "\n" + own + "\n" + PROSE * 3) if m[1] - m[0] > 0.9 * len(text)]
+        assert [m[2] for m in hits] == [name] and hits[0][3] > 0.95, name
