@@ -53,6 +53,17 @@ def test_tree_matching_is_maximal():
         assert len({id(x) for x, _ in pairs}) == len(pairs) == len({id(y) for _, y in pairs})
 
 
+def test_tree_matching_is_maximal_at_every_size():
+    def pairs(a, b):
+        return len(match_trees(Page(a).root, Page(b).root))
+
+    assert pairs("<h2>x</h2>" + "<p>x</p>" * 700, "<p>x</p>" * 700 + "<h2>x</h2>") == 701
+    assert pairs("<div>" * 1200 + "<ul></ul>", "<div>" * 1200 + "<ol></ol>") == 1201
+    rng = random.Random(5)
+    a, b = (Page("".join(f"<{t}>{'<b>y</b>' * rng.randint(0, 2)}</{t}>" for t in rng.choices(["div", "ul", "h2"], k=k))).root for k in (560, 530))
+    assert len(match_trees(a, b)) == brute_match(a, b)
+
+
 def blog(i, body):
     return (f"<html><body><div class=top><span>My Blog</span></div><div class=wrap><div class=text><p>{body}</p><p>More {i}.</p></div>"
             f"<div class=box>Read our other posts</div></div><div class=bottom>Contact</div></body></html>")
