@@ -505,8 +505,7 @@ def q_run_summary(spark, sf):
 @register("best_importance")
 def q_best_importance(spark, sf):
     """Importance of every feature in the tuned best model."""
-    quick = {k: v for k, v in M.estimators().items() if k != "random_forest"}
-    _, model, feats = _train_flow(spark, sf, quick, M.SMALL_GRIDS)
+    _, model, feats = _train_flow(spark, sf, M.estimators(), M.SMALL_GRIDS)
     return M.model_importance(model, feats, spark).orderBy(F.col("importance").desc(), "feature")
 
 
@@ -526,7 +525,7 @@ def q_cv_grid(spark, sf):
     """The small boosted-trees grid by 3-fold AUC."""
     e = encode_standard(split_table(spark, sf))
     train = cut_lineage(kfold_assign(e.df.where(F.col("split") == "train"), "label", 3))
-    gbt = GBTClassifier(labelCol="label", featuresCol="features", maxIter=20, stepSize=0.3, seed=M.SEED, **M.TREE_EXEC)
+    gbt = GBTClassifier(labelCol="label", featuresCol="features", maxIter=100, stepSize=0.3, seed=M.SEED, **M.TREE_EXEC)
     grid = [{"maxDepth": 3}, {"maxDepth": 5}]
     return M.search(M.assemble(train, e.features), "fold", gbt, grid, "auc")
 
@@ -544,18 +543,43 @@ def q_cv_grid_smote(spark, sf):
     return M.search(train, "fold", lr, M.SMALL_GRIDS["logistic_regression"], "f1", e.features, resample)
 
 
+def _categorical_stages(train):
+    """(indexers, assembler, bins a tree needs) of the native-categorical learner."""
+    idx = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep") for c in CATEGORICAL]
+    cols = [f"{c}_idx" for c in CATEGORICAL] + NUMERIC_CLEAN
+    va = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
+    widest = max(r["n"] for r in FE.vocabulary_df(train, CATEGORICAL).groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect())
+    return idx, va, max(32, widest + 1)
+
+
+@register("cv_grid_full")
+def q_cv_grid_full(spark, sf):
+    """Every point of the full grids by 5-fold F1, each learner on its own."""
+    s = split_table(spark, sf)
+    e = encode_standard(s)
+    train = cut_lineage(kfold_assign(e.df.where(F.col("split") == "train"), "label", 5))
+    native = cut_lineage(kfold_assign(s.where(F.col("split") == "train"), "label", 5))
+    idx, va, bins = _categorical_stages(native)
+    own = M.assemble(train, e.features)
+    gbt = M.estimators()["gbt"]
+    data = {"random_forest": (own, M.estimators()["random_forest"]), "gbt": (own, gbt),
+            "gbt_categorical": (Pipeline(stages=[*idx, va]).fit(native).transform(native), gbt.copy({gbt.maxBins: bins}))}
+    out = None
+    for name, grid in M.FULL_GRIDS.items():
+        found = M.search(data[name][0], "fold", data[name][1], grid, "f1").select(F.lit(name).alias("model"), "*")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def _categorical_model(spark, sf):
     """Native-categorical boosting: indexed categoricals keep their nominal
     mark through the assembler; early stopping on a validation part of the
     training rows (never the test rows)."""
     s = split_table(spark, sf)
     train = training_partitions(cut_lineage(with_validation(s.where(F.col("split") == "train"))), "id")
-    idx = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep") for c in CATEGORICAL]
-    cols = [f"{c}_idx" for c in CATEGORICAL] + NUMERIC_CLEAN
-    va = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
-    widest = max(r["n"] for r in FE.vocabulary_df(train, CATEGORICAL).groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect())
+    idx, va, bins = _categorical_stages(train)
     gbt = GBTClassifier(labelCol="label", featuresCol="features", maxIter=700, stepSize=0.05, maxDepth=6, seed=42,
-                        maxBins=max(32, widest + 1), validationIndicatorCol="is_valid", validationTol=0.01, **M.TREE_EXEC)
+                        maxBins=bins, validationIndicatorCol="is_valid", validationTol=0.01, **M.TREE_EXEC)
     return Pipeline(stages=[*idx, va, gbt]).fit(train), s.where(F.col("split") == "test")
 
 
