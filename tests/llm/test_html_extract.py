@@ -99,3 +99,27 @@ def test_whole_table_equals_the_article(spark):
         parts = re.split(r"</?(?:p|h1|br)>", re.sub(r"</?b>", "", article))
         want = " ".join(" ".join(html.unescape(p).split()) for p in parts if p.strip())
         assert r["text"] == want and r["n_chars"] == len(want)
+
+
+def test_templates_of_every_layout_and_section(spark):
+    """Two languages in one layout, a rare layout, many copies, and near copies of an article."""
+    def page(menu, i):
+        return (f"<html><body><div class=top><span>{menu}</span></div><div class=wrap><div class=text><p>story {i} {'w' * (i % 7)}</p></div></div>"
+                "</body></html>")
+
+    def forum(i):
+        return f"<html><body><table class=forum><tr><td>Forum rules apply</td><td>post {i}</td></tr></table></body></html>"
+
+    rows = [(i, f"http://two.x/{'en' if i % 2 else 'fr'}/{i}", page("Home and news" if i % 2 else "Accueil et infos", i)) for i in range(200)]
+    rows += [(300 + i, f"http://two.x/f/t/{i}", forum(i)) for i in range(5)]
+    rows += [(1000 + i, "http://hot.x/a", page("Menu of hot", 1)) for i in range(300)]
+    rows += [(2000 + i, f"http://hot.x/b{i}", page("Menu of hot", 10 + i)) for i in range(4)]
+    rows += [(3000 + i, f"http://near.x/{i}", f"<article><p>The same long article text on every page.</p><p>{i}</p></article>") for i in range(9)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in extract_main_text(df).collect()}
+    for i in range(200):
+        assert got[i] == f"story {i} {'w' * (i % 7)}".strip()
+    assert [got[300 + i] for i in range(5)] == [f"post {i}" for i in range(5)]
+    assert {got[1000 + i] for i in range(300)} == {"story 1 w"}
+    assert [got[2000 + i] for i in range(4)] == [f"story {10 + i} {'w' * ((10 + i) % 7)}".strip() for i in range(4)]
+    assert got[3004] == "The same long article text on every page. 4"
