@@ -30,10 +30,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     Cuts lineage in a form every executor can read again after a loss, and
     gives the planner the true size of what was written.
     """
+    return materialise_at(df, name)[0]
+
+
+def materialise_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """:func:`materialise`, with the place of the written table."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a materialised table that nothing will read again."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], text_index: int, max_chars: int = 4_000_000,

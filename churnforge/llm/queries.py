@@ -6,6 +6,7 @@ columns from the operator's real output.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from churnforge.llm.common import load
 from churnforge.llm.exact_dedup import exact_duplicates
+from churnforge.llm.fill_in_middle import fill_in_middle, restored
 from churnforge.llm.html_extract import extract_main_text
 from churnforge.llm.language_id import held_out, identify_languages
 from churnforge.llm.license_scan import scan_licences
@@ -20,13 +22,17 @@ from churnforge.llm.packing import pack_best_fit, token_pieces
 from churnforge.llm.quality_rules import quality_verdicts
 from churnforge.llm.sentencepiece_codec import sentencepiece_round_trip
 from churnforge.llm.simhash_dedup import near_duplicates
+from churnforge.llm.suffix_dedup import remove_repeats
 from churnforge.llm.token_counts import token_counts
 from churnforge.llm.url_filter import filter_urls
+from churnforge.llm.vector_codes import compress_vectors
 
 # Fixed values of the contracts.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
              ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 SEQUENCE_TOKENS, END_ID, TOKEN_LIMIT = 1024, 2, 1024
+CODE_PARTS, CODE_ENTRIES, CODE_ROUNDS, CODE_SCALE = 4, 256, 4, 1024
+REPEAT_BYTES = 400
 
 
 def vocabulary(name: str) -> str:
@@ -95,6 +101,34 @@ def q_op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(load(spark, sf_dir, "documents"))
 
 
+def q_op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(load(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                       F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+                       F.sha2(restored(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256"))
+
+
+def q_op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sum a label is small and pre-aggregated; it returns by a null-safe join."""
+    coded, books = compress_vectors(load(spark, sf_dir, "embeddings"), parts=CODE_PARTS, entries=CODE_ENTRIES,
+                                    rounds=CODE_ROUNDS, scale=CODE_SCALE, carry=["label"])
+    rows = coded.select("vec_id", F.col("row.label").alias("label"),
+                        F.array_join(F.transform("code", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "").alias("code"), "error")
+    sums = rows.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error"))
+    numbers = ",".join(str(x) for book in books for x in book.ravel().tolist())
+    return rows.join(sums, F.col("label").eqNullSafe(F.col("of"))).select(
+        "vec_id", "code", "error", "label_error",
+        F.lit(hashlib.sha256(numbers.encode()).hexdigest()).alias("codebooks_sha256"))
+
+
+def q_op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(load(spark, sf_dir, "documents"), length=REPEAT_BYTES,
+                         derive={"kept_sha256": lambda kept: F.sha2(kept, 256)})
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + (r["stop"] - r["begin"]))
+    return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+                      "kept_sha256")
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": q_op1,
     "op2_simhash": q_op2,
@@ -106,11 +140,88 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": q_op8,
     "op9_token_counts": q_op9,
     "op10_quality_rules": q_op10,
+    "op11_fill_in_middle": q_op11,
+    "op12_vector_codes": q_op12,
+    "op13_suffix_dedup": q_op13,
 }
 
+
+def _vector_codes_sql(width: int = 16) -> str:
+    """Every part against every entry, a step a round; ``width`` components a part."""
+    whole = "(s{j} - (((s{j} % n) + n) % n)) // n"          # floored, below zero too
+    means = "list_value(" + ", ".join(whole.format(j=j) for j in range(1, width + 1)) + ")"
+    sums = ", ".join(f"sum(x.v[{j}]) s{j}" for j in range(1, width + 1))
+    gap = " + ".join(f"(x.v[{j}] - c.v[{j}]) * (x.v[{j}] - c.v[{j}])" for j in range(1, width + 1))
+    steps = [f"""
+        whole as (
+          select vec_id, label, [floor({CODE_SCALE} * e::double)::bigint for e in embedding] v from embeddings
+          where embedding is not null and len([e for e in embedding if e is null or not isfinite(e)]) = 0),
+        x as (select vec_id, label, part, v[{width} * part + 1:{width} * part + {width}] v
+              from whole, range(0, {CODE_PARTS}) r(part)),
+        c0 as (select part, entry, v from (
+          select part, v, row_number() over (partition by part order by vec_id) - 1 entry from x) where entry < {CODE_ENTRIES})"""]
+    for n in range(CODE_ROUNDS + 1):
+        steps.append(f"""
+        a{n} as materialized (select vec_id, part, min(struct_pack(d := {gap}, e := entry)) best
+               from x join c{n} c using (part) group by vec_id, part)""")
+        if n < CODE_ROUNDS:
+            steps.append(f"""
+        c{n + 1} as materialized (
+          select c.part, c.entry, coalesce(m.v, c.v) v from c{n} c left join (
+            select part, entry, {means} v from (
+              select x.part, best.e entry, count(*) n, {sums} from x join a{n} using (vec_id, part) group by all)) m
+          using (part, entry))""")
+    return f"""
+        with {",".join(steps)},
+        coded as (select vec_id, string_agg(printf('%02x', best.e), '' order by part) code, sum(best.d)::bigint error
+                  from a{CODE_ROUNDS} group by vec_id),
+        book as (select sha256(string_agg(array_to_string(v, ','), ',' order by part, entry)) h from c{CODE_ROUNDS})
+        select vec_id, code, error, (sum(error) over (partition by label))::bigint label_error, h codebooks_sha256
+        from coded join whole using (vec_id), book"""
+
+
 # Operators whose results SQL can express; the others are tested against the
 # libraries, brute force or held-out accuracy in tests/llm.
 ORACLE_SQL: dict[str, str] = {
+    "op11_fill_in_middle": """
+        with d as (
+          select doc_id, coalesce(text, '') t, sha256('1:' || coalesce(doc_id::varchar, '')) h from documents),
+        u as (
+          select doc_id, t, length(t) n, ('0x' || substr(h, 1, 8))::ubigint::bigint h1, ('0x' || substr(h, 9, 8))::ubigint::bigint h2,
+                 ('0x' || substr(h, 17, 8))::ubigint::bigint h3, ('0x' || substr(h, 25, 8))::ubigint::bigint h4 from d),
+        c as (
+          select *, least(h1 % (n + 1), h2 % (n + 1)) a, greatest(h1 % (n + 1), h2 % (n + 1)) b,
+                 case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain'
+                      when h4 % 100 < 20 then 'spm' else 'psm' end form from u)
+        select doc_id, n, form, case when form <> 'plain' then a end prefix_chars, case when form <> 'plain' then b - a end middle_chars,
+               sha256(case form when 'plain' then t
+                      when 'psm' then '<P>' || substr(t, 1, a) || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a)
+                      else '<S>' || substr(t, b + 1) || '<P>' || substr(t, 1, a) || '<M>' || substr(t, a + 1, b - a) end) output_sha256,
+               sha256(t) restored_sha256 from c""",
+    "op12_vector_codes": _vector_codes_sql(),
+    "op13_suffix_dedup": f"""
+        with d as (
+          select row_number() over () r, doc_id, hex(encode(coalesce(text, ''))) h from documents),
+        cuts as (
+          select r, c, substr(h, 2 * c + 1, 2 * ({REPEAT_BYTES} + 255)) h
+          from (select r, h, unnest(range(0, len(h) // 2 - {REPEAT_BYTES - 1}, 256)) c from d)),
+        starts as (
+          select r, c + p p, md5(substr(h, 2 * p + 1, 2 * {REPEAT_BYTES})) s
+          from (select r, c, h, unnest(range(0, len(h) // 2 - {REPEAT_BYTES - 1})) p from cuts)),
+        again as (select r, p from starts join (select s from starts group by s having count(*) > 1) using (s)),
+        edges as (
+          select r, p, case when p - lag(p) over w <= {REPEAT_BYTES} then 0 else 1 end head from again
+          window w as (partition by r order by p)),
+        runs as (
+          select r, min(p) a, max(p) + {REPEAT_BYTES} b
+          from (select r, p, sum(head) over (partition by r order by p) run from edges) group by r, run),
+        gone as (select r, sum(b - a) n_removed, count(*) n_spans, max(b) last from runs group by r),
+        left_of as (
+          select r, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' order by a) kept
+          from (select r, a, coalesce(lag(b) over (partition by r order by a), 0) before from runs) join d using (r) group by r)
+        select doc_id, (len(h) // 2)::bigint n_bytes, coalesce(n_removed, 0)::bigint n_removed, coalesce(n_spans, 0)::bigint n_spans,
+               sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) kept_sha256
+        from d left join gone using (r) left join left_of using (r)""",
     "op3_url_filter": r"""
         with u as (
           select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end rest

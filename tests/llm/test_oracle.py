@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("key", sorted(ORACLE_SQL))
 def test_query_equals_its_sql(spark, key):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.execute(ORACLE_SQL[key])
     names = sorted(d[0] for d in want.description)
@@ -23,4 +23,4 @@ def test_query_equals_its_sql(spark, key):
 
 
 def test_every_operator_is_registered():
-    assert [k.split("_")[0] for k in REGISTRY] == [f"op{n}" for n in range(1, 11)]
+    assert [k.split("_")[0] for k in REGISTRY] == [f"op{n}" for n in range(1, 14)]
