@@ -48,9 +48,10 @@ def rows():
     return rows
 
 
-@pytest.mark.parametrize("length,gram,block", [(40, 12, 1 << 20), (40, 40, 64), (33, 1, 1 << 20), (64, 25, 50), (3, 2, 7)])
-def test_equals_brute_force(docs_of, rows, length, gram, block):
-    assert run(docs_of(rows), length=length, gram=gram, block=block) == sorted(map(str, brute(rows, length)))
+@pytest.mark.parametrize("length,gram,step,block", [(40, 12, 8, 1 << 20), (40, 40, 16, 64), (33, 1, 1, 1 << 20), (64, 25, 5, 50),
+                                                    (3, 2, 16, 7)])
+def test_equals_brute_force(docs_of, rows, length, gram, step, block):
+    assert run(docs_of(rows), length=length, gram=gram, step=step, block=block) == sorted(map(str, brute(rows, length)))
 
 
 def test_long_texts(spark, docs_of):
@@ -65,14 +66,13 @@ def test_long_texts(spark, docs_of):
 def test_identifiers_stand_for_their_bytes():
     rng = np.random.default_rng(1)
     data = rng.integers(0, 2, 5000).astype(np.uint8)
-    for depth in (1, 2, 3, 7, 8, 13):
-        found = identifiers(data, depth)
+    for depth, found in zip((1, 2, 3, 7, 8, 13), identifiers(data, 1, 2, 3, 7, 8, 13)):
         assert len(found) == len(data) - depth + 1
         names = {}
         for p, x in enumerate(found.tolist()):
             assert names.setdefault(x, data[p:p + depth].tobytes()) == data[p:p + depth].tobytes()
         assert len(set(names.values())) == len(names)
-    assert len(identifiers(data[:3], 5)) == 0
+    assert len(identifiers(data[:3], 5)[0]) == 0
     keys = rng.integers(0, 99, 50)
     for width in (1, 2, 3, 8, 13):
         assert _lowest(keys, width).tolist() == [keys[i:i + width].min() for i in range(51 - width)]
