@@ -4,22 +4,27 @@
    md5 order can be anybody's neighbours (no point needs more of a group
    whose members are all equally far from it), so a vector held by a third
    of the rows is one vector with k + 1 members.
-2. A k-d tree over a bounded sample of the vectors cuts space into leaves;
-   every vector falls into one leaf, and a leaf's members fit one row.
-3. Every vector is compared with its own leaf. Its (k + 1)-th distance there
-   bounds how far a neighbour can be, so it visits only the other leaves
-   whose bounding box is no farther. Visits meet leaves in a plain join on
-   the leaf number (which the planner splits where many visits hit a leaf).
+2. The vectors are sorted into an order in which neighbours are near: by the
+   cell of a small k-d tree over a bounded sample, then by interleaved bits of
+   the cell's widest dimensions. Every ``leaf_vectors`` vectors in that order
+   are a leaf, whatever the number of vectors; every ``FAN`` leaves in a row
+   are a node with a bounding box, and so on until few nodes are left. Only
+   those few boxes reach the driver.
+3. A leaf's vectors are compared with each other. The (k + 1)-th distance
+   bounds how far a neighbour can be, and a vector descends only into nodes
+   whose box is no farther. Visits to a node are grouped by where they come
+   from (a run of leaves, so a group is bounded), and a group meets the node's
+   row once: one matrix operation a group.
 4. The best k + 1 candidates of all visits are kept; each point drops itself.
 
-The answer is exact: a box that is not visited holds nothing nearer. There are
-no rounds and no cap on candidates. Ties between equidistant neighbours are
-broken by md5('<seed>:' || id), then id. A point with a null or NaN feature
-has no distance to anything: it is nobody's neighbour and comes out with one
-row whose nn_rank, nn_id and dist2 are null.
+The answer is exact: a box that is not visited holds nothing nearer. There is
+no cap on candidates; sample, order and fan decide only how work is dealt. Ties
+between equidistant neighbours are broken by md5('<seed>:' || id), then id. A
+point with a null or NaN feature has no distance to anything: it is nobody's
+neighbour and comes out with one row whose nn_rank, nn_id and dist2 are null.
 
-With many dimensions and few points the (k + 1)-th distance is comparable to
-the spread of the data, and any exact search has to look at much of it.
+With many dimensions the (k + 1)-th distance is comparable to the spread of
+the data, and any exact search has to look at much of it: see lsh.py.
 """
 
 from __future__ import annotations
@@ -31,6 +36,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +45,12 @@ from churnforge.operators.ranking import hash_rank
 from churnforge.session import cut_lineage, map_in_arrow, ship_package
 
 LEAF_VECTORS = 32
-TREE_SAMPLE = 200_000
-_TOP = "array<struct<dist2:double,nh:string,nid:bigint>>"
-_TOP_ARROW = pa.list_(pa.struct([("dist2", pa.float64()), ("nh", pa.string()), ("nid", pa.int64())]))
+TREE_SAMPLE = 16_384
+#: Children of a node, boxes the driver sees at most, leaves whose visits travel together.
+FAN, TOP_NODES, RUN_LEAVES = 64, 1024, 128
+_PART = 1 << 32                            # a leaf's number is partition * _PART + place in it
+_CODE_DIMS, _CODE_BITS = 8, 6
+_FOUND = "vid bigint, dist2 double, nh string, nid bigint"
 
 
 @dataclass
@@ -97,78 +106,252 @@ class Tree:
 
 
 def _sq(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Squared distances, summed column by column in order (as the SQL does)."""
-    total = np.zeros(np.broadcast_shapes(x.shape[:-1], y.shape[:-1]))
-    for j in range(x.shape[-1]):
-        d = x[..., j] - y[..., j]
-        total = total + d * d
+    """Squared distances of all rows of x to all rows of y, summed column by
+    column in order (as the SQL does)."""
+    total = np.zeros((len(x), len(y)))
+    for j in range(x.shape[1]):
+        d = x[:, j, None] - y[None, :, j]
+        total += d * d
     return total
 
 
-class _Boxes:
-    """Bounding boxes of the leaves' real members, and of every inner node."""
+def _gap2(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared distances of the rows of x to boxes."""
+    total = np.zeros((len(x), len(low)))
+    for j in range(x.shape[1]):
+        gap = np.maximum(np.maximum(low[None, :, j] - x[:, j, None], x[:, j, None] - high[None, :, j]), 0)
+        total += gap * gap
+    return total
 
-    def __init__(self, tree: Tree, low: np.ndarray, high: np.ndarray):
-        self.tree, n, d = tree, len(tree.dim), low.shape[1]
-        self.low, self.high = np.full((n, d), np.inf), np.full((n, d), -np.inf)
-        for node in range(n - 1, -1, -1):       # children come after their parents
-            if tree.dim[node] < 0:
-                self.low[node], self.high[node] = low[tree.leaf[node]], high[tree.leaf[node]]
-            else:
-                kids = [tree.left[node], tree.right[node]]
-                self.low[node], self.high[node] = self.low[kids].min(axis=0), self.high[kids].max(axis=0)
 
-    def visits(self, x: np.ndarray, bound2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, leaf) of every leaf whose box is within a row's bound."""
-        rows, leaves, todo = [], [], [(0, np.arange(len(x)))]
-        while todo:
-            node, at = todo.pop()
-            gap = np.maximum(np.maximum(self.low[node] - x[at], x[at] - self.high[node]), 0)
-            # the sum here may round differently from the distances: leave a little room
-            at = at[(gap * gap).sum(axis=1) <= bound2[at] * (1 + 1e-9)]
-            if not len(at):
-                continue
-            if self.tree.dim[node] < 0:
-                rows.append(at)
-                leaves.append(np.full(len(at), self.tree.leaf[node]))
-            else:
-                todo += [(self.tree.left[node], at), (self.tree.right[node], at)]
-        if not rows:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(rows), np.concatenate(leaves)
+def _within(x: np.ndarray, bound2: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, box) pairs whose box is within the row's bound."""
+    rows, boxes = [], []
+    step = max(1, (1 << 21) // max(1, len(low)))
+    for a in range(0, len(x), step):
+        # the sums here may round differently from the distances: leave a little room
+        r, b = np.nonzero(_gap2(x[a:a + step], low, high) <= bound2[a:a + step, None] * (1 + 1e-9))
+        rows.append(r + a)
+        boxes.append(b)
+    return (np.concatenate(rows), np.concatenate(boxes)) if rows else (np.zeros(0, np.int64),) * 2
+
+
+class _Order:
+    """Cells of the sample's tree, and a place inside the cell: interleaved bits
+    of its widest dimensions."""
+
+    def __init__(self, sample: np.ndarray, leaf_vectors: int):
+        self.tree = Tree.build(sample, leaf_vectors)
+        n = int(self.tree.leaf.max()) + 1
+        cell = self.tree.leaves_of(sample)
+        self.low, self.span = np.zeros((n, sample.shape[1])), np.ones((n, sample.shape[1]))
+        for c in range(n if len(sample) else 0):
+            members = sample[cell == c]
+            self.low[c], self.span[c] = members.min(axis=0), np.ptp(members, axis=0)
+        self.dims = np.argsort(-self.span, axis=1, kind="stable")[:, :_CODE_DIMS]
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cell = self.tree.leaves_of(x)
+        dims = self.dims[cell]
+        low, span = np.take_along_axis(self.low[cell], dims, 1), np.take_along_axis(self.span[cell], dims, 1)
+        part = np.clip((np.take_along_axis(x, dims, 1) - low) / np.where(span > 0, span, 1), 0, 1)
+        steps = np.minimum((part * (1 << _CODE_BITS)).astype(np.int64), (1 << _CODE_BITS) - 1)
+        code = np.zeros(len(x), np.int64)
+        for bit in range(_CODE_BITS - 1, -1, -1):
+            for j in range(steps.shape[1]):
+                code = (code << 1) | ((steps[:, j] >> bit) & 1)
+        return cell, code
+
+
+def _matrix(lists: pa.Array, dims: int) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+
+
+def _rows(m: np.ndarray) -> pa.Array:
+    offsets = np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(m).ravel()))
+
+
+def _make_leaves(dims: int, leaf_vectors: int):
+    """Sorted (vid, x, members) -> one row a leaf (leaf, low, high, vids, flat,
+    sizes, nh, nid); holds at most a batch and a leaf."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held = TaskContext.get().partitionId() * _PART, None
+
+        def leaf_rows(table: pa.Table, sizes: list[int]) -> pa.RecordBatch:
+            nonlocal number
+            batch = table.combine_chunks().to_batches()[0]
+            x, vids, members = _matrix(batch.column(1), dims), batch.column(0), batch.column(2)
+            count = members.value_lengths().to_numpy()
+            flat = members.flatten()
+            ends = np.append(0, np.cumsum(sizes)).astype(np.int32)
+            member_ends = np.append(0, np.cumsum(count))[ends].astype(np.int32)
+            numbers = number + np.arange(len(sizes))
+            number += len(sizes)
+            lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(ends), values)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(numbers), _rows(np.minimum.reduceat(x, ends[:-1])), _rows(np.maximum.reduceat(x, ends[:-1])),
+                 lists(ends, vids), lists(ends * dims, pa.array(x.ravel())), lists(ends, pa.array(count.astype(np.int32))),
+                 lists(member_ends, flat.field(0)), lists(member_ends, flat.field(1))],
+                names=["leaf", "low", "high", "vids", "flat", "sizes", "nh", "nid"])
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            whole = table.num_rows // leaf_vectors
+            if whole:
+                yield leaf_rows(table.slice(0, whole * leaf_vectors), [leaf_vectors] * whole)
+            held = table.slice(whole * leaf_vectors)
+        if held is not None and held.num_rows:
+            yield leaf_rows(held, [held.num_rows])
+
+    return run
+
+
+def _best(row: np.ndarray, d2: np.ndarray, nh: np.ndarray, nid: np.ndarray, want: int) -> np.ndarray:
+    """Places of every row's ``want`` nearest members, by (distance, hash, id)."""
+    order = np.lexsort((nid, nh, d2, row))
+    heads = np.flatnonzero(np.diff(row[order], prepend=-1))
+    place = np.arange(len(order)) - np.repeat(heads, np.diff(np.append(heads, len(order))))
+    return order[place < want]
+
+
+def _members(d2: np.ndarray, bound2: np.ndarray, leaf: dict, want: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, distance, hash, id) of the nearest members within every row's bound."""
+    row, v = np.nonzero(d2 <= np.minimum(bound2, _kth(d2, want))[:, None])
+    count = leaf["sizes"][v]
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    member = np.repeat((np.cumsum(leaf["sizes"]) - leaf["sizes"])[v], count) + nth
+    row, dist, nh, nid = np.repeat(row, count), np.repeat(d2[row, v], count), leaf["nh"][member], leaf["nid"][member]
+    keep = _best(row, dist, nh, nid, want)
+    return row[keep], dist[keep], nh[keep], nid[keep]
+
+
+def _kth(d2: np.ndarray, k: int) -> np.ndarray:
+    if d2.shape[1] <= k:
+        return np.full(len(d2), np.inf)
+    return np.partition(d2, k - 1, axis=1)[:, k - 1]
+
+
+def _leaf(batch: pa.RecordBatch, at: int, dims: int) -> dict:
+    get = lambda name: batch.column(name)[at].values
+    return {"x": get("flat").to_numpy(zero_copy_only=False).reshape(-1, dims), "vids": get("vids").to_numpy(),
+            "sizes": get("sizes").to_numpy(), "nid": get("nid").to_numpy(), "nh": np.array(get("nh").to_pylist(), "S32")}
+
+
+def _found(vid: np.ndarray, d2: np.ndarray, nh: np.ndarray, nid: np.ndarray) -> list[pa.Array]:
+    return [pa.array(vid), pa.array(d2), pa.array(nh.astype(str)), pa.array(nid)]
+
+
+def _inside(dims: int, want: int):
+    """Leaves -> every vector's nearest members in its own leaf."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                leaf = _leaf(batch, at, dims)
+                row, d2, nh, nid = _members(_sq(leaf["x"], leaf["x"]), np.full(len(leaf["x"]), np.inf), leaf, want)
+                yield pa.RecordBatch.from_arrays(_found(leaf["vids"][row], d2, nh, nid), names=["vid", "dist2", "nh", "nid"])
+
+    return run
+
+
+def _visits(dims: int, boxes):
+    """(vid, x, bound, own) -> the same with a node, for each of the few top
+    nodes within the bound."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, low, high = boxes.value
+        for batch in batches:
+            row, box = _within(_matrix(batch.column(1), dims), batch.column(2).to_numpy(), low, high)
+            yield pa.RecordBatch.from_arrays([c.take(pa.array(row)) for c in batch.columns] + [pa.array(node[box])],
+                                             names=["vid", "x", "bound", "own", "node"])
+
+    return run
+
+
+def _descend(dims: int):
+    """(visits, kids) of a node -> a row for each visit and kid within its bound."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                visits = pa.RecordBatch.from_struct_array(batch.column("visits")[at].values)
+                kids = pa.RecordBatch.from_struct_array(batch.column("kids")[at].values)
+                row, kid = _within(_matrix(visits.column(1), dims), visits.column(2).to_numpy(),
+                                   _matrix(kids.column(1), dims), _matrix(kids.column(2), dims))
+                yield pa.RecordBatch.from_arrays([c.take(pa.array(row)) for c in visits.columns] +
+                                                 [kids.column(0).take(pa.array(kid))], names=["vid", "x", "bound", "own", "node"])
+
+    return run
 
 
-def _compare(dims: int, k: int):
-    """Visits (vid, x, flat, sizes, nh, nid) -> (vid, top): the k nearest members
-    of the visited leaf, by (distance, hash, id). ``flat`` holds the leaf's
-    vectors end to end, ``sizes`` how many members each of them has."""
+def _compare(dims: int, want: int):
+    """(visits, leaf) -> every visiting vector's nearest members of the leaf."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tops = []
-            for x, flat, sizes, nh, nid in zip(*(batch.column(i).to_pylist() for i in range(1, 6))):
-                d2 = _sq(np.array(flat, float).reshape(-1, dims), np.array(x, float))
-                ends = np.cumsum(sizes)
-                near = np.flatnonzero(d2 <= _kth(d2, k))
-                found = sorted((float(d2[v]), nh[m], nid[m]) for v in near for m in range(ends[v] - sizes[v], ends[v]))
-                tops.append([{"dist2": d, "nh": h, "nid": i} for d, h, i in found[:k]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tops, _TOP_ARROW)], names=["vid", "top"])
+            for at in range(batch.num_rows):
+                visits = pa.RecordBatch.from_struct_array(batch.column("visits")[at].values)
+                leaf = _leaf(batch, at, dims)
+                row, d2, nh, nid = _members(_sq(_matrix(visits.column(1), dims), leaf["x"]), visits.column(2).to_numpy(), leaf, want)
+                yield pa.RecordBatch.from_arrays(_found(visits.column(0).to_numpy()[row], d2, nh, nid),
+                                                 names=["vid", "dist2", "nh", "nid"])
+
+    return run
+
+
+def first_rows(key: str, want: int):
+    """Sorted rows -> the first ``want`` of every key; holds one key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seen = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(key).to_numpy()
+            heads = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1))
+            place = np.arange(len(keys)) - np.repeat(heads, np.diff(np.append(heads, len(keys))))
+            if keys[0] == last:
+                end = heads[1] if len(heads) > 1 else len(keys)
+                place[:end] += seen
+            last, seen = keys[-1], int(place[-1]) + 1
+            yield batch.filter(pa.array(place < want))
 
     return run
 
 
-def _kth(d2: np.ndarray, k: int) -> float:
-    return np.inf if len(d2) <= k else np.partition(d2, k - 1)[k - 1]
+def _elementwise(lists: str, pick) -> F.Column:
+    return F.aggregate(F.slice(lists, 2, F.greatest(F.size(lists) - 1, F.lit(0))), F.get(lists, F.lit(0)),
+                       lambda a, b: F.zip_with(a, b, pick))
+
+
+def box_levels(leaves: DataFrame, fan: int = FAN, top_nodes: int = TOP_NODES) -> tuple[list, list[DataFrame]]:
+    """(top rows of (node, low, high), levels from the top down): a level's row
+    is a node and its kids (node, low, high), at most ``fan`` of them."""
+    level, levels = leaves.select(F.col("leaf").alias("node"), "low", "high"), []
+    while (found := level.agg(F.count(F.lit(1)).alias("n"), F.max(F.col("node") % _PART).alias("place")).first())["n"] > top_nodes:
+        part, place = F.floor(F.col("node") / _PART), F.col("node") % _PART
+        parent = part * _PART + F.floor(place / fan) if found["place"] else F.floor(part / fan) * _PART
+        kids = level.groupBy(parent.cast("bigint").alias("parent")).agg(F.sort_array(F.collect_list(F.struct("node", "low", "high"))).alias("kids"))
+        kids = cut_lineage(kids.select(F.col("parent").alias("node"), "kids"))
+        levels.insert(0, kids)
+        level = kids.select("node", _elementwise("kids.low", F.least).alias("low"), _elementwise("kids.high", F.greatest).alias("high"))
+    return level.collect(), levels
 
 
 def exact_knn(points: DataFrame, id_col: str, cols: Sequence[str], k: int = 5, seed: int = 42,
-              leaf_vectors: int = LEAF_VECTORS, tree_sample: int = TREE_SAMPLE) -> DataFrame:
+              leaf_vectors: int = LEAF_VECTORS, tree_sample: int = TREE_SAMPLE, fan: int = FAN,
+              top_nodes: int = TOP_NODES, run_leaves: int = RUN_LEAVES) -> DataFrame:
     """(id, nn_rank 1..k, nn_id, dist2) for every point.
 
-    tree_sample bounds the vectors the driver sees to place the tree's cuts;
-    the cuts decide only how the work is dealt, never the result.
+    tree_sample bounds the vectors the driver sees to place the cells, top_nodes
+    the boxes; like fan and run_leaves they decide only how the work is dealt,
+    never the result.
     """
     cols = list(cols)
+    dims, want = len(cols), k + 1              # a member may find itself among them
     spark = points.sparkSession
     ship_package(spark)
     given = points.select(F.col(id_col).cast("long").alias("pid"), *[number(c).alias(c) for c in cols])
@@ -187,55 +370,31 @@ def exact_knn(points: DataFrame, id_col: str, cols: Sequence[str], k: int = 5, s
     if n == 0:
         return broken
 
-    # -- 2. the tree and the leaves ---------------------------------------------
-    share = min(1.0, tree_sample / n)
-    picked = vectors.where(F.pmod(F.xxhash64("vid"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
-    sample = np.array([r["x"] for r in picked.select("x").orderBy("vid").limit(tree_sample).collect()], float)
-    tree = spark.sparkContext.broadcast(Tree.build(sample.reshape(-1, len(cols)), max(1, int(leaf_vectors * share))))
-
-    @F.pandas_udf("bigint")
-    def leaf_of(x: pd.Series) -> pd.Series:
-        return pd.Series(tree.value.leaves_of(np.array(x.tolist(), float).reshape(-1, len(cols))))
-
-    placed = cut_lineage(vectors.select("vid", "x", "members", *cols, leaf_of("x").alias("leaf")))
-    leaves = placed.groupBy("leaf").agg(F.collect_list(F.struct("x", "members")).alias("_v"))
-    leaf_parts = ["flat", "sizes", "nh", "nid"]
-    leaves = cut_lineage(leaves.select(
-        "leaf", F.flatten("_v.x").alias("flat"), F.transform("_v", lambda v: F.size(v["members"])).alias("sizes"),
-        F.flatten(F.transform("_v", lambda v: v["members"]["nh"])).alias("nh"),
-        F.flatten(F.transform("_v", lambda v: v["members"]["nid"])).alias("nid")))
-    edges = placed.groupBy("leaf").agg(*[F.min(c).alias(f"l{i}") for i, c in enumerate(cols)],
-                                       *[F.max(c).alias(f"h{i}") for i, c in enumerate(cols)]).collect()
-    low, high = (np.full((int(tree.value.leaf.max()) + 1, len(cols)), s) for s in (np.inf, -np.inf))
-    for r in edges:                            # at most one row a leaf of the bounded tree
-        low[r["leaf"]] = [r[f"l{i}"] for i in range(len(cols))]
-        high[r["leaf"]] = [r[f"h{i}"] for i in range(len(cols))]
-    boxes = spark.sparkContext.broadcast(_Boxes(tree.value, low, high))
+    # -- 2. order, leaves, nodes ----------------------------------------------------
+    leaves = cut_lineage(make_leaves(vectors, n, dims, leaf_vectors, tree_sample))
+    top, levels = box_levels(leaves, fan, top_nodes)
+    boxes = spark.sparkContext.broadcast((np.array([r["node"] for r in top]), np.array([r["low"] for r in top], float),
+                                          np.array([r["high"] for r in top], float)))
 
     # -- 3. own leaf, then every leaf within the bound ----------------------------
-    want = k + 1                               # a member may find itself among them
-    schema, compare = f"vid bigint, top {_TOP}", _compare(len(cols), want)
-    own = cut_lineage(map_in_arrow(placed.select("vid", "x", "leaf").join(leaves, "leaf")
-                                   .select("vid", "x", *leaf_parts), compare, schema))
-
-    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            x = np.array(f["x"].tolist(), float).reshape(-1, len(cols))
-            bound = np.array([np.inf if b is None or np.isnan(b) else b for b in f["bound"]], float)
-            row, leaf = boxes.value.visits(x, bound)
-            other = leaf != f["leaf"].to_numpy()[row]
-            row, leaf = row[other], leaf[other]
-            yield pd.DataFrame({"vid": f["vid"].to_numpy()[row], "x": f["x"].to_numpy()[row], "leaf": leaf})
-
-    bound = F.when(F.size("top") >= want, F.element_at("top", -1)["dist2"]).alias("bound")
-    visits = (placed.select("vid", "x", "leaf").join(own.select(F.col("vid").alias("v"), bound), F.col("vid") == F.col("v"))
-              .select("vid", "x", "leaf", "bound").mapInPandas(spread, "vid bigint, x array<double>, leaf bigint"))
-    away = map_in_arrow(visits.join(leaves, "leaf").select("vid", "x", *leaf_parts), compare, schema)
+    own = cut_lineage(map_in_arrow(leaves, _inside(dims, want), _FOUND))
+    bounds = own.groupBy("vid").agg(F.when(F.count(F.lit(1)) >= want, F.max("dist2")).otherwise(F.lit(float("inf"))).alias("bound"))
+    placed = leaves.select(F.col("leaf").alias("own"), F.posexplode("vids").alias("_i", "v"), "flat").select(
+        "own", "v", F.slice("flat", F.col("_i") * dims + 1, F.lit(dims)).alias("x"))
+    seekers = placed.join(bounds, F.col("v") == F.col("vid")).select("vid", "x", "bound", "own")
+    schema = "vid bigint, x array<double>, bound double, own bigint, node bigint"
+    visits = map_in_arrow(seekers, _visits(dims, boxes), schema)
+    for level in levels:
+        visits = map_in_arrow(_gathered(visits, run_leaves).join(level.withColumnRenamed("node", "met"), F.col("node") == F.col("met"))
+                              .select("visits", "kids"), _descend(dims), schema)
+    groups = _gathered(visits.where(F.col("node") != F.col("own")), run_leaves)
+    away = map_in_arrow(groups.join(leaves, F.col("node") == F.col("leaf")).select("visits", "vids", "flat", "sizes", "nh", "nid"),
+                        _compare(dims, want), _FOUND)
 
     # -- 4. best of all visits; each point drops itself ---------------------------
-    # a vector's lists are as many as its visits, each of at most k + 1 entries
-    best = own.unionByName(away).groupBy("vid").agg(
-        F.slice(F.sort_array(F.flatten(F.collect_list("top"))), 1, want).alias("top"))
+    ranked = own.unionByName(away).repartition("vid").sortWithinPartitions("vid", "dist2", "nh", "nid")
+    best = map_in_arrow(ranked, first_rows("vid", want), _FOUND).groupBy("vid").agg(
+        F.sort_array(F.collect_list(F.struct("dist2", "nh", "nid"))).alias("top"))
     answers = cut_lineage(best.join(vectors.select(F.col("vid").alias("v"), *cols), F.col("vid") == F.col("v"))
                           .select("top", *cols))
     mine = null_safe_join(pts, answers, cols)
@@ -243,3 +402,32 @@ def exact_knn(points: DataFrame, id_col: str, cols: Sequence[str], k: int = 5, s
     found = mine.select("pid", F.posexplode(others).alias("_r", "t"))
     return found.select(F.col("pid").alias("id"), (F.col("_r") + 1).alias("nn_rank"), F.col("t.nid").alias("nn_id"),
                         F.col("t.dist2").alias("dist2")).unionByName(broken)
+
+
+def make_leaves(vectors: DataFrame, n: int, dims: int, leaf_vectors: int, tree_sample: int) -> DataFrame:
+    """(vid, x, members) -> leaves of at most ``leaf_vectors`` vectors each."""
+    spark = vectors.sparkSession
+    share = min(1.0, tree_sample / n)
+    picked = vectors.where(F.pmod(F.xxhash64("vid"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    sample = np.array([r["x"] for r in picked.select("x").orderBy("vid").limit(tree_sample).collect()], float).reshape(-1, dims)
+    order = spark.sparkContext.broadcast(_Order(sample, leaf_vectors))
+
+    @F.pandas_udf("struct<cell:bigint,code:bigint>")
+    def place_of(x: pd.Series) -> pd.DataFrame:
+        cell, code = order.value.place(np.array(x.tolist(), float).reshape(-1, dims))
+        return pd.DataFrame({"cell": cell, "code": code})
+
+    # the order's columns are written, so that sampling the range bounds runs no Python
+    placed = cut_lineage(vectors.select("vid", "x", "members", place_of("x").alias("at")).select("vid", "x", "members", "at.*"))
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // (8 * leaf_vectors))))
+    dealt = placed.repartitionByRange(parts, "cell", "code", "vid").sortWithinPartitions("cell", "code", "vid")
+    return map_in_arrow(dealt.select("vid", "x", "members"), _make_leaves(dims, leaf_vectors),
+                        "leaf bigint, low array<double>, high array<double>, vids array<bigint>, flat array<double>, "
+                        "sizes array<int>, nh array<string>, nid array<bigint>")
+
+
+def _gathered(visits: DataFrame, run_leaves: int) -> DataFrame:
+    """(node, visits) of at most a run's vectors each: a vector visits a node
+    once, and a run of leaves holds a bounded number of vectors."""
+    run = F.floor(F.col("own") / F.lit(run_leaves))
+    return visits.groupBy("node", run.alias("run")).agg(F.collect_list(F.struct("vid", "x", "bound", "own")).alias("visits"))

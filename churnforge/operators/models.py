@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnforge.operators import evaluate as EV
-from churnforge.session import cut_lineage
+from churnforge.session import cut_lineage, scratch_path
 
 SEED = 42
 # Execution-only settings for tree learners (the fitted model is unchanged):
@@ -74,7 +74,7 @@ def score(model, df: DataFrame, keep: Sequence[str] = ("id", "label")) -> DataFr
                       vector_to_array("probability")[1].alias("probability"))
 
 
-def _metrics(scored: DataFrame, group: Sequence[str], label: str) -> DataFrame:
+def metrics(scored: DataFrame, group: Sequence[str], label: str) -> DataFrame:
     """accuracy, class-1 precision, recall, F1 and AUC per group."""
     rep = EV.classification_report(scored, group, label, "prediction")
     one = rep.where(F.col("class") == "1").select(*group, "precision", "recall", "f1")
@@ -83,74 +83,77 @@ def _metrics(scored: DataFrame, group: Sequence[str], label: str) -> DataFrame:
     return one.join(acc, list(group)).join(auc, list(group))
 
 
-def compare(parts: dict[str, DataFrame], ests: dict[str, Estimator], label: str = "label",
-            id_col: str = "id") -> tuple[DataFrame, dict]:
+def reloaded(model, spark: SparkSession):
+    """The model as saved in shared storage: it carries no training summary, and
+    so nothing of the session's earlier tables into the tasks that score."""
+    path = scratch_path(spark, "model")
+    model.write().save(path)
+    return type(model).load(path)
+
+
+def compare(parts: dict[str, DataFrame], ests: dict[str, Estimator], **how) -> tuple[DataFrame, dict]:
+    """The table and the models of :func:`compare_scored`."""
+    table, _, models = compare_scored(parts, ests, **how)
+    return table, models
+
+
+def compare_scored(parts: dict[str, DataFrame], ests: dict[str, Estimator], label: str = "label", id_col: str = "id",
+                   folds: DataFrame | None = None) -> tuple[DataFrame, DataFrame, dict]:
     """Fit each estimator on parts['train'], score every part once, measure all.
 
     parts: 'train', 'valid' and 'test' with features, label and id. Returns the
-    table (model, model_order, train_accuracy, valid_auc, valid_f1, test
-    accuracy/precision/recall/f1/auc rounded to 4, train_time, inference_time)
-    and the fitted models. inference_time is the wall time of scoring the test
-    part into a sink that keeps nothing.
+    table (model, model_order, train_accuracy, valid_auc, valid_f1, cv_auc,
+    cv_f1, test accuracy/precision/recall/f1/auc rounded to 4, train_time,
+    inference_time), the scored rows (label, prediction, probability, model,
+    part) and the fitted models. ``folds`` are training rows with
+    features and a fold column; cv_auc and cv_f1 are the means over the folds of
+    held-out scores (null without folds). inference_time is the wall time of
+    scoring the test part into a sink that keeps nothing. All scores, those of
+    the folds too, are rows of one written table.
     """
+    from churnforge.operators.tuning import Learner, fold_scores
     spark = parts["train"].sparkSession
-    times, scored, models = [], None, {}
-    # one after the other: each fit already fills the executors with its own tasks
+    store, times, models = scratch_path(spark, "scores"), [], {}
+    # one after the other: each fit has the executors to itself, so that times can be compared
     for order, (name, est) in enumerate(ests.items()):
         t0 = time.time()
-        model = models[name] = est.fit(parts["train"])
+        model = est.fit(parts["train"])
         t_fit = time.time() - t0
+        model = models[name] = reloaded(model, spark)
         t0 = time.time()
         score(model, parts["test"], (id_col, label)).write.format("noop").mode("overwrite").save()
         times.append((name, order, t_fit, time.time() - t0))
         for part, df in parts.items():
-            s = score(model, df, (label,)).select(F.lit(name).alias("model"), F.lit(part).alias("part"),
-                                                  label, "prediction", "probability")
-            scored = s if scored is None else scored.unionByName(s)
-    m = cut_lineage(_metrics(cut_lineage(scored), ["model", "part"], label))
+            score(model, df, (F.col(label).cast("int").alias("label"),)).write.parquet(f"{store}/model={name}/part={part}")
+    if folds is not None:
+        cv = scratch_path(spark, "fold-scores")
+        held = fold_scores({name: Learner(folds, est, [{}]) for name, est in ests.items()}, cv, label=label)
+        held.select("label", "prediction", "probability", F.col("learner").alias("model"),
+                    F.concat(F.lit("fold"), F.col("fold").cast("string")).alias("part")).write.mode("append").partitionBy(
+                        "model", "part").parquet(store)
+    scored = spark.read.schema("label int, prediction int, probability double, model string, part string").parquet(store)
+    m = cut_lineage(metrics(scored, ["model", "part"], "label"))
     t = spark.createDataFrame(times, "model string, model_order int, train_time double, inference_time double")
     test = m.where("part = 'test'").select("model", "accuracy", "precision", "recall", "f1", "auc")
     train = m.where("part = 'train'").select("model", F.col("accuracy").alias("train_accuracy"))
     valid = m.where("part = 'valid'").select("model", F.col("auc").alias("valid_auc"), F.col("f1").alias("valid_f1"))
-    res = t.join(test, "model").join(train, "model").join(valid, "model")
-    cols = ["train_accuracy", "valid_auc", "valid_f1", "accuracy", "precision", "recall", "f1", "auc"]
+    cv = m.where("part like 'fold%'").groupBy("model").agg(F.avg("auc").alias("cv_auc"), F.avg("f1").alias("cv_f1"))
+    res = t.join(test, "model").join(train, "model").join(valid, "model").join(cv, "model", "left")
+    cols = ["train_accuracy", "valid_auc", "valid_f1", "cv_auc", "cv_f1", "accuracy", "precision", "recall", "f1", "auc"]
     return res.select("model", "model_order", *[F.round(c, 4).alias(c) for c in cols],
-                      "train_time", "inference_time"), models
+                      "train_time", "inference_time"), scored, models
 
 
 def search(train: DataFrame, fold_col: str, est: Estimator, grid: Sequence[dict], metric: str = "auc",
            features: Sequence[str] | None = None, resample: Callable[[DataFrame], DataFrame] | None = None,
-           label: str = "label") -> DataFrame:
-    """Grid search with k-fold CV on a precomputed (stratified) fold column.
-
-    (point, params, fold, n, metric value, mean, is_best): metric is 'auc',
-    'f1' or 'accuracy' of the held-out fold; the best mean wins, of equal ones
-    the first point. With ``resample`` the training part of every fold is
-    resampled and the held-out part never is, so no synthetic row is built from
-    a validation row (``features`` are then assembled anew). All folds' scores
-    go into one table and are measured together.
-    """
-    folds = sorted(r[0] for r in train.select(fold_col).distinct().collect())
-    scored = None
-    for f in folds:
-        fit_part, held = train.where(F.col(fold_col) != f), train.where(F.col(fold_col) == f)
-        if resample is not None:
-            fit_part, held = assemble(resample(fit_part), features), assemble(held, features)
-        for i, params in enumerate(grid):
-            model = est.copy({est.getParam(k): v for k, v in params.items()}).fit(fit_part)
-            s = score(model, held, (label,)).select(F.lit(i).alias("point"), F.lit(f).alias("fold"), label,
-                                                    "prediction", "probability")
-            scored = s if scored is None else scored.unionByName(s)
-    scored = cut_lineage(scored)
-    m = _metrics(scored, ["point", "fold"], label).select("point", "fold", F.col(metric).alias(metric))
-    sizes = scored.groupBy("point", "fold").agg(F.count(F.lit(1)).alias("n"))
-    per_fold = cut_lineage(m.join(sizes, ["point", "fold"]))
-    mean = per_fold.groupBy("point").agg(F.avg(metric).alias(f"mean_{metric}"))
-    best = mean.agg(F.max_by("point", F.struct(f"mean_{metric}", -F.col("point")))).first()[0]
-    names = F.array(*[F.lit(",".join(f"{k}={v}" for k, v in sorted(p.items()))) for p in grid])
-    return per_fold.join(mean, "point").select(
-        "point", F.element_at(names, F.col("point") + 1).alias("params"), "fold", "n", metric, f"mean_{metric}",
-        (F.col("point") == best).alias("is_best"))
+           label: str = "label", store: str | None = None) -> DataFrame:
+    """Grid search of one learner with k-fold CV on a precomputed (stratified)
+    fold column: (point, params, fold, n, metric value, mean, is_best). ``store``
+    is where the scores are kept, a fresh folder by default (tuning.py)."""
+    from churnforge.operators.tuning import Learner, search_all
+    store = store or scratch_path(train.sparkSession, "search")
+    return search_all({"learner": Learner(train, est, grid)}, metric, store, fold_col=fold_col, label=label,
+                      features=features, resample=resample).drop("learner")
 
 
 def best_params(table: DataFrame, grid: Sequence[dict]) -> dict:

@@ -10,12 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnforge.functions.exprs import null_safe_join, number
 from churnforge.operators.ranking import exact_quantiles, small_table
 from churnforge.operators.reshape import to_long
+from churnforge.session import map_in_arrow
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
@@ -90,16 +93,28 @@ def column_overview(df: DataFrame, cols: Sequence[str] | None = None, approx: bo
 def unique_profile(df: DataFrame, cols: Sequence[str], max_list: int = 12,
                    null_token: str = "0") -> DataFrame:
     """n_unique per column (nulls counted as the token) and the sorted
-    values joined by ',' when there are at most ``max_list`` of them."""
-    long = to_long(df, [], cols).withColumn("value", F.coalesce("value", F.lit(null_token)))
-    dv = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n"))
-    counts = dv.groupBy("column").agg(F.count(F.lit(1)).cast("long").alias("n_unique"))
-    small = counts.where(F.col("n_unique") <= max_list)
-    # only columns with <= max_list values are collected: bounded lists
-    listed = (dv.join(small.select("column"), "column")
-              .groupBy("column")
-              .agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias("values")))
-    return counts.join(listed, "column", "left").select("column", "n_unique", "values")
+    values joined by ',' when there are at most ``max_list`` of them.
+
+    One scan of distinct-count sketches tells which columns can have a list.
+    Only these are unpivoted with their values, which partial aggregation has
+    reduced to a few before anything is shuffled; of all others the exact count
+    is taken, a column at a time, so that a value travels without its column's
+    name and once a task."""
+    cols = list(cols)
+    text = {c: F.coalesce(F.col(c).cast("string"), F.lit(null_token)) for c in cols}
+    sketch = df.agg(*[F.approx_count_distinct(text[c]).alias(f"c{i}") for i, c in enumerate(cols)]).first()
+    near = [c for i, c in enumerate(cols) if sketch[f"c{i}"] <= 2 * max_list]
+    out = None
+    if near:
+        values = to_long(df, [], near).select("column", F.coalesce("value", F.lit(null_token)).alias("value")).distinct()
+        out = values.groupBy("column").agg(F.count(F.lit(1)).cast("long").alias("n_unique"),
+                                           F.array_sort(F.collect_list("value")).alias("values"))
+        out = out.select("column", "n_unique", F.when(F.col("n_unique") <= max_list, F.array_join("values", ",")).alias("values"))
+    for c in (c for c in cols if c not in near):
+        one = df.select(text[c].alias("value")).distinct().agg(F.count(F.lit(1)).cast("long").alias("n_unique"))
+        one = one.select(F.lit(c).alias("column"), "n_unique", F.lit(None).cast("string").alias("values"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def describe_categorical(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -213,6 +228,45 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], upper: bool = False) -> Data
     return row.select(F.explode(F.array(*structs)).alias("_r")).select("_r.*")
 
 
+def wide_corr(df: DataFrame, vector_col: str, dims: int) -> DataFrame:
+    """(dim_a, dim_b, corr), dim_a < dim_b: pairwise-complete Pearson r of all
+    dimensions of an array column, by block Gramians.
+
+    Every task adds up the products of its rows in matrix form: counts, sums,
+    squares and cross products of the pairs in which neither is null or NaN.
+    What leaves a task is one row a dimension whatever its rows; the rows are
+    added by key. Values are taken relative to the column means, so that large
+    offsets cost no digits. A row shorter than ``dims`` lacks the rest."""
+    known = [F.when(~F.isnan(c), c) for c in (F.get(F.col(vector_col), F.lit(i)).cast("double") for i in range(dims))]
+    means = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(known)]).first()
+    centre = [means[f"m{i}"] or 0.0 for i in range(dims)]
+    parts = ["n", "sx", "sxx", "sxy"]
+
+    def gramians(batches):
+        total = np.zeros((4, dims, dims))
+        for batch in batches:
+            v = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dims) - centre
+            there = ~np.isnan(v)
+            v, there = np.where(there, v, 0.0), there.astype(float)
+            total += [there.T @ there, v.T @ there, (v * v).T @ there, v.T @ v]
+        lists = [pa.ListArray.from_arrays(pa.array(np.arange(dims + 1, dtype=np.int32) * dims), pa.array(t.ravel())) for t in total]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dims, dtype=np.int32)), *lists], names=["a", *parts])
+
+    sums = map_in_arrow(df.select(F.array(*known).alias("x")), gramians,
+                        "a int, n array<double>, sx array<double>, sxx array<double>, sxy array<double>")
+    cells = sums.select(
+        "a", F.posexplode(F.arrays_zip(*parts)).alias("b", "s")).select("a", "b", "s.*")
+    g = cells.groupBy("a", "b").agg(*[F.sum(p).alias(p) for p in parts])
+    # the other dimension's sums over the same pairs stand in the mirrored cell
+    m = g.select(F.col("a").alias("_b"), F.col("b").alias("_a"), F.col("sx").alias("sy"), F.col("sxx").alias("syy"))
+    both = g.where("a < b").join(m, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")))
+    n = F.col("n")
+    cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
+    va, vb = F.col("sxx") - F.col("sx") * F.col("sx") / n, F.col("syy") - F.col("sy") * F.col("sy") / n
+    r = F.when((n > 1) & (va > 0) & (vb > 0), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cov / F.sqrt(va * vb))))
+    return both.select(F.col("a").alias("dim_a"), F.col("b").alias("dim_b"), r.alias("corr"))
+
+
 def label_correlation(df: DataFrame, cols: Sequence[str], label: str, k: int | None = 10) -> DataFrame:
     """Features ranked by signed Pearson r with the label (desc), all or the top k."""
     row = df.agg(*[F.corr(F.col(c).cast("double"), F.col(label).cast("double")).alias(c) for c in cols])

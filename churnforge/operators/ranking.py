@@ -68,6 +68,27 @@ def hash_rank(df: DataFrame, part_cols: Sequence[str], id_col: str = "id",
     return out.drop("_all") if glob else out
 
 
+def hash_prefix_sums(df: DataFrame, part_cols: Sequence[str], weight_cols: Sequence[str], id_col: str = "id",
+                     seed: int = 42, bits: int = 16, suffix: str = "_before") -> DataFrame:
+    """Add ``<w>_before`` = sum of ``w`` over the rows of the part that come
+    strictly before in the order (md5(seed:id), id). Buckets and offsets are
+    those of :func:`hash_rank`: a part that holds all rows is ordered in as many
+    tasks as there are buckets."""
+    df, part_cols, glob = _with_parts(df, part_cols)
+    b = (df.withColumn("_h", hash_hex(id_col, seed))
+         .withColumn("_bkt", F.conv(F.substring("_h", 1, max(1, bits // 4)), 16, 10).cast("long")))
+    totals = b.groupBy(*part_cols, "_bkt").agg(*[F.sum(w).alias(f"_t_{w}") for w in weight_cols])
+    w_off = Window.partitionBy(*part_cols).orderBy("_bkt").rowsBetween(_UNB, -1)
+    offsets = totals.select(*part_cols, "_bkt", *[F.coalesce(F.sum(f"_t_{w}").over(w_off), F.lit(0)).alias(f"_o_{w}")
+                                                  for w in weight_cols])
+    w_in = Window.partitionBy(*part_cols, "_bkt").orderBy("_h", id_col).rowsBetween(_UNB, -1)
+    inside = b.withColumns({f"_i_{w}": F.coalesce(F.sum(w).over(w_in), F.lit(0)) for w in weight_cols})
+    out = null_safe_join(inside, offsets, [*part_cols, "_bkt"])
+    out = out.withColumns({f"{w}{suffix}": F.col(f"_o_{w}") + F.col(f"_i_{w}") for w in weight_cols})
+    out = out.drop("_h", "_bkt", *[f"_o_{w}" for w in weight_cols], *[f"_i_{w}" for w in weight_cols])
+    return out.drop("_all") if glob else out
+
+
 def hash_rank_below(df: DataFrame, quotas: DataFrame, part_cols: Sequence[str], id_col: str = "id",
                     seed: int = 42, bits: int = 16, out_col: str = "_below") -> DataFrame:
     """Flag rows whose hash rank within their part is below the part's quota.
@@ -146,15 +167,52 @@ def _bucket(v, splits, n_buckets: int):
     return at
 
 
+#: Distinct values of an interval that may be ordered in one task.
+MOST_ORDERED = 10_000
+_CUTS = 256
+
+
+def _narrowed(vals: DataFrame, targets: DataFrame, part_cols: Sequence[str], most: int) -> DataFrame:
+    """Intervals with at most ``most`` distinct values, or a single one, that
+    still hold the target ranks. A stage counts the rows in every interval's 256
+    sub-intervals and descends into those that hold the two ranks around the
+    target; ends are values of the data, so every stage gets nearer to them."""
+    # a value's sub-interval; the last one takes the upper end
+    wide = F.col("_hi_v") > F.col("_lo_v")
+    step = F.floor((F.col("_v") / 2 - F.col("_lo_v") / 2) / (F.col("_hi_v") / 2 - F.col("_lo_v") / 2) * _CUTS)
+    sub = F.when(F.col("_v") < F.col("_lo_v"), -1).when(wide, F.least(step, F.lit(_CUTS - 1))).otherwise(0).cast("int")
+    while True:
+        met = null_safe_join(vals, targets, part_cols).where(F.col("_v") <= F.col("_hi_v"))
+        size = met.where((F.col("_v") >= F.col("_lo_v")) & wide).groupBy(*part_cols, "_q").agg(
+            F.approx_count_distinct("_v", 0.05).alias("_d")).agg(F.max("_d")).first()[0]
+        if not size or size <= most:
+            return targets
+        counts = met.groupBy(*part_cols, "_q", "_pos", sub.alias("_sub")).agg(
+            F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_a"), F.max("_v").alias("_b"))
+        # at most 257 rows a target
+        before = Window.partitionBy(*part_cols, "_q").orderBy("_sub").rowsBetween(_UNB, -1)
+        counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).where("_sub >= 0")
+        holds = (F.col("_before") <= F.ceil("_pos")) & (F.floor("_pos") < F.col("_before") + F.col("_c"))
+        new = counts.where(holds).groupBy(*part_cols, "_q", "_pos").agg(F.min("_a").alias("_lo_v"), F.max("_b").alias("_hi_v"))
+        new = small_table(new.select(*targets.columns))
+        # where two neighbouring values are ends of far sub-intervals nothing between them is left to order
+        same = null_safe_join(new, targets.select(*part_cols, "_q", F.col("_lo_v").alias("_l"), F.col("_hi_v").alias("_h")), [*part_cols, "_q"])
+        if not same.where((F.col("_l") != F.col("_lo_v")) | (F.col("_h") != F.col("_hi_v"))).limit(1).count():
+            return targets
+        targets = new
+
+
 def exact_quantiles(long_df: DataFrame, part_cols: Sequence[str], value_col: str,
-                    probs: dict[str, float], accuracy: int = 10000) -> DataFrame:
+                    probs: dict[str, float], accuracy: int = 10000, most_ordered: int = MOST_ORDERED) -> DataFrame:
     """Exact linear-interpolation quantiles (numpy/pandas default) per part.
 
     ``long_df`` holds one value per row; nulls and NaN are ignored. A sketch
-    gives a narrow interval that must hold each target rank; one scan then
-    counts the rows below every interval and the distinct values inside it,
-    and only those (about 8 / accuracy of the rows) are ordered. Nothing is
-    written. Output: one row per part with one column per entry of ``probs``.
+    gives a narrow interval that must hold each target rank. An interval of more
+    than ``most_ordered`` distinct values is narrowed in stages that only count
+    (:func:`_narrowed`); then one scan counts the rows below every interval and
+    the distinct values inside it, and only those are ordered, so the largest
+    sort is bounded by a constant. Output: one row per part with one column per
+    entry of ``probs``.
     """
     long_df, part_cols, glob = _with_parts(long_df, part_cols)
     vals = long_df.select(*part_cols, number(value_col).alias("_v")).where(F.col("_v").isNotNull())
@@ -169,13 +227,17 @@ def exact_quantiles(long_df: DataFrame, part_cols: Sequence[str], value_col: str
         (F.col("_min") if lo <= 0 else F.get("_s", F.lit(2 * i))).alias("_lo_v"),
         (F.col("_max") if hi >= 1 else F.get("_s", F.lit(2 * i + 1))).alias("_hi_v"))
         for i, (k, p, lo, hi) in enumerate(around)])
-    targets = sketch.select(*part_cols, F.explode(picks).alias("_t")).select(*part_cols, "_t.*")
     # a part of few rows has both ranks' neighbours anywhere: widen by the whole range
-    targets = null_safe_join(targets, sketch.select(*part_cols, "_n", "_min", "_max"), part_cols)
     few = F.col("_n") <= accuracy
-    targets = small_table(targets.select(
-        *part_cols, "_q", "_pos", F.when(few, F.col("_min")).otherwise(F.col("_lo_v")).alias("_lo_v"),
-        F.when(few, F.col("_max")).otherwise(F.col("_hi_v")).alias("_hi_v")))
+    targets = sketch.select(*part_cols, "_n", "_min", "_max", F.explode(picks).alias("_t")).select(
+        *part_cols, "_t._q", "_t._pos", F.when(few, F.col("_min")).otherwise(F.col("_t._lo_v")).alias("_lo_v"),
+        F.when(few, F.col("_max")).otherwise(F.col("_t._hi_v")).alias("_hi_v"), "_n")
+    targets = small_table(targets)
+    # an interval of at most as many rows as may be ordered needs no stage, and its rows no further scan
+    most_rows = targets.agg(F.max(F.when(F.col("_n") <= accuracy, F.col("_n")).otherwise(F.ceil(4 * eps * F.col("_n"))))).first()[0]
+    targets = targets.drop("_n")
+    if most_rows and most_rows > most_ordered:
+        targets = _narrowed(vals, targets, part_cols, most_ordered)
     x = null_safe_join(vals, targets, part_cols).where(F.col("_v") <= F.col("_hi_v"))
     inside = F.col("_v") >= F.col("_lo_v")
     counted = x.groupBy(*part_cols, "_q", "_pos", F.when(inside, F.col("_v")).alias("_v")).agg(

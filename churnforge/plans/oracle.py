@@ -328,7 +328,7 @@ def sql_features() -> dict[str, str]:
     out["reject_records"] = with_base(REJECTS, rejects)
     out["reject_stream"] = with_base(REJECTS, rejects)
     out["check_scoring"] = with_base(
-        "SELECT id, 1 AS sums_to_one, 1 AS stream_agrees FROM checked "
+        "SELECT id, 1 AS sums_to_one, 1 AS stream_agrees, 1 AS label_agrees FROM checked "
         "WHERE missing_fields = '' AND bad_numeric = '' AND unknown = ''", rejects)
     out["kfold_assign"] = with_base(
         "SELECT id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5('42:' || CAST(id AS VARCHAR)), id) - 1) % 5 AS INTEGER) AS fold "
@@ -606,7 +606,8 @@ def sql_other() -> dict[str, str]:
 # --------------------------------------------------------------------- what must hold for model output
 def sql_checks() -> dict[str, str]:
     out: dict[str, str] = {}
-    names = union_all([f"SELECT {q(m)} AS model" for m in ("random_forest", "gbt", "logistic_regression", "gbt_categorical")])
+    names = union_all([f"SELECT {q(m)} AS model" for m in (
+        "random_forest", "gbt", "logistic_regression", "gbt_categorical", "gbt_ordered")])
     out["check_scores"] = with_base(
         f"SELECT model, id, label, 1 AS probability_ok, 1 AS prediction_ok FROM split, ({names}) WHERE split = 'test'", SPLIT_CTES)
     out["check_linear"] = with_base("SELECT id, 1 AS same FROM split WHERE split = 'test'", SPLIT_CTES)
@@ -618,14 +619,47 @@ def sql_checks() -> dict[str, str]:
     out["check_permutation"] = with_base("SELECT feature, 1 AS is_the_fall FROM features", voc)
     out["check_shapley"] = with_base(
         "SELECT id, (SELECT count(*) FROM features) AS n_features, 1 AS adds_up FROM split WHERE split = 'test'", voc)
+    fold = ("CAST((row_number() OVER (PARTITION BY label ORDER BY md5('42:' || CAST(id AS VARCHAR)), id) - 1) % {k} AS INTEGER)")
     out["check_search"] = with_base(
-        "SELECT CAST(p.point AS INTEGER) AS point, p.params, fold, count(*) AS n, 1 AS best_is_top, CAST(1 AS BIGINT) AS n_best FROM ("
-        "SELECT CAST((row_number() OVER (PARTITION BY label ORDER BY md5('42:' || CAST(id AS VARCHAR)), id) - 1) % 3 AS INTEGER) AS fold "
-        "FROM split WHERE split = 'train') f, (VALUES (0, 'regParam=0.0'), (1, 'regParam=0.01')) p(point, params) "
-        "GROUP BY p.point, p.params, fold", SPLIT_CTES)
+        "SELECT p.learner, CAST(p.point AS INTEGER) AS point, p.params, fold, count(*) AS n, 1 AS best_is_top, CAST(1 AS BIGINT) AS n_best "
+        f"FROM (SELECT {fold.format(k=3)} AS fold FROM split WHERE split = 'train') f, (VALUES "
+        "('logistic_regression', 0, 'regParam=0.0'), ('logistic_regression', 1, 'regParam=0.01'), "
+        "('gbt', 0, 'maxDepth=3,maxIter=100'), ('gbt', 1, 'maxDepth=5,maxIter=100')) p(learner, point, params) "
+        "GROUP BY p.learner, p.point, p.params, fold", SPLIT_CTES)
     out["check_run_summary"] = (
-        "SELECT 'compared' AS stage, CAST(2 AS BIGINT) AS n, CAST(1 AS BIGINT) AS n_best, 1 AS chosen_right, 1 AS sound "
+        "SELECT 'compared' AS stage, CAST(3 AS BIGINT) AS n, CAST(1 AS BIGINT) AS n_best, 1 AS chosen_right, 1 AS sound "
         "UNION ALL SELECT 'tuned', CAST(1 AS BIGINT), CAST(1 AS BIGINT), 1, 1")
+    compared = union_all([f"SELECT {q(m)} AS model" for m in ("random_forest", "gbt", "logistic_regression")])
+    out["check_comparison"] = with_base(
+        "SELECT model, part, count(*) AS n, CAST(sum(label) AS BIGINT) AS positives, 1 AS sound FROM ("
+        "SELECT 'test' AS part, label FROM split WHERE split = 'test' UNION ALL "
+        f"SELECT 'valid', label FROM (SELECT label, {fold.format(k=5)} AS fold FROM split WHERE split = 'train') WHERE fold = 0 UNION ALL "
+        f"SELECT 'fold' || CAST({fold.format(k=3)} AS VARCHAR), label FROM split WHERE split = 'train') p, ({compared}) "
+        "GROUP BY model, part", SPLIT_CTES)
+    out["check_early_stopping"] = "SELECT 1 AS cut_at_best, 1 AS best_is_smallest, 1 AS stopped_by_patience"
+    # categoricals as smoothed means: of earlier training rows in hash order, or of all training rows
+    earlier = "(PARTITION BY {c} ORDER BY md5('42:' || CAST(id AS VARCHAR)), id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    own = ", ".join(r6(f"(coalesce(sum(label) OVER {earlier.format(c=c)}, 0) + 0.5) / (count(label) OVER {earlier.format(c=c)} + 1.0)")
+                    + f" AS {c}_stat" for c in CATEGORICAL)
+    rest = ", ".join(r6(f"(coalesce((SELECT sum(label) FROM split t WHERE t.split = 'train' AND t.{c} IS NOT DISTINCT FROM s.{c}), 0) + 0.5) / "
+                        f"((SELECT count(label) FROM split t WHERE t.split = 'train' AND t.{c} IS NOT DISTINCT FROM s.{c}) + 1.0)")
+                     + f" AS {c}_stat" for c in CATEGORICAL)
+    out["ordered_target_stats"] = with_base(
+        f"SELECT id, split, {own} FROM split WHERE split = 'train' UNION ALL SELECT id, split, {rest} FROM split s WHERE split = 'test'", SPLIT_CTES)
+    out["check_knn_lsh"] = ("SELECT count(*) AS queries, CAST(5 * count(*) AS BIGINT) AS neighbours, 1 AS recall_reached "
+                            "FROM embeddings WHERE vec_id % 100 = 0")
+    out["corr_embeddings"] = (
+        "WITH e AS (SELECT vec_id, unnest(range(0, len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) "
+        "SELECT CAST(a.i AS INTEGER) AS dim_a, CAST(b.i AS INTEGER) AS dim_b, " + r6("corr(a.x, b.x)") + " AS corr "
+        "FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY a.i, b.i")
+    number = ("SELECT {c} AS v, row_number() OVER (ORDER BY md5('42:' || CAST({c} AS VARCHAR)), CAST({c} AS VARCHAR)) - 1 AS idx "
+              "FROM (SELECT DISTINCT {c} FROM orders WHERE o_orderkey % 2 = 0 AND {c} IS NOT NULL)")
+    out["onehot_wide"] = (
+        "WITH a AS (" + number.format(c="o_custkey") + "), b AS (" + number.format(c="o_orderpriority") + ") "
+        "SELECT o_orderkey, a.idx AS o_custkey_idx, b.idx AS o_orderpriority_idx, "
+        "CAST((a.idx IS NOT NULL)::INT + (b.idx IS NOT NULL)::INT AS BIGINT) AS ones, "
+        "CAST((SELECT count(*) FROM a) + (SELECT count(*) FROM b) AS BIGINT) AS width "
+        "FROM orders LEFT JOIN a ON o_custkey = a.v LEFT JOIN b ON o_orderpriority = b.v")
     out["class_balance"] = with_base(
         "SELECT label, CAST(n AS BIGINT) AS n_before, CAST(CASE WHEN n_min > 5 AND n = n_min THEN n_max ELSE n END AS BIGINT) AS n_after, "
         + r6("n / total") + " AS share_before, "

@@ -379,7 +379,10 @@ def q_topk_features(spark, sf):
 
 
 # ------------------------------------------------------------------ kNN / SMOTE
+from pyspark.sql.functions import unwrap_udt  # noqa: E402
+
 from churnforge.operators.knn import exact_knn  # noqa: E402
+from churnforge.operators.lsh import brute_force_knn, lsh_knn, recall_of  # noqa: E402
 from churnforge.operators.resample import class_counts, smote  # noqa: E402
 
 
@@ -413,21 +416,89 @@ def q_knn_embeddings(spark, sf):
     return round_doubles(exact_knn(wide, "vec_id", cols, 5))
 
 
+def _embeddings(spark, sf):
+    emb = read_table(spark, sf, "embeddings", ["vec_id", "embedding"])
+    return emb, emb.where(F.col("vec_id") % 100 == 0).select("vec_id")
+
+
+@register("knn_lsh")
+def q_knn_lsh(spark, sf):
+    """Approximate neighbours, among all embeddings, of those whose id is divisible by 100."""
+    emb, asked = _embeddings(spark, sf)
+    return round_doubles(lsh_knn(emb, "vec_id", "embedding", asked, 5))
+
+
+@register("check_knn_lsh")
+def q_check_knn_lsh(spark, sf):
+    """The approximate neighbours against brute force over all embeddings: how
+    many queries were asked, and that nine tenths of their neighbours are found."""
+    emb, asked = _embeddings(spark, sf)
+    hits = recall_of(lsh_knn(emb, "vec_id", "embedding", asked, 5), brute_force_knn(emb, "vec_id", "embedding", asked, 5))
+    return hits.agg(F.count(F.lit(1)).alias("queries"), F.sum("wanted").cast("long").alias("neighbours"),
+                    (F.sum("hits") >= 0.9 * F.sum("wanted")).cast("int").alias("recall_reached"))
+
+
+@register("corr_embeddings")
+def q_corr_embeddings(spark, sf):
+    """Correlation of every pair of embedding dimensions."""
+    emb, _ = _embeddings(spark, sf)
+    dims = emb.select(F.max(F.size("embedding"))).first()[0] or 1
+    return round_doubles(P.wide_corr(emb, "embedding", dims))
+
+
+@register("onehot_wide")
+def q_onehot_wide(spark, sf):
+    """One-hot numbers of the customers of orders: vocabulary from the orders
+    with an even key, one column of more values than a dense encoding takes."""
+    o = read_table(spark, sf, "orders", ["o_orderkey", "o_custkey", "o_orderpriority"])
+    cols = ["o_custkey", "o_orderpriority"]
+    vocabulary = cut_lineage(EN.numbered_vocabulary(o.where(F.col("o_orderkey") % 2 == 0), cols))
+    rows = EN.sparse_onehot(EN.index_columns(o, vocabulary, cols), vocabulary, cols)
+    sizes = {r["column"]: r["size"] for r in vocabulary.groupBy("column").agg(F.count(F.lit(1)).alias("size")).collect()}
+    known = [F.when(F.col(f"{c}_idx") < sizes.get(c, 0), F.col(f"{c}_idx")).cast("long").alias(f"{c}_idx") for c in cols]
+    ones = F.size(unwrap_udt("features")["values"])
+    return rows.select("o_orderkey", *known, ones.cast("long").alias("ones"), unwrap_udt("features")["size"].cast("long").alias("width"))
+
+
 # ------------------------------------------------------------------ models
-from pyspark.ml import Pipeline  # noqa: E402
+import hashlib  # noqa: E402
+
+from pyspark.ml import Pipeline, PipelineModel  # noqa: E402
 from pyspark.ml.classification import GBTClassifier, LogisticRegression  # noqa: E402
 from pyspark.ml.feature import StringIndexer  # noqa: E402
 
+from churnforge.operators import encode as EN  # noqa: E402
 from churnforge.operators import explain as XP  # noqa: E402
 from churnforge.operators import models as M  # noqa: E402
-from churnforge.session import cut_lineage, training_partitions  # noqa: E402
+from churnforge.operators import tuning as TU  # noqa: E402
+from churnforge.session import cut_lineage, ensure_checkpoint_dir, table_version, training_partitions  # noqa: E402
+from churnforge.sources.tables import table_path  # noqa: E402
+
+
+#: Prepared parts of a session, by (context, tables' version, resampled): every
+#: model key reads the same written tables instead of preparing them anew.
+_PREPARED: dict[tuple, tuple] = {}
+
+
+def _prepared(spark, sf, what, make):
+    paths = [table_path(sf, t) for t in ("customer", "nation", "region", "orders")]
+    key = (spark.sparkContext.applicationId, table_version(spark, paths), what)
+    if key not in _PREPARED:
+        for old in [k for k in _PREPARED if k[0] != key[0]]:
+            del _PREPARED[old]                  # of a context that has ended
+        _PREPARED[key] = make()
+    return _PREPARED[key]
 
 
 def _model_data(spark, sf, resample: bool = True):
     """Variant-A features as parts train / valid / test. Models are fitted on
     train (SMOTE-balanced if asked for), chosen on valid, measured on test."""
+    return _prepared(spark, sf, f"parts {resample}", lambda: _make_parts(spark, sf, resample))
+
+
+def _make_parts(spark, sf, resample):
     e = encode_standard(split_table(spark, sf))
-    fit = with_validation(e.df.where(F.col("split") == "train"))
+    fit = cut_lineage(with_validation(e.df.where(F.col("split") == "train")))
     train, valid = fit.where(~F.col("is_valid")), fit.where("is_valid")
     if resample:
         bal = smote(train, e.features, "label", "id", k=5, seed=42)
@@ -438,16 +509,23 @@ def _model_data(spark, sf, resample: bool = True):
     return parts, e.features
 
 
+def _fold_data(spark, sf, k: int):
+    """All training rows with features and a stratified fold of k."""
+    def make():
+        e = encode_standard(split_table(spark, sf))
+        folds = kfold_assign(e.df.where(F.col("split") == "train"), "label", k)
+        return cut_lineage(training_partitions(M.assemble(folds, e.features), "id")), e.features
+    return _prepared(spark, sf, f"folds {k}", make)
+
+
 @register("rf_scores")
 def q_rf_scores(spark, sf):
-    parts, _ = _model_data(spark, sf)
-    return M.score(M.estimators()["random_forest"].fit(parts["train"]), parts["test"])
+    return M.score(_fitted(spark, sf, "random_forest"), _model_data(spark, sf)[0]["test"])
 
 
 @register("gbt_scores")
 def q_gbt_scores(spark, sf):
-    parts, _ = _model_data(spark, sf)
-    return M.score(M.estimators()["gbt"].fit(parts["train"]), parts["test"])
+    return M.score(_fitted(spark, sf, "gbt"), _model_data(spark, sf)[0]["test"])
 
 
 @register("lr_coefficients")
@@ -460,15 +538,26 @@ def q_lr_coefficients(spark, sf):
 @register("tree_importance")
 def q_tree_importance(spark, sf):
     """The whole ranking; a chart may cut it."""
-    parts, feats = _model_data(spark, sf)
-    model = M.estimators()["random_forest"].fit(parts["train"])
-    return M.tree_importance(model, feats, spark).orderBy(F.col("importance").desc(), "feature")
+    _, feats = _model_data(spark, sf)
+    return M.tree_importance(_fitted(spark, sf, "random_forest"), feats, spark).orderBy(F.col("importance").desc(), "feature")
 
 
 @register("model_comparison")
 def q_model_comparison(spark, sf):
-    parts, _ = _model_data(spark, sf)
-    return M.compare(parts, M.estimators())[0]
+    """Every learner with its cross-validated score (3 folds of the training rows as they are)."""
+    return _comparison(spark, sf)[0]
+
+
+def _comparison(spark, sf):
+    """(table, scored rows, models) of all learners, once a session."""
+    return _prepared(spark, sf, "comparison", lambda: M.compare_scored(
+        _model_data(spark, sf)[0], M.estimators(), folds=_fold_data(spark, sf, 3)[0]))
+
+
+def _fitted(spark, sf, name):
+    """One learner fitted on the training part, once a session."""
+    return _prepared(spark, sf, f"fitted {name}", lambda: M.reloaded(
+        M.estimators()[name].fit(_model_data(spark, sf)[0]["train"]), spark))
 
 
 def _train_flow(spark, sf, ests, grids):
@@ -493,11 +582,19 @@ def _train_flow(spark, sf, ests, grids):
         models[best], feats
 
 
+def _flow(spark, sf):
+    """The whole training flow over every learner, once a session."""
+    def make():
+        table, model, feats = _train_flow(spark, sf, M.estimators(), M.SMALL_GRIDS)
+        return cut_lineage(table), model, feats
+    return _prepared(spark, sf, "flow", make)
+
+
 @register("run_summary")
 def q_run_summary(spark, sf):
     """The whole training flow's summary written as JSON, read back."""
     from churnforge.sources.reports import write_json
-    summary, _, _ = _train_flow(spark, sf, M.estimators(), M.SMALL_GRIDS)
+    summary, _, _ = _flow(spark, sf)
     path = write_json(summary, scratch_path(spark, "run_summary"))
     return spark.read.schema(summary.schema).json(path)
 
@@ -505,7 +602,7 @@ def q_run_summary(spark, sf):
 @register("best_importance")
 def q_best_importance(spark, sf):
     """Importance of every feature in the tuned best model."""
-    _, model, feats = _train_flow(spark, sf, M.estimators(), M.SMALL_GRIDS)
+    _, model, feats = _flow(spark, sf)
     return M.model_importance(model, feats, spark).orderBy(F.col("importance").desc(), "feature")
 
 
@@ -523,11 +620,16 @@ def q_class_balance(spark, sf):
 @register("cv_grid")
 def q_cv_grid(spark, sf):
     """The small boosted-trees grid by 3-fold AUC."""
-    e = encode_standard(split_table(spark, sf))
-    train = cut_lineage(kfold_assign(e.df.where(F.col("split") == "train"), "label", 3))
-    gbt = GBTClassifier(labelCol="label", featuresCol="features", maxIter=100, stepSize=0.3, seed=M.SEED, **M.TREE_EXEC)
-    grid = [{"maxDepth": 3}, {"maxDepth": 5}]
-    return M.search(M.assemble(train, e.features), "fold", gbt, grid, "auc")
+    return _small_search(spark, sf).where("learner = 'gbt'").drop("learner")
+
+
+def _small_search(spark, sf):
+    """The small grids of the boosted trees and the linear model by 3-fold AUC."""
+    def make():
+        data, ests = _fold_data(spark, sf, 3)[0], M.estimators()
+        learners = {n: TU.Learner(data, ests[n], M.SMALL_GRIDS[n]) for n in ("gbt", "logistic_regression")}
+        return cut_lineage(TU.search_all(learners, "auc", scratch_path(spark, "search")))
+    return _prepared(spark, sf, "small search", make)
 
 
 @register("cv_grid_smote")
@@ -554,33 +656,51 @@ def _categorical_stages(train):
 
 @register("cv_grid_full")
 def q_cv_grid_full(spark, sf):
-    """Every point of the full grids by 5-fold F1, each learner on its own."""
-    s = split_table(spark, sf)
-    e = encode_standard(s)
-    train = cut_lineage(kfold_assign(e.df.where(F.col("split") == "train"), "label", 5))
-    native = cut_lineage(kfold_assign(s.where(F.col("split") == "train"), "label", 5))
-    idx, va, bins = _categorical_stages(native)
-    own = M.assemble(train, e.features)
+    """Every point of the full grids by 5-fold F1, each learner on its own. The
+    scores stay under the checkpoint folder, by the tables' version and the
+    grids: a search that was killed goes on when the key is asked for again."""
+    own, _ = _fold_data(spark, sf, 5)
+
+    def make():
+        s = split_table(spark, sf)
+        native = cut_lineage(kfold_assign(s.where(F.col("split") == "train"), "label", 5))
+        idx, va, bins = _categorical_stages(native)
+        return cut_lineage(training_partitions(Pipeline(stages=[*idx, va]).fit(native).transform(native), "id")), bins
+
+    native, bins = _prepared(spark, sf, "native folds", make)
     gbt = M.estimators()["gbt"]
     data = {"random_forest": (own, M.estimators()["random_forest"]), "gbt": (own, gbt),
-            "gbt_categorical": (Pipeline(stages=[*idx, va]).fit(native).transform(native), gbt.copy({gbt.maxBins: bins}))}
-    out = None
-    for name, grid in M.FULL_GRIDS.items():
-        found = M.search(data[name][0], "fold", data[name][1], grid, "f1").select(F.lit(name).alias("model"), "*")
-        out = found if out is None else out.unionByName(found)
-    return out
+            "gbt_categorical": (native, gbt.copy({gbt.maxBins: bins}))}
+    learners = {name: TU.Learner(*data[name], grid) for name, grid in M.FULL_GRIDS.items()}
+    paths = [table_path(sf, t) for t in ("customer", "nation", "region", "orders")]
+    what = f"{table_version(spark, paths)} {sorted(M.FULL_GRIDS.items())}"
+    store = f"{ensure_checkpoint_dir(spark).rstrip('/')}/search-{hashlib.sha256(what.encode()).hexdigest()[:16]}"
+    return TU.search_all(learners, "f1", store).withColumnRenamed("learner", "model")
 
 
-def _categorical_model(spark, sf):
+PATIENCE, BOOST_ROUNDS = 50, 700
+
+
+def _boosted_with_patience(spark, sf):
     """Native-categorical boosting: indexed categoricals keep their nominal
-    mark through the assembler; early stopping on a validation part of the
-    training rows (never the test rows)."""
-    s = split_table(spark, sf)
-    train = training_partitions(cut_lineage(with_validation(s.where(F.col("split") == "train"))), "id")
-    idx, va, bins = _categorical_stages(train)
-    gbt = GBTClassifier(labelCol="label", featuresCol="features", maxIter=700, stepSize=0.05, maxDepth=6, seed=42,
-                        maxBins=bins, validationIndicatorCol="is_valid", validationTol=0.01, **M.TREE_EXEC)
-    return Pipeline(stages=[*idx, va, gbt]).fit(train), s.where(F.col("split") == "test")
+    mark through the assembler; rounds end after 50 without a smaller loss on a
+    validation part of the training rows (never the test rows), and the
+    ensemble is cut to its best round. Returns (preparation, model, losses, best, test rows)."""
+    def make():
+        s = split_table(spark, sf)
+        train = cut_lineage(training_partitions(with_validation(s.where(F.col("split") == "train")), "id"))
+        idx, va, bins = _categorical_stages(train)
+        prep = Pipeline(stages=[*idx, va]).fit(train)
+        ready = cut_lineage(prep.transform(train))
+        gbt = GBTClassifier(labelCol="label", featuresCol="features", stepSize=0.05, maxDepth=6, seed=42, maxBins=bins, **M.TREE_EXEC)
+        model, losses, best = TU.fit_with_patience(gbt, ready.where("not is_valid"), ready.where("is_valid"), BOOST_ROUNDS, PATIENCE)
+        return prep, model, losses, best, s.where(F.col("split") == "test")
+    return _prepared(spark, sf, "patience", make)
+
+
+def _categorical_model(spark, sf):
+    prep, model, _, _, test = _boosted_with_patience(spark, sf)
+    return PipelineModel([prep, model]), test
 
 
 @register("gbt_categorical")
@@ -589,11 +709,66 @@ def q_gbt_categorical(spark, sf):
     return M.score(model, test)
 
 
+@register("early_stopping")
+def q_early_stopping(spark, sf):
+    """The validation loss after each round up to the stop, and the best round."""
+    _, _, losses, best, _ = _boosted_with_patience(spark, sf)
+    return spark.createDataFrame([(n + 1, float(x), n + 1 == best) for n, x in enumerate(losses)],
+                                 "round int, loss double, is_best boolean")
+
+
+@register("check_early_stopping")
+def q_check_early_stopping(spark, sf):
+    """The model has as many trees as the best round; the best loss is the
+    smallest; rounds end with patience."""
+    _, model, losses, best, _ = _boosted_with_patience(spark, sf)
+    right = (model.getNumTrees == best, losses[best - 1] == min(losses) and best == losses.index(min(losses)) + 1,
+             len(losses) == min(BOOST_ROUNDS, best + PATIENCE))
+    return spark.createDataFrame([tuple(int(x) for x in right)], "cut_at_best int, best_is_smallest int, stopped_by_patience int")
+
+
+PRIOR = 0.5
+
+
+@register("ordered_target_stats")
+def q_ordered_target_stats(spark, sf):
+    """Every training row's categoricals as means of earlier rows' labels, and
+    the test rows' as means of all training rows."""
+    s = split_table(spark, sf)
+    train, test = s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
+    own = EN.ordered_target_stats(train, CATEGORICAL, "label", PRIOR)
+    rest = EN.apply_target_stats(test, EN.full_target_stats(train, CATEGORICAL, "label"), CATEGORICAL, PRIOR)
+    return round_doubles(EN.widen_stats(s.select("id", "split"), own.unionByName(rest), CATEGORICAL))
+
+
+@register("gbt_ordered")
+def q_gbt_ordered(spark, sf):
+    """Boosting on ordered statistics of the categoricals, with the same patience."""
+    return _prepared(spark, sf, "ordered", lambda: cut_lineage(_ordered_scores(spark, sf)))
+
+
+def _ordered_scores(spark, sf):
+    s = split_table(spark, sf)
+    fit = cut_lineage(with_validation(s.where(F.col("split") == "train")))
+    train, rest = fit.where("not is_valid"), fit.where("is_valid").drop("is_valid").unionByName(s.where(F.col("split") == "test"))
+    full = EN.full_target_stats(train, CATEGORICAL, "label")
+    names = [f"{c}_stat" for c in CATEGORICAL] + NUMERIC_CLEAN
+    ready = EN.widen_stats(train, EN.ordered_target_stats(train, CATEGORICAL, "label", PRIOR), CATEGORICAL)
+    ready = cut_lineage(training_partitions(M.assemble(ready, names), "id"))
+    other = EN.widen_stats(rest, EN.apply_target_stats(rest, full, CATEGORICAL, PRIOR), CATEGORICAL)
+    other = cut_lineage(M.assemble(other, names))
+    gbt = GBTClassifier(labelCol="label", featuresCol="features", stepSize=0.05, maxDepth=6, seed=42, **M.TREE_EXEC)
+    model, _, _ = TU.fit_with_patience(gbt, ready, other.where(F.col("split") == "train"), BOOST_ROUNDS, PATIENCE)
+    return M.score(model, other.where(F.col("split") == "test"))
+
+
 def _explain_model(spark, sf):
-    parts, feats = _model_data(spark, sf, resample=False)
-    model = GBTClassifier(labelCol="label", featuresCol="features", maxIter=30, maxDepth=4, seed=42,
-                          **M.TREE_EXEC).fit(parts["train"])
-    return model, parts["test"].drop("features"), feats
+    def make():
+        parts, feats = _model_data(spark, sf, resample=False)
+        model = GBTClassifier(labelCol="label", featuresCol="features", maxIter=30, maxDepth=4, seed=42,
+                              **M.TREE_EXEC).fit(parts["train"])
+        return model, parts["test"].drop("features"), feats
+    return _prepared(spark, sf, "explained", make)
 
 
 @register("permutation_importance")
@@ -620,10 +795,12 @@ from churnforge.streaming.score_stream import run_to_completion  # noqa: E402
 
 
 def _fitted_scorer(spark, sf):
-    s = split_table(spark, sf)
-    raw_train = raw(spark, sf).join(s.where(F.col("split") == "train").select("id"), "id", "left_semi")
-    path = ChurnScorer.fit(s, cut_lineage(raw_train)).save(spark, scratch_path(spark, "scorer"))
-    return ChurnScorer.load(spark, path)          # score with the reloaded state
+    """The scorer as a service uses it: fitted and saved once, loaded to score."""
+    def make():
+        s = split_table(spark, sf)
+        raw_train = raw(spark, sf).join(s.where(F.col("split") == "train").select("id"), "id", "left_semi")
+        return ChurnScorer.fit(s, cut_lineage(raw_train)).save(spark, scratch_path(spark, "scorer"))
+    return ChurnScorer.load(spark, _prepared(spark, sf, "scorer", make))
 
 
 def _streamed(spark, sf):
@@ -664,10 +841,9 @@ def _sound(scored, *keep):
 def q_check_scores(spark, sf):
     """Every learner scores every test row once, and soundly."""
     parts, _ = _model_data(spark, sf)
-    _, models = M.compare(parts, M.estimators())
-    own = [M.score(m, parts["test"]).withColumn("model", F.lit(name)) for name, m in models.items()]
-    model, test = _categorical_model(spark, sf)
-    own.append(M.score(model, test).withColumn("model", F.lit("gbt_categorical")))
+    own = [M.score(_fitted(spark, sf, name), parts["test"]).withColumn("model", F.lit(name)) for name in M.estimators()]
+    own += [q_gbt_categorical(spark, sf).withColumn("model", F.lit("gbt_categorical")),
+            q_gbt_ordered(spark, sf).withColumn("model", F.lit("gbt_ordered"))]
     out = own[0]
     for o in own[1:]:
         out = out.unionByName(o)
@@ -689,11 +865,8 @@ def q_check_linear(spark, sf):
 
 @register("check_importance")
 def q_check_importance(spark, sf):
-    """Impurity importances name every feature once and add up to one."""
-    parts, feats = _model_data(spark, sf, resample=False)
-    model = GBTClassifier(labelCol="label", featuresCol="features", maxIter=10, maxDepth=4, seed=42,
-                          **M.TREE_EXEC).fit(parts["train"])
-    imp = M.tree_importance(model, feats, spark)
+    """The forest's impurity importances name every feature once and add up to one."""
+    imp = cut_lineage(q_tree_importance(spark, sf))
     total = imp.select(F.sum("importance")).scalar()
     return imp.select("feature", (F.col("importance") >= 0).cast("int").alias("not_negative"),
                       F.round(total, 6).alias("total"))
@@ -722,25 +895,19 @@ def q_check_permutation(spark, sf):
 
 @register("check_search")
 def q_check_search(spark, sf):
-    """Folds of the search cover the training rows; one point is best."""
-    e = encode_standard(split_table(spark, sf))
-    train = cut_lineage(M.assemble(kfold_assign(e.df.where(F.col("split") == "train"), "label", 3), e.features))
-    lr = M.estimators()["logistic_regression"]
-    t = cut_lineage(M.search(train, "fold", lr, M.SMALL_GRIDS["logistic_regression"], "accuracy"))
-    top = t.select(F.max("mean_accuracy")).scalar()
-    n_best = t.where("is_best").select(F.count_distinct("point")).scalar()
-    return t.select("point", "params", F.col("fold").cast("int").alias("fold"), "n",
-                    (~F.col("is_best") | (F.col("mean_accuracy") == top)).cast("int").alias("best_is_top"),
-                    n_best.alias("n_best"))
+    """Folds of the small searches cover the training rows; one point of a learner is best."""
+    t = _small_search(spark, sf)
+    top = t.groupBy("learner").agg(F.max("mean_auc").alias("top"), F.count_distinct(F.when(F.col("is_best"), F.col("point"))).alias("n_best"))
+    return t.join(top, "learner").select(
+        "learner", "point", "params", F.col("fold").cast("int").alias("fold"), "n",
+        (~F.col("is_best") | (F.col("mean_auc") == F.col("top"))).cast("int").alias("best_is_top"), "n_best")
 
 
 @register("check_run_summary")
 def q_check_run_summary(spark, sf):
-    """The flow chooses on validation AUC and ends with one tuned row."""
-    quick = {k: v for k, v in M.estimators().items() if k == "logistic_regression"} | {
-        "gbt": GBTClassifier(labelCol="label", featuresCol="features", maxIter=5, maxDepth=3, seed=42, **M.TREE_EXEC)}
-    grids = {"gbt": [{"maxDepth": 2}, {"maxDepth": 3}], "logistic_regression": M.SMALL_GRIDS["logistic_regression"]}
-    t = cut_lineage(_train_flow(spark, sf, quick, grids)[0])
+    """The summary as written: every learner compared, chosen on validation AUC,
+    the best one tuned; scores of the folds, the parts and the choice are sound."""
+    t = q_run_summary(spark, sf)
     top = t.where("stage = 'compared'").select(F.max("valid_auc")).scalar()
     right = F.when(F.col("stage") == "tuned", F.col("params").isNotNull() & F.col("cv_auc").between(0, 1)).otherwise(
         ~F.col("is_best") | (F.col("valid_auc") == top))
@@ -749,6 +916,15 @@ def q_check_run_summary(spark, sf):
                                   F.min(right.cast("int")).alias("chosen_right"), F.min(sound.cast("int")).alias("sound"))
 
 
+@register("check_comparison")
+def q_check_comparison(spark, sf):
+    """The comparison's scored table: rows and positives of every part and fold
+    of each learner."""
+    scored = _comparison(spark, sf)[1].where("part <> 'train'")
+    return scored.groupBy("model", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("positives"),
+                                               F.min(F.col("probability").between(0, 1).cast("int")).alias("sound"))
+
+
 @register("check_scoring")
 def q_check_scoring(spark, sf):
     """Batch and stream score the same valid records, with the same result."""
@@ -758,7 +934,8 @@ def q_check_scoring(spark, sf):
     both = batch.join(stream, F.col("id") == F.col("_id"), "full")
     p, q = F.col("churn_probability"), F.col("no_churn_probability")
     return both.select(F.coalesce("id", "_id").alias("id"), (F.abs(p + q - 1) < 1e-9).cast("int").alias("sums_to_one"),
-                       (F.abs(p - F.col("_p")) < 1e-9).cast("int").alias("stream_agrees"))
+                       (F.abs(p - F.col("_p")) < 1e-9).cast("int").alias("stream_agrees"),
+                       (F.col("churn_label") == F.when(p > 0.5, "Churned").otherwise("Retain")).cast("int").alias("label_agrees"))
 
 
 # ------------------------------------------------------------------ profiling at size (lineitem)

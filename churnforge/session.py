@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import hashlib
 import io
 import os
 import uuid
@@ -101,10 +104,42 @@ def ship_package(spark: SparkSession) -> None:
     sc._churnforge_shipped = True
 
 
+#: Bytes of an Arrow batch on its way to Python, unless the session says otherwise:
+#: a worker holds a batch or two at a time, and so does the JVM beside its heap.
+BATCH_BYTES = 8 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    if spark.conf.get(_BATCH_CONF, None) is None:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: workers are used again by later
+    stages, whose own peaks would otherwise come on top of this one's."""
+    import pyarrow as pa
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):       # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _lean(fn):
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            release_memory()
+
+    return run
+
+
 def map_in_arrow(df: DataFrame, fn, schema) -> DataFrame:
-    """``mapInArrow`` of a function of this package."""
+    """``mapInArrow`` of a function of this package, in small batches; the
+    worker's freed memory goes back when the task ends."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    small_batches(df.sparkSession)
+    return df.mapInArrow(_lean(fn), schema)
 
 
 def cut_lineage(df):
@@ -113,9 +148,23 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
-def training_partitions(df, id_col: str, rows_per_partition: int = 1_000_000, least: int = 16):
+def training_partitions(df, id_col: str, small: int = 10_000, most_small: int = 16, large: int = 1_000_000):
     """Deal a training table by its id into a number of partitions that follows
-    from its row count alone. Tree learners sample per partition, so a fit must
-    not depend on how the input happened to be split or on the cluster's size."""
-    parts = max(least, -(-df.count() // rows_per_partition))
+    from its row count alone: one for every ``small`` rows up to ``most_small``,
+    then as many as keep ``large`` rows each. Tree learners sample per partition,
+    so a fit must not depend on how the input happened to be split or on the
+    cluster's size; and they run hundreds of short jobs, whose time on a small
+    table is that of starting tasks."""
+    n = df.count()
+    parts = max(min(most_small, -(-n // small)), -(-n // large), 1)
     return df.repartition(parts, id_col).sortWithinPartitions(id_col)
+
+
+def table_version(spark: SparkSession, paths: list[str]) -> str:
+    """A digest of the files behind the given tables: names, sizes, times."""
+    seen = []
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)
+        seen += [f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files]
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()[:16]

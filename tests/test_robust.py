@@ -1,6 +1,7 @@
 """Inputs that churn tables really have: null labels and features, odd number
 text, colliding names, constant columns, missing fields."""
 
+import hashlib
 import math
 
 import pandas as pd
@@ -53,7 +54,7 @@ def test_knn_takes_any_range(spark):
 
 
 def test_knn_work_follows_the_input(spark):
-    """Candidates met per point stay about the same at ten times the points."""
+    """Leaves keep their size, and leaves visited a point their number, at ten times the points."""
     import random
 
     import numpy as np
@@ -62,20 +63,49 @@ def test_knn_work_follows_the_input(spark):
 
     def work(n):
         rng = random.Random(1)
-        pts = np.array([[rng.random() for _ in range(3)] for _ in range(n)])
-        tree = knn.Tree.build(pts, knn.LEAF_VECTORS)
-        leaf = tree.leaves_of(pts)
-        low = np.array([pts[leaf == i].min(axis=0) for i in range(tree.leaf.max() + 1)])
-        high = np.array([pts[leaf == i].max(axis=0) for i in range(tree.leaf.max() + 1)])
-        bound = np.array([np.sort(knn._sq(pts[leaf == leaf[i]], pts[i]))[5] for i in range(n)])
-        _, visited = knn._Boxes(tree, low, high).visits(pts, bound)
-        return np.bincount(leaf)[visited].sum() / n
-
-    few, many = work(800), work(8000)
-    print(f"candidates a point: {few:.0f} of 800, {many:.0f} of 8000")
+        rows = [(i, [rng.random() for _ in range(3)], [(f"{i:032d}", i)]) for i in range(n)]
+        vectors = spark.createDataFrame(rows, "vid bigint, x array<double>, members array<struct<nh:string,nid:bigint>>")
+        leaves = knn.make_leaves(vectors, n, 3, knn.LEAF_VECTORS, 400).collect()
+        assert sorted(v for r in leaves for v in r["vids"]) == list(range(n))
+        assert len({r["leaf"] for r in leaves}) == len(leaves)
+        low, high = (np.array([r[k] for r in leaves]) for k in ("low", "high"))
+        visited = 0
+        for r in leaves:
+            x = np.array(r["flat"]).reshape(-1, 3)
+            assert (x.min(axis=0) == r["low"]).all() and (x.max(axis=0) == r["high"]).all()
+            visited += len(knn._within(x, knn._kth(knn._sq(x, x), 6), low, high)[0])
+        return max(len(r["vids"]) for r in leaves), visited / n
+
+    (most_few, few), (most_many, many) = work(800), work(8000)
+    print(f"leaves visited a point: {few:.1f} of 800 points, {many:.1f} of 8000")
+    assert most_few <= knn.LEAF_VECTORS and most_many <= knn.LEAF_VECTORS
     assert many < 2 * few
 
 
+@pytest.mark.parametrize("fan,top,run", [(2, 1, 1), (3, 4, 2), (64, 1024, 128)])
+def test_knn_through_levels_of_boxes(spark, fan, top, run):
+    """Any tree of boxes gives the brute-force answer, ties and copies included."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(fan)
+    rows = [(i, float(rng.randrange(12)), float(rng.randrange(12)), rng.random() * (i % 3)) for i in range(400)]
+    rows += [(1000 + i, 5.0, 5.0, 0.0) for i in range(150)] + [(2000, None, 1.0, 1.0), (2001, 1.0, float("nan"), 1.0)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double")
+    got = exact_knn(df, "id", ["a", "b", "c"], k=4, leaf_vectors=8, tree_sample=100, fan=fan, top_nodes=top, run_leaves=run).collect()
+    good = [r for r in rows if r[0] < 2000]
+    x = np.array([r[1:] for r in good])
+    key = [hashlib.md5(f"42:{r[0]}".encode()).hexdigest() for r in good]
+    want = set()
+    for i, r in enumerate(good):
+        d2 = ((x - x[i]) ** 2).sum(axis=1)
+        near = sorted((d2[j], key[j], good[j][0]) for j in range(len(good)) if j != i)[:4]
+        want |= {(r[0], n + 1, nid) for n, (_, _, nid) in enumerate(near)}
+    assert {(r["id"], r["nn_rank"], r["nn_id"]) for r in got if r["nn_id"] is not None} == want
+    assert sorted(r["id"] for r in got if r["nn_id"] is None) == [2000, 2001]
+
+
 def test_colliding_names_lose_no_category(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b-c"), (3, "b c"), (4, "b_c")], "id long, x string")
     v = FE.fit_onehot(df, ["x"])
