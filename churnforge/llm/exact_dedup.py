@@ -12,8 +12,8 @@ Of equal texts, the row with the most code points in its original text stays,
 then the smallest id. Edge cases: null counts as empty; texts of white space
 only equal the empty text; null ids come after all others; of wholly repeated
 rows exactly one is kept (each row has its own decision); an empty table gives
-an empty one. Carried columns travel inside one struct, so their names cannot
-clash.
+an empty one. The filter's columns travel inside one struct, so their names
+cannot clash.
 """
 
 from __future__ import annotations
@@ -40,27 +40,27 @@ def normalised(text: Column) -> Column:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (item, id, digest, text) of one partition -> rows with the
+    """Sorted rows (id, digest, text) of one partition -> rows with the
     run's first id, its size, and marks on the first and last run.
 
-    Holds the rows of one open run without their texts (item carries no more
-    than the caller asked for); a closed run is emitted at once.
+    Holds ids and digests of one open run, and one text; a closed run is
+    emitted at once.
     """
     part = TaskContext.get().partitionId()
-    number, held, text, names = 0, [], None, ("item", "id", "digest", "keep_id", "group_size", "first",
+    number, held, text, names = 0, [], None, ("id", "digest", "keep_id", "group_size", "first",
                                               "part", "edge", "edge_text")
 
     def close(last: bool) -> Iterator[pa.RecordBatch]:
         nonlocal number
         size = sum(b.num_rows for b in held)
-        keep = held[0].column(1).slice(0, 1)
+        keep = held[0].column(0).slice(0, 1)
         edge = number if last or number == 0 else None
         for k, b in enumerate(held):
             n = b.num_rows
             first = np.zeros(n, bool)
             first[0] = k == 0
             yield pa.RecordBatch.from_arrays([
-                b.column(0), b.column(1), b.column(2), keep.take(pa.array(np.zeros(n, np.int64))), pa.array([size] * n, pa.int64()),
+                b.column(0), b.column(1), keep.take(pa.array(np.zeros(n, np.int64))), pa.array([size] * n, pa.int64()),
                 pa.array(first), pa.array([part] * n, pa.int64()), pa.array([edge] * n, pa.int64()),
                 pa.array([text if f and edge is not None else None for f in first], pa.string())], names=names)
         number += 1
@@ -68,7 +68,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        texts, rows = batch.column(3), batch.select([0, 1, 2])
+        texts, rows = batch.column(2), batch.select([0, 1])
         same = np.zeros(batch.num_rows, bool)
         same[1:] = pc.equal(texts.slice(1), texts.slice(0, len(texts) - 1)).to_numpy(zero_copy_only=False)
         same[0] = bool(held) and texts[0].as_py() == text
@@ -89,7 +89,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b = rows.take(pa.array(alone))
             n = len(alone)
             yield pa.RecordBatch.from_arrays([
-                b.column(0), b.column(1), b.column(2), b.column(1), pa.array(np.ones(n, np.int64)),
+                b.column(0), b.column(1), b.column(0), pa.array(np.ones(n, np.int64)),
                 pa.array(np.ones(n, bool)), pa.array(np.full(n, part, np.int64)), pa.nulls(n, pa.int64()),
                 pa.nulls(n, pa.string())], names=names)
         skip = set(alone.tolist())
@@ -104,47 +104,109 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from close(True)
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                     carry: list[str] | None = None) -> DataFrame:
-    """One row per row of docs: row (struct of the carried columns), doc_id
-    (under the id column's name), keep_id, group_size, kept, text_sha256."""
-    carry = carry or []
+def _first_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (item, digest, text) of one partition -> the first row of
+    every run (item, digest, part, first, last), the partition's first and last
+    run marked. Holds a batch, one text and one row."""
+    part = TaskContext.get().partitionId()
+    text, begun, waiting = None, False, None
+
+    def marked(rows: pa.RecordBatch, first: bool, last: bool) -> pa.RecordBatch:
+        n = rows.num_rows
+        firsts, lasts = np.zeros(n, bool), np.zeros(n, bool)
+        firsts[0], lasts[-1] = first, last
+        return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.full(n, part, np.int64)), pa.array(firsts),
+                                           pa.array(lasts)], names=["item", "digest", "part", "first", "last"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        texts = batch.column(2)
+        new = np.ones(batch.num_rows, bool)
+        new[1:] = ~pc.equal(texts.slice(1), texts.slice(0, len(texts) - 1)).to_numpy(zero_copy_only=False)
+        new[0] = not begun or texts[0].as_py() != text
+        text = texts[len(texts) - 1].as_py()
+        heads = batch.select([0, 1]).take(pa.array(np.flatnonzero(new)))
+        if not heads.num_rows:
+            continue
+        if waiting is not None:                    # a later run has begun: this one was not the last
+            yield marked(waiting[0], waiting[1], False)
+        if heads.num_rows > 1:
+            yield marked(heads.slice(0, heads.num_rows - 1), not begun, False)
+        waiting = (heads.slice(heads.num_rows - 1), not begun and heads.num_rows == 1)
+        begun = True
+    if waiting is not None:
+        yield marked(waiting[0], waiting[1], True)
+
+
+def _continued(ends: DataFrame) -> DataFrame:
+    """(part) of the partitions whose first run goes on from the partition
+    before. ``ends``: part, first, last, digest, text of the first and last
+    runs. Neighbours are found by their digests alone, two short rows a
+    partition; the texts of those that agree meet in a join and decide."""
+    place = F.when(F.col("first"), 0).otherwise(1)
+    in_order = Window.orderBy("part", place)       # of bounded rows, two a partition
+    short = ends.select("part", "first", "last", "digest").select(
+        "part", "first", "digest", F.lag("digest").over(in_order).alias("before"), F.lag("part").over(in_order).alias("from"))
+    alike = materialise(short.filter(F.col("first") & (F.col("digest") == F.col("before")) & (F.col("part") != F.col("from")))
+                        .select(F.col("part").alias("p"), "from"), "exact-ends")
+    right = alike.join(ends.filter("first").select("part", F.col("text").alias("here")), F.col("p") == F.col("part")).select("p", "from", "here")
+    left = ends.filter("last").select(F.col("part").alias("q"), F.col("text").alias("there"))
+    return materialise(right.join(left, F.col("from") == F.col("q")).filter("here = there").select("p"), "exact-continued")
+
+
+def _sorted(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """Rows (id, digest, norm and more) in content order, dealt by sampled splitters."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     norm = normalised(F.col(text_col))
-    item = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(0).cast("byte")
-    # without a carried text only the normalised one has to move
-    moved = F.col(text_col) if text_col in carry else norm
-    keyed = docs.select(item.alias("item"), F.col(id_col).alias("id"), F.sha2(norm.cast("binary"), 256).alias("digest"),
-                        F.substring(norm, 1, KEY_CHARS).alias("head"), (-F.length(text)).alias("size"),
-                        *([] if text_col in carry else [moved.alias("norm")]))
+    keyed = docs.select(F.col(id_col).alias("id"), F.sha2(norm.cast("binary"), 256).alias("digest"),
+                        F.substring(norm, 1, KEY_CHARS).alias("head"), (-F.length(text)).alias("size"), *more)
     order = [F.col("head"), F.col("digest"), F.col("size"), F.col("id").asc_nulls_last()]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    compared = normalised(F.col(f"item.`{text_col}`")) if text_col in carry else F.col("norm")
-    types = {f.name: f.dataType for f in keyed.schema}
-    schema = T.StructType([T.StructField("item", types["item"]), T.StructField("id", types["id"]),
-                           T.StructField("digest", T.StringType()), T.StructField("keep_id", types["id"]),
+    return keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+
+
+def exact_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row of each group of equal normalised texts that stays, with all its columns."""
+    dealt = _sorted(docs, id_col, text_col, F.struct(*[F.col(c) for c in docs.columns]).alias("item"))
+    own = F.col(f"item.`{text_col}`")
+    schema = T.StructType([dealt.schema["item"], T.StructField("digest", T.StringType()), T.StructField("part", T.LongType()),
+                           T.StructField("first", T.BooleanType()), T.StructField("last", T.BooleanType())])
+    heads = materialise(map_in_arrow(dealt.select("item", "digest", normalised(own).alias("text")), _first_of_runs, schema),
+                        "exact-heads")
+    ends = heads.filter("first or last").select("part", "first", "last", "digest", normalised(own).alias("text"))
+    gone = _continued(ends)
+    return heads.join(gone, F.col("first") & (F.col("part") == F.col("p")), "left_anti").select("item.*")
+
+
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id (under the id column's name), keep_id,
+    group_size, kept, text_sha256."""
+    dealt = _sorted(docs, id_col, text_col, normalised(F.col(text_col)).alias("norm"))
+    schema = T.StructType([dealt.schema["id"], T.StructField("digest", T.StringType()),
+                           T.StructField("keep_id", dealt.schema["id"].dataType),
                            T.StructField("group_size", T.LongType()), T.StructField("first", T.BooleanType()),
                            T.StructField("part", T.LongType()), T.StructField("edge", T.LongType()),
                            T.StructField("edge_text", T.StringType())])
-    runs = materialise(map_in_arrow(dealt.select("item", "id", "digest", compared.alias("text")), _runs, schema),
-                       "exact-runs")
+    runs = materialise(map_in_arrow(dealt.select("id", "digest", F.col("norm").alias("text")), _runs, schema), "exact-runs")
     # at most two runs of each partition: few rows whatever the size of the data
-    edges = runs.filter("edge is not null and first").select("part", "edge", "edge_text", "keep_id", "group_size")
+    edges = runs.filter("edge is not null and first").select("part", "edge", "digest", "edge_text", "keep_id", "group_size")
+    last = F.max("edge").over(Window.partitionBy("part"))
+    ends = edges.select("part", (F.col("edge") == 0).alias("first"), (F.col("edge") == last).alias("last"), "digest",
+                        F.col("edge_text").alias("text"))
     by_place = Window.orderBy("part", "edge")
-    joined = (F.col("edge") == 0) & F.col("edge_text").eqNullSafe(F.lag("edge_text").over(by_place)) & (
-        F.lag("part").over(by_place).isNotNull())
-    chains = edges.withColumn("begins", F.when(joined, 0).otherwise(1)).withColumn(
-        "chain", F.sum("begins").over(by_place)).drop("edge_text")
+    short = edges.drop("edge_text", "digest").join(_continued(ends), (F.col("edge") == 0) & (F.col("part") == F.col("p")), "left")
+    chains = short.withColumn("begins", F.when(F.col("p").isNotNull(), 0).otherwise(1)).drop("p").withColumn(
+        "chain", F.sum("begins").over(by_place))
     in_chain = Window.partitionBy("chain").orderBy("part", "edge")
     whole = in_chain.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     stitched = materialise(chains.select(
         F.col("part").alias("p"), F.col("edge").alias("e"), F.first("keep_id").over(whole).alias("chain_keep"),
         F.sum("group_size").over(whole).alias("chain_size"), (F.row_number().over(in_chain) == 1).alias("leads")),
         "exact-edges")
-    out = runs.join(F.broadcast(stitched), (F.col("part") == F.col("p")) & (F.col("edge") == F.col("e")), "left")
+    out = runs.join(stitched, (F.col("part") == F.col("p")) & (F.col("edge") == F.col("e")), "left")
     return out.select(
-        F.col("item").alias("row"), F.col("id").alias(id_col),
+        F.col("id").alias(id_col),
         F.when(F.col("p").isNotNull(), F.col("chain_keep")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("chain_size", "group_size").alias("group_size"),
         (F.col("first") & F.coalesce("leads", F.lit(True))).alias("kept"), F.col("digest").alias("text_sha256"))

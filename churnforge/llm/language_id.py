@@ -15,8 +15,9 @@ back to shorter ones.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0, as
 is every text when there is nothing to learn from; rows with a null id or
-language are predicted but never learned from. Whole texts are scored;
-repeated rows score alike; an empty table gives an empty one.
+language are predicted but never learned from. Whole texts are scored, very
+long ones in pieces of a million bytes; repeated rows score alike; an empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -31,9 +32,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnforge.llm.common import text_slices
-from churnforge.session import map_in_arrow
+from churnforge.session import map_in_arrow, release_memory, ship_package, small_batches
 
 ORDER = 3
+BLOCK = 1 << 20
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 _LEAD = b"\n" * ORDER
@@ -120,11 +122,30 @@ class ContextTrees:
                 return x
         return 0
 
-    def bits(self, texts: list[str]) -> np.ndarray:
-        """Code length of each text in each language."""
-        parts = [_LEAD + _bytes(t) for t in texts]
-        lens = np.array([len(p) for p in parts], np.int64)
-        sym = self.symbol[np.frombuffer(b"".join(parts), np.uint8)].astype(np.int64)
+    def bits(self, texts: list[str], block: int = BLOCK) -> np.ndarray:
+        """Code length of each text in each language. A text longer than a block
+        is scored in pieces, each after the bytes its first contexts need, so the
+        arrays do not grow with a text."""
+        total = np.zeros((len(texts), len(self.langs)))
+        held: list[tuple[int, bytes]] = []
+        size = 0
+        for row, text in enumerate(texts):
+            data = _LEAD + _bytes(text)
+            for at in range(ORDER, max(len(data), ORDER + 1), block):
+                held.append((row, data[at - ORDER:at + block]))
+                size += len(held[-1][1])
+                if size >= block:
+                    self._add(total, held)
+                    held, size = [], 0
+        self._add(total, held)
+        return total
+
+    def _add(self, total: np.ndarray, pieces: list[tuple[int, bytes]]) -> None:
+        """Code lengths of pieces, whose first ORDER bytes are context only."""
+        if not pieces:
+            return
+        lens = np.array([len(p) for _, p in pieces], np.int64)
+        sym = self.symbol[np.frombuffer(b"".join(p for _, p in pieces), np.uint8)].astype(np.int64)
         child = self.child.ravel()
         level = child[sym]                              # node of the last byte
         context = level.copy()
@@ -139,7 +160,21 @@ class ContextTrees:
         cost = self.cost.reshape(-1, len(self.langs))[row * self.size + sym]
         starts = np.cumsum(lens) - lens
         cost[(starts[:, None] + np.arange(ORDER)).ravel()] = 0
-        return np.add.reduceat(cost, starts, axis=0, dtype=np.float64)
+        np.add.at(total, [r for r, _ in pieces], np.add.reduceat(cost, starts, axis=0, dtype=np.float64))
+
+    def judge(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(language, posterior under equal priors, bits a byte) of each text;
+        UNKNOWN, 0, 0 where it has no letter."""
+        known = [i for i, t in enumerate(texts) if _LETTER.search(t)]
+        lang, score, rate = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+        if known:
+            bits = self.bits([texts[i] for i in known])
+            low = bits.min(axis=1)
+            score[known] = 1 / np.exp2(-np.minimum(bits - low[:, None], 1000)).sum(axis=1)
+            rate[known] = low / [len(_bytes(texts[i])) for i in known]
+            for i, b in zip(known, bits.argmin(axis=1)):
+                lang[i] = self.langs[b]
+        return lang, score, rate
 
 
 def held_out(id_col: str) -> Column:
@@ -167,43 +202,50 @@ def fit_context_trees(labelled: DataFrame, id_col: str = "doc_id", text_col: str
                         counts["n"].to_numpy(), counts["gram"].to_numpy(), counts["count"].to_numpy(), min_count)
 
 
-def predict_language(docs: DataFrame, trees: ContextTrees | None, id_col: str = "doc_id", text_col: str = "text",
-                     carry: list[str] | None = None) -> DataFrame:
-    """(id, lang_pred, score, bits_per_byte, row): score is the posterior of
-    the winner under equal priors; row is a struct of the carried columns (a
-    carried text is sent to the workers once, inside it)."""
-    carry = carry or []
-    inside = text_col in carry
+def predict_language(docs: DataFrame, trees: ContextTrees | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, lang_pred, score, bits_per_byte) per row of docs; map-only."""
     model = docs.sparkSession.sparkContext.broadcast(trees)
-    item = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(0).cast("byte")
-    given = docs.select(F.col(id_col).alias("id"), item.alias("row"), *([] if inside else [F.col(text_col).alias("text")]))
-    schema = T.StructType([T.StructField("id", given.schema["id"].dataType), T.StructField("lang_pred", T.StringType()),
-                           T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType()),
-                           T.StructField("row", given.schema["row"].dataType)])
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()),
+                           T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = model.value
-        for batch, texts in text_slices(batches, 1 if inside else 2, 1_000_000, text_col if inside else None):
-            known = [i for i, t in enumerate(texts) if trees is not None and _LETTER.search(t)]
-            lang = [UNKNOWN] * len(texts)
-            score, rate = np.zeros(len(texts)), np.zeros(len(texts))
-            if known:
-                bits = trees.bits([texts[i] for i in known])
-                best = bits.argmin(axis=1)
-                low = bits.min(axis=1)
-                score[known] = 1 / np.exp2(-np.minimum(bits - low[:, None], 1000)).sum(axis=1)
-                rate[known] = low / [len(_bytes(texts[i])) for i in known]
-                for i, b in zip(known, best):
-                    lang[i] = trees.langs[b]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(rate), batch.column(1)],
-                names=schema.names)
+        for batch, texts in text_slices(batches, 1, BLOCK):
+            lang, score, rate = trees.judge(texts) if trees else ([UNKNOWN] * len(texts), *np.zeros((2, len(texts))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(rate)],
+                                             names=schema.names)
 
+    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return map_in_arrow(given, run, schema).withColumnRenamed("id", id_col)
 
 
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                       sample_docs: int = 400, carry: list[str] | None = None) -> DataFrame:
+                       sample_docs: int = 400) -> DataFrame:
     """Fit on the documents that are not held out, predict all documents."""
     trees = fit_context_trees(docs.filter(~held_out(id_col)), id_col, text_col, lang_col, sample_docs)
-    return predict_language(docs, trees, id_col, text_col, carry)
+    return predict_language(docs, trees, id_col, text_col)
+
+
+def language_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+                    sample_docs: int = 400) -> DataFrame:
+    """The rows of docs whose text is in a learned language, with all their
+    columns. Rows stay in the JVM: a worker gets texts and gives back names."""
+    trees = fit_context_trees(docs.filter(~held_out(id_col)), id_col, text_col, lang_col, sample_docs)
+    spark = docs.sparkSession
+    model = spark.sparkContext.broadcast(trees)
+    ship_package(spark)
+    small_batches(spark)
+
+    @F.arrow_udf("string")
+    def language(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        trees = model.value
+        try:
+            for column in texts:
+                found: list[str] = []
+                for _, part in text_slices([pa.RecordBatch.from_arrays([column], names=["text"])], 0, BLOCK):
+                    found += trees.judge(part)[0] if trees else [UNKNOWN] * len(part)
+                yield pa.array(found, pa.string())
+        finally:
+            release_memory()
+
+    return docs.filter(language(F.col(text_col)) != UNKNOWN)

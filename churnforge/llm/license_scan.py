@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from importlib.resources import files
@@ -201,9 +201,15 @@ class LicenceScanner:
         """(first bigram, last bigram, licence, dice) of the windows that stand."""
         found = [(-both * value, t, a, b, value) for t in candidates for a, b, both, value in self.windows_of(t, grams)]
         kept: list[tuple[int, int, str, float]] = []
+        spans: list[tuple[int, int]] = []          # of the kept windows, by place
+        widest = 0
         for _, t, a, b, value in sorted(found):
-            if all(2 * (min(b, d) - max(a, c) + 1) <= b - a + 1 for c, d, _, _ in kept):
+            # only windows that begin less than the widest one before it, or inside it, can meet this one
+            near = spans[bisect_left(spans, (a - widest, -1)):bisect_right(spans, (b, b + widest + 1))]
+            if all(2 * (min(b, d) - max(a, c) + 1) <= b - a + 1 for c, d in near):
                 kept.append((a, b, self.names[t], value))
+                insort(spans, (a, b))
+                widest = max(widest, b - a + 1)
         return kept
 
     def scan(self, text: str) -> list[tuple[int, int, str, float]]:

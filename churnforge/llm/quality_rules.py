@@ -3,9 +3,11 @@
 Base figures come from the document alone. The method's verdict: every line is
 normalised (lower case, white space runs as one space) and hashed; per host
 (the source column) the distinct documents that hold a line are counted; a
-line held by more than ``min_docs`` documents and more than ``share`` of the
-host's documents is boilerplate and its words are removed; a document is
-depleted, and rejected, when less than ``min_left`` of its words remain. (A
+line held by more than ``min_docs`` documents is boilerplate if these are more
+than ``share`` of the host's documents, or, where it has ``crowd_words`` words or
+more, if they are more than ``crowd``: on a host of many documents a banner in
+a few per cent of them is one too, while short lines may well recur there. The
+words of boilerplate are removed; a document is depleted, and rejected, when less than ``min_left`` of its words remain. (A
 short text beside one shared line is still its own text: no absolute count of
 words is asked for again here.)
 
@@ -58,7 +60,8 @@ KEY = ["_host", "_digest", "_chars"]
 
 def _text_key(text: Column, host: str) -> list[Column]:
     """What stands for a distinct text of a host."""
-    return [F.coalesce(F.col(host), F.lit("")).alias("_host"), F.xxhash64(text).alias("_digest"),
+    named = F.when(F.col(host).isNull(), "").otherwise(F.concat(F.lit("="), F.col(host).cast("string")))
+    return [named.alias("_host"), F.xxhash64(text).alias("_digest"),
             F.length(text).alias("_chars")]
 
 
@@ -97,14 +100,15 @@ def _line_key(line: Column) -> Column:
     return F.struct(F.xxhash64(plain).alias("h"), words.alias("w"))
 
 
-def _removed_words(texts: DataFrame, min_docs: int, share: float) -> DataFrame:
+def _removed_words(texts: DataFrame, min_docs: int, share: float, crowd: int, crowd_words: int) -> DataFrame:
     """(key columns with a trailing underscore, gone): words of boilerplate
     lines in every distinct text that has any. ``texts``: key and _lines."""
     hosts = texts.groupBy(F.col("_host").alias("at")).agg(F.count(F.lit(1)).alias("docs"))
-    held = (texts.select("_host", F.explode(F.array_distinct(F.col("_lines.h"))).alias("h"))
-            .groupBy("_host", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > min_docs))
+    held = (texts.select("_host", F.explode(F.array_distinct("_lines")).alias("l")).groupBy("_host", F.col("l.h").alias("h"))
+            .agg(F.count(F.lit(1)).alias("n"), F.max("l.w").alias("w")).filter(F.col("n") > min_docs))
+    many = (F.col("n") > share * F.col("docs")) | ((F.col("n") > crowd) & (F.col("w") >= crowd_words))
     common = materialise(
-        held.join(hosts, F.col("_host") == F.col("at")).filter(F.col("n") > share * F.col("docs"))
+        held.join(hosts, F.col("_host") == F.col("at")).filter(many)
         .select(F.col("_host").alias("line_host"), F.col("h").alias("line")), "quality-lines")
     lines = texts.select(*KEY, F.explode("_lines").alias("l")).select(*KEY, "l.h", "l.w")
     return materialise(
@@ -118,7 +122,7 @@ def _same_key() -> list[Column]:
 
 def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
                      min_words: int = 20, max_repeat_percent: int = 30, min_docs: int = 20, share: float = 0.1,
-                     min_left: float = 0.3) -> DataFrame:
+                     crowd: int = 100, crowd_words: int = 5, min_left: float = 0.3) -> DataFrame:
     """One row per row of docs: id, the base figures, base_failed, removed_words
     (in boilerplate lines) and kept."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -126,7 +130,7 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     marked = materialise(figures.withColumn("_lines", F.transform("_raw_lines", _line_key)).drop("_raw_lines"),
                          "quality-documents")
     texts = materialise(marked.select(*KEY, "_lines").dropDuplicates(KEY), "quality-texts")
-    out = marked.join(_removed_words(texts, min_docs, share), _same_key(), "left")
+    out = marked.join(_removed_words(texts, min_docs, share, crowd, crowd_words), _same_key(), "left")
     removed = F.coalesce("gone", F.lit(0)).cast("long")
     failed = _base_failed(min_words, max_repeat_percent)
     depleted = F.col("n_words") - removed < min_left * F.col("n_words")
@@ -136,8 +140,8 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text", host_col: str = "source", min_words: int = 20,
-                   max_repeat_percent: int = 30, min_docs: int = 20, share: float = 0.1, min_left: float = 0.3
-                   ) -> DataFrame:
+                   max_repeat_percent: int = 30, min_docs: int = 20, share: float = 0.1, crowd: int = 100,
+                   crowd_words: int = 5, min_left: float = 0.3) -> DataFrame:
     """The rows of docs that quality_verdicts keeps, with all their columns.
 
     The texts themselves are neither written nor shuffled: lines travel as
@@ -147,7 +151,7 @@ def quality_filter(docs: DataFrame, text_col: str = "text", host_col: str = "sou
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = docs.select(*_text_key(text, host_col), F.transform(_raw_lines(text), _line_key).alias("_lines"))
     texts = materialise(lines.dropDuplicates(KEY), "quality-texts")
-    gone = _removed_words(texts, min_docs, share)
+    gone = _removed_words(texts, min_docs, share, crowd, crowd_words)
     words = F.aggregate(F.col("_lines.w"), F.lit(0).cast("long"), lambda a, w: a + w)
     depleted = materialise(
         texts.select(*KEY, words.alias("words")).join(gone, _same_key())

@@ -59,7 +59,7 @@ def q_op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_duplicates(load(spark, sf_dir, "documents")).drop("row")
+    return exact_duplicates(load(spark, sf_dir, "documents"))
 
 
 def q_op5(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,7 +250,7 @@ ORACLE_SQL: dict[str, str] = {
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) text_sha256 from w""",
     "op10_quality_rules": r"""
         with d as (
-          select doc_id, coalesce(source, '') host, coalesce(text, '') t,
+          select doc_id, case when source is null then '' else '=' || source end host, coalesce(text, '') t,
                  [x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] w,
                  [x for x in string_split(coalesce(text, ''), chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] l from documents),
         win as (
@@ -267,7 +267,7 @@ ORACLE_SQL: dict[str, str] = {
         common as (
           select line_host, line from (
             select host line_host, line, count(distinct t) n from lines group by host, line) c
-          join hosts on host = line_host where n > 20 and n > 0.1 * docs),
+          join hosts on host = line_host where n > 20 and (n > 0.1 * docs or (n > 100 and len(string_split(line, ' ')) >= 5))),
         gone as (
           select doc_id, sum(len(string_split(lines.line, ' '))) removed
           from lines join common on host = line_host and lines.line = common.line group by doc_id),

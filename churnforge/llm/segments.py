@@ -22,14 +22,16 @@ def list_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 class SegmentStore:
     """Maps a segment to its ids; kept per worker process and emptied when it
-    reaches ``max_segments``, so its memory is bounded whatever the corpus."""
+    holds ``max_segments`` segments or ``max_chars`` characters, so beside what
+    one call asks for its memory is bounded whatever the corpus."""
 
-    def __init__(self, encode_many, max_segments: int = 1_000_000):
-        self.encode_many, self.max_segments = encode_many, max_segments
+    def __init__(self, encode_many, max_segments: int = 500_000, max_chars: int = 8_000_000):
+        self.encode_many, self.max_segments, self.max_chars = encode_many, max_segments, max_chars
         self._clear()
 
     def _clear(self) -> None:
         self.codes: dict[str, int] = {}
+        self.chars = 0
         self.starts = np.zeros(0, np.int64)
         self.lens = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
@@ -38,11 +40,12 @@ class SegmentStore:
         """Code of every segment, encoding those not seen yet."""
         codes = self.codes
         fresh = [s for s in dict.fromkeys(segments) if s not in codes]
-        if len(codes) + len(fresh) > self.max_segments and codes:
+        if codes and (len(codes) + len(fresh) > self.max_segments or self.chars + sum(map(len, fresh)) > self.max_chars):
             self._clear()
             codes = self.codes
             fresh = list(dict.fromkeys(segments))
         if fresh:
+            self.chars += sum(map(len, fresh))
             flat, lens = self.encode_many(fresh)
             base = len(codes)
             codes.update(zip(fresh, range(base, base + len(fresh))))

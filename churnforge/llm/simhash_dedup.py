@@ -38,6 +38,7 @@ from churnforge.llm.components import component_roots
 from churnforge.session import map_in_arrow
 
 SEED = 42
+SHINGLES = 1 << 16
 
 
 def fingerprint(text: str, shingle: int) -> int:
@@ -49,13 +50,14 @@ def fingerprint(text: str, shingle: int) -> int:
     if len(words) <= shingle:
         return xxhash.xxh64_intdigest(joined, SEED)
     ends = np.cumsum([len(w) + 1 for w in words])
-    starts = [0, *ends[:-shingle].tolist()]
-    stops = (ends[shingle - 1:] - 1).tolist()
-    digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, stops)])
-    bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(len(starts), 8), axis=1)
-    over = 2 * bits.sum(axis=0, dtype=np.int64) > len(starts)
-    return int.from_bytes(np.packbits(over).tobytes(), "big")
+    del words
+    starts, stops = np.append(0, ends[:-shingle]), ends[shingle - 1:] - 1
+    digest, ones = xxhash.xxh64_digest, np.zeros(64, np.int64)
+    for at in range(0, len(starts), SHINGLES):     # bits are counted block by block
+        block = zip(starts[at:at + SHINGLES].tolist(), stops[at:at + SHINGLES].tolist())
+        hashes = b"".join([digest(joined[a:b], SEED) for a, b in block])
+        ones += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(starts)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from churnforge.llm.common import SLICE_ROWS
 from churnforge.session import map_in_arrow, scratch_path, write_shared
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -107,11 +108,14 @@ class DigestArray:
             open_ = open_[self.keys[at[open_]] == probe[open_]]
         return out
 
-    def judge(self, hosts: list[str], paths: list[str]) -> list[tuple[str | None, str]]:
-        """(rule, verdict) of every host and path."""
+    def judge(self, hosts: list[str], paths: list[str], longest: int) -> list[tuple[str | None, str]]:
+        """(rule, verdict) of every host and path; no rule's host has more than
+        ``longest`` characters, so longer parents of a host are not looked up."""
         cuts = self.cuts.tolist()
         strings, owner = [], []
         for k, (host, path) in enumerate(zip(hosts, paths)):
+            if len(host) > longest:
+                host = host[-longest - 1:].partition(".")[2]
             while host:
                 for cut in cuts:
                     if cut <= len(path):
@@ -133,15 +137,16 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], id_col:
                 url_col: str = "url") -> DataFrame:
     """(id, host, path, rule, verdict) per row of pages; map-only."""
     name = build_digest_array(pages.sparkSession, rules)
+    longest = max((len(host) for _, host, _ in rules), default=0)
     schema = T.StructType([pages.schema[id_col], T.StructField("host", T.StringType()),
                            T.StructField("path", T.StringType()), T.StructField("rule", T.StringType()),
                            T.StructField("verdict", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digests = DigestArray(name)
-        for batch in batches:
+        for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
             hosts, paths = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            judged = digests.judge(hosts, paths)
+            judged = digests.judge(hosts, paths, longest)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(2),
                  pa.array([j[0] for j in judged], pa.string()), pa.array([j[1] for j in judged], pa.string())],

@@ -3,7 +3,7 @@ import zlib
 
 import pytest
 
-from churnforge.llm.language_id import ORDER, fit_context_trees, identify_languages
+from churnforge.llm.language_id import ORDER, fit_context_trees, identify_languages, language_filter
 from churnforge.llm.queries import q_op5
 
 
@@ -47,6 +47,15 @@ def test_code_lengths_equal_brute_force(docs_of):
             assert bits[k, j] == pytest.approx(brute_bits([r[1] for r in rows if r[2] == lang], t), rel=1e-4)
 
 
+def test_long_texts_are_scored_in_pieces(docs_of):
+    """Any cut gives the code length of the whole text."""
+    trees = fit_context_trees(docs_of([(0, "the cat and the dog " * 9, "en"), (2, "der hund und die katze " * 9, "de")]), min_count=1)
+    texts = ["the dog und die Katze é日𝒳 " * 50, "", "a", "the hund"]
+    whole = trees.bits(texts)
+    for block in (1, 2, 3, 7, 64):
+        assert trees.bits(texts, block) == pytest.approx(whole, rel=1e-6)
+
+
 def test_held_out_accuracy_and_rule(spark):
     sf = "/root/testdata/sf0.01"
     lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
@@ -64,10 +73,13 @@ def test_nulls_and_empty_tables(docs_of, spark):
             (5, "12 %%% 34 ²", "fr"), (None, "the cat", "en"), (7, "the dog", None), (7, "the dog", None),
             (8, "the cat sat " * 8000, "en")]
     docs = docs_of(rows)
-    out = identify_languages(docs, carry=docs.columns).collect()
+    out = identify_languages(docs).collect()
     assert len(out) == len(rows)
-    for r in out:
-        text = r["row"]["text"]
-        assert (r["lang_pred"] == "und") == (not any(c.isalpha() for c in text or "")), text
+    known = sorted(str(r[0]) for r in rows if any(c.isalpha() for c in r[1] or ""))
+    assert sorted(str(r["doc_id"]) for r in out if r["lang_pred"] != "und") == known
+    left = language_filter(docs)
+    assert left.columns == docs.columns
+    assert sorted(str(r["doc_id"]) for r in left.collect()) == known
+    assert language_filter(docs_of([])).count() == 0
     assert identify_languages(docs_of([])).count() == 0
     assert {r["lang_pred"] for r in identify_languages(docs_of([(1, "abc", None)])).collect()} == {"und"}

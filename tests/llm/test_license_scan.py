@@ -1,5 +1,6 @@
 import re
 import textwrap
+import time
 from collections import Counter
 
 from churnforge.llm.license_scan import TEMPLATES, LicenceScanner, bigrams, scan_licences
@@ -116,3 +117,13 @@ def test_whole_licence_texts_are_found():
         assert (0, len(own), name) in [m[:3] for m in scanner.scan(own)], name
         hits = [m for m in scanner.scan(textwrap.fill(PROSE, 72) + "\n" + own + "\n" + PROSE * 3) if m[1] - m[0] > 0.9 * len(text)]
         assert [m[2] for m in hits] == [name] and hits[0][3] > 0.95, name
+
+
+def test_many_notices_in_one_document():
+    """Windows are compared with those around them only."""
+    notice = "Permission is hereby granted to anyone who asks in writing, free of charge and without any other condition."
+    scanner = LicenceScanner({"own": [notice]}, 0.8)
+    started = time.time()
+    text = "\n".join(f"Entry {i} of the list.\n" + textwrap.fill(notice, 40) for i in range(4000))
+    assert len(scanner.scan(text)) == 4000
+    assert time.time() - started < 30

@@ -23,11 +23,11 @@ def base(text):
     return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered))
 
 
-def brute(rows, min_docs, share):
+def brute(rows, min_docs, share, crowd=100, crowd_words=5):
     held, hosts = defaultdict(set), defaultdict(set)
     lines = {}
     for _, t, _, h in rows:
-        t, h = t or "", h or ""
+        t = t or ""
         hosts[h].add(t)
         lines[t] = [" ".join(words_of(x)).lower() for x in t.split("\n") if words_of(x)]
         for x in lines[t]:
@@ -36,9 +36,11 @@ def brute(rows, min_docs, share):
     for d, t, _, h in rows:
         f = base(t)
         failed = f[0] < 20 or 100 * f[4] > 30 * f[0]
-        h = h or ""
-        gone = sum(len(x.split(" ")) for x in lines[t or ""]
-                   if len(held[h, x]) > min_docs and len(held[h, x]) > share * len(hosts[h]))
+        gone = 0
+        for x in lines[t or ""]:
+            n, words = len(held[h, x]), len(x.split(" "))
+            if n > min_docs and (n > share * len(hosts[h]) or (n > crowd and words >= crowd_words)):
+                gone += words
         depleted = f[0] - gone < 0.3 * f[0]
         out.append((d, *f, failed, gone, not failed and not depleted))
     return sorted(map(str, out))
@@ -76,6 +78,28 @@ def test_equals_brute_force(docs_of, rows, min_docs, share):
     assert all(r["text"] == texts[r["doc_id"]] for r in kept.collect())
 
 
+def test_a_banner_on_a_hot_host(docs_of):
+    """A banner in 3% of a hot host is boilerplate: its words go, and documents
+    that are little else are rejected; a short line as common stays, and so does
+    the banner where few documents hold it."""
+    rng = random.Random(4)
+    banner = " ".join(f"banner{k}" for k in range(30)) + " "
+    rows = []
+    for i in range(5000):
+        own = " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))
+        rows.append((i, own + ("\n" + banner if i % 33 == 0 else "\nread more") if i % 7 else own, "en", "hot"))
+    few = [" ".join(f"v{rng.randrange(10**6)}" for _ in range(5)) for _ in range(150)]
+    rows += [(10_000 + i, banner + "\n" + x, "en", "hot") for i, x in enumerate(few)]          # the banner and five words
+    rows += [(20_000 + i, banner + "\n" + x, "en", None if i % 2 else "") for i, x in enumerate(few[:30])]
+    out = {r["doc_id"]: r for r in quality_verdicts(docs_of(rows, extra=False)).collect()}
+    assert all(out[i]["kept"] for i in range(5000))
+    assert {out[i]["removed_words"] for i in range(5000) if i % 33 == 0 and i % 7} == {30}
+    assert not any(out[10_000 + i]["kept"] or out[10_000 + i]["base_failed"] for i in range(150))
+    assert all(out[20_000 + i]["removed_words"] == 0 for i in range(30))          # 15 documents of each of two hosts
+    kept = {r["doc_id"] for r in quality_filter(docs_of(rows, extra=False)).select("doc_id").collect()}
+    assert kept == {i for i, r in out.items() if r["kept"]}
+
+
 def test_a_group_of_copies_stays(docs_of, rows):
     out = {r["doc_id"]: r["kept"] for r in quality_verdicts(docs_of(rows)).collect()}
     assert all(out[1000 + i] for i in range(60))

@@ -68,3 +68,15 @@ def test_query_digests(spark, library):
         assert r["n_tokens"] == len(ids)
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+def test_the_word_store_is_bounded_by_characters(codec):
+    from churnforge.llm.segments import SegmentStore
+    store, whole = SegmentStore(codec.encode_words, max_chars=1000), SegmentStore(codec.encode_words)
+    words = codec.words(" ".join(f"word{i}" for i in range(800)))
+    for at in range(0, len(words), 20):
+        flat, offsets = store.encode([words[at:at + 20]])
+        want, _ = whole.encode([words[at:at + 20]])
+        assert flat.tolist() == want.tolist() and len(offsets) == 2
+        assert store.chars <= 1000 and len(store.flat) <= 2000
+    assert whole.chars > 1000

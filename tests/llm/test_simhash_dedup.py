@@ -91,3 +91,12 @@ def test_components_follow_long_chains(spark):
     out = component_roots(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b").collect()
     assert {r["node"]: r["root"] for r in out} == {i: 0 for i in range(1, 200)} | {1000 + i: 1000 for i in range(1, 50)}
     assert len(out) == 199 + 49
+
+
+def test_bits_are_counted_in_blocks(monkeypatch):
+    from churnforge.llm import simhash_dedup
+    text = " ".join(f"w{i * i % 97}" for i in range(500))
+    whole = simhash_dedup.fingerprint(text, 4)
+    for block in (1, 7, 496, 497, 498):
+        monkeypatch.setattr(simhash_dedup, "SHINGLES", block)
+        assert simhash_dedup.fingerprint(text, 4) == whole == brute_fingerprint(text)

@@ -29,6 +29,10 @@ def test_equals_brute_force(spark):
     paths = ["", "/", "/es/", "/es", "/en/1", "/en/17?x", "/fr/a", "/de/b#c", "/x", "/x/y/z", "/X"]
     urls += [f"https://{rng.choice(hosts)}{rng.choice(paths)}" for _ in range(400)]
     df = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls)], "page_id bigint, url string, host string")
+    # very long hosts: many labels, one label, none of them a rule's
+    long = "a." * 150_000
+    urls += [f"http://{long}{h}/en/12" for h in ("example.org", "b.com", "xcom")] + ["http://" + "z" * 300_000 + ".org/x", f"http://{long}"]
+    df = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls)], "page_id bigint, url string, host string")
     for chosen in (rules, URL_RULES, []):
         out = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"])
                for r in filter_urls(df, chosen).collect()}
