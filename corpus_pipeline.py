@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from churnforge.functions.exprs import unique_names
 from churnforge.llm.common import load, materialise
-from churnforge.llm.exact_dedup import exact_duplicates
-from churnforge.llm.language_id import UNKNOWN, identify_languages
+from churnforge.llm.exact_dedup import exact_filter
+from churnforge.llm.language_id import language_filter
 from churnforge.llm.quality_rules import quality_filter
 from churnforge.llm.queries import packed_documents
 from churnforge.llm.simhash_dedup import near_duplicates
@@ -21,8 +22,7 @@ from churnforge.llm.simhash_dedup import near_duplicates
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; texts that are null or have no letter
     (``und``) go."""
-    found = identify_languages(docs, carry=docs.columns)
-    return found.filter(F.col("lang_pred") != UNKNOWN).select("row.*")
+    return language_filter(docs)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal normalised texts."""
-    return exact_duplicates(docs, carry=docs.columns).filter("kept").select("row.*")
+    return exact_filter(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,10 +44,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     shuffled only where the planner finds that table too large to send around.
     """
     found = near_duplicates(docs, shingle=4, max_bits=4)
+    gone_id = unique_names(["_gone_id"], docs.columns)[0]
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    gone = materialise(found.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.max(stays).alias("stays"))
-                       .filter(~F.col("stays")).select("_gone_id"), "near-gone")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")), "left_anti")
+    gone = materialise(found.groupBy(F.col("doc_id").alias(gone_id)).agg(F.max(stays).alias("stays"))
+                       .filter(~F.col("stays")).select(gone_id), "near-gone")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(gone_id)), "left_anti")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
