@@ -324,7 +324,7 @@ def first_rows(key: str, want: int):
 
 def _elementwise(lists: str, pick) -> F.Column:
     return F.aggregate(F.slice(lists, 2, F.greatest(F.size(lists) - 1, F.lit(0))), F.get(lists, F.lit(0)),
-                       lambda a, b: F.zip_with(a, b, pick))
+                       lambda a, b: F.zip_with(a, b, lambda x, y: pick(x, y)))
 
 
 def box_levels(leaves: DataFrame, fan: int = FAN, top_nodes: int = TOP_NODES) -> tuple[list, list[DataFrame]]:

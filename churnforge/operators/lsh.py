@@ -97,10 +97,9 @@ def _whole_points(points: DataFrame, id_col: str, vector_col: str) -> tuple[Data
     """(vid, x) of the points that take part, their number and their dimensions."""
     x = F.transform(F.col(vector_col), lambda c: c.cast("double"))
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c))
-    pts = cut_lineage(points.where(F.col(vector_col).isNotNull() & ~bad).select(
-        F.col(id_col).cast("long").alias("vid"), x.alias("x")))
-    dims = pts.agg(F.max(F.size("x"))).first()[0] or 0
-    pts = pts.where(F.size("x") == dims)
+    good = points.where(F.col(vector_col).isNotNull() & ~bad).select(F.col(id_col).cast("long").alias("vid"), x.alias("x"))
+    dims = good.agg(F.max(F.size("x"))).first()[0] or 0
+    pts = cut_lineage(good.where(F.size("x") == dims))   # written: no later step may see the others
     return pts, pts.count() if dims else 0, dims
 
 
