@@ -237,9 +237,11 @@ def wide_corr(df: DataFrame, vector_col: str, dims: int) -> DataFrame:
     What leaves a task is one row a dimension whatever its rows; the rows are
     added by key. Values are taken relative to the column means, so that large
     offsets cost no digits. A row shorter than ``dims`` lacks the rest."""
-    known = [F.when(~F.isnan(c), c) for c in (F.get(F.col(vector_col), F.lit(i)).cast("double") for i in range(dims))]
-    means = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(known)]).first()
-    centre = [means[f"m{i}"] or 0.0 for i in range(dims)]
+    gaps = F.array_repeat(F.lit(None).cast("double"), dims)
+    known = F.slice(F.concat(F.transform(vector_col, lambda c: number(c)), gaps), 1, dims)
+    cells = df.select(F.posexplode(vector_col).alias("i", "x")).where(F.col("i") < dims).select("i", number("x").alias("x"))
+    found = {r["i"]: r["m"] for r in cells.groupBy("i").agg(F.avg("x").alias("m")).collect()}     # a row a dimension
+    centre = [found.get(i) or 0.0 for i in range(dims)]
     parts = ["n", "sx", "sxx", "sxy"]
 
     def gramians(batches):
@@ -252,7 +254,7 @@ def wide_corr(df: DataFrame, vector_col: str, dims: int) -> DataFrame:
         lists = [pa.ListArray.from_arrays(pa.array(np.arange(dims + 1, dtype=np.int32) * dims), pa.array(t.ravel())) for t in total]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(dims, dtype=np.int32)), *lists], names=["a", *parts])
 
-    sums = map_in_arrow(df.select(F.array(*known).alias("x")), gramians,
+    sums = map_in_arrow(df.where(F.col(vector_col).isNotNull()).select(known.alias("x")), gramians,
                         "a int, n array<double>, sx array<double>, sxx array<double>, sxy array<double>")
     cells = sums.select(
         "a", F.posexplode(F.arrays_zip(*parts)).alias("b", "s")).select("a", "b", "s.*")
