@@ -40,7 +40,8 @@ FAST_KEYS = ["scan_schema", "csv_round_trip", "coerce_numeric", "impute_median",
              "moments", "unique_profile", "describe_categorical", "boxplot_stats", "high_corr_columns", "unknown_categories",
              "category_association", "stratified_split", "kfold_assign", "docs_split", "minmax_scale", "feature_names",
              "classification_report", "roc_auc", "smote", "class_balance", "check_linear", "check_importance",
-             "check_shapley", "check_permutation", "check_search", "check_run_summary", "check_scoring"]
+             "check_shapley", "check_permutation", "check_search", "check_run_summary", "check_scoring",
+             "ordered_target_stats", "onehot_wide", "corr_embeddings", "check_knn_lsh"]
 
 
 @pytest.mark.parametrize("key", FAST_KEYS)
