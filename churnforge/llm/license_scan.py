@@ -15,7 +15,8 @@ best window starts and ends on bigrams of the template and is no longer than
 (2 - t) / t times the template.
 
 Edge cases: null and empty texts, and units of a single word, match nothing;
-equal scores go to the template that comes first by name; repeated rows repeat
+equal scores go to the template that comes first by name; in a document of very
+many notices a window is compared with those around it only; repeated rows repeat
 their result; an empty table gives an empty one; only id and text are read.
 Windows that lie within one line are reported on request (``inline``; the query
 asks for them): without it a line is judged as a line and by its sentences.

@@ -15,7 +15,8 @@ finds exactly the same links.
 
 Edge cases: null and empty texts, and texts of white space, have no words and
 fingerprint zero, linked like any other; texts shorter than a shingle hash
-their whole word sequence; exact copies are one fingerprint from the start, so
+their whole word sequence; the bits of very long texts are
+counted block by block; exact copies are one fingerprint from the start, so
 their number does not matter. Null ids form no component of their own: they
 take the smallest id their fingerprint reaches (null if none). Repeated rows
 give repeated results, an empty table an empty one; only id and text are read.

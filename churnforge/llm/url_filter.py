@@ -11,9 +11,10 @@ decides (of equal lengths, the one with the longer host; of equal strings, the
 first given). A URL that fits no rule is not listed, and the method allows it.
 
 Edge cases: a null URL or one without "://" has empty host and path and fits
-no rule; an empty path starts with no rule path but the empty one; repeated
-rows are judged alike; an empty table gives an empty one. Only the id and URL
-columns are read.
+no rule; an empty path starts with no rule path but the empty one; of a very
+long host only the parents that are no longer than a rule's host are looked up;
+repeated rows are judged alike; an empty table gives an empty one. Only the id
+and URL columns are read.
 """
 
 from __future__ import annotations
