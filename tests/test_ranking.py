@@ -65,3 +65,14 @@ def test_quantiles_property(spark, xs, scale):
     got = exact_quantiles(df, [], "v", {"a": 0.0, "b": 0.37, "c": 1.0}, accuracy=scale).first()
     for k, p in {"a": 0.0, "b": 0.37, "c": 1.0}.items():
         assert got[k] == pytest.approx(float(np.percentile(np.array(xs, dtype=float), p * 100)), rel=1e-9, abs=1e-9)
+
+
+def test_rows_stay_where_they_are_when_they_meet_parameters(spark):
+    """A table with a handful of keys is not shuffled by them to meet a row a key."""
+    from churnforge.functions.exprs import null_safe_join
+    from churnforge.operators.ranking import small_table
+    rows = spark.range(1000).select((F.col("id") % 2).alias("label"), "id")
+    for params in (small_table(rows.groupBy("label").agg(F.max("id").alias("m"))),
+                   small_table(rows.groupBy("label").agg(F.max("id").alias("m"))).drop("n")):
+        plan = null_safe_join(rows, params, ["label"])._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
