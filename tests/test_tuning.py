@@ -88,6 +88,23 @@ def test_comparison_has_cross_validated_scores(rows):
     assert M.compare(parts, {"gbt": gbt(maxIter=2)})[0].first()["cv_auc"] is None
 
 
+def test_a_large_forest_is_fitted_in_parts(spark, rows, monkeypatch):
+    """Parts have all trees between them; their votes add up to the forest's scores."""
+    est = M.estimators()["random_forest"].setNumTrees(10).setMaxDepth(4)
+    whole = est.fit(rows)
+    assert whole.getNumTrees == 10                      # a small one is one model, as ever
+    monkeypatch.setattr(M, "FOREST_ROWS", 4 * rows.count())
+    monkeypatch.setattr(M, "FOREST_NODES", 60)
+    model = est.fit(rows)
+    parts = [M.RandomForestClassificationModel.load(p) for p, _ in model.parts]
+    assert [p.getNumTrees for p in parts] == [4, 4, 2] and len({p.trees[0].toDebugString for p in parts}) == 3
+    assert abs(model.featureImportances.toArray().sum() - 1) < 1e-9 and M.reloaded(model, spark) is model
+    got = {r["id"]: r for r in M.score(model, rows).collect()}
+    for r in rows.select("id", "features").collect():
+        p = sum(m.predictRaw(r["features"])[1] for m in parts) / 10
+        assert abs(got[r["id"]]["probability"] - p) < 1e-9 and got[r["id"]]["prediction"] == int(p > 0.5)
+
+
 def test_patience(rows):
     train, valid = rows.where("fold > 0"), rows.where("fold = 0")
     model, losses, best = TU.fit_with_patience(gbt(stepSize=0.5), train, valid, rounds=40, patience=4, begin=6)
