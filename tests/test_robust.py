@@ -53,6 +53,31 @@ def test_knn_takes_any_range(spark):
     assert len(nearest) == 33 and nearest[100] in range(30) and nearest[0] == 102
 
 
+def test_knn_of_stated_queries(spark):
+    """Queries meet all points: copies, gaps and points that were not asked for included."""
+    rows = [(i, float(i * i % 17), float(i % 5)) for i in range(300)] + [(1000, None, 1.0), (1001, 1.0, None)]
+    df = spark.createDataFrame(rows, "id long, a double, b double")
+    asked = spark.createDataFrame([(i,) for i in [*range(0, 300, 50), 1000, 7777]], "q long")
+    whole = {tuple(r) for r in exact_knn(df, "id", ["a", "b"], k=3, leaf_vectors=4).collect()}
+    got = [tuple(r) for r in exact_knn(df, "id", ["a", "b"], k=3, leaf_vectors=4, queries=asked).collect()]
+    assert len(got) == 6 * 3 + 1 and set(got) == {r for r in whole if r[0] % 50 == 0}
+
+
+def test_knn_visits_travel_once_to_a_block(spark):
+    """A vector goes to blocks of leaves, and its visits are not shuffled again for the join."""
+    from churnforge.operators import knn
+
+    leaves = spark.range(64).select(F.col("id").alias("leaf"), *[F.array(F.col("id").cast("double")).alias(c) for c in ("low", "high")])
+    blocks = knn.make_blocks(leaves)
+    assert sorted((r["block"], len(r["leaves"]), r["low"][0], r["high"][0]) for r in blocks.collect()) == [
+        (b, 16, 16.0 * b, 16.0 * b + 15) for b in range(4)]
+    visits = spark.range(100).select(F.col("id").alias("vid"), F.array(F.lit(1.0)).alias("x"), F.lit(1.0).alias("bound"),
+                                     F.col("id").alias("own"), (F.col("id") % 4).alias("node"))
+    joined = knn._gathered(visits, 128).join(blocks.hint("merge"), F.col("node") == F.col("block"))
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(node") == 1
+
+
 def test_knn_work_follows_the_input(spark):
     """Leaves keep their size, and leaves visited a point their number, at ten times the points."""
     import random
