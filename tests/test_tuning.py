@@ -114,6 +114,25 @@ def test_patience(rows):
     assert len(all_losses) == 5 and all_losses == losses[:5]
 
 
+def test_a_large_table_is_boosted_once(rows, monkeypatch):
+    """No refits: as many rounds as allowed, one fit, and the result of the refits."""
+    train, valid = rows.where("fold > 0"), rows.where("fold = 0")
+    fits, fit = [], GBTClassifier.fit
+
+    def counted(self, data, params=None):
+        fits.append(self.getMaxIter())
+        return fit(self, data, params)
+
+    monkeypatch.setattr(GBTClassifier, "fit", counted)
+    small, losses, best = TU.fit_with_patience(gbt(stepSize=0.1), train, valid, rounds=14, patience=13, begin=3)
+    assert fits == [3, 6, 12, 14]
+    fits.clear()
+    monkeypatch.setattr(TU, "ONE_FIT_ROWS", train.count())
+    large, same_losses, same_best = TU.fit_with_patience(gbt(stepSize=0.1), train, valid, rounds=14, patience=13, begin=3)
+    assert fits == [14] and (same_losses, same_best) == (losses, best)
+    assert large.toDebugString.partition("\n")[2] == small.toDebugString.partition("\n")[2]
+
+
 def test_ordered_statistics_see_earlier_rows_only(spark, rows):
     stats = {r["id"]: r["stat"] for r in EN.ordered_target_stats(rows, ["kind"], "label", 0.5, 2.0).collect()}
     seen = {}
