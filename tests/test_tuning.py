@@ -3,6 +3,8 @@
 import hashlib
 import math
 import random
+import threading
+import time
 
 import numpy as np
 import pytest
@@ -105,6 +107,32 @@ def test_a_large_forest_is_fitted_in_parts(spark, rows, monkeypatch):
         assert abs(got[r["id"]]["probability"] - p) < 1e-9 and got[r["id"]]["prediction"] == int(p > 0.5)
 
 
+def test_deep_forests_of_a_search_take_turns(spark, rows, monkeypatch):
+    """The driver holds one deep forest at a time, shallow ones and other learners go on beside it."""
+    now, most, lock, fit = [], [], threading.Lock(), M.Forest._fit
+
+    def watched(self, data):
+        with lock:
+            now.append(self.getMaxDepth())
+            most.append(sorted(now))
+        time.sleep(0.5)
+        try:
+            return fit(self, data)
+        finally:
+            with lock:
+                now.remove(self.getMaxDepth())
+
+    monkeypatch.setattr(M.Forest, "_fit", watched)
+    monkeypatch.setattr(M, "FOREST_ROWS", TU.FITS_AT_A_TIME * 100)
+    est = M.estimators()["random_forest"].setNumTrees(4)
+    grid = [{"maxDepth": 12}, {"maxDepth": 2}, {"maxDepth": 13}]
+    learners = {"random_forest": TU.Learner(rows, est, grid), "gbt": TU.Learner(rows, gbt(), [{"maxIter": 2}])}
+    found = TU.fold_scores(learners, scratch_path(spark, "turns")).groupBy("learner", "point").count().collect()
+    assert {(r["learner"], r["point"]): r["count"] for r in found} == {
+        ("random_forest", 0): 240, ("random_forest", 1): 240, ("random_forest", 2): 240, ("gbt", 0): 240}
+    assert len(most) == 9 and max(sum(d > 2 for d in x) for x in most) == 1 and max(map(len, most)) > 1
+
+
 def test_patience(rows):
     train, valid = rows.where("fold > 0"), rows.where("fold = 0")
     model, losses, best = TU.fit_with_patience(gbt(stepSize=0.5), train, valid, rounds=40, patience=4, begin=6)
