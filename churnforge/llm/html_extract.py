@@ -1,14 +1,14 @@
 """Op 6: main-text extraction by wrapper induction.
 
 Pages of one host and layout (the set of element paths near the root) share a
-wrapper. It is induced from up to ``slots`` sample pages of distinct texts (the
-one of lowest hash in each of that many hash classes), whose trees are aligned
-pairwise by simple tree matching. Nodes with the same text in nearly all of
-them are constant; a node's text varies as far as it differs from most others.
-From the root the content slot descends to the element that holds nearly all
-varying text (that of elements named like furniture counts for a quarter,
-reader comments not at all). Constant blocks are template if, counted over all pages of the
-host and layout, nearly all of at least ``min_texts`` distinct texts hold them.
+wrapper, and every page takes part in it. Each page's tree is aligned by simple
+tree matching with a reference page of its kind (the text of lowest hash), which
+only names the places: how often a node's text occurs at a place is counted over
+all distinct texts of the kind. A node whose text nearly all of at least
+``min_texts`` texts hold is constant, its blocks are template; a node's text
+varies as far as it differs from most others. From the root the content slot
+descends to the element that holds nearly all varying text (that of elements
+named like furniture counts for a quarter, reader comments not at all).
 
 A page's text is that of its content slot without template blocks. Blocks that
 make up over four fifths of what a page has in its slot are its own text (of near copies)
@@ -19,7 +19,8 @@ holds over twice their text, else the main element, else the whole page. Class
 and id names prove nothing: an element named like furniture goes only if all
 elements of its path hold less than a quarter of the text.
 
-Counts are aggregated before the shuffle; wrappers are a written table with a
+Pages are parsed once for their layout and written with it. Counts are
+aggregated before the shuffle; references and wrappers are written tables with a
 row for a host and layout, joined by the planner's choice. Edge cases: a null or
 empty page, or one of furniture only, gives the empty text; a page without a
 host has no wrapper, nor has a layout with fewer than three distinct texts, so
@@ -50,46 +51,89 @@ def block_key(path: str, text: str) -> int:
     return xxhash.xxh64_intdigest(f"{path}\n{text}") - (1 << 63)
 
 
-def induce_wrapper(sources: list[str], min_pages: int = 3, agree: float = 0.8, share: float = 0.8) -> tuple[list[int], str | None]:
-    """(keys of constant blocks, path of the content slot) of pages of one kind."""
-    sources = list(dict.fromkeys(s for s in sources if s))
-    if len(sources) < min_pages:
-        return [], None
-    pages = [Page(s) for s in sources]
-    keys: set[int] = set()
-    varying: Counter[str] = Counter()             # varying text below a path, and in a path's own blocks
-    owned: Counter[str] = Counter()
-    for base in pages:
-        same: Counter[int] = Counter()
-        for other in pages:
-            if other is not base:
-                same.update(id(x) for x, y in match_trees(base.root, other.root) if x.blocks and x.blocks == y.blocks)
-        for x in {id(n): n for n, _ in base.blocks}.values():
-            alike = same[id(x)] / (len(pages) - 1)
-            if alike >= agree:
-                keys.update(block_key(x.path, t) for t in x.blocks)
-            weight = max(0.0, 1 - 2 * alike) * sum(map(len, x.blocks))     # what half of the pages share does not vary
-            if x.named is not None:
-                weight *= 0.25                     # a name is a hint
-            if weight and not x.away and not x.comments:
-                owned[x.path] += weight
-                node = x
-                while node is not None:
-                    varying[node.path] += weight
-                    node = node.parent
-    if not varying:
-        return sorted(keys), None
-    slot = "#"
+def in_page_order(root: Node) -> list[Node]:
+    nodes, todo = [], [root]
+    while todo:
+        nodes.append(n := todo.pop())
+        todo += reversed(n.kids)
+    return nodes
+
+
+class Reference:
+    """A page that names the places of other pages' nodes. What is matched
+    follows from the elements alone, so pages of equal trees are matched once."""
+
+    def __init__(self, source: str):
+        self.root = Page(source).root
+        self.number = {id(n): k for k, n in enumerate(in_page_order(self.root))}
+        self.known: dict[bytes, list[int]] = {}
+        self.held = 0
+
+    def places(self, page: Page) -> dict[int, int]:
+        """Number of the reference's node matched with a node, by the node's id; -1 without one."""
+        nodes = in_page_order(page.root)
+        tree = xxhash.xxh3_128_digest("\n".join([f"{n.depth}{n.path[len(n.parent.path):] if n.parent else ''}" for n in nodes]))
+        if tree not in self.known:
+            if self.held + len(nodes) > 100_000:
+                self.known, self.held = {}, 0
+            matched = {id(x): self.number[id(y)] for x, y in match_trees(page.root, self.root)}
+            self.known[tree] = [matched.get(id(n), -1) for n in nodes]
+            self.held += len(nodes)
+        return {id(n): at for n, at in zip(nodes, self.known[tree])}
+
+
+def placed_blocks(page: Page, places: dict[int, int]) -> list[tuple[int, int, str, bool, int, int]]:
+    """(node, block, path, away, hint, size) of a page's blocks: node is a key of a
+    node's place and whole text, hint how far its text may count as content (a
+    name like furniture is a hint), size the characters of equal ones."""
+    sizes: Counter[tuple] = Counter()
+    for x in {id(n): n for n, _ in page.blocks}.values():
+        hint = 0 if x.away or x.comments else 1 if x.named is not None else 4
+        node = block_key(f"{x.path}\n{places[id(x)]}\n{x.away}{hint}", "\n".join(x.blocks))
+        for t in x.blocks:
+            sizes[node, block_key(x.path, t), x.path, x.away, hint] += len(t)
+    return [(*row, size) for row, size in sorted(sizes.items())]
+
+
+def content_slot(varying: dict[str, tuple[int, int]], share: float, root: str = "#") -> str | None:
+    """Path of the content slot from (varying text below a path, in its own blocks)."""
+    if root not in varying:
+        return None
+    slot = root
     while True:
         below = [p for p in varying if p.rpartition(">")[0] == slot]
         # ties by name, so that every run induces the same wrapper
-        best = min(below, key=lambda p: (-varying[p], p), default=None)
+        best = min(below, key=lambda p: (-varying[p][0], p), default=None)
         # an element that is mostly text itself is a paragraph of the slot
-        if best is None or varying[best] < share * varying[slot] or 2 * owned[best] > varying[best]:
-            return sorted(keys), slot
+        if best is None or varying[best][0] < share * varying[slot][0] or 2 * varying[best][1] > varying[best][0]:
+            return slot
         slot = best
 
 
+def induce_wrapper(sources: list[str], min_pages: int = 3, agree: float = 0.8, share: float = 0.8) -> tuple[list[int], str | None]:
+    """(keys of constant blocks, path of the content slot) of pages of one kind:
+    :func:`induce_wrappers` of a list."""
+    sources = list(dict.fromkeys(s for s in sources if s))
+    if len(sources) < min_pages:
+        return [], None
+    reference, seen, size = Reference(sources[0]), Counter(), Counter()
+    for page in map(Page, sources):
+        for *row, n in placed_blocks(page, reference.places(page)):
+            seen[tuple(row)] += 1
+            size[tuple(row)] += n
+    others, keys, varying = len(sources) - 1, set(), {}
+    for row, n in seen.items():
+        _, block, path, _, hint = row
+        if n - 1 >= agree * others:
+            keys.add(block)
+        if weight := hint * size[row] * max(0, others - 2 * (n - 1)):     # what half of the pages share does not vary
+            steps = path.split(">")
+            for k in range(1, len(steps) + 1):
+                below, own = varying.get(p := ">".join(steps[:k]), (0, 0))
+                varying[p] = below + weight, own + (weight if k == len(steps) else 0)
+    return sorted(keys), content_slot(varying, share)
+
+
 def layout_of(page: Page, depth: int = 3) -> int:
     """Signed 64-bit key of the element paths near the root."""
     paths, todo = set(), [page.root]
@@ -136,27 +180,23 @@ def main_text(source: str, template: frozenset[int] | set[int] = frozenset(), sl
     return " ".join(t for _, t in _without_named(content))
 
 
-def page_profiles(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """(host, rank, layout, text, blocks) per page of a host: keys of the layout,
-    of the whole text and of the distinct blocks that are not away."""
-    given = pages.filter("host != ''").select("host", F.xxhash64(id_col).alias("rank"), F.col(html_col).alias("html"))
-    schema = T.StructType([*[given.schema[c] for c in ("host", "rank")], T.StructField("layout", T.LongType()),
-                           T.StructField("text", T.LongType()), T.StructField("blocks", T.ArrayType(T.LongType()))])
+def with_layout(pages: DataFrame) -> DataFrame:
+    """Rows of (id, url, host, html) with the keys of the page's layout and of
+    its whole text; null without a host."""
+    schema = T.StructType([*pages.schema.fields, T.StructField("layout", T.LongType()), T.StructField("text", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, sources in text_slices(batches, 2):
-            layouts, texts, blocks = [], [], []
-            for source in sources:
-                page = Page(source)
-                layouts.append(layout_of(page))
-                keys = list(dict.fromkeys(block_key(n.path, t) for n, t in page.blocks))
-                texts.append(xxhash.xxh64_intdigest(repr(keys)) - (1 << 63))
-                blocks.append(sorted({block_key(n.path, t) for n, t in page.blocks if not n.away}))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(layouts, pa.int64()), pa.array(texts, pa.int64()), pa.array(blocks, pa.list_(pa.int64()))],
-                names=schema.names)
+        for batch, sources in text_slices(batches, 3):
+            layouts, texts = [], []
+            for source, host in zip(sources, batch.column(2).to_pylist()):
+                page = Page(source) if host else None
+                layouts.append(layout_of(page) if host else None)
+                keys = list(dict.fromkeys(block_key(n.path, t) for n, t in page.blocks)) if host else None
+                texts.append(xxhash.xxh64_intdigest(repr(keys)) - (1 << 63) if host else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(layouts, pa.int64()), pa.array(texts, pa.int64())],
+                                             names=schema.names)
 
-    return map_in_arrow(given, run, schema)
+    return map_in_arrow(pages, run, schema)
 
 
 KIND = ["host", "layout"]
@@ -170,72 +210,113 @@ def _other_names(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({k: f"_{k}" for k in KIND})
 
 
-def common_blocks(profiles: DataFrame, min_texts: int, agree: float) -> DataFrame:
-    """(host, layout, block) of the blocks that nearly all distinct texts of a
-    kind hold, from counts over all pages."""
-    texts = materialise(profiles.groupBy(*KIND, "text").agg(F.min("blocks").alias("blocks")), "html-texts")
-    totals = _other_names(texts.groupBy(*KIND).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_texts))
-    counts = texts.select(*KIND, F.explode("blocks").alias("block")).groupBy(*KIND, "block").agg(
-        F.count(F.lit(1)).alias("c")).where(F.col("c") >= agree * min_texts)
-    return counts.join(totals, _same_kind("", "_")).where(F.col("c") >= agree * F.col("n")).select(*KIND, "block")
-
-
-def sample_wrappers(pages: DataFrame, profiles: DataFrame, id_col: str, html_col: str, slots: int) -> DataFrame:
-    """(host, layout, constant, slot) induced from sample pages of distinct texts."""
-    texts = profiles.groupBy(*KIND, "text").agg(F.min("rank").alias("rank"))
-    low = texts.groupBy(*KIND, F.pmod("text", F.lit(slots)).alias("class")).agg(
-        F.min(F.struct("text", "rank"))["rank"].alias("low"))
-    chosen = materialise(low.select(F.col("host").alias("h"), "layout", "low"), "html-samples")
-    ranked = pages.filter("host != ''").select("host", F.xxhash64(id_col).alias("rank"), F.col(html_col).alias("html"))
-    # the hash names a page; rows with the same id have one hash, of which one page text is enough
-    sample = ranked.join(chosen, (F.col("host") == F.col("h")) & (F.col("rank") == F.col("low"))).groupBy(
-        *KIND, "rank").agg(F.min("html").alias("html"))
-
-    def induce(group: pd.DataFrame) -> pd.DataFrame:
-        ordered = group.sort_values("rank")
-        constant, slot = induce_wrapper([s or "" for s in ordered["html"]])
-        return pd.DataFrame({"host": [ordered["host"].iloc[0]], "layout": [ordered["layout"].iloc[0]],
-                             "constant": [constant], "slot": [slot]})
-
-    return sample.groupBy(*KIND).applyInPandas(induce, "host string, layout bigint, constant array<bigint>, slot string")
-
-
-def induce_wrappers(pages: DataFrame, id_col: str, html_col: str, slots: int = 8, min_texts: int = 5, agree: float = 0.8) -> DataFrame:
-    """(host, layout, template array<bigint>, slot) per kind of page from (host,
-    id, html) rows: constant blocks of aligned samples are template where the
-    counts over all pages confirm them."""
-    ship_package(pages.sparkSession)
-    profiles = materialise(page_profiles(pages, id_col, html_col), "html-profiles")
-    induced = materialise(sample_wrappers(pages, profiles, id_col, html_col, slots), "html-induced")
-    common = _other_names(common_blocks(profiles, min_texts, agree)).withColumnRenamed("block", "_block")
-    constant = induced.select(*KIND, F.explode("constant").alias("block"))
-    template = constant.join(common, [*_same_kind("", "_"), F.col("block") == F.col("_block")]).groupBy(*KIND).agg(
-        F.sort_array(F.collect_list("block")).alias("template"))
-    return materialise(induced.select(*KIND, "slot").join(_other_names(template), _same_kind("", "_"), "left").select(
-        *KIND, "template", "slot").where("template is not null or slot is not null"), "html-wrappers")
+def reference_pages(laid: DataFrame, min_pages: int) -> DataFrame:
+    """(host, layout, n, reference): the distinct texts of a kind, if ``min_pages``
+    or more, and the page that names its places."""
+    own = laid.where("layout is not null").select(*KIND, "text", "html")
+    texts = own.groupBy(*KIND, "text").agg(F.min(F.xxhash64("html")).alias("page"))
+    kinds = texts.groupBy(*KIND).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("text", "page")).alias("low"))
+    kinds = materialise(kinds.where(F.col("n") >= min_pages).select(*KIND, "n", "low.*").withColumnsRenamed(
+        {"text": "_text"}), "html-kinds")
+    met = own.join(_other_names(kinds), [*_same_kind("", "_"), F.col("text") == F.col("_text"), F.xxhash64("html") == F.col("page")])
+    return met.groupBy(*KIND).agg(F.first("n").alias("n"), F.min("html").alias("reference"))
 
 
-def with_layout(pages: DataFrame) -> DataFrame:
-    """Rows of (id, url, host, html) with the page's layout; null without a host."""
-    schema = T.StructType([*pages.schema.fields, T.StructField("layout", T.LongType())])
+_BLOCKS = "array<struct<node:bigint,block:bigint,path:string,away:boolean,hint:int,size:bigint>>"
+
+
+def aligned_texts(laid: DataFrame, references: DataFrame) -> DataFrame:
+    """(host, layout, text, blocks) of each distinct text of the kinds that have a
+    reference: its blocks at their places."""
+    kinds = _other_names(references.select(*KIND, "reference"))
+    given = laid.join(kinds, _same_kind("", "_")).select(*KIND, "text", "html", "reference")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, Reference] = {}
+        types = {"node": pa.int64(), "block": pa.int64(), "path": pa.string(), "away": pa.bool_(), "hint": pa.int32(), "size": pa.int64()}
         for batch, sources in text_slices(batches, 3):
-            layouts = [layout_of(Page(s)) if host else None for s, host in zip(sources, batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(layouts, pa.int64())], names=schema.names)
-
-    return map_in_arrow(pages, run, schema)
+            rows, ends = [], [0]
+            for source, other in zip(sources, batch.column(4).to_pylist()):
+                if other not in known:
+                    if len(known) > 100:
+                        known.clear()
+                    known[other] = Reference(other or "")
+                page = Page(source)
+                rows += placed_blocks(page, known[other].places(page))
+                ends.append(len(rows))
+            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types.values())]
+            blocks = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, list(types)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], blocks], names=[*KIND, "text", "blocks"])
+
+    aligned = map_in_arrow(given, run, f"host string, layout bigint, text bigint, blocks {_BLOCKS}")
+    return aligned.groupBy(*KIND, "text").agg(F.min("blocks").alias("blocks"))
+
+
+def content_slots(counts: DataFrame, share: float, levels: int = 32) -> DataFrame:
+    """(host, layout, slot) from (host, layout, n, c, path, hint, size) of blocks.
+
+    Sums below a path are made for ``levels`` levels at a time, so that deep
+    pages do not multiply; where the slot is still at the last one, it goes on
+    from there."""
+    weight = F.col("hint") * F.col("size").cast("decimal(20,0)") * (F.col("n") - 1 - 2 * (F.col("c") - 1))
+    own = materialise(counts.where("hint > 0 and n - 1 > 2 * (c - 1)").groupBy(*KIND, "path").agg(
+        F.sum(weight).cast("decimal(38,0)").alias("own")), "html-own")
+    rest, first, done = own.withColumn("root", F.lit("#")), 1, None
+    while True:
+        last, size = first + levels, F.size(F.split("path", ">"))
+        above = F.transform(F.sequence(F.lit(first), F.least(size, F.lit(last))), lambda k: F.struct(
+            F.call_function("substring_index", F.col("path"), F.lit(">"), k).alias("path"), F.when(k == size, F.col("own")).otherwise(0).alias("own"),
+            F.col("own").alias("below")))
+        sums = materialise(rest.select(*KIND, "root", F.inline(above)).groupBy(*KIND, "root", "path").agg(
+            F.sum("below").cast("double").alias("below"), F.sum("own").cast("double").alias("own")), "html-varying")
+        # a step leaves ``share`` of the text at least, so a kind's group is bounded by its depth and not by its pages
+        total = _other_names(sums.where("path = root").select(*KIND, F.col("below").alias("total")))
+        least = F.col("total") * F.pow(F.lit(share), F.size(F.split("path", ">")) - first) * 0.999
+        heavy = sums.join(total, _same_kind("", "_")).where(F.col("below") >= least).select(*KIND, "root", "path", "below", "own")
+
+        def descend(group: pd.DataFrame) -> pd.DataFrame:
+            varying = {p: (below, own) for p, below, own in zip(group["path"], group["below"], group["own"])}
+            return pd.DataFrame({"host": [group["host"].iloc[0]], "layout": [group["layout"].iloc[0]],
+                                 "slot": [content_slot(varying, share, group["root"].iloc[0])]})
+
+        slots = materialise(heavy.groupBy(*KIND).applyInPandas(descend, "host string, layout bigint, slot string"), "html-slots")
+        deep = F.size(F.split("slot", ">")) == last
+        done = slots.where(~deep) if done is None else done.unionByName(slots.where(~deep))
+        below = own.join(_other_names(slots.where(deep)), _same_kind("", "_")).where(
+            (F.col("path") == F.col("slot")) | F.col("path").startswith(F.concat("slot", F.lit(">"))))
+        if slots.where(deep).isEmpty():
+            return done
+        rest, first = below.select(*KIND, "path", "own", F.col("slot").alias("root")), last
+
+
+def induce_wrappers(laid: DataFrame, min_pages: int = 3, min_texts: int = 5, agree: float = 0.8,
+                    share: float = 0.8) -> DataFrame:
+    """(host, layout, template array<bigint>, slot) per kind of page, from counts
+    over all its distinct texts."""
+    ship_package(laid.sparkSession)
+    references = materialise(reference_pages(laid, min_pages), "html-references")
+    rows = aligned_texts(laid, references).select(*KIND, F.inline("blocks"))
+    seen = rows.groupBy(*KIND, "node", "block", "path", "away", "hint").agg(
+        F.count(F.lit(1)).alias("c"), F.sum("size").alias("size"))
+    counts = materialise(seen.join(_other_names(references.select(*KIND, "n")), _same_kind("", "_")).select(
+        *KIND, "n", "c", "block", "path", "away", "hint", "size"), "html-counts")
+    constant = counts.where((F.col("n") >= min_texts) & ~F.col("away") & (F.col("c") - 1 >= agree * (F.col("n") - 1)))
+    template = constant.groupBy(*KIND).agg(F.sort_array(F.collect_set("block")).alias("template"))
+    slots = _other_names(content_slots(counts, share))
+    return materialise(template.join(slots, _same_kind("", "_"), "full").select(
+        *[F.coalesce(k, f"_{k}").alias(k) for k in KIND], "template", "slot"), "html-wrappers")
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
                       ) -> DataFrame:
     """(id, url, text) per row of pages."""
     url = F.coalesce(F.col(url_col), F.lit(""))
-    given = pages.select(F.col(id_col), F.col(url_col), url_host(url).alias("host"), F.col(html_col))
-    wrappers = _other_names(induce_wrappers(given, id_col, html_col))
-    joined = with_layout(given).join(wrappers, _same_kind("", "_"), "left").select(
-        id_col, url_col, F.col(html_col).alias("html"), "template", "slot")
-    schema = T.StructType([given.schema[id_col], given.schema[url_col], T.StructField("text", T.StringType(), False)])
+    given = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), url_host(url).alias("host"), F.col(html_col).alias("html"))
+    laid = materialise(with_layout(given), "html-pages", "zstd")
+    wrappers = _other_names(induce_wrappers(laid))
+    joined = laid.join(wrappers, _same_kind("", "_"), "left").select("id", "url", "html", "template", "slot")
+    schema = T.StructType([T.StructField(id_col, given.schema["id"].dataType), T.StructField(url_col, given.schema["url"].dataType),
+                           T.StructField("text", T.StringType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple[int, ...], frozenset[int]] = {}

@@ -7,7 +7,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from churnforge.llm.html_extract import block_key, extract_main_text, induce_wrapper, layout_of, main_text
+from churnforge.llm.html_extract import (block_key, extract_main_text, induce_wrapper, induce_wrappers, layout_of, main_text,
+                                         with_layout)
 from churnforge.llm.html_tree import Page, match_trees
 from churnforge.llm.queries import q_op6
 
@@ -192,3 +193,40 @@ def test_templates_of_every_layout_and_section(spark):
     assert {got[1000 + i] for i in range(300)} == {"story 1 w"}
     assert [got[2000 + i] for i in range(4)] == [f"story {10 + i} {'w' * ((10 + i) % 7)}".strip() for i in range(4)]
     assert got[3004] == "The same long article text on every page. 4"
+
+
+def test_every_page_takes_part_in_the_wrapper(spark):
+    """A block that 39 of 200 pages lack is template though eight pages may show
+    otherwise; the wrapper in the tables is that of the list of all pages, deep
+    pages included."""
+    def page(i):
+        extra = "" if i % 5 == 0 and i else "<div class=box>Read our other posts</div>"
+        return (f"<html><body><div class=top><span>Blog</span></div>{extra}<div class=wrap><div class=text><p>story {i} {'x' * (i * 7 % 13)}</p>"
+                f"<p>More of {i * i}.</p></div></div></body></html>")
+
+    def deep(i):
+        return "<div class=a>" * 70 + f"<p>told {i} times</p><p>and {i * 3} more</p>" + "</div>" * 70 + "<div class=z>Fixed line</div>"
+
+    rows = [(i, f"http://all.x/{i}", page(i)) for i in range(200)] + [(300 + i, f"http://deep.x/{i}", deep(i)) for i in range(12)]
+    rows += [(400 + i, f"http://all.x/copy{i}", page(5)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id bigint, link string, text string")
+    laid = with_layout(df.select("id", "link", F.regexp_extract("link", "//([^/]*)", 1).alias("host"), F.col("text").alias("html")))
+    got = {r["host"]: (set(r["template"]), r["slot"]) for r in induce_wrappers(laid).collect()}
+    for host, made in (("all.x", [page(i) for i in range(200)]), ("deep.x", [deep(i) for i in range(12)])):
+        assert got[host] == (set((w := induce_wrapper(made))[0]), w[1])
+    assert got["deep.x"][1].count("div.a") == 70
+    out = {r["id"]: r["text"] for r in extract_main_text(df, "id", "link", "text").select("id", "text").collect()}
+    assert all(out[i] == f"story {i} {'x' * (i * 7 % 13)}".strip() + f" More of {i * i}." for i in range(200))
+    assert out[303] == "told 3 times and 9 more"
+
+
+def test_a_template_that_a_few_pages_hide(spark):
+    """Nine of ten pages share a line; on two of these hosts eight sampled pages said otherwise."""
+    def page(i):
+        side = "Long words of the month are told at length in here" if i % 10 < 9 else f"A note of {i} only"
+        return (f"<html><body><div class=top>Blog</div><div class=wrap><div class=text><p>Tale {i} is told</p><p>so {i * i}</p>"
+                f"<div class=side>{side}</div></div></div></body></html>")
+
+    rows = [(1000 * h + i, f"http://late{h}.x/{i}", page(i + 200 * h)) for h in (0, 1, 7) for i in range(200)]
+    out = extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert len(out) == 600 and not [r["page_id"] for r in out if "Long words" in r["text"]]
