@@ -23,7 +23,7 @@ from churnforge.functions.exprs import coerce_numeric
 from churnforge.operators import features as FE
 from churnforge.operators.clean import median_of, validate_records
 from churnforge.operators.models import TREE_EXEC, assemble
-from churnforge.session import cut_lineage, training_partitions
+from churnforge.session import boosting_partitions, cut_lineage, training_partitions
 from churnforge.sources.tables import CATEGORICAL, NUMERIC
 
 NUMERIC_CLEAN = NUMERIC + ["total_charges"]
@@ -54,7 +54,8 @@ class ChurnScorer:
         enc = FE.apply_onehot(FE.apply_scaler(train, sc), vocab, drop_first=True)
         estimator = estimator or GBTClassifier(labelCol="label", featuresCol="features", maxIter=50, maxDepth=5,
                                                stepSize=0.3, seed=42, **TREE_EXEC)
-        model = estimator.fit(training_partitions(cut_lineage(assemble(enc, feats)), "id"))
+        deal = boosting_partitions if isinstance(estimator, GBTClassifier) else training_partitions
+        model = estimator.fit(cut_lineage(deal(cut_lineage(assemble(enc, feats)), "id")))
         return ChurnScorer(float(med) if med is not None else 0.0, sc, vocab, feats, PipelineModel([model]))
 
     # ------------------------------------------------------------ apply

@@ -17,7 +17,7 @@ from churnforge.operators import tuning as TU
 from churnforge.operators.lsh import brute_force_knn, lsh_knn, recall_of
 from churnforge.operators.profile import unique_profile, wide_corr
 from churnforge.operators.ranking import exact_quantiles
-from churnforge.session import cut_lineage, scratch_path
+from churnforge.session import boosting_partitions, cut_lineage, scratch_path
 
 
 @pytest.fixture(scope="module")
@@ -246,3 +246,11 @@ def test_lsh_neighbours(spark):
         assert hits[1] == 150 and hits[0] >= 0.9 * hits[1]
         assert all(math.isclose(r["dist2"], d2[r["id"] // 100, r["nn_id"]]) for r in found.collect())
     assert lsh_knn(df.limit(0), "id", "v", asked, 5).count() == 0
+
+
+def test_boosting_runs_on_few_partitions(spark):
+    def parts(n, **how):
+        return boosting_partitions(spark.range(n), "id", **how).rdd.getNumPartitions()
+
+    assert (parts(0), parts(9_000), parts(20_000), parts(150_001), parts(600_000)) == (1, 1, 2, 3, 8)
+    assert parts(3_000_000) == 12 and boosting_partitions(spark.range(150_001), "id").count() == 150_001
