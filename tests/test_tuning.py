@@ -9,6 +9,7 @@ import time
 import numpy as np
 import pytest
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from churnforge.operators import encode as EN
@@ -248,6 +249,17 @@ def test_lsh_neighbours(spark):
     assert lsh_knn(df.limit(0), "id", "v", asked, 5).count() == 0
 
 
+def test_a_search_after_an_observation(spark, rows):
+    """A fitted linear model's training summary leads to the session, which no
+    longer travels to tasks once something in it was observed."""
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 3
+    linear = LogisticRegression(labelCol="label", featuresCol="features", maxIter=3)
+    scores = TU.fold_scores({"linear": TU.Learner(rows, linear, [{"regParam": 0.0}])}, scratch_path(spark, "observed"))
+    assert scores.count() == 240
+
+
 def test_boosting_runs_on_few_partitions(spark):
     def parts(n, **how):
         return boosting_partitions(spark.range(n), "id", **how).rdd.getNumPartitions()
