@@ -238,3 +238,18 @@ def test_no_checkpoint_folder_on_a_cluster_is_an_error():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         ensure_checkpoint_dir(Session())
+
+
+def test_every_embedding_has_its_neighbours(spark, tmp_path):
+    """Ids that are not divisible by 100 are asked for as well, by the key and by its SQL."""
+    import duckdb
+
+    from churnforge.plans.oracle import all_sql
+    from churnforge.plans.queries import REGISTRY
+    rows = [(i, [float((i * 7 + 3 * d) % 11) for d in range(4)]) for i in range(1, 31)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {tuple(r) for r in REGISTRY["knn_embeddings"](spark, str(tmp_path)).select("id", "nn_rank", "nn_id", "dist2").collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = set(con.execute(f"SELECT id, nn_rank, nn_id, dist2 FROM ({all_sql()['knn_embeddings']})").fetchall())
+    assert len(got) == 150 and got == want
