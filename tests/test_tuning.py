@@ -266,3 +266,20 @@ def test_boosting_runs_on_few_partitions(spark):
 
     assert (parts(0), parts(9_000), parts(20_000), parts(150_001), parts(600_000)) == (1, 1, 2, 3, 8)
     assert parts(3_000_000) == 12 and boosting_partitions(spark.range(150_001), "id").count() == 150_001
+
+
+def test_a_comparison_boosts_on_few_partitions(rows):
+    """Of the training part and of the folds, however they were dealt before."""
+    seen = []
+
+    class Watched(GBTClassifier):
+        def _fit(self, data):
+            seen.append(data.rdd.getNumPartitions())
+            return super()._fit(data)
+
+    many = cut_lineage(rows.repartition(6, "id"))
+    est = Watched(labelCol="label", featuresCol="features", maxDepth=2, maxIter=2, seed=1)
+    _, scored, _ = M.compare_scored({"train": many, "valid": rows, "test": rows}, {"gbt": est}, folds=many)
+    assert seen == [1] * 4
+    assert {r["part"]: r["count"] for r in scored.groupBy("part").count().collect()} == {
+        "train": 240, "valid": 240, "test": 240, "fold0": 80, "fold1": 80, "fold2": 80}
